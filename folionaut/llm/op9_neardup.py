@@ -9,7 +9,7 @@ every bucket with a probability below 1e-5.
 A bucket is walked in the order of its members, and each is paired with the first one only. The joint likelihood of
 the registers, with the known sizes, estimates the similarity of a pair; pairs that can't reach the threshold go, and the rest are
 confirmed on full sets. After components are formed, members of a bucket that lie in different ones are compared with each other,
-registers only, in blocks; what may be similar is confirmed likewise. So no group is expanded into
+on full sets, in blocks that give back only links which join components. So no group is expanded into rows of
 all its pairs, and no pair that shares a bucket is lost.
 
 Null and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id count as one document
@@ -34,7 +34,7 @@ from .components import components, union_all
 B, A, Q = 1.001, 20.0, 65534
 BANDS = 40
 KEPT = 128  # registers that are kept for estimates
-BLOCK = 2048  # members of a bucket that are compared at once
+BLOCK = 1024  # members of a bucket that stand on either side of a comparison
 _TEXTS = 4_000_000
 
 _rng = np.random.default_rng(0x5E75)
@@ -217,25 +217,46 @@ def _confirmed(k: int, percent: int):
     return run
 
 
-def _blocks(cut: float):
-    """Pairs of a block's members in different components that may be similar; rows come sorted by block."""
+def _blocks(k: int, percent: int):
+    """Links between the components of a block, on full sets; only those that join what the block hasn't joined yet.
+
+    A block's rows come together, sorted by block; side 0 is compared with side 1.
+    """
 
     def compare(rows: list[pd.DataFrame]) -> pd.DataFrame:
         pdf = pd.concat(rows)
-        regs = np.frombuffer(b"".join(pdf.regs), dtype=np.uint16).reshape(len(pdf), KEPT)
-        node, comp, n, side = (pdf[c].to_numpy() for c in ("node", "component", "n", "side"))
-        inner = pdf.i.iloc[0] == pdf.j.iloc[0]
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        none = pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
+        if not len(left) or not len(right):
+            return none
+        sets = shingle_sets(list(right.text), k)
+        sizes = np.array([len(s) for s in sets])
+        # Postings: for every shingle the members of side 1 that hold it.
+        shingles = np.concatenate(sets)
+        order = np.argsort(shingles, kind="stable")
+        holders, shingles = np.repeat(np.arange(len(sets)), sizes)[order], shingles[order]
+        node, comp, minor = right.node.to_numpy(), right.component.to_numpy(), right.minor.to_numpy()
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
         found = []
-        for x in range(len(pdf)):
-            other = np.nonzero((comp != comp[x]) & ((node > node[x]) if inner else (side != side[x])))[0]
-            if not inner and side[x]:
-                continue
-            near = np.minimum(n[other], n[x]) >= cut * np.maximum(n[other], n[x])
-            other = other[near]
-            if len(other):
-                good = other[likely(np.broadcast_to(regs[x], (len(other), KEPT)), regs[other], np.full(len(other), n[x], dtype=np.float64), n[other].astype(np.float64)) >= cut]
-                found.append(pd.DataFrame({"a": np.minimum(node[x], node[good]), "b": np.maximum(node[x], node[good])}))
-        return pd.concat(found) if found else pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
+        for x, own, mine in zip(left.node, left.component, shingle_sets(list(left.text), k)):
+            lo, hi = np.searchsorted(shingles, mine, "left"), np.searchsorted(shingles, mine, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(holders[at], minlength=len(sets))
+            near = 100 * both >= percent * (sizes + len(mine) - both)
+            for y in np.nonzero(near & (comp != own) & ~(minor & (node < x)))[0]:
+                p, q = root(int(own)), root(int(comp[y]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    found.append((int(x), int(node[y])))
+        return pd.DataFrame(found, columns=["a", "b"]) if found else none
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -289,19 +310,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     known = stars.join(label("a"), "a", "left").join(label("b"), "b", "left")
     known = known.select("h", "a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
     known = written(spark, known, "buckets")
-    open_ = known.groupBy("h").agg(F.max(F.col("of_a") != F.col("of_b")).alias("open"), F.count("*").alias("others")).where("open and others > 1")
-    members = known.join(open_, "h").select("h", "others", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("of_a").alias("component")), F.struct(F.col("b").alias("node"), F.col("of_b").alias("component")))).alias("m"))
-    members = members.select("h", "others", "m.*").distinct().join(sizes, "node")
-    chunks = F.ceil((F.col("others") + 1) / F.lit(BLOCK)).cast("int")
-    members = members.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    members = members.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "regs")
-    again = members.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInPandas(_blocks(cut), "a long, b long").distinct()
-    again = written(spark, again.join(pairs, ["a", "b"], "left_anti"), "candidates")
-    if again.limit(1).count():
-        more = confirm(again)
-        if more.limit(1).count():
-            found = components(union_all([links, more]))
+    both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("of_a").alias("component")), F.struct(F.col("b").alias("node"), F.col("of_b").alias("component"))))
+    several = known.groupBy("h").agg(F.max(F.col("of_a") != F.col("of_b")).alias("open"), F.count("*").alias("others")).where("open and others > 1").select("h")
+    members = known.join(several, "h").select("h", both.alias("m")).select("h", "m.*").distinct()
+    members = written(spark, members, "members")
+    # Of two members in different components, one at least lies outside the bucket's largest: only those are compared with all.
+    held = members.groupBy("h", "component").agg(F.count("*").alias("size"))
+    held = held.groupBy("h").agg(F.sum("size").alias("total"), F.max("size").alias("most"), F.max_by("component", F.struct("size", "component")).alias("largest"))
+    held = held.select("h", "largest", F.ceil(F.col("total") / BLOCK).cast("int").alias("across"), F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("down"))
+    rows = members.join(held, "h").withColumn("minor", F.col("component") != F.col("largest"))
+    draw = F.xxhash64("node")
+    row, column = F.pmod(draw, F.col("down")).cast("int"), F.pmod(draw, F.col("across")).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    places = F.transform(upto("down"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), column.alias("j")))
+    asking = F.transform(upto("across"), lambda j: F.struct(F.lit(0).alias("side"), row.alias("i"), j.alias("j")))
+    rows = rows.withColumn("places", F.when(F.col("minor"), F.concat(places, asking)).otherwise(places))
+    rows = rows.join(own.select(F.col("doc_id").alias("node"), "text"), "node")
+    rows = rows.select("h", "node", "component", "minor", "text", F.explode("places").alias("p")).select("h", "p.*", "node", "component", "minor", "text")
+    more = rows.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInPandas(_blocks(k, percent), "a long, b long").distinct()
+    more = written(spark, more, "confirmed")
+    if more.limit(1).count():
+        found = components(union_all([links, more]))
 
     whole = node.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     out = sketch.select("doc_id", "n", "key").join(whole, "key", "left")
