@@ -217,14 +217,51 @@ def _confirmed(k: int, percent: int):
     return run
 
 
-def _blocks(k: int, percent: int):
-    """Links between the components of a block, on full sets; only those that join what the block hasn't joined yet.
+def _by_block(compare):
+    """Runs compare on the rows of each block, which come sorted by block; side 0 is compared with side 1."""
 
-    A block's rows come together, sorted by block; side 0 is compared with side 1.
-    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        for pdf in batches:
+            for key, own in pdf.groupby(["h", "i", "j"], sort=False):
+                if last is not None and key != last:
+                    yield compare(pd.concat(held))
+                    held = []
+                last = key
+                held.append(own)
+        if held:
+            yield compare(pd.concat(held))
+
+    return run
+
+
+def _promising(cut: float):
+    """The rows of a block whose registers say that a member of another component may be similar."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        regs = np.frombuffer(b"".join(pdf.regs), dtype=np.uint16).reshape(len(pdf), KEPT)
+        comp, n, side = pdf.component.to_numpy(), pdf.n.to_numpy(np.float64), pdf.side.to_numpy()
+        right = np.nonzero(side == 1)[0]
+        good = np.zeros(len(pdf), dtype=bool)
+        for x in np.nonzero(side == 0)[0]:
+            other = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) >= cut * np.maximum(n[right], n[x]))]
+            # A cheap test ahead of the likelihood: registers of similar sets are mostly equal.
+            other = other[(regs[other] == regs[x]).mean(axis=1) >= cut - 0.15]
+            if len(other):
+                own = likely(np.broadcast_to(regs[x], (len(other), KEPT)), regs[other], np.full(len(other), n[x]), n[other]) >= cut
+                if own.any():
+                    good[x] = True
+                    good[other[own]] = True
+        return pdf.loc[good, ["h", "i", "j", "side", "node", "component", "minor"]]
 
-    def compare(rows: list[pd.DataFrame]) -> pd.DataFrame:
-        pdf = pd.concat(rows)
+    return compare
+
+
+def _joining(k: int, percent: int):
+    """Links between the components of a block, on full sets; only those that join what the block hasn't joined yet."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         none = pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
         if not len(left) or not len(right):
@@ -258,20 +295,7 @@ def _blocks(k: int, percent: int):
                     found.append((int(x), int(node[y])))
         return pd.DataFrame(found, columns=["a", "b"]) if found else none
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        last = None
-        for pdf in batches:
-            for key, own in pdf.groupby(["h", "i", "j"], sort=False):
-                if last is not None and key != last:
-                    yield compare(held)
-                    held = []
-                last = key
-                held.append(own)
-        if held:
-            yield compare(held)
-
-    return run
+    return compare
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -325,9 +349,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     places = F.transform(upto("down"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), column.alias("j")))
     asking = F.transform(upto("across"), lambda j: F.struct(F.lit(0).alias("side"), row.alias("i"), j.alias("j")))
     rows = rows.withColumn("places", F.when(F.col("minor"), F.concat(places, asking)).otherwise(places))
-    rows = rows.join(own.select(F.col("doc_id").alias("node"), "text"), "node")
-    rows = rows.select("h", "node", "component", "minor", "text", F.explode("places").alias("p")).select("h", "p.*", "node", "component", "minor", "text")
-    more = rows.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInPandas(_blocks(k, percent), "a long, b long").distinct()
+    rows = rows.join(sizes, "node").select("h", "node", "component", "minor", "n", "regs", F.explode("places").alias("p")).select("h", "p.*", "node", "component", "minor", "n", "regs")
+    # By registers first: only members that may have a partner in the block need their texts.
+    sorted_ = lambda df: df.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j")
+    asked = written(spark, sorted_(rows).mapInPandas(_by_block(_promising(cut)), "h long, i int, j int, side int, node long, component long, minor boolean"), "members")
+    texts = asked.join(own.select(F.col("doc_id").alias("node"), "text"), "node")
+    more = sorted_(texts).mapInPandas(_by_block(_joining(k, percent)), "a long, b long").distinct()
     more = written(spark, more, "confirmed")
     if more.limit(1).count():
         found = components(union_all([links, more]))
