@@ -54,30 +54,39 @@ def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(symbol, F.to_date("l_shipdate").alias("date")).agg((_cents("l_tax") / 100.0).alias("amount"))
 
 
+def _values(spark: SparkSession, rows, *columns: str) -> DataFrame:
+    """A few fixed rows; as SQL values, so that equal plans are seen as equal and cached once."""
+    text = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else f"{x}L" for x in r) + ")" for r in rows)
+    return spark.sql(f"select * from values {text} as t({', '.join(columns)})")
+
+
 def holdings(spark: SparkSession) -> DataFrame:
     rows = [(p, s, c, n, COST_PX, c, n * COST_PX, q) for p, s, c, n, q in HOLDINGS]
-    return spark.createDataFrame(rows, "portfolio string, symbol string, ccy string, shares long, cost_px double, cost_ccy string, cost_amount double, quote_ccy string")
+    return _values(spark, rows, "portfolio", "symbol", "ccy", "shares", "cost_px", "cost_ccy", "cost_amount", "quote_ccy")
 
 
 def portfolios(spark: SparkSession) -> DataFrame:
     names = sorted({h[0] for h in HOLDINGS})
-    rows = spark.createDataFrame([(p, BASE, INCEPTION) for p in names], "portfolio string, base_ccy string, inception string")
-    return rows.withColumn("inception", F.to_date("inception"))
+    return _values(spark, [(p, BASE, INCEPTION) for p in names], "portfolio", "base_ccy", "inception").withColumn("inception", F.to_date("inception"))
 
 
 def legs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LEGS), "benchmark string, symbol string, weight double, ccy string")
+    return _values(spark, LEGS, "benchmark", "symbol", "weight", "ccy")
 
 
 class Book:
-    """The frames of one run, each built once and lazily."""
+    """The frames of one run, each built once and lazily.
+
+    What several branches of a plan read is cached (in memory, on disk beyond it; a lost part is computed again).
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
     def _get(self, name: str, make) -> DataFrame:
         if name not in self._made:
-            self._made[name] = make()
+            made = make()
+            self._made[name] = made.cache() if name in ("prices", "rates", "components", "nav", "series", "benchmarks", "pairs") else made
         return self._made[name]
 
     @property

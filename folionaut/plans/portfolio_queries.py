@@ -63,7 +63,7 @@ def _specs(b: Book) -> DataFrame:
 query("read_specs", _specs, """select n_name as portfolio, date '1995-02-01' as inception, 'S' || s_suppkey as symbol, s_name as name, 'equity' as kind, 'CHF' as ccy,
     (s_suppkey % 100 + 1)::bigint as shares, s_acctbal as cost_px, 'CHF' as cost_ccy from supplier join nation on s_nationkey = n_nationkey""", "cost_px", 2)
 query("read_market", lambda b: market.read_market(b.prices, b.holdings, b.portfolios),
-      "select symbol, date, close from px where symbol in (select symbol from hold) and date >= (select min(inception) from ports) - 12", "close")
+      "select symbol, date, close from px where symbol in (select symbol from hold) and date >= (select min(inception) from ports) - 12")
 
 
 def _published(b: Book) -> DataFrame:
@@ -87,10 +87,10 @@ query("registry", _registry, f"""select p.portfolio, p.base_ccy, p.inception, g.
     from ports p join g on g.series_id = p.portfolio join cap c using (portfolio) join mdd m on m.series_id = p.portfolio
     join (select series_id, avg(r) as mu, stddev_samp(r) as sd from r group by 1) v on v.series_id = p.portfolio""", "nav_last capital total cagr vol sharpe calmar max_dd", 4)
 query("normalize_bars", lambda b: market.normalize_bars(b.spark.read.parquet(f"{b.sf_dir}/events.parquet"), "user_id", "ts", "value", "event_id"),
-      "select user_id as symbol, ts::date as date, arg_max(value, (ts, event_id)) as close from events group by 1, 2", "close")
-query("align_calendar", lambda b: market.align_calendar(b.holdings, b.prices, b.dividends), "select portfolio, symbol, date, close, amount from aligned", "close amount")
+      "select user_id as symbol, ts::date as date, arg_max(value, (ts, event_id)) as close from events group by 1, 2")
+query("align_calendar", lambda b: market.align_calendar(b.holdings, b.prices, b.dividends), "select portfolio, symbol, date, close, amount from aligned")
 query("ffill_prices", lambda b: market.ffill(market.align_calendar(b.holdings, b.prices, b.dividends), ["portfolio", "symbol"], "close").select("portfolio", "symbol", "date", "close"),
-      "select portfolio, symbol, date, close from filled", "close")
+      "select portfolio, symbol, date, close from filled")
 _INVERTED = "select * from quotes where ccy <> 'GBP' union all select base as ccy, 'GBP' as base, date, 1 / rate as rate from quotes where ccy = 'GBP'"
 
 
@@ -112,26 +112,27 @@ def _asof(b: Book) -> DataFrame:
 
 
 query("asof_value", _asof, """select m.symbol, m.at, p.close from (select distinct symbol, date_trunc('month', date)::date as at from px) m
-    asof left join px p on p.symbol = m.symbol and p.date <= m.at""", "close")
+    asof left join px p on p.symbol = m.symbol and p.date <= m.at""")
 query("pence_to_pounds", lambda b: market.pence_to_pounds(b.prices.join(b.legs.select("symbol", "ccy").distinct(), "symbol")),
-      "select symbol, date, case when ccy in ('GBp', 'GBX') then close / 100 else close end as close, case when ccy in ('GBp', 'GBX') then 'GBP' else ccy end as ccy from px join (select distinct symbol, ccy from legs) using (symbol)", "close")
+      "select symbol, date, case when ccy in ('GBp', 'GBX') then close / 100 else close end as close, case when ccy in ('GBp', 'GBX') then 'GBP' else ccy end as ccy from px join (select distinct symbol, ccy from legs) using (symbol)")
 
 
 
 query("currency_universe", lambda b: market.currency_universe(b.holdings, b.legs, BASE).join(b.quotes.groupBy("ccy").agg(F.count("*").alias("days")), "ccy", "left"),
       f"""select u.ccy, days from (select ccy from hold union select cost_ccy from hold union select case when ccy in ('GBp', 'GBX') then 'GBP' else ccy end from legs) u
       left join (select ccy, count(*) as days from quotes group by 1) q using (ccy) where u.ccy <> '{BASE}'""")
-query("live_filter", lambda b: nav.filled_spine(b.holdings, b.portfolios, b.prices, b.dividends), "select portfolio, symbol, date, close, amount from live", "close amount")
+query("live_filter", lambda b: nav.filled_spine(b.holdings, b.portfolios, b.prices, b.dividends), "select portfolio, symbol, date, close, amount from live")
 query("analysis_window", lambda b: series.analysis_windows(b.nav_series), 'select series_id, "window", lo, hi from windows')
 query("rebase_100", lambda b: series.rebase_100(b.series), f"select series_id, date, value / first_value(value) over (partition by series_id order by date {PAST}) * 100 as value from s", "value")
-query("thin_series", lambda b: series.thin_series(b.series), """select series_id, date, value from (select *, row_number() over (partition by series_id order by date) - 1 as k, count(*) over (partition by series_id) as n from s)
-    where k % ceil(n / 170.0)::bigint = 0 or k = n - 1""", "value", 4)
+query("thin_series", lambda b: series.thin_series(b.prices.select(F.col("symbol").alias("series_id"), "date", F.col("close").alias("value"))),
+      """select series_id, date, value from (select symbol as series_id, date, close as value, row_number() over (partition by symbol order by date) - 1 as k, count(*) over (partition by symbol) as n from px)
+    where k % ceil(n / 170.0)::bigint = 0 or k = n - 1""")
 query("round_publish", lambda b: series.round_publish(drawdown.max_drawdown(b.series).join(metrics.sharpe_block(b.series), "series_id"), ("max_dd", "ulcer", "pain"), ("sharpe",), ("sortino",)).select("series_id", "max_dd", "ulcer", "pain", "sharpe", "sortino"),
       f"""select m.series_id, round(max_dd * 100, 2) as max_dd, round(ulcer * 100, 2) as ulcer, round(pain * 100, 2) as pain, round(mu * 252 / (sd * {ROOT}), 2) as sharpe, round(mu * 252 / (dsd * {ROOT}), 4) as sortino
       from mdd m join (select series_id, avg(r) as mu, stddev_samp(r) as sd, sqrt(avg(r * r) filter (r < 0)) as dsd from r group by 1) x using (series_id)""", "max_dd ulcer pain sharpe sortino", 4)
 
 # --- portfolios ----------------------------------------------------------------------------------------------
-query("component_values", lambda b: b.components.select("portfolio", "symbol", "date", "value"), "select portfolio, symbol, date, value from comp", "value", 4)
+query("component_values", lambda b: b.components.select("portfolio", "symbol", "date", "value"), "select portfolio, symbol, date, value from comp")
 query("dividend_cash", lambda b: nav.dividend_cash(b.components), "select portfolio, date, cash from cash", "cash", 4)
 query("nav", lambda b: b.nav, "select portfolio, date, nav, cash from nav", "nav cash", 4)
 query("invested_capital", lambda b: b.capital, "select portfolio, first_day, capital from cap", "capital", 4)
@@ -234,7 +235,7 @@ query("summary_stats", lambda b: metrics.summary_stats(b.series), f"""select g.s
       mom=_MOM, momm=_MOM_M, tm=_TAIL_M)
 
 # --- drawdowns -----------------------------------------------------------------------------------------------
-query("drawdown_series", lambda b: drawdown.drawdown_series(b.series), "select series_id, date, value, dd from dd", "value dd", 4)
+query("drawdown_series", lambda b: drawdown.drawdown_series(b.series).drop("value"), "select series_id, date, dd from dd", "dd")
 query("max_drawdown", lambda b: drawdown.max_drawdown(b.series), "select series_id, max_dd, max_dd_date, ulcer, pain from mdd", "max_dd ulcer pain")
 query("drawdown_episodes", lambda b: drawdown.drawdown_episodes(b.series), "select series_id, rank::int as rank, peak, trough, recovery, depth, days_down::int as days_down, days_to_recover::int as days_to_recover, days_total::int as days_total, ongoing from episodes where rank <= 8", "depth")
 query("underwater_time", lambda b: drawdown.underwater_time(b.series), """select d.series_id, share_under, mean_dd, coalesce(mean_days, 0) as mean_days, coalesce(max_days, 0)::int as max_days, coalesce(episodes, 0) as episodes
