@@ -35,6 +35,7 @@ B, A, Q = 1.001, 20.0, 65534
 BANDS = 40
 KEPT = 128  # registers that are kept for estimates
 BLOCK = 1024  # members of a bucket that stand on either side of a comparison
+CELLS = 1 << 20  # hash cells of nodes whose texts are needed
 _TEXTS = 4_000_000
 
 _rng = np.random.default_rng(0x5E75)
@@ -247,12 +248,15 @@ def _promising(cut: float):
         for x in np.nonzero(side == 0)[0]:
             other = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) >= cut * np.maximum(n[right], n[x]))]
             # A cheap test ahead of the likelihood: registers of similar sets are mostly equal.
-            other = other[(regs[other] == regs[x]).mean(axis=1) >= cut - 0.15]
-            if len(other):
-                own = likely(np.broadcast_to(regs[x], (len(other), KEPT)), regs[other], np.full(len(other), n[x]), n[other]) >= cut
-                if own.any():
-                    good[x] = True
-                    good[other[own]] = True
+            same = (regs[other] == regs[x]).mean(axis=1)
+            other = other[np.argsort(-same, kind="stable")][: int((same >= cut - 0.15).sum())]
+            # Members that are marked already matter only until x is; the likeliest are asked first.
+            fresh = other[~good[other]]
+            for own in (fresh, *(other[good[other]][at : at + 64] for at in range(0, len(other), 64))):
+                if len(own) and (own is fresh or not good[x]):
+                    yes = own[likely(np.broadcast_to(regs[x], (len(own), KEPT)), regs[own], np.full(len(own), n[x]), n[own]) >= cut]
+                    good[yes] = True
+                    good[x] |= len(yes) > 0
         return pdf.loc[good, ["h", "i", "j", "side", "node", "component", "minor"]]
 
     return compare
@@ -316,10 +320,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     stars = written(spark, walked, "stars")
     sizes = nodes.select("node", "n", "regs")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """Texts of (nearly only) the given nodes: others mostly go before the shuffle, by the hash cells that the nodes are in.
+
+        There are at most 2^20 cells, so they can be broadcast; with very many nodes they are all full and nothing goes.
+        """
+        cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
+        cells = written(spark, ids.select(cell("node").alias("cell")).distinct(), "cells")
+        return own.withColumn("cell", cell("doc_id")).join(F.broadcast(cells), "cell", "left_semi").select(F.col("doc_id").alias("node"), "text")
+
     def confirm(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b) that passed the estimate; each pair's two texts meet by joins on the documents."""
-        first = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = first.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        first = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        both = first.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         return written(spark, both.select("a", "b", "text_a", "text_b").mapInPandas(_confirmed(k, percent), "a long, b long"), "confirmed")
 
     pairs = stars.select("a", "b").distinct()
@@ -353,7 +367,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     # By registers first: only members that may have a partner in the block need their texts.
     sorted_ = lambda df: df.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j")
     asked = written(spark, sorted_(rows).mapInPandas(_by_block(_promising(cut)), "h long, i int, j int, side int, node long, component long, minor boolean"), "members")
-    texts = asked.join(own.select(F.col("doc_id").alias("node"), "text"), "node")
+    texts = asked.join(texts_of(asked.select("node")), "node")
     more = sorted_(texts).mapInPandas(_by_block(_joining(k, percent)), "a long, b long").distinct()
     more = written(spark, more, "confirmed")
     if more.limit(1).count():
