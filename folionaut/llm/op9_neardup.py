@@ -381,3 +381,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+i as (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) as i from w where len(ws) > 0),
+s as materialized (select distinct doc_id, case when len(ws) < 3 then array_to_string(ws, ' ') else array_to_string(ws[i:i+2], ' ') end as g from i),
+n as materialized (select doc_id, count(*) as n from s group by 1),
+p as materialized (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
+e as materialized (select a, b from l union select b, a from l),
+r as (select doc_id as node, doc_id as c from documents union select e.b, r.c from r join e on e.a = r.node where r.c < e.b)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.c) as component_id, d.doc_id = min(r.c) as kept from documents d left join n using (doc_id) join r on r.node = d.doc_id group by d.doc_id
+"""

@@ -25,4 +25,5 @@ ORACLE_SQL = {
     "op5_chat_format": op5_chat.ORACLE,
     "op6_exact_dedup": op6_exact.ORACLE,
     "op8_ann_search": op8_ann.ORACLE,
+    "op9_near_duplicates": op9_neardup.ORACLE,
 }
