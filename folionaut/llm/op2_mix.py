@@ -24,7 +24,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, seeded_unit, table, word_count, written
+from .common import seeded_unit, table, word_count, written
 
 #: Fixed value: the seed of the production mix.
 SEED = 20240501
