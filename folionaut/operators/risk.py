@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import TRADING_DAYS, Z
 from .drawdown import max_drawdown
 from .metrics import growth
-from .series import daily_returns, ordered, past
+from .series import daily_returns, ordered
 
 TD = float(TRADING_DAYS)
 BLOCK = 21

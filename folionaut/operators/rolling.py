@@ -6,7 +6,6 @@ centred on their series' mean first, against cancellation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

@@ -17,7 +17,7 @@ from ..operators import drawdown, market, metrics, nav, risk, rolling, series
 from ..sources import files
 from . import fixtures
 from .fixtures import BASE, Book
-from .oracle import FUTURE, PAST, with_tables
+from .oracle import PAST, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
