@@ -1,7 +1,8 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; each normalised sentence that equals a known licence sentence gives that
-sentence's identifier, and the identifiers in text order are matched against licence rules. A rule is a
+A known licence sentence is found where its words follow each other in the text, from the start of a sentence,
+clause or line to the end of one: it may be wrapped over lines and hold ';' or ':', but not a full stop. Each
+gives its identifier, and the identifiers in text order are matched against licence rules. A rule is a
 list of identifiers that must occur in this order (others may stand between); the first rule that fits
 gives the licence. Nothing is shuffled: the table of sentences and the rules are a few literals.
 
@@ -37,6 +38,33 @@ SENTENCES = (
     ("V", "the software is provided as is without warranty of any kind"),
     ("R", "all rights reserved"),
 )
+_GNU = "is free software you can redistribute it and or modify it under the terms of the gnu"
+_FSF = "as published by the free software foundation"
+_LATER = "of the license or at your option any later version"
+#: The same identifiers' sentences in the full wording of the standard licence texts and notices. ORACLE knows
+#: SENTENCES alone, which is all that the given tables hold.
+FULL = (
+    ("A", "licensed under the apache license version 2 0 the license"),
+    ("C", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    *(("H", f"this program {_GNU} general public license {end}") for end in (
+        f"{_FSF} either version 3 {_LATER}", f"{_FSF} either version 3 of the license", f"{_FSF} version 3", f"{_FSF} version 3 of the license", f"version 3 {_FSF}")),
+    *(("L", f"this library {_GNU} lesser general public license {end}") for v in ("2 1", "3") for end in (
+        f"{_FSF} either version {v} {_LATER}", f"{_FSF} either version {v} of the license", f"{_FSF} version {v}", f"{_FSF} version {v} of the license", f"version {v} {_FSF}")),
+    ("P", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("Q", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("Q", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
+    ("V", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    *(("M", f"{start} the {terms}mit license") for start in ("licensed under", "this project is licensed under", "this software is released under") for terms in ("", "terms of the ")),
+    ("D", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("E", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    *((key, f"this work is licensed under {a} creative commons attribution{kind} 4 0 international license") for a in ("a", "the") for key, kind in (("Y", ""), ("N", " noncommercial"), ("Z", " sharealike"))),
+)
+#: Places where a sentence names its own work or owner: the words there, and the pattern of what may stand for them.
+NAMES = (
+    ("neither the name of the copyright holder nor the names of its", "neither the name of ", "(?:[a-z0-9]+[ SH]+){1,12}", "nor the names of its"),
+    (f"this program {_GNU} general", "", "(?:[a-z0-9]+[ S]+){1,6}", f"{_GNU} general"),
+    (f"this library {_GNU} lesser", "", "(?:[a-z0-9]+[ S]+){1,6}", f"{_GNU} lesser"),
+)
 #: Licence and the identifiers it asks for in order; the first rule that fits wins.
 RULES = (
     ("gpl-3.0", "G"),
@@ -56,19 +84,44 @@ RULES = (
     ("proprietary", "R"),
 )
 #: Every known sentence holds one of these, so other texts need no cutting.
-ANCHORS = ("licen", "software", "redistribut", "warrant", "copyright", "all rights")
-BREAKS = r"[.!?;:]+(?:[ \t\n\x0B\f\r]+|\z)|[\r\n]+"
+ANCHORS = ("licen", "software", "redistribut", "warrant", "copyright", "rights")
+_WHITE = r"[ \t\n\x0B\f\r]"
+#: In lower-case text: H stands for the end of a sentence, S for the end of a clause or line.
+HARD = rf"(?<![.!?;:])[;:]*+[.!?][.!?;:]*+(?={_WHITE}|\z)"
+SOFT = rf"(?<![;:])[;:]++(?={_WHITE}|\z)|[\r\n]++"
+
+
+def _pattern(sentence: str) -> str:
+    """Java pattern of the sentence's words, wrapped anyhow."""
+    def wrapped(words):
+        return words.replace(" ", "[ S]++")
+
+    for plain, before, name, after in NAMES:
+        if sentence.startswith(plain):
+            return wrapped(before) + name + wrapped(after + sentence[len(plain) :])
+    return wrapped(sentence)
 
 
 def scan(text: Column) -> tuple[Column, Column]:
     """Columns of the hits (a string of identifiers in text order) and of the licence, or null."""
-    assert all(any(a in s for a in ANCHORS) for _, s in SENTENCES)
-    known = F.create_map(*(F.lit(x) for key, s in SENTENCES for x in (s, key)))
+    listed = SENTENCES + FULL
+    assert all(any(a in s for a in ANCHORS) for _, s in listed)
+    known = F.create_map(*(F.lit(x) for key, s in listed for x in (s, key)))
     lower = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
-    plain = F.transform(F.split(lower, BREAKS), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(plain, lambda s: F.element_at(known, s)), lambda x: x.isNotNull())
+    marked = F.regexp_replace(F.regexp_replace(lower, HARD, "H"), SOFT, "S")
+    plain = F.concat(F.lit("H"), F.regexp_replace(marked, "[^a-z0-9HS]+", " "), F.lit("H"))
+    longest = sorted({_pattern(s) for _, s in listed}, key=lambda p: (-len(p), p))
+    # A list's number may stand before a sentence, as in '3) Neither the name'.
+    hits = F.regexp_extract_all(plain, F.lit(rf"(?<=[HS] ?)(?:[0-9]{{1,2}} )?({'|'.join(longest)})(?= ?[HS])"), 1)
+
+    def identifier(hit: Column) -> Column:
+        words = F.regexp_replace(hit, "[ HS]+", " ")
+        for own, before, _, after in NAMES:
+            words = F.regexp_replace(words, f"^{before}.+? {after}", own)
+        return F.element_at(known, words)
+
     maybe = reduce(lambda a, b: a | b, (F.contains(lower, F.lit(a)) for a in ANCHORS))
-    return F.when(maybe, F.array_join(found, "")).otherwise(F.lit("")), licence(F.col("hits"))
+    return F.when(maybe, F.array_join(F.transform(hits, identifier), "")).otherwise(F.lit("")), licence(F.col("hits"))
 
 
 def licence(hits: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -39,6 +40,95 @@ def test_license(spark):
     assert op1_license.license_scan(docs(spark, [])).count() == 0
 
 
+APACHE = """Copyright 2020 A. Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Copyright (c) 2020 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD2 = """Copyright (c) 2020, A. Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+REST = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_license_headers(spark):
+    """Unabridged texts, as they are, as comments, with other line ends and wrapped at any width."""
+    inc = BSD3.replace("the copyright holder nor", "A. Body\nInc. nor").replace("3. ", "3) ") + REST
+    lgpl = GPL.replace("This program is free", "The body library is free").replace("GNU General", "GNU Lesser General")
+    want = [(APACHE, "apache-2.0", "A,B,C"), (MIT, "mit", "P,Q,V"), (BSD2 + REST, "bsd-2-clause", "R,D"), (BSD3 + REST, "bsd-3-clause", "R,D,E"), (inc, "bsd-3-clause", "R,D,E"), (GPL, "gpl-3.0", "H"), (lgpl, "lgpl", "L")]
+    want += [(GPL.replace("version 3", "version 2"), None, ""), (GPL.replace("GNU General", "GNU Affero General"), None, ""), ("(c) A. Body. All\nrights reserved", "proprietary", "R"), ("Not\n" + MIT.split("\n\n")[1].replace("\n", " ", 1).replace("Permission", "is permission", 1), None, "")]
+    want += [("This work is licensed under a Creative Commons Attribution-NonCommercial\n4.0 International License.", "cc-by-nc-4.0", "N")]
+    forms = [lambda t: t, lambda t: re.sub("(?m)^", " * ", t), lambda t: re.sub("(?m)^", "// ", t), lambda t: t.replace("\n", "\r\n"), lambda t: "Some code\n" + t + "\nmore code"]
+    forms += [lambda t, w=w: "\n\n".join(p if p.startswith("Copyright") else textwrap.fill(p, w) for p in t.split("\n\n")) for w in (30, 47, 80, 9999)]
+    cases = [(f(t), name, ids) for t, name, ids in want for f in forms]
+    got = {r.doc_id: (r.licence, r.sentence_ids) for r in op1_license.license_scan(docs(spark, [t for t, _, _ in cases])).collect()}
+    assert [(k, got[k], cases[k][0]) for k in got if got[k] != cases[k][1:]] == []
+
+
 def test_targets_never_exceed_caps():
     rng = random.Random(1)
     for _ in range(200):
