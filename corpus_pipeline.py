@@ -16,9 +16,6 @@ from folionaut.llm.op6_exact import exact_dedup
 from folionaut.llm.op9_neardup import near_duplicates
 from folionaut.llm.op10_toxicity import without_toxic
 
-#: The mix's size as a share of all words that reach it; sources give each document at most once.
-MIX_SHARE = 0.75
-
 
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """docs without those that judged (doc_id, kept) drops; rows with a null doc_id stay."""
@@ -39,7 +36,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix(docs, F.array("source"), share=MIX_SHARE, cap=1.0, repeats=1)
+    # Each document at most once: sources at or below their target stay whole.
+    mixed = mix(docs, F.array("source"), share=1.0, cap=3.0, repeats=1)
     # A document of no words costs nothing and stays.
     return mixed.where("mix_taken > 0 or mix_size = 0").select(*docs.columns)
 

@@ -1,8 +1,13 @@
 """The pipeline stage by stage against brute force on the smallest table."""
 
-from test_operators import exact_brute, near_brute
+import hashlib
+import random
+
+from test_operators import docs as table_of
+from test_operators import exact_brute, near_brute, words
 
 import corpus_pipeline
+from folionaut.llm.op2_mix import SEED
 from folionaut.llm.op10_toxicity import toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +44,40 @@ def test_stages(spark):
     assert set(mixed) <= set(ids) and 0.7 * size(before) < size(mixed) < size(before)
     last = apply(4, left).collect()
     assert {r.doc_id for r in last} == set(mixed) and all(r.round_trip for r in last)
+
+
+def mix_brute(rows):
+    """Ids that stay of (doc_id, text, source), with the targets' level found by bisection."""
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s))
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    total = {s: sum(size[i] for i, _, own in rows if own == s) for s in names}
+    low, high = 0.0, float(sum(total.values()))
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(level * weight[s], 3 * total[s]) for s in names) < sum(total.values()) else (low, level)
+    kept = set()
+    for s in names:
+        left = int(min(high * weight[s], 3 * total[s]) + 0.5)
+        for i in sorted((i for i, _, own in rows if own == s), key=lambda i: (hashlib.md5(f"{SEED}:{i}".encode()).hexdigest()[:8], i)):
+            if left > 0 or size[i] == 0:
+                kept.add(i)
+            left -= size[i]
+    return kept
+
+
+def test_mix_stage_drops_only_what_is_over_target(spark):
+    rng = random.Random(12)
+
+    def kept(texts, sources):
+        df = table_of(spark, texts, sources)
+        return sorted(r.doc_id for r in corpus_pipeline.mix_stage(spark, df, SF).collect())
+
+    ids = list(range(60))
+    assert kept([words(rng, 10) for _ in ids], ["one"] * 60) == ids
+    assert kept([words(rng, 10) for _ in ids], ["a"] * 10 + ["b"] * 20 + ["c"] * 30) == ids
+    for names in (["a", "b", "c", None], ["a", "a", "a", "a", "b", "c", "d"], ["a"] + ["b"] * 30):
+        texts = [None, "", *(words(rng, rng.choice([1, 3, 50, 400])) for _ in range(300))]
+        sources = [rng.choice(names) for _ in texts]
+        want = mix_brute(list(zip(range(len(texts)), texts, sources)))
+        assert kept(texts, sources) == sorted(want) and len(want) < len(texts)
