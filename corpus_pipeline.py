@@ -6,6 +6,8 @@ columns of `documents`; the last returns the token ids of the documents that are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,20 @@ from folionaut.llm.op9_neardup import near_duplicates
 from folionaut.llm.op10_toxicity import without_toxic
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """docs without those that judged (doc_id, kept) drops; rows with a null doc_id stay."""
-    dropped = judged.where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def _without(spark: SparkSession, docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without those that judge (doc_id, kept) drops. Where doc_ids repeat or are null, one row of each doc_id and text is judged."""
+    ids = docs.groupBy("doc_id").count()
+    if not ids.where("doc_id is null or count > 1").limit(1).count():
+        dropped = judge(docs).where("not kept").select("doc_id").distinct()
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # Keys of their own stand for the doc_ids, in the order of doc_id; written, as they depend on the partitions.
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    once = docs.groupBy("doc_id", F.sha2(F.col("text"), 256).alias("row_digest")).agg(F.first("text").alias("text"), F.min(F.struct(F.lit(0), *others)).alias("row_others"))
+    sorted_ = once.orderBy(F.asc_nulls_last("doc_id"), "row_digest").withColumn("row_key", F.monotonically_increasing_id())
+    keyed = written(spark, sorted_, "row-keys")
+    dropped = judge(keyed.select(F.col("row_key").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("row_key"))
+    left = keyed.join(dropped.distinct(), "row_key", "left_anti")
+    return left.select("doc_id", "text", *(F.col("row_others")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text"))).select(*docs.columns)
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +40,11 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup(docs))
+    return _without(spark, docs, exact_dedup)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs, k=5, threshold=0.8))
+    return _without(spark, docs, lambda rows: near_duplicates(rows, k=5, threshold=0.8))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

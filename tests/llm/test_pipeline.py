@@ -81,3 +81,22 @@ def test_mix_stage_drops_only_what_is_over_target(spark):
         sources = [rng.choice(names) for _ in texts]
         want = mix_brute(list(zip(range(len(texts)), texts, sources)))
         assert kept(texts, sources) == sorted(want) and len(want) < len(texts)
+
+
+def test_repeated_ids(spark):
+    """Of a repeated row one stays; of one doc_id's two texts only the copy goes."""
+    rng = random.Random(13)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    near = a + " " + words(rng, 1)
+    texts, ids = [a, b, b, b, a, c, d, d, e, e, near, None, None], [1, 2, 2, 2, 3, 3, 4, 5, None, None, 6, 7, 7]
+    df = table_of(spark, texts, [f"s{i}" for i in range(len(ids))], ids).repartition(5)
+    exact = corpus_pipeline.exact_stage(spark, df, SF)
+    rows = exact.collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    want = [(1, a), (2, b), (3, c), (4, d), (None, e), (6, near), (7, None)]
+    assert sorted([(r.doc_id, r.text) for r in rows], key=key) == sorted(want, key=key)
+    assert exact.columns == df.columns and {r.source for r in rows if r.doc_id == 2} == {"s1"}
+    for given in (df, spark.createDataFrame(rows, exact.schema)):
+        got = corpus_pipeline.near_stage(spark, given, SF).collect()
+        # Texts of no words are copies of nothing; a longer copy with a later id goes.
+        assert sorted([(r.doc_id, r.text) for r in got], key=key) == sorted([w for w in want if w[0] != 6], key=key)
