@@ -7,11 +7,13 @@ phrases; a term inside an exception phrase doesn't count. The sum of the weights
 and the number of hits, give the score by a logistic curve.
 
 Weights are cautious log-odds of a term in toxic against other texts, counted by Spark over a sample of at most `sample`
-labelled rows (the smallest hashes of doc_id); fixed seed terms have a weight from the start. The curve
+labelled rows (the smallest hashes of doc_id), which are written once; fixed seed terms have a weight from the start. A term needs
+SUPPORT toxic texts of the sample, whatever their number; the sample alone bounds the lexicon. The curve
 is fitted on the same rows. Without labels of both kinds the seeds and a fixed curve serve.
 
 Null and empty texts have no words and get the curve's score for none. Repeated rows are scored one by one; a doc_id
-labelled more than once counts as toxic if any of its labels says so, and null labels don't count. Texts are
+labelled more than once counts as toxic if any of its labels says so, and null labels don't count. Of rows that repeat a
+labelled doc_id, the one with the smallest text is learnt from. A null doc_id has no label, isn't held out and is scored like any other. Texts are
 scored whole. Empty tables give empty results. Extra columns are ignored.
 """
 
@@ -25,12 +27,11 @@ from functools import cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import slices, small_batches, table, written
 
 #: Lookalikes (Cyrillic, Greek, signs, digits) and the letters that they stand for.
 LOOKALIKES = {
@@ -50,7 +51,7 @@ EXCEPTIONS = (
 )
 SEED_WEIGHT = 4.0
 SAMPLE = 12_000
-LEXICON = 512
+SUPPORT = 5
 THRESHOLD = 0.7
 #: The curve's constant, its factor for the weighted density and for the hits, without labels.
 CURVE = (-6.0, 1.2, 1.5)
@@ -145,109 +146,124 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0]), float(w[1] / scale[0]), float(w[2] / scale[1])
 
 
-def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts that hold each candidate term: whole words, and starts of 4 to 6 letters."""
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that hold each candidate term: whole words of two letters or more, and starts of 4 to 6 letters."""
     toxic: Counter = Counter()
     clean: Counter = Counter()
 
-    def out() -> pd.DataFrame:
+    def out() -> pa.RecordBatch:
         keys = list(toxic.keys() | clean.keys())
-        frame = pd.DataFrame({"term": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]})
-        return frame.astype({"toxic": "int64", "clean": "int64"})
+        columns = [pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
 
-    for pdf in batches:
-        for text, y in zip(pdf.text, pdf.toxic):
+    for batch in batches:
+        for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = set(fold(text).split())
-            own = {f" {w} " for w in words if 3 <= len(w) <= 30} | {f" {w[:k]}" for w in words for k in (4, 5, 6) if len(w) > k}
+            own = {f" {w} " for w in words if len(w) > 1} | {f" {w[:k]}" for w in words for k in (4, 5, 6) if len(w) > k}
             (toxic if y else clean).update(own)
         if len(toxic) + len(clean) > 500_000:
             yield out()
             toxic.clear()
             clean.clear()
-    yield out()
+    if toxic or clean:
+        yield out()
 
 
-def learn(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
+def learn(rows: DataFrame, support: int = SUPPORT, seeds: tuple[str, ...] = SEEDS) -> dict[str, float]:
     """Lexicon from rows of text and toxic: seeds, and terms that are at least ten times as frequent in toxic texts."""
-    lexicon = {fold(w): SEED_WEIGHT for w in SEEDS}
+    lexicon = {fold(w): SEED_WEIGHT for w in seeds}
     n = {bool(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
     if not toxic or not clean:
         return lexicon
-    least = max(4, round(0.02 * toxic))
-    sums = rows.mapInPandas(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    sums = rows.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     t, c = F.col("t"), F.col("c")
     odds = F.log((t + 0.5) / (toxic - t + 0.5)) - F.log((c + 0.5) / (clean - c + 0.5))
     error = F.sqrt(1 / (t + 0.5) + 1 / (toxic - t + 0.5) + 1 / (c + 0.5) + 1 / (clean - c + 0.5))
     # The weight is the lower end of the log-odds' 90% interval: terms seen by chance in a few toxic texts weigh little.
-    found = sums.where((t >= least) & (t * clean >= c * 10 * toxic)).select("term", "t", F.round(odds - 1.64 * error, 6).alias("w")).where("w >= 1.5")
-    best = found.orderBy(F.desc("w"), "term").limit(8 * size).collect()
-    texts = {r.term: r.t for r in best}
+    found = sums.where((t >= support) & (t * clean >= c * 10 * toxic)).select("term", "t", F.round(odds - 1.64 * error, 6).alias("w")).where("w >= 1.5")
+    best = {r.term: r for r in found.collect()}  # terms of several of the sample's toxic texts
+    longer: dict[str, list[str]] = {}
+    for term in best:
+        for k in (5, 6, 7):  # starts, with the space in front
+            if len(term) > k and term[:k] in best:
+                longer.setdefault(term[:k], []).append(term)
     # Of a start and its longer forms, the longer stays if it has nearly all of the start's texts, else the start.
-    for r in sorted(best, key=lambda r: (len(r.term), r.term)):
-        longer = [k for k in texts if k != r.term and k.startswith(r.term.rstrip()) and r.term[-1] != " "]
-        if any(texts[k] >= 0.9 * r.t for k in longer):
-            texts.pop(r.term)
+    for start in sorted(longer, key=lambda x: (len(x), x)):
+        if start not in best:
+            continue
+        own = [k for k in longer[start] if k in best]
+        if any(best[k].t >= 0.9 * best[start].t for k in own):
+            best.pop(start)
         else:
-            for k in longer:
-                texts.pop(k)
-    kept = [r for r in best if r.term in texts][:size]
-    return lexicon | {r.term: float(r.w) for r in kept}
+            for k in own:
+                best.pop(k)
+    return lexicon | {term: float(r.w) for term, r in sorted(best.items())}
 
 
 def held_out(df: DataFrame) -> DataFrame:
     return df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], tuple[float, float, float]]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seeds: tuple[str, ...] = SEEDS) -> tuple[dict[str, float], tuple[float, float, float]]:
     """(lexicon, curve) from labelled rows that aren't held out, at most `sample` of them."""
+    spark = docs.sparkSession
     usable = held_out(labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")).where("not held_out")
     marked = usable.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     draw = F.xxhash64("doc_id")
     part = min(1.0, 2 * sample / max(1, marked.count()))
     chosen = marked.where(F.pmod(draw, F.lit(1 << 20)) < int(part * (1 << 20)) + 1).orderBy(draw).limit(sample)
-    # At most `sample` rows of 9 bytes: broadcast, so that no text is shuffled.
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    lexicon = learn(rows)
-    machine = automaton(lexicon)
+    # At most `sample` rows of 9 bytes: broadcast, so that no other text is shuffled.
+    drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    with small_batches(spark):
+        rows = written(spark, drawn.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxic-sample")
+        lexicon = learn(rows, seeds=seeds)
+        machine = automaton(lexicon)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = features(machine, batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("toxic")], ["a", "b", "toxic"])
+
+        seen = rows.mapInArrow(measure, "a double, b double, toxic boolean").collect()  # at most `sample` rows
+    seen = np.array(sorted((r.a, r.b, float(r.toxic)) for r in seen), dtype=np.float64).reshape(len(seen), 3)  # sums don't depend on the order of the tasks
+    return lexicon, fit_curve(seen[:, :2], seen[:, 2])
+
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = features(machine, pdf.text)
-            yield pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "toxic": pdf.toxic})
+def _scorer(docs: DataFrame, labels: DataFrame, sample: int, seeds: tuple[str, ...]):
+    """A function from an automaton and texts to (scores, features), and one that makes the automaton."""
+    lexicon, (constant, by_density, by_hits) = train(docs, labels, sample, seeds)
 
-    seen = rows.mapInPandas(measure, "a double, b double, toxic boolean").limit(2 * sample).toPandas()
-    seen = seen.sort_values(["a", "b", "toxic"])  # sums don't depend on the order of the tasks
-    return lexicon, fit_curve(seen[["a", "b"]].to_numpy(dtype=np.float64), seen.toxic.to_numpy(dtype=np.float64))
+    def score(machine: ahocorasick.Automaton, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        x = features(machine, texts)
+        return 1 / (1 + np.exp(-np.clip(constant + by_density * x[:, 0] + by_hits * x[:, 1], -30, 30))), x
 
+    return score, lambda: automaton(lexicon)
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, and hits (words of the lexicon)."""
-    small_batches(docs.sparkSession)
-    lexicon, (constant, by_density, by_hits) = train(docs, labels, sample)
+    score, make = _scorer(docs, labels, sample, seeds)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = automaton(lexicon)
-        for pdf in batches:
-            x = features(machine, pdf.text)
-            p = 1 / (1 + np.exp(-np.clip(constant + by_density * x[:, 0] + by_hits * x[:, 1], -30, 30)))
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "held_out": pdf.held_out, "score": p, "predicted": (p >= threshold).astype("int32"), "hits": np.rint(np.expm1(x[:, 1])).astype("int64")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = make()
+        for batch in (part for whole in batches for part in slices(whole)):
+            p, x = score(machine, batch.column("text").to_pylist())
+            hits = pa.array(np.rint(np.expm1(x[:, 1])).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), hits], ["doc_id", "held_out", "score", "predicted", "hits"])
 
-    rows = held_out(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int, hits long")
+    rows = held_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, hits long")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold."""
-    small_batches(docs.sparkSession)
-    lexicon, (constant, by_density, by_hits) = train(docs, labels, sample)
+    score, make = _scorer(docs, labels, sample, seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(lexicon)
-        for batch in batches:
-            x = features(machine, batch.column("text").to_pylist())
-            p = 1 / (1 + np.exp(-np.clip(constant + by_density * x[:, 0] + by_hits * x[:, 1], -30, 30)))
-            yield batch.filter(pa.array(p < threshold))
+        machine = make()
+        for batch in (part for whole in batches for part in slices(whole)):
+            yield batch.filter(pa.array(score(machine, batch.column("text").to_pylist())[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
