@@ -10,10 +10,10 @@ attributes, calls or imports.
 Control strings inside texts are escaped by a backslash after their first character; a control string that
 already has backslashes there gets one more, so taking one away again gives back any text.
 
-A conversation's turns are brought together by sorting, and one conversation at a time is rendered. Null texts
+A conversation's turns are brought together by sorting, and one conversation at a time is rendered; its text is held whole, however long. Null texts
 and roles count as empty; turns that tie are ordered by role, then text, and nulls come first; a null conv_id is a
-conversation of its own. Repeated rows are turns like any other. Empty tables give only what was added. Extra
-columns are ignored.
+conversation of its own. Repeated rows are turns like any other. Empty tables give only what was added, and a conversation
+-1 in the table stays apart from the one that is added. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, slices, table
 
 #: What the template marks turns with, and others' control strings that a text must not smuggle in.
 TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -343,50 +343,56 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def format_chats(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """One row per conversation: conv_id, formatted, spans (array of start, end in code points of what the loss counts)."""
 
-    def render_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def render_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
 
         def rows():
-            for pdf in batches:
-                yield from zip(pdf.conv_id, pdf.role, pdf.text)
+            for batch in (part for whole in batches for part in slices(whole, rows=10_000)):
+                yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")))
 
         out, held = [], 0
-        for conv, own in groupby(rows(), key=lambda r: None if pd.isna(r[0]) else int(r[0])):
+        for conv, own in groupby(rows(), key=lambda r: r[0]):
             formatted, spans = render([{"role": r, "text": t} for _, r, t in own])
-            out.append((conv, formatted, [list(x) for x in spans]))
+            out.append((conv, formatted, spans))
             held += len(formatted)
             if held > 4_000_000:
-                yield _frame(out)
+                yield _batch(out, CHATS)
                 out, held = [], 0
-        yield _frame(out)
+        if out:
+            yield _batch(out, CHATS)
 
     plain = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = plain.withColumn("conv_id", F.col("conv_id").cast("long"))
     ordered = plain.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInPandas(render_all, "conv_id long, formatted string, spans array<array<long>>")
+    return ordered.mapInArrow(render_all, "conv_id long, formatted string, spans array<array<long>>")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({"conv_id": pd.array([r[0] for r in rows], dtype="Int64"), "formatted": [r[1] for r in rows], "spans": [r[2] for r in rows]})
+CHATS = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
+DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         out = []
-        for conv, formatted, spans in zip(pdf.conv_id, pdf.formatted, pdf.spans):
+        for conv, formatted, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "spans"))):
             turns = read_back(formatted)
             # Each span lies in one turn's text, so it is unescaped by itself.
             loss = "".join(unescape(formatted[a:b]) for a, b in spans)
             said = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
             out.append((conv, len(turns), said, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-        frame = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-        yield frame.astype({"conv_id": "Int64"})
+        yield _batch(out, DIGESTS)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = [(-1, 0, "user", ADDED), (-1, 1, "assistant", ADDED)]
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = turns.unionByName(spark.createDataFrame(added, "conv_id long, turn long, role string, text string"))
-    return format_chats(turns).mapInPandas(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    more = spark.createDataFrame(added, "conv_id long, turn long, role string, text string")
+    formatted = format_chats(turns).unionByName(format_chats(more.coalesce(1)))
+    return formatted.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 _groups = "|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in CONTROLS)
