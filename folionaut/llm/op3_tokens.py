@@ -7,7 +7,7 @@ count is stored, and a text's count is the sum over its pre-tokens. A character
 
 Unigram scores are those of the model, or by rank if the model is BPE (see Vocabulary.with_rank_scores). Null and empty texts have
 0 tokens. Texts are counted whole. Repeated rows are counted each by itself. Of equally good paths the one with the longer last piece
-counts. Empty tables give empty results. Extra columns are ignored.
+counts. Null doc_ids stay null. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import slices, table
 from .op4_sentencepiece import MODEL
 from .pieces import _BASE, Vocabulary, _mix, _powers, codes_of, units
 
@@ -93,29 +93,27 @@ def _bytes(codes: np.ndarray) -> np.ndarray:
 
 def token_counts(docs: DataFrame, model: str = MODEL, vocab: Vocabulary | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_pretokens, n_tokens."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast((vocab or Vocabulary.load(model)).with_rank_scores())
+    shared = docs.sparkSession.sparkContext.broadcast((vocab or Vocabulary.load(model)).with_rank_scores())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
         known: dict[str, int] = {}
         counts = np.zeros(0, dtype=np.int64)
-        for pdf in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             if len(known) > _KEPT:
                 known, counts = {}, np.zeros(0, dtype=np.int64)
-            own = [units(t) for t in pdf.text]
+            own = [units(t) for t in batch.column("text").to_pylist()]
             before = len(known)
             at = np.fromiter((known.setdefault(w, len(known)) for words in own for w in words), dtype=np.int64, count=sum(map(len, own)))
             if len(known) > before:
                 counts = np.concatenate([counts, trie_counts(vocab, list(known)[before:])])
             sizes = np.array([len(words) for words in own], dtype=np.int64)
-            sums = np.concatenate([[0], np.cumsum(counts[at])])
+            sums = np.concatenate([[0], np.cumsum(counts[at])]).astype(np.int64)
             ends = np.cumsum(sizes)
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "n_pretokens": sizes, "n_tokens": sums[ends] - sums[ends - sizes]})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(sums[ends] - sums[ends - sizes])], ["doc_id", "n_pretokens", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_pretokens long, n_tokens long")
+    return rows.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ A character that is no piece falls back to its bytes. Ids are turned back to tex
 
 The vocabulary is read by the driver and broadcast (tens of thousands of short strings, by the model file). Null and empty
 texts have no ids; decoding no ids gives an empty text. ▁ in a text is read as a space, as in the library. Texts are taken whole, in batches of
-few rows. Repeated rows are encoded each by itself. Empty tables give empty results. Extra columns are ignored.
+few rows. Null doc_ids stay null. Repeated rows are encoded each by itself. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import slices, table
 from .pieces import SPACE, Vocabulary, segment, units
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -60,14 +60,12 @@ def decode(vocab: Vocabulary, ids) -> str:
 
 def encode(docs: DataFrame, model: str = MODEL, vocab: Vocabulary | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_ids, ids (array of int), round_trip (whether decoding gives the text again)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(vocab or Vocabulary.load(model))
+    shared = docs.sparkSession.sparkContext.broadcast(vocab or Vocabulary.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
         encoder = Encoder(vocab)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column("text").to_pylist()
             ids, counts = encoder(texts)
             bounds = np.concatenate([[0], np.cumsum(counts)])
