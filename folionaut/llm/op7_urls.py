@@ -1,33 +1,37 @@
 """URL filter: rules first, then gradient-boosted trees on lexical features.
 
 Host, path and the longest fitting rule are column expressions. URLs that a rule fits are the labelled ones: a bounded
-sample of them (the `sample` smallest by hash, so it doesn't depend on how the table is dealt) trains boosted regression
+sample of distinct ones (the `sample` smallest by hash, so it doesn't depend on how the table is dealt or how often a URL is in it) trains boosted regression
 trees on the logistic loss, with histogram splits, and the trees judge the URLs that no rule fits. Features: lengths of
 URL, host and path, depth, labels of the host, digit ratio, entropy of the characters, number of parameters, hyphens,
 an extension, a scheme of https, a fragment, and suffix statistics (smoothed log-odds of the block
-label for the host's last label, for its last two, and for the path's first part), which come from
-the sample and so have at most `sample` entries.
+label for the host's last label, for its last two, and for the path's first part). These come from
+the sample and so have at most `sample` entries each; a training row's own are counted over the other folds of the sample, so
+that no row sees its own label. Tasks turn URLs into features of a fixed size; the driver gets these, never URLs.
 
 Null URLs and those without `://` have an empty host and path, fit no rule and are judged by the trees like any
 other. With no labelled URLs or labels of one kind only, the trees are empty and the verdict is `default`. Repeated rows are judged one
-by one; ties in a split go to the first feature and cut. Empty tables give empty results. Extra columns are ignored.
+by one; null page_ids stay null; ties in a split go to the first feature and cut. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, table
+from .common import UPPER, slices, table
 
 #: Verdict, and the rule's host and path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SAMPLE = 20_000
+FOLDS = 5
 _SPLITS = 32
+_LEXICAL, _SUFFIX = 12, 3
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -61,30 +65,51 @@ def _entropy(text: str) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-class Features:
-    """Lexical features of URLs; the suffix statistics are taken from labelled ones."""
-
-    def __init__(self, hosts, paths, labels):
-        sums: list[dict[str, list[int]]] = [{}, {}, {}]
-        for host, path, y in zip(hosts, paths, labels):
-            for table_, key in zip(sums, _suffixes(host, path)):
-                own = table_.setdefault(key, [0, 0])
-                own[int(y)] += 1
-        self.odds = [{k: float(np.log((b + 1) / (a + 1))) for k, (a, b) in t.items()} for t in sums]
-
-    def __call__(self, urls, hosts, paths) -> np.ndarray:
-        out = []
-        for url, host, path in zip(urls, hosts, paths):
-            url = url or ""
-            query = url.partition("#")[0].partition("?")[2]
-            name = path.rpartition("/")[2]
-            out.append([
-                len(url), len(host), len(path), path.count("/"), host.count(".") + bool(host),
-                sum(c.isdigit() for c in url) / max(1, len(url)), _entropy(url), len([x for x in query.split("&") if x]),
-                url.count("-") + url.count("_"), "." in name, url.startswith("https:"), "#" in url,
-                *(t.get(k, 0.0) for t, k in zip(self.odds, _suffixes(host, path))),
-            ])
-        return np.array(out, dtype=np.float64).reshape(len(out), 15)
+def lexical(urls: list, hosts: list, paths: list) -> np.ndarray:
+    out = []
+    for url, host, path in zip(urls, hosts, paths):
+        url = url or ""
+        query = url.partition("#")[0].partition("?")[2]
+        name = path.rpartition("/")[2]
+        out.append([
+            len(url), len(host), len(path), path.count("/"), host.count(".") + bool(host),
+            sum(c.isdigit() for c in url) / max(1, len(url)), _entropy(url), len([x for x in query.split("&") if x]),
+            url.count("-") + url.count("_"), "." in name, url.startswith("https:"), "#" in url,
+        ])
+    return np.array(out, dtype=np.float64).reshape(len(out), _LEXICAL)
+
+
+def suffix_keys(hosts: list, paths: list) -> np.ndarray:
+    """Hashes of each row's three suffixes; they stand for the strings, so that a row has a fixed size."""
+    out = [[int.from_bytes(hashlib.blake2b(x.encode(), digest_size=7).digest()) for x in _suffixes(h, p)] for h, p in zip(hosts, paths)]
+    return np.array(out, dtype=np.int64).reshape(len(out), _SUFFIX)
+
+
+class SuffixOdds:
+    """Smoothed log-odds of the label for each suffix; 0 for one that wasn't seen."""
+
+    def __init__(self, keys: np.ndarray, y: np.ndarray):
+        self.of = []
+        for j in range(_SUFFIX):
+            own, at = np.unique(keys[:, j], return_inverse=True)
+            blocked = np.bincount(at, y, len(own))
+            self.of.append((own, np.log((blocked + 1) / (np.bincount(at, minlength=len(own)) - blocked + 1))))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(keys.shape)
+        for j, (own, odds) in enumerate(self.of):
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys[:, j]), len(own) - 1)
+                out[:, j] = np.where(own[at] == keys[:, j], odds[at], 0.0)
+        return out
+
+
+def out_of_fold(keys: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Each row's suffix statistics from the rows of other folds."""
+    out = np.zeros(keys.shape)
+    for f in range(FOLDS):
+        out[fold == f] = SuffixOdds(keys[fold != f], y[fold != f])(keys[fold == f])
+    return out
 
 
 # --- boosted trees -------------------------------------------------------------------------------------------
@@ -140,39 +165,75 @@ class BoostedTrees:
         return self.start + self.rate * sum((self._one(t, x) for t in self.trees), np.zeros(len(x)))
 
 
-def train(judged: DataFrame, sample: int = SAMPLE, **trees) -> tuple[Features, BoostedTrees]:
-    """From rows of url, host, path and verdict (null: unlabelled); the sample is spread over the labelled rows by hash."""
-    known = judged.where("verdict is not null").select("url", "host", "path", "verdict")
+class Model:
+    """Suffix statistics and trees from rows of features, suffix keys, labels and folds."""
+
+    def __init__(self, x: np.ndarray, keys: np.ndarray, y: np.ndarray, fold: np.ndarray, **trees):
+        self.odds = SuffixOdds(keys, y)
+        self.trees = BoostedTrees(**trees).fit(np.hstack([x, out_of_fold(keys, y, fold)]), y)
+
+    def __call__(self, x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Probability of block; NaN without training."""
+        return 1 / (1 + np.exp(-np.clip(self.trees.score(np.hstack([x, self.odds(keys)])), -30, 30)))
+
+
+def labelled(judged: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, suffix keys, labels, folds) of at most `sample` distinct labelled URLs, from rows of url, host, path and verdict."""
+    known = judged.where("verdict is not null").select("url", "host", "path", (F.col("verdict") == "block").alias("blocked"))
     # Twice the share that is needed passes the first test, so that no task sorts more than a few samples.
-    part = min(1.0, 2 * sample / max(1, known.count()))
+    n = known.agg(F.approx_count_distinct("url")).first()[0]
+    part = min(1.0, 2 * sample / max(1, n))
     draw = F.xxhash64("url")
-    near = known.where(F.pmod(draw, F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    rows = near.orderBy(draw, "url").limit(sample).collect()  # at most `sample` rows
-    hosts, paths = [r.host for r in rows], [r.path for r in rows]
-    y = np.array([r.verdict == "block" for r in rows], dtype=np.float64)
-    features = Features(hosts, paths, y)
-    return features, BoostedTrees(**trees).fit(features([r.url for r in rows], hosts, paths), y)
+    near = known.where(F.pmod(draw, F.lit(1 << 20)) < int(part * (1 << 20)) + 1).withColumn("draw", draw)
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "url", rows=10_000)):
+            urls, hosts, paths = (batch.column(c).to_pylist() for c in ("url", "host", "path"))
+            x, keys = lexical(urls, hosts, paths), suffix_keys(hosts, paths)
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), v.shape[1]).cast(pa.list_(pa.array(v.reshape(-1)).type)) for v in (x, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), *columns, batch.column("blocked")], ["draw", "x", "keys", "blocked"])
 
-def url_filter(pages: DataFrame, rules=RULES, sample: int = SAMPLE, default: str = "allow") -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, score (probability of block by the trees; null where a rule decides)."""
+    shaped = near.mapInArrow(measure, "draw long, x array<double>, keys array<long>, blocked boolean")
+    rows = shaped.distinct().orderBy("draw", "x", "keys").limit(sample).collect()  # at most `sample` rows of 15 numbers
+    x = np.array([r.x for r in rows], dtype=np.float64).reshape(len(rows), _LEXICAL)
+    keys = np.array([r["keys"] for r in rows], dtype=np.int64).reshape(len(rows), _SUFFIX)
+    return x, keys, np.array([r.blocked for r in rows], dtype=np.float64), np.array([(r.draw >> 20) % FOLDS for r in rows], dtype=np.int64)
+
+
+def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, url, host, path, rule, verdict (null: no rule fits)."""
     host, path = host_and_path(F.col("url"))
-    parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    parts = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = parts.select("*", name.alias("rule"), verdict.alias("verdict"))
-    features, model = train(judged, sample)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            free = pdf.verdict.isna().to_numpy()
-            score = np.full(len(pdf), np.nan)
-            own = pdf[free]
-            score[free] = 1 / (1 + np.exp(-model.score(features(own.url, own.host, own.path))))
-            guess = np.where(np.isnan(score), default, np.where(score >= 0.5, "block", "allow"))
-            shown = [None if np.isnan(x) else float(x) for x in score]
-            yield pd.DataFrame({"page_id": pdf.page_id, "host": pdf.host, "path": pdf.path, "rule": pdf.rule, "verdict": np.where(free, guess, pdf.verdict), "score": shown})
-
-    return judged.mapInPandas(judge, "page_id long, host string, path string, rule string, verdict string, score double")
+    return parts.select("*", name.alias("rule"), verdict.alias("verdict"))
+
+
+def held_out_accuracy(pages: DataFrame, rules=RULES, sample: int = SAMPLE, fold: int = 0) -> tuple[float, int]:
+    """(share of right verdicts, rows) on the labelled URLs of one fold, by a model that saw only the other folds."""
+    x, keys, y, folds = labelled(with_rules(pages, rules), sample)
+    learn, test = folds != fold, folds == fold
+    p = Model(x[learn], keys[learn], y[learn], folds[learn])(x[test], keys[test])
+    return float(((p >= 0.5) == (y[test] > 0.5)).mean()), int(test.sum())
+
+
+def url_filter(pages: DataFrame, rules=RULES, sample: int = SAMPLE, default: str = "allow") -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, score (probability of block by the trees; null where a rule decides)."""
+    judged = with_rules(pages, rules)
+    model = Model(*labelled(judged, sample))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "url", rows=10_000)):
+            verdict = batch.column("verdict").to_pylist()
+            free = np.array([v is None for v in verdict], dtype=bool)
+            own = batch.filter(pa.array(free))
+            hosts, paths = own.column("host").to_pylist(), own.column("path").to_pylist()
+            score = np.full(len(free), np.nan)
+            score[free] = model(lexical(own.column("url").to_pylist(), hosts, paths), suffix_keys(hosts, paths))
+            guess = np.where(np.isnan(score), default, np.where(score >= 0.5, "block", "allow")).tolist()
+            final = pa.array([g if v is None else v for v, g in zip(verdict, guess)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule")), final, pa.array(score, mask=np.isnan(score))], ["page_id", "host", "path", "rule", "verdict", "score"])
+
+    return judged.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, score double")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
