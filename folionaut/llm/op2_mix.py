@@ -3,8 +3,11 @@
 A document may belong to several sources. Documents are aggregated by membership pattern (the sorted set of
 their sources); words flow from patterns to the sources they belong to and on to the sources' quotas. A pattern
 offers its words once per repetition, each repetition dearer than the one before (0, 1, 4, ...), so the
-cheapest flow repeats as little as it can. Patterns and sources that share nothing are solved apart. The driver
-sees one row per pattern; more than `max_patterns` of them is an error.
+cheapest flow repeats as little as it can. Every pattern gets its passes from such a flow, those of a single source too.
+
+Sources that share a pattern, directly or through others, form a component; components are found by Spark and solved
+apart, each in a task, so their number has no bound. One component is one task's work (see README for times). The driver holds a name and two numbers of each source, which are the
+units that targets are set for, and no patterns.
 
 A pattern's flow is so many whole passes over its documents plus a rest, which is filled with documents in an
 order drawn from the seed: their words are summed by ranges of the draw, only the range in which the rest runs
@@ -12,19 +15,23 @@ out is divided further, and its documents are summed one by one. The document at
 runs out gives just the words that are missing.
 
 Null or empty texts have size 0 and take 0. A null source is a source of its own, last in order. Documents
-with equal draws are ordered by doc_id, then size, then text; rows that repeat all of these are taken one by one. Empty tables
-give empty results. Extra columns are ignored.
+with equal draws are ordered by doc_id, then size, then text; the draw of a null doc_id comes from the text. Rows that repeat all of
+these can't be told apart: where the rest runs out among them they share it evenly, rounded down. Empty tables
+give empty results. Extra columns are passed on, but those whose name starts with mix_ are replaced by the result's.
 """
 
 from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import seeded_unit, table, word_count, written
+from .common import join_counted, seeded_unit, table, word_count, written
+from .components import components
 
 #: Fixed value: the seed of the production mix.
 SEED = 20240501
@@ -51,76 +58,127 @@ def targets(sizes: dict, total: float, weights: dict, cap: float) -> dict:
     return out
 
 
-def min_cost_flow(patterns: dict[tuple, int], quotas: dict, repeats: int) -> dict[tuple, dict]:
-    """Words from each pattern to each source: pattern -> {source: words}. Integer capacities, cheapest paths first."""
-    parent = {s: s for s in quotas}
-
-    def root(s):
-        while parent[s] != s:
-            parent[s] = parent[parent[s]]
-            s = parent[s]
-        return s
-
-    for p in patterns:
-        for s in p[1:]:
-            parent[root(s)] = root(p[0])
-    groups: dict = {}
-    for p in patterns:
-        groups.setdefault(root(p[0]), []).append(p)
-    out: dict[tuple, dict] = {}
-    for own in groups.values():
-        out |= _solve({p: patterns[p] for p in own}, {s: quotas[s] for p in own for s in p}, repeats)
-    return out
+class Flow:
+    """Min-cost flow from patterns over sources to quotas, in whole words.
+
+    Only the arcs of the repetitions have a cost, and every path holds exactly one of them, so the shortest path's length is the
+    cost of the cheapest repetition that still leads somewhere. Successive shortest paths thus take the
+    repetitions in order of cost: the arcs of one repetition are opened, then words are sent along shortest paths in
+    levels (breadth first, then blocking flows) until none gets through, rerouting what was sent before where that helps.
+    """
+
+    def __init__(self, patterns: dict[tuple, int], quotas: dict):
+        self.to: list[int] = []
+        self.free: list[int] = []  # the reverse of arc e is e ^ 1
+        self.patterns = list(patterns)
+        self.words = [patterns[p] for p in self.patterns]
+        names = sorted({s for p in self.patterns for s in p})
+        at = {s: 2 + len(self.patterns) + i for i, s in enumerate(names)}
+        self.out: list[list[int]] = [[] for _ in range(2 + len(self.patterns) + len(names))]
+        self.augmentations = 0
+        total = sum(quotas[s] for s in names)
+        self.routes = {(i, s): self._arc(2 + i, at[s], total) for i, p in enumerate(self.patterns) for s in p}
+        for s in names:
+            self._arc(at[s], 1, quotas[s])
 
+    def _arc(self, a: int, b: int, words: int) -> int:
+        self.to += [b, a]
+        self.free += [words, 0]
+        self.out[a].append(len(self.to) - 2)
+        self.out[b].append(len(self.to) - 1)
+        return len(self.to) - 2
 
-def _solve(patterns: dict[tuple, int], quotas: dict, repeats: int) -> dict[tuple, dict]:
-    if len(patterns) == len(quotas) == 1:  # one pattern, one source: nothing to choose
-        (p, words), (s, quota) = *patterns.items(), *quotas.items()
-        return {p: {s: min(quota, repeats * words)}}
-    edges: list[list] = []  # to, capacity left, cost; the reverse edge is at index ^ 1
-    out: dict = {}
-
-    def edge(a, b, capacity: int, cost: int) -> int:
-        edges.extend(([b, capacity, cost], [a, 0, -cost]))
-        out.setdefault(a, []).append(len(edges) - 2)
-        out.setdefault(b, []).append(len(edges) - 1)
-        return len(edges) - 2
-
-    route = {}
-    for p, words in patterns.items():
-        for k in range(repeats):
-            edge("from", ("p", p), words, k * k)
-        for s in p:
-            route[p, s] = edge(("p", p), ("s", s), repeats * words, 0)
-    for s, quota in quotas.items():
-        edge(("s", s), "to", quota, 0)
-    while True:
-        cost, back, queue, waiting = {"from": 0}, {}, deque(["from"]), {"from"}
+    def solve(self, repeats: int, cost=lambda k: k * k) -> dict[tuple, dict]:
+        """pattern -> {source: words}."""
+        for _ in sorted(range(repeats), key=cost):
+            for i, words in enumerate(self.words):
+                self._arc(0, 2 + i, words)
+            while level := self._levels():
+                self._send(level)
+        flows: dict[tuple, dict] = {p: {} for p in self.patterns}
+        for (i, s), e in self.routes.items():
+            if self.free[e ^ 1]:
+                flows[self.patterns[i]][s] = self.free[e ^ 1]
+        return flows
+
+    def _levels(self) -> list[int] | None:
+        level = [-1] * len(self.out)
+        level[0], queue = 0, deque([0])
         while queue:
             a = queue.popleft()
-            waiting.discard(a)
-            for e in out[a]:
-                b, free, c = edges[e]
-                if free > 0 and cost[a] + c < cost.get(b, math.inf):
-                    cost[b], back[b] = cost[a] + c, e
-                    if b not in waiting:
-                        waiting.add(b)
-                        queue.append(b)
-        if "to" not in back:
-            break
-        path, at = [], "to"
-        while at != "from":
-            path.append(back[at])
-            at = edges[back[at] ^ 1][0]
-        flow = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= flow
-            edges[e ^ 1][1] += flow
-    flows: dict[tuple, dict] = {p: {} for p in patterns}
-    for (p, s), e in route.items():
-        if edges[e ^ 1][1]:
-            flows[p][s] = edges[e ^ 1][1]
-    return flows
+            for e in self.out[a]:
+                if self.free[e] and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[a] + 1
+                    queue.append(self.to[e])
+        return level if level[1] >= 0 else None
+
+    def _send(self, level: list[int]) -> None:
+        """Sends words along paths that go up one level a step, until every such path is blocked."""
+        following = [0] * len(self.out)
+        path: list[int] = []
+        while True:
+            a = self.to[path[-1]] if path else 0
+            if a == 1:
+                words = min(self.free[e] for e in path)
+                self.augmentations += 1
+                for e in path:
+                    self.free[e] -= words
+                    self.free[e ^ 1] += words
+                path = path[: next(i for i, e in enumerate(path) if not self.free[e])]
+                continue
+            arcs = self.out[a]
+            while following[a] < len(arcs) and not (self.free[arcs[following[a]]] and level[self.to[arcs[following[a]]]] == level[a] + 1):
+                following[a] += 1
+            if following[a] < len(arcs):
+                path.append(arcs[following[a]])
+            elif path:
+                following[self.to[path[-1] ^ 1]] += 1
+                path.pop()
+            else:
+                return
+
+
+def min_cost_flow(patterns: dict[tuple, int], quotas: dict, repeats: int) -> dict[tuple, dict]:
+    """Words from each pattern to each source: pattern -> {source: words}; as many as can be, and the cheapest."""
+    return Flow(patterns, quotas).solve(repeats)
+
+
+def _solved(quotas: dict, repeats: int):
+    """Solves the components of a task; rows come sorted by component."""
+
+    def solve(rows: list[tuple]) -> pd.DataFrame:
+        patterns = {tuple(p): int(words) for p, words in rows}
+        flows = min_cost_flow(patterns, quotas, repeats)
+        return pd.DataFrame({"mix_pattern": [list(p) for p in patterns], "mix_flow": [sum(flows[p].values()) for p in patterns]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        last = None
+        for pdf in batches:
+            for component, pattern, words in zip(pdf.component, pdf.mix_pattern, pdf.mix_words):
+                if held and component != last:
+                    yield solve(held)
+                    held = []
+                last = component
+                held.append((pattern, words))
+        if held:
+            yield solve(held)
+
+    return run
+
+
+def _components(patterns: DataFrame, names: list) -> DataFrame:
+    """patterns with the component (number of its first source) they belong to."""
+    spark = patterns.sparkSession
+    numbers = spark.createDataFrame(list(zip(names, range(len(names)))), "source string, number long")
+    first = patterns.withColumn("source", F.element_at("mix_pattern", 1)).join(numbers, "source").drop("source")
+    several = patterns.where(F.size("mix_pattern") > 1)
+    if not several.limit(1).count():
+        return first.withColumnRenamed("number", "component")
+    ends = several.select(F.element_at("mix_pattern", 1).alias("a"), F.explode("mix_pattern").alias("b"))
+    links = ends.join(numbers.select(F.col("source").alias("a"), F.col("number").alias("na")), "a").join(numbers.select(F.col("source").alias("b"), F.col("number").alias("nb")), "b")
+    found = components(links.select("na", "nb"), "na", "nb").withColumnRenamed("node", "number")
+    return first.join(found, "number", "left").withColumn("component", F.coalesce("component", "number")).drop("number")
 
 
 def mix(
@@ -132,69 +190,83 @@ def mix(
     cap: float = 3.0,
     repeats: int = 3,
     seed: int = SEED,
-    max_patterns: int = 100_000,
 ) -> DataFrame:
     """docs' columns, then mix_size, mix_source_size and mix_target (sums over the document's sources), mix_taken.
 
-    sources: an array of source names (null or empty: the null source). weights: of the i-th source by code
+    sources: an array of source names (null or empty: the null source). size: the words of a document, counted in its text
+    if not given; what is read several times should hold it. weights: of the i-th source by code
     point, null last. Targets share `share` of all words; no document is taken more than `repeats` times.
     """
     spark = docs.sparkSession
     own = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(s, F.lit(NONE)))))
     own = F.when(F.coalesce(F.size(sources), F.lit(0)) <= 0, F.array(F.lit(NONE))).otherwise(own)
-    sized = docs.withColumns({"mix_size": word_count(F.col("text")) if size is None else size, "mix_pattern": own})
-    totals = sized.groupBy("mix_pattern").agg(F.sum("mix_size").cast("long").alias("words")).take(max_patterns + 1)
-    if len(totals) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    patterns = {tuple(r.mix_pattern): int(r.words or 0) for r in totals}
-    names = sorted({s for p in patterns for s in p})
-    sizes = dict.fromkeys(names, 0)
-    for p, words in patterns.items():
-        for s in p:
-            sizes[s] += words
-    goal = targets(sizes, share * sum(patterns.values()), {s: float(weights(i, s)) for i, s in enumerate(names)}, cap)
-    flows = min_cost_flow(patterns, {s: int(math.floor(goal[s] + 0.5)) for s in names}, repeats)
-    plan = []
-    for p, words in patterns.items():
-        flow = sum(flows.get(p, {}).values())
-        passes = flow // words if words else 0
-        plan.append((list(p), passes, flow - passes * words, sum(sizes[s] for s in p), float(sum(goal[s] for s in p))))
-    schema = "mix_pattern array<string>, mix_passes long, mix_rest long, mix_source_size long, mix_target double"
-    planned = spark.createDataFrame(plan, schema)  # at most max_patterns rows
-    drawn = sized.withColumn("mix_draw", seeded_unit(seed, F.col("doc_id")))
+    sized = docs.withColumns({"mix_size": (word_count(F.col("text")) if size is None else size).cast("long"), "mix_pattern": own})
+    grouped = sized.groupBy("mix_pattern").agg(F.sum("mix_size").cast("long").alias("mix_words"), F.count("*").alias("mix_rows"))
+    patterns = written(spark, grouped, "mix-patterns")
+    sizes = {r[0]: int(r[1]) for r in patterns.select(F.explode("mix_pattern").alias("s"), "mix_words").groupBy("s").agg(F.sum("mix_words")).collect()}  # one row per source
+    total, rows = patterns.agg(F.coalesce(F.sum("mix_words"), F.lit(0)), F.coalesce(F.sum("mix_rows"), F.lit(0))).first()
+    names = sorted(sizes)
+    goal = targets(sizes, share * total, {s: float(weights(i, s)) for i, s in enumerate(names)}, cap)
+    quotas = {s: int(math.floor(goal[s] + 0.5)) for s in names}
+    parted = _components(patterns, names).repartition("component").sortWithinPartitions("component", "mix_pattern")
+    flows = parted.select("component", "mix_pattern", "mix_words").mapInPandas(_solved(quotas, repeats), "mix_pattern array<string>, mix_flow long")
+    # Of each pattern: passes, rest, and the sums of its sources' sizes and targets.
+    numbers = spark.createDataFrame([(s, sizes[s], goal[s]) for s in names], "s string, mix_source_size long, mix_target double")
+    sums = patterns.select("mix_pattern", F.explode("mix_pattern").alias("s")).join(numbers, "s").groupBy("mix_pattern").agg(F.sum("mix_source_size").alias("mix_source_size"), F.sum("mix_target").alias("mix_target"))
+    passes = F.when(F.col("mix_words") > 0, F.expr("mix_flow div mix_words")).otherwise(F.lit(0).cast("long"))
+    planned = patterns.join(flows, "mix_pattern").join(sums, "mix_pattern").withColumn("mix_passes", passes)
+    planned = written(spark, planned.withColumn("mix_rest", F.col("mix_flow") - F.col("mix_passes") * F.col("mix_words")), "mix-plan")
+
+    text = F.col("text") if "text" in docs.columns else F.lit(None).cast("string")
+    told = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    drawn = sized.withColumn("mix_draw", seeded_unit(seed, told))
+
+    def with_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
+        """df's rows with their pattern's row of plan; every pattern has one in `planned`."""
+        return join_counted(df, plan, "mix_pattern", "mix_rows", rows)
 
     # The range of draws in which each pattern's rest runs out, in two steps; at most 2^10 sums for a pattern.
-    edge = planned.select("mix_pattern", "mix_rest", F.lit(0).cast("long").alias("mix_low"))
+    edge = planned.select("mix_pattern", "mix_rows", "mix_rest", F.lit(0).cast("long").alias("mix_low"))
     for shift in _SHIFTS:
-        within = drawn.select("mix_pattern", "mix_draw", "mix_size").join(F.broadcast(edge), "mix_pattern")
+        within = with_plan(drawn.select("mix_pattern", "mix_draw", "mix_size"), edge).where("mix_rest > 0")
         if shift != _SHIFTS[0]:
             within = within.where(F.shiftright("mix_draw", _SHIFTS[0]) == F.shiftright("mix_low", _SHIFTS[0]))
         low = F.shiftleft(F.shiftright("mix_draw", shift), shift)
-        sums = within.groupBy("mix_pattern", "mix_rest", low.alias("mix_low")).agg(F.sum("mix_size").alias("words"))
+        sums = within.groupBy("mix_pattern", "mix_rows", "mix_rest", low.alias("mix_low")).agg(F.sum("mix_size").alias("words"))
         run = F.sum("words").over(Window.partitionBy("mix_pattern").orderBy("mix_low")) - F.col("words")
         sums = sums.withColumn("before", run).where(F.col("before") < F.col("mix_rest"))
         last = F.row_number().over(Window.partitionBy("mix_pattern").orderBy(F.desc("mix_low")))
-        edge = sums.withColumn("k", last).where("k = 1").select("mix_pattern", (F.col("mix_rest") - F.col("before")).alias("mix_rest"), "mix_low")
-        edge = spark.createDataFrame(edge.collect(), edge.schema)  # one row per pattern
-    ends = edge.select("mix_pattern", F.col("mix_rest").alias("mix_left"), "mix_low")
-    planned = planned.join(F.broadcast(ends), "mix_pattern", "left")
-    known = drawn.join(F.broadcast(planned), "mix_pattern")
+        edge = sums.withColumn("k", last).where("k = 1").select("mix_pattern", "mix_rows", (F.col("mix_rest") - F.col("before")).alias("mix_rest"), "mix_low")
+        edge = written(spark, edge, "mix-edge")  # one row per pattern
+    planned = planned.join(edge.select("mix_pattern", F.col("mix_rest").alias("mix_left"), "mix_low"), "mix_pattern", "left")
+    # Documents of the last range: rows that can't be told apart are one row here, with their number.
+    key = ["mix_pattern", "mix_draw", "mix_id", "mix_size", "mix_text"]
+    named = drawn.withColumns({"mix_id": F.col("doc_id"), "mix_text": F.when(F.col("doc_id").isNull(), F.md5(text)).otherwise(F.lit(None).cast("string"))})
     bottom = F.shiftright("mix_draw", _SHIFTS[-1])
-    side = F.when(F.col("mix_rest") == 0, F.lit(1)).when(bottom < F.shiftright("mix_low", _SHIFTS[-1]), F.lit(-1)).when(bottom > F.shiftright("mix_low", _SHIFTS[-1]), F.lit(1)).otherwise(F.lit(0))
-    known = known.withColumn("mix_side", side)
-    taken = F.col("mix_passes") * F.col("mix_size")
-    clear = known.where("mix_side <> 0").withColumn("mix_taken", taken + F.when(F.col("mix_side") < 0, F.col("mix_size")).otherwise(F.lit(0)))
-    ties = Window.partitionBy("mix_pattern").orderBy("mix_draw", "doc_id", "mix_size", "text").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.sum("mix_size").over(ties) - F.col("mix_size")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("mix_size"), F.col("mix_left") - before))
-    cut = known.where("mix_side = 0").withColumn("mix_taken", taken + part)
-    return clear.unionByName(cut).select(*docs.columns, "mix_size", "mix_source_size", "mix_target", F.col("mix_taken").cast("long").alias("mix_taken"))
+    cut = with_plan(named.select(*key), planned.select("mix_pattern", "mix_rows", "mix_rest", "mix_left", "mix_low"))
+    cut = cut.where((F.col("mix_rest") > 0) & (bottom == F.shiftright("mix_low", _SHIFTS[-1]))).groupBy(*key, "mix_left").agg(F.count("*").alias("n"))
+    ties = Window.partitionBy("mix_pattern").orderBy("mix_draw", "mix_id", "mix_size", "mix_text").rowsBetween(Window.unboundedPreceding, 0)
+    words = F.col("mix_size") * F.col("n")
+    part = F.least(words, F.col("mix_left") - (F.sum(words).over(ties) - words))
+    cut = cut.withColumn("part", F.greatest(F.lit(0).cast("long"), part)).select(*key, F.expr("part div n").alias("mix_part"))
+    # At most 2^12 draws of each pattern, of which one rest runs out: where it runs out, and what that row gives, is all that is needed.
+    last = F.max(F.when(F.col("mix_part") > 0, F.struct("mix_draw", F.struct(F.col("mix_id").isNotNull(), F.col("mix_id")).alias("i"), "mix_size", F.struct(F.col("mix_text").isNotNull(), F.col("mix_text")).alias("t"), "mix_part")))
+    ends = cut.groupBy("mix_pattern").agg(last.alias("mix_end"))
+    planned = written(spark, planned.join(ends, "mix_pattern", "left"), "mix-plan")
+
+    known = with_plan(named, planned)
+    place = F.struct("mix_draw", F.struct(F.col("mix_id").isNotNull(), F.col("mix_id")).alias("i"), "mix_size", F.struct(F.col("mix_text").isNotNull(), F.col("mix_text")).alias("t"))
+    end = F.struct(F.col("mix_end.mix_draw"), F.col("mix_end.i"), F.col("mix_end.mix_size"), F.col("mix_end.t"))
+    more = F.when((F.col("mix_rest") == 0) | F.col("mix_end").isNull(), F.lit(0).cast("long")).when(place < end, F.col("mix_size")).when(place == end, F.col("mix_end.mix_part")).otherwise(F.lit(0).cast("long"))
+    kept = [c for c in docs.columns if not c.startswith("mix_")]
+    return known.select(*kept, "mix_size", "mix_source_size", "mix_target", (F.col("mix_passes") * F.col("mix_size") + more).cast("long").alias("mix_taken"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("sources"), word_count(F.col("text")).alias("words"))
-    # What follows reads sizes and draws several times: keep them, not the texts.
-    kept = written(spark, docs.drop("text"), "mix-sizes").withColumn("text", F.lit(None).cast("string"))
+    # What follows reads sizes and draws several times: keep them, not the texts, but for a digest where the doc_id is null.
+    digest = F.when(F.col("doc_id").isNull(), F.md5("text"))
+    kept = written(spark, docs.withColumn("text", digest), "mix-sizes")
     out = mix(kept, F.col("sources"), size=F.col("words"))
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
