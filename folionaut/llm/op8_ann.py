@@ -1,184 +1,273 @@
 """Nearest neighbours by a block matrix join on int8 tiles.
 
-Vectors are scaled to int8 and packed into blocks, one row per block. Query blocks meet groups of candidate blocks by
+Equal vectors are one candidate first, with their k + 1 smallest vec_ids (no other of them can be among the k nearest). Vectors are
+scaled by a power of two and to int8, and packed into tiles, one row per tile: int8 values, scales and the norms of what rounding kept and
+took away; no float vector is in a tile. Query tiles meet groups of candidate tiles by
 an equi-join on the group's number, so neither side is broadcast or gathered whole. For each pair of tiles one product
 of the int8 parts (exact in float32 up to 1,024 dimensions; larger ones use float64) gives approximate inner products, and the norms
-of what rounding took away bound their error by Cauchy-Schwarz. A pair survives if its upper bound reaches the
-query's k-th best lower bound; survivors are recomputed in float64 on the original vectors, component after
-component, and each task keeps the k best of every query in a heap. Heaps of different tasks are merged by query.
-
-The result is exact: bounds only drop pairs that can't be among the k nearest. Vectors that are null, zero,
-empty or hold a null or non-finite component take no part; vectors of different lengths are never compared. Ties go
-to the smaller vec_id; rows that repeat a vec_id are candidates each by itself, but never for that vec_id's own
+bound their error by Cauchy-Schwarz. A task keeps, over all of its tiles, each query's k-th best lower bound; a pair whose
+upper bound doesn't reach it goes. What survives in all tasks is cut once more at each query's k-th best lower bound of all,
+and only then are float vectors fetched: each block of queries gets every vector that it needs once. Scores are recomputed in float64 on the original vectors, component after
+component, and heaps keep the k best of every query, merged by query.
+
+The result is exact: bounds only drop pairs that can't be among the k nearest. A pair whose product may leave the range of
+doubles has no bound and is always recomputed, so a table full of such vectors costs as much as comparing all floats. Scores follow
+the rules of floats (infinities tie; NaN counts as largest, as in SQL). Vectors that are null, zero,
+empty or hold a null or non-finite component take no part, nor do rows whose vec_id is null; vectors of different lengths are never compared. Ties go
+to the smaller vec_id; rows that repeat a vec_id are candidates each by itself (up to k equal ones), but never for that vec_id's own
 query, and a repeated query row is answered once. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, table, written
+
+TILE = "dim int, tile long, n int, rows binary, own binary, q binary, measures binary"
+FOUND = "query long, row long, low double, high double"
+_TILE = pa.schema([("dim", pa.int32()), ("tile", pa.int64()), ("n", pa.int32()), ("rows", pa.binary()), ("own", pa.binary()), ("q", pa.binary()), ("measures", pa.binary())])
+_FOUND = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+_BEST = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_RANKED = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
+NONE = np.iinfo(np.int64).min  # in `own`: the row stands for several vec_ids
+_KEPT = 2_000_000  # pairs that a task holds before it cuts them at its floors
+_PAIRS = 1 << 20  # pairs of a query block that one group recomputes
+_SAFE = 900  # exponents within which products neither overflow nor lose their bounds
+
+
+def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """int8 values, and per row: exponent, scale of the values, norm of what they keep, of what they miss, and of the scaled row."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    half = exponent // 2  # in two steps: one power of two alone may be out of range
+    y = np.ldexp(np.ldexp(x, -half[:, None]), -(exponent - half)[:, None])
+    scale = np.abs(y).max(axis=1) / 127.0
+    q = np.rint(y / scale[:, None])
+    kept = q * scale[:, None]
+    norm = lambda v: np.sqrt((v**2).sum(axis=1))
+    return q.astype(np.int8), np.stack([exponent.astype(np.float64), scale, norm(kept), norm(y - kept), norm(y)])
+
 
-BLOCK = "dim int, block long, n int, ids binary, rows binary, vectors binary"
-FOUND = "query_id long, query_row long, vec_id long, score double"
-_CHUNK = 1 << 15  # survivors recomputed at once
+def _floats(values: pa.ListArray, rows: int) -> list[np.ndarray]:
+    flat, ends = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.diff(values.offsets.to_numpy())
+    return np.split(flat, np.cumsum(ends)[:-1]) if rows else []
 
 
 def _pack(size: int):
-    """Blocks of at most `size` vectors of one length each."""
+    """Tiles of at most `size` vectors of one length each."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
-        def out(dim: int) -> pd.DataFrame:
-            own = held.pop(dim)
-            ids, rows = np.array([x[0] for x in own], dtype=np.int64), np.array([x[1] for x in own], dtype=np.int64)
-            data = np.stack([x[2] for x in own]).astype(np.float64)
-            return pd.DataFrame([(dim, int(rows.min()), len(own), ids.tobytes(), rows.tobytes(), data.tobytes())], columns=["dim", "block", "n", "ids", "rows", "vectors"])
-
-        for pdf in batches:
-            for vec_id, row, vector in zip(pdf.vec_id, pdf.row, pdf.vector):
-                v = np.asarray(vector, dtype=np.float64)
-                held.setdefault(len(v), []).append((vec_id, row, v))
-                if len(held[len(v)]) >= size:
-                    yield out(len(v))
+        def out(dim: int) -> pa.RecordBatch:
+            rows = held.pop(dim)
+            ids, own = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
+            q, measures = quantise(np.stack([r[2] for r in rows]))
+            values = [dim, int(ids.min()), len(rows), ids.tobytes(), own.tobytes(), q.tobytes(), measures.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, _TILE)], schema=_TILE)
+
+        for batch in batches:
+            for row, own, vector in zip(batch.column("row").to_pylist(), batch.column("own").to_pylist(), _floats(batch.column("vector"), batch.num_rows)):
+                held.setdefault(len(vector), []).append((row, own, vector))
+                if len(held[len(vector)]) >= size:
+                    yield out(len(vector))
         for dim in list(held):
             yield out(dim)
 
     return pack
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 values (held as floats that multiply exactly), scales, and norms of the scaled values and of what they miss."""
-    scale = np.abs(x).max(axis=1) / 127.0
-    q = np.rint(x / scale[:, None])
-    kept = q * scale[:, None]
-    exact = np.float32 if x.shape[1] <= 1024 else np.float64
-    return q.astype(exact), scale, np.sqrt((kept**2).sum(axis=1)), np.sqrt(((x - kept) ** 2).sum(axis=1))
+class Tile:
+    def __init__(self, dim: int, n: int, rows: bytes, own: bytes, q: bytes, measures: bytes):
+        self.rows, self.own = np.frombuffer(rows, dtype=np.int64), np.frombuffer(own, dtype=np.int64)
+        self.q = np.frombuffer(q, dtype=np.int8).reshape(n, dim).astype(np.float32 if dim <= 1024 else np.float64)
+        self.exponent, self.scale, self.kept, self.lost, self.norm = np.frombuffer(measures).reshape(5, n)
+
+
+def bounds(x: Tile, y: Tile) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest inner product of each pair, in units of the query's own power of two; infinite where it can't be bounded."""
+    near = (x.q @ y.q.T).astype(np.float64) * x.scale[:, None] * y.scale[None, :]
+    # x.y = kept_x.kept_y + kept_x.lost_y + lost_x.y; the last term is for float64 rounding.
+    rounding = (x.q.shape[1] + 16) * 2.0**-52
+    error = (x.kept[:, None] * y.lost[None, :] + x.lost[:, None] * y.norm[None, :]) * (1 + 1e-9) + rounding * x.norm[:, None] * y.norm[None, :]
+    unit = np.exp2(np.clip(y.exponent, -_SAFE, _SAFE))[None, :]
+    both = x.exponent[:, None] + y.exponent[None, :]
+    safe = (np.abs(both) < _SAFE) & (np.abs(y.exponent) < _SAFE)[None, :]
+    return np.where(safe, (near - error) * unit, -np.inf), np.where(safe, (near + error) * unit, np.inf)
+
+
+class Survivors:
+    """Of one query tile: the k best lower bounds of each query so far, and the pairs that reach the least of them."""
+
+    def __init__(self, tile: Tile, k: int):
+        self.tile, self.k, self.lows, self.parts, self.held = tile, k, np.full((len(tile.rows), k), -np.inf), [], 0
+
+    def add(self, other: Tile) -> None:
+        low, high = bounds(self.tile, other)
+        own = self.tile.own[:, None] == other.own[None, :]
+        low[own] = -np.inf
+        best = np.concatenate([self.lows, low], axis=1)
+        self.lows = np.partition(best, best.shape[1] - self.k, axis=1)[:, best.shape[1] - self.k :]
+        q, c = np.nonzero((high >= self.lows.min(axis=1)[:, None]) & ~own)
+        self.parts.append((q, other.rows[c], low[q, c], high[q, c]))
+        self.held += len(q)
+
+    def cut(self) -> tuple:
+        q, row, low, high = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        good = high >= self.lows.min(axis=1)[q]
+        self.parts = [(q[good], row[good], low[good], high[good])]
+        self.held = int(good.sum())
+        return self.parts[0]
+
+    def batch(self) -> pa.RecordBatch:
+        q, row, low, high = self.cut()
+        self.parts, self.held = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (self.tile.rows[q], row, low, high)], schema=_FOUND)
+
+
+def _search(k: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, Survivors] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (mine := asked.get(r["q_tile"])) is None:
+                    mine = asked[r["q_tile"]] = Survivors(Tile(r["dim"], r["q_n"], r["q_rows"], r["q_own"], r["q_q"], r["q_measures"]), k)
+                mine.add(Tile(r["dim"], r["n"], r["rows"], r["own"], r["q"], r["measures"]))
+                if sum(s.held for s in asked.values()) > _KEPT:
+                    for s in asked.values():
+                        if s.parts:
+                            s.cut()
+                    if sum(s.held for s in asked.values()) > _KEPT // 2:  # the floors go on, the pairs are passed on
+                        yield from (s.batch() for s in asked.values() if s.held)
+        yield from (s.batch() for s in asked.values() if s.parts)
+
+    return search
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, summed in the order of the components, so that equal rows give equal bits wherever they stand."""
     out = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        out += a[:, j] * b[:, j]
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        for j in range(a.shape[1]):
+            out += a[:, j] * b[:, j]
     return out
 
 
 class Heaps:
-    """The k best candidates of each query: larger score first, then smaller vec_id."""
+    """The k best candidates of each query: larger score first (NaN above all), then smaller vec_id."""
 
     def __init__(self, k: int):
         self.k, self.of = k, {}
 
     def push(self, query: tuple, score: float, vec_id: int) -> None:
-        heap = self.of.setdefault(query, [])
+        heap, entry = self.of.setdefault(query, []), (math.isnan(score), 0.0 if math.isnan(score) else score, -vec_id)
         if len(heap) < self.k:
-            heapq.heappush(heap, (score, -vec_id))
-        elif heap[0] < (score, -vec_id):
-            heapq.heapreplace(heap, (score, -vec_id))
+            heapq.heappush(heap, entry)
+        elif heap[0] < entry:
+            heapq.heapreplace(heap, entry)
 
     def rows(self) -> Iterator[tuple]:
+        """(query, rank, vec_id, score)."""
         for query, heap in self.of.items():
-            for score, vec_id in sorted(heap, reverse=True):
-                yield query, -vec_id, score
+            for rank, (odd, score, vec_id) in enumerate(sorted(heap, reverse=True), 1):
+                yield query, rank, -vec_id, math.nan if odd else score
 
 
-def _search(k: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x = np.frombuffer(r.q_vectors).reshape(r.q_n, r.dim)
-                y = np.frombuffer(r.vectors).reshape(r.n, r.dim)
-                x_ids, x_rows, y_ids = (np.frombuffer(v, dtype=np.int64) for v in (r.q_ids, r.q_rows, r.ids))
-                pairs = _tile(x, x_ids, y, y_ids, k)
-                best = [_best(k, q, score, y_ids[c]) for q, c, score in pairs]
-                at = np.concatenate([b[0] for b in best]) if best else np.zeros(0, dtype=np.int64)
-                if not len(at):
-                    continue
-                ids, scores = np.concatenate([b[1] for b in best]), np.concatenate([b[2] for b in best])
-                at, ids, scores = _best(k, at, scores, ids)
-                yield pd.DataFrame({"query_id": x_ids[at], "query_row": x_rows[at], "vec_id": ids, "score": scores})
-
-    return search
+def _exact(k: int):
+    """The k best of each query among a block's pairs; vectors of queries and candidates come in rows of their own."""
 
+    def exact(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = {r: i for i, r in enumerate(right.column("row").to_pylist())}
+        vectors, ids = _floats(right.column("vector").combine_chunks(), right.num_rows), right.column("ids").to_pylist()
+        mine = {r: i for i, r in enumerate(left.column("query").to_pylist())} if left.num_rows else {}
+        first, query_ids = _floats(left.column("q_vector").combine_chunks(), left.num_rows), left.column("query_id").to_pylist()
+        heaps = Heaps(k)
+        for query, rows in zip(left.column("query").to_pylist(), left.column("rows").to_pylist()):
+            i = mine[query]
+            own, found = query_ids[i], [at[r] for r in rows]
+            x = np.stack([vectors[c] for c in found])
+            for c, score in zip(found, inner(np.broadcast_to(first[i], x.shape), x).tolist()):
+                for vec_id, copies in ids[c]:
+                    for _ in range(copies if vec_id != own else 0):
+                        heaps.push((own, query), score, vec_id)
+        out = list(heaps.rows())
+        return pa.Table.from_arrays([pa.array([v[0][0] for v in out], pa.int64()), pa.array([v[0][1] for v in out], pa.int64()), pa.array([v[2] for v in out], pa.int64()), pa.array([v[3] for v in out], pa.float64())], schema=_BEST)
 
-def _best(k: int, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query."""
-    order = np.lexsort((ids, -score, query))
-    query, score, ids = query[order], score[order], ids[order]
-    first = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
-    keep = np.arange(len(query)) - start < k
-    return query[keep], ids[keep], score[keep]
-
-
-def _tile(x: np.ndarray, x_ids: np.ndarray, y: np.ndarray, y_ids: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query positions, candidate positions, exact scores) of the tile's pairs that may be among the k nearest."""
-    qx, sx, kept_x, lost_x = quantise(x)
-    qy, sy, kept_y, lost_y = quantise(y)
-    norm_y = np.sqrt((y**2).sum(axis=1))
-    near = (qx @ qy.T).astype(np.float64) * sx[:, None] * sy[None, :]
-    # x.y = kept_x.kept_y + kept_x.lost_y + lost_x.y; the last factor is for float64 rounding.
-    error = (kept_x[:, None] * lost_y[None, :] + lost_x[:, None] * norm_y[None, :]) * (1 + 1e-9) + 1e-12 * kept_x[:, None] * norm_y[None, :]
-    own = x_ids[:, None] == y_ids[None, :]
-    low = np.where(own, -np.inf, near - error)
-    if low.shape[1] > k:
-        floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-    else:
-        floor = np.full(len(x), -np.inf)
-    q, c = np.nonzero((near + error >= floor[:, None]) & ~own)
-    for i in range(0, len(q), _CHUNK):
-        a, b = q[i : i + _CHUNK], c[i : i + _CHUNK]
-        yield a, b, inner(x[a], y[b])
+    return exact
 
 
 def _merge(k: int):
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps = Heaps(k)
-        for pdf in batches:
-            for query, row, vec_id, score in zip(pdf.query_id, pdf.query_row, pdf.vec_id, pdf.score):
-                heaps.push((query, row), score, vec_id)
-        rows, last, rank = [], None, 0
-        for query, vec_id, score in heaps.rows():
-            rank, last = (rank + 1 if query == last else 1), query
-            rows.append((query[0], rank, vec_id, score))
-        yield pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"]).astype({"query_id": "int64", "rank": "int32", "vec_id": "int64", "score": "float64"})
+        for batch in batches:
+            for query_id, query, vec_id, score in zip(*(batch.column(c).to_pylist() for c in _BEST.names)):
+                heaps.push((query_id, query), score, vec_id)
+        rows = [(query[0], rank, vec_id, score) for query, rank, vec_id, score in heaps.rows()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(_RANKED)], schema=_RANKED)
 
     return merge
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int = 512, block: int = 4096) -> DataFrame:
     """The k nearest rows of vectors (vec_id, embedding) to each row for which is_query holds: query_id, rank, vec_id, score."""
-    n = partitions(vectors.sparkSession)
+    spark = vectors.sparkSession
+    n = partitions(spark)
     v = F.col("vector")
     usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), is_query.alias("asks")).where(usable)
-    good = good.withColumn("row", F.xxhash64("vec_id", "vector"))
-    asking = good.where("asks").select("vec_id", "row", "vector").dropDuplicates(["vec_id", "row"])
-    have, ask = good.count(), asking.count()
-    # A grid of tasks: query blocks go to `across` groups of candidates, candidate blocks to `down` groups of queries;
+    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable)
+
+    # Equal vectors: copies of one vec_id are counted, then the smallest vec_ids stay; both are cut before they are shuffled.
+    pairs = good.groupBy("vector", "vec_id").agg(F.count("*").alias("copies"), F.max("asks").alias("asks"))
+    pairs = written(spark, pairs, "vectors")
+    small = pairs.select("vector", "vec_id", F.least("copies", F.lit(k)).cast("int").alias("copies"))
+    small = small.withColumn("k", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("k") <= k + 1)
+    ids = F.array_sort(F.collect_list(F.struct("vec_id", "copies"))).alias("ids")
+    classes = small.groupBy("vector").agg(ids).withColumn("row", F.monotonically_increasing_id())
+    classes = written(spark, classes, "candidates")  # written: the numbers stay
+    asking = pairs.where("asks").select("vec_id", "vector").withColumn("row", F.monotonically_increasing_id())
+    asking = written(spark, asking, "queries")
+    have, ask = classes.count(), asking.count()
+    # A grid of tasks: query tiles go to `across` groups of candidates, candidate tiles to `down` groups of queries;
     # with many more candidates than queries, queries travel more.
     across = min(n, max(1, round((n * max(1.0, have / max(1, ask))) ** 0.5)))
     down = max(1, n // across)
 
-    def blocks(rows: DataFrame, count: int, size: int) -> DataFrame:
-        return rows.select("vec_id", "row", "vector").repartition(min(8 * n, max(1, -(-count // size)))).mapInPandas(_pack(size), BLOCK)
+    def tiles(rows: DataFrame, own: Column, count: int, size: int) -> DataFrame:
+        spread = rows.select("row", own.alias("own"), F.col("vector").cast("array<double>").alias("vector")).repartition(min(8 * n, max(1, -(-count // size))))
+        return written(spark, spread.mapInArrow(_pack(size), TILE), "tiles")
 
     each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    right = blocks(good, have, min(block, max(256, -(-have // across)))).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(across))).withColumn("side", each(down))
-    left = blocks(asking, ask, query_block).select(F.col("dim").alias("q_dim"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("vectors").alias("q_vectors"), F.pmod(F.xxhash64("block"), F.lit(down)).alias("q_side"))
+    only = F.when(F.size("ids") == 1, F.col("ids")[0]["vec_id"]).otherwise(F.lit(int(NONE)))
+    right = tiles(classes, only, have, min(block, max(256, -(-have // across))))
+    right = right.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(across))).withColumn("side", each(down))
+    left = tiles(asking, F.col("vec_id"), ask, query_block)
+    left = left.select(F.col("dim").alias("q_dim"), *(F.col(c).alias(f"q_{c}") for c in ("tile", "n", "rows", "own", "q", "measures")), F.pmod(F.xxhash64("tile"), F.lit(down)).alias("q_side"))
     left = left.withColumn("q_part", each(across))
-    pairs = left.join(right, (F.col("q_part") == F.col("part")) & (F.col("q_side") == F.col("side")) & (F.col("q_dim") == F.col("dim")))
-    pairs = pairs.select("dim", "q_n", "q_ids", "q_rows", "q_vectors", "n", "ids", "vectors")
-    found = pairs.mapInPandas(_search(k), FOUND)
-    return found.repartition(n, "query_id", "query_row").mapInPandas(_merge(k), "query_id long, rank int, vec_id long, score double")
+    met = left.join(right, (F.col("q_part") == F.col("part")) & (F.col("q_side") == F.col("side")) & (F.col("q_dim") == F.col("dim")))
+    found = met.drop("q_dim", "q_part", "q_side", "part", "side", "tile").mapInArrow(_search(k), FOUND)
+    found = written(spark, found, "survivors")
+
+    # Each query's floor over all tasks; then its surviving rows are one list, in groups of queries.
+    floor = F.nth_value("low", k).over(Window.partitionBy("query").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    kept = found.withColumn("floor", floor).where(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("query", "row")
+    kept = written(spark, kept, "kept")
+    groups = max(1, -(-ask // query_block))
+    parts = max(1, kept.count() // (groups * _PAIRS))
+    kept = kept.withColumns({"g": F.pmod(F.xxhash64("query"), F.lit(groups)), "p": F.pmod(F.xxhash64("row"), F.lit(parts))})
+    wanted = kept.select(F.col("g").alias("of_g"), F.col("p").alias("of_p"), "row").distinct().join(classes.select("row", "ids", "vector"), "row")
+    lists = kept.groupBy("g", "p", "query").agg(F.collect_list("row").alias("rows"))
+    lists = lists.join(asking.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector")), "query")
+    wanted = wanted.withColumn("ids", F.transform("ids", lambda x: F.array(x["vec_id"], x["copies"].cast("long"))))
+    best = lists.groupBy("g", "p").cogroup(wanted.groupBy("of_g", "of_p")).applyInArrow(_exact(k), "query_id long, query long, vec_id long, score double")
+    return best.repartition(n, "query_id", "query").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
