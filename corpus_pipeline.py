@@ -2,6 +2,11 @@
 
 Every stage takes all rows that the one before kept, as a written table. The stages before the last return the
 columns of `documents`; the last returns the token ids of the documents that are left.
+
+Rows are judged, not doc_ids: a row's key is a digest of its doc_id and text. Where doc_ids repeat or are null, the two dedup stages
+keep one row of each doc_id and text, and of one doc_id's several texts only the copies go. A null text counts as empty; texts of no
+words are copies of each other in the exact stage, are linked with nothing in the next and cost the mix nothing. A null source is a
+source of its own. Empty tables give empty results. Extra columns are passed on up to the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folionaut.llm.common import table, written
+from folionaut.llm.common import table, word_count, written
 from folionaut.llm.op2_mix import mix
 from folionaut.llm.op4_sentencepiece import encode
 from folionaut.llm.op6_exact import exact_dedup
@@ -48,10 +53,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Each document at most once: sources at or below their target stay whole.
-    mixed = mix(docs, F.array("source"), share=1.0, cap=3.0, repeats=1)
-    # A document of no words costs nothing and stays.
-    return mixed.where("mix_taken > 0 or mix_size = 0").select(*docs.columns)
+    # Sizes and row keys are taken from the texts once; the mix reads only them.
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
+    sizes = written(spark, docs.select("doc_id", "source", key.alias("text"), word_count(F.col("text")).alias("size")), "sizes")
+    # Each document at most once: sources at or below their target stay whole. A document of no words costs nothing and stays.
+    mixed = mix(sizes, F.array("source"), size=F.col("size"), share=1.0, cap=3.0, repeats=1)
+    dropped = mixed.where("mix_taken = 0 and mix_size > 0").select(F.col("text").alias("row_key")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), key.alias("row_key"))
+    return rows.join(written(spark, dropped, "dropped"), "row_key", "left_anti").select("row.*")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
