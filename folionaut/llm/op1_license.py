@@ -41,6 +41,9 @@ SENTENCES = (
 _GNU = "is free software you can redistribute it and or modify it under the terms of the gnu"
 _FSF = "as published by the free software foundation"
 _LATER = "of the license or at your option any later version"
+#: Identifiers and kinds of the Creative Commons licences, versions 4.0 and 3.0.
+CC4 = (("Y", ""), ("N", " noncommercial"), ("Z", " sharealike"), ("K", " noderivatives"), ("O", " noncommercial sharealike"), ("T", " noncommercial noderivatives"))
+CC3 = (("S", ""), ("U", " noncommercial"), ("W", " sharealike"), ("X", " noderivs"), ("I", " noncommercial sharealike"), ("J", " noncommercial noderivs"))
 #: The same identifiers' sentences in the full wording of the standard licence texts and notices. ORACLE knows
 #: SENTENCES alone, which is all that the given tables hold.
 FULL = (
@@ -57,12 +60,45 @@ FULL = (
     *(("M", f"{start} the {terms}mit license") for start in ("licensed under", "this project is licensed under", "this software is released under") for terms in ("", "terms of the ")),
     ("D", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("E", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    *((key, f"this work is licensed under {a} creative commons attribution{kind} 4 0 international license") for a in ("a", "the") for key, kind in (("Y", ""), ("N", " noncommercial"), ("Z", " sharealike"))),
+    *((key, f"this work is licensed under {a} creative commons attribution{kind} 4 0 international license") for a in ("a", "the") for key, kind in CC4),
+    *((key, f"this work is licensed under {a} creative commons attribution{kind} 3 0 unported license") for a in ("a", "the") for key, kind in CC3),
+    *(("g", f"this program {_GNU} general public license {end}") for end in (
+        f"{_FSF} either version 2 {_LATER}", f"{_FSF} either version 2 of the license", f"{_FSF} version 2", f"{_FSF} version 2 of the license", f"version 2 {_FSF}")),
+    *(("a", f"this program {_GNU} affero general public license {end}") for end in (
+        f"{_FSF} either version 3 {_LATER}", f"{_FSF} either version 3 of the license", f"{_FSF} version 3", f"{_FSF} version 3 of the license", f"version 3 {_FSF}")),
+    *(("1", f"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 {v} or any later version published by the free software foundation") for v in (1, 2, 3)),
+    ("m", "this source code form is subject to the terms of the mozilla public license v"),
+    ("e", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("3", "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html"),
+    ("3", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html"),
+    ("i", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("i", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("z", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("u", "this is free and unencumbered software released into the public domain"),
+    ("b", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("b", "distributed under the boost software license version 1 0"),
+    ("c", "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("o", "this font software is licensed under the sil open font license version 1 1"),
+    ("s", "this license governs use of the accompanying software"),
+    ("k", "the contents of this file are subject to the terms of the common development and distribution license the license"),
+    ("y", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl the licence"),
+    ("p", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
+    ("h", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation"),
+    ("n", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("f", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("x", "the end user documentation included with the redistribution if any must include the following acknowledgment"),
+    ("j", "the software shall be used for good not evil"),
+    ("d", "this database is made available under the open database license"),
+    ("5", "this license agreement is between the python software foundation psf and the individual or organization licensee accessing and otherwise using this software python in source or binary form and its associated documentation"),
+    ("6", "this product includes software developed by the openssl project for use in the openssl toolkit http www openssl org"),
+    ("9", "you can use this software according to the terms and conditions of the mulan psl v2"),
 )
 #: Places where a sentence names its own work or owner: the words there, and the pattern of what may stand for them.
 NAMES = (
     ("neither the name of the copyright holder nor the names of its", "neither the name of ", "(?:[a-z0-9]+[ SH]+){1,12}", "nor the names of its"),
     (f"this program {_GNU} general", "", "(?:[a-z0-9]+[ S]+){1,6}", f"{_GNU} general"),
+    (f"this program {_GNU} affero", "", "(?:[a-z0-9]+[ S]+){1,6}", f"{_GNU} affero"),
     (f"this library {_GNU} lesser", "", "(?:[a-z0-9]+[ S]+){1,6}", f"{_GNU} lesser"),
 )
 #: Licence and the identifiers it asks for in order; the first rule that fits wins.
@@ -73,6 +109,41 @@ RULES = (
     ("cc-by-nc-4.0", "N"),
     ("cc-by-sa-4.0", "Z"),
     ("cc-by-4.0", "Y"),
+    ("cc-by-nc-sa-4.0", "O"),
+    ("cc-by-nc-nd-4.0", "T"),
+    ("cc-by-nd-4.0", "K"),
+    ("cc-by-nc-sa-3.0", "I"),
+    ("cc-by-nc-nd-3.0", "J"),
+    ("cc-by-nd-3.0", "X"),
+    ("cc-by-nc-3.0", "U"),
+    ("cc-by-sa-3.0", "W"),
+    ("cc-by-3.0", "S"),
+    ("agpl-3.0", "a"),
+    ("gpl-2.0", "g"),
+    ("gfdl-1", "1"),
+    ("mpl-2.0", "m"),
+    ("epl-2.0", "e"),
+    ("epl-1.0", "3"),
+    ("eupl-1.2", "y"),
+    ("cddl-1.0", "k"),
+    ("odbl-1.0", "d"),
+    ("ofl-1.1", "o"),
+    ("openssl", "D6"),
+    ("apache-1.1", "Dx"),
+    ("bsd-4-clause", "Df"),
+    ("ncsa", "n"),
+    ("json", "Pj"),
+    ("isc", "i"),
+    ("0bsd", "0"),
+    ("zlib", "z"),
+    ("unlicense", "u"),
+    ("bsl-1.0", "b"),
+    ("cc0-1.0", "c"),
+    ("ms-pl", "s"),
+    ("postgresql", "p"),
+    ("hpnd", "h"),
+    ("python-2.0", "5"),
+    ("mulan-psl-2.0", "9"),
     ("apache-2.0", "AB"),
     ("apache-2.0", "A"),
     ("apache-2.0", "BC"),
