@@ -16,19 +16,41 @@ def normalize_bars(raw: DataFrame, key: str, ts: str, value: str, tie: str) -> D
     return days.where("k = 1").drop("k")
 
 
-def read_market(closes: DataFrame, holdings: DataFrame, portfolios: DataFrame, pre_days: int = PRE_DAYS) -> DataFrame:
-    """Rows of the symbols in use from `pre_days` before the first inception that needs them."""
+def grid(dates: DataFrame, keys: DataFrame, buckets: int = 16) -> DataFrame:
+    """Every key on every date, for calendars: each key stands once in each bucket of dates, so the two meet on the bucket.
+
+    What comes out is the calendar itself; no side is broadcast or gathered for it.
+    """
+    spread = keys.distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return dates.distinct().withColumn("bucket", F.pmod(F.hash("date"), F.lit(buckets))).join(spread, "bucket").drop("bucket")
+
+
+def first_needed(portfolios: DataFrame, pre_days: int = PRE_DAYS) -> Column:
+    """`pre_days` before the first inception of all, as a literal: a filter on it reaches the scan."""
+    least = portfolios.agg(F.date_sub(F.min("inception"), pre_days)).first()[0]
+    return F.lit(least).cast("date")
+
+
+def read_market(closes: DataFrame, dividends: DataFrame, quotes: DataFrame, holdings: DataFrame, portfolios: DataFrame, currencies: DataFrame, pre_days: int = PRE_DAYS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(closes, dividends, quotes) of the symbols and currencies in use, from `pre_days` before the first inception that needs them."""
+    bound = first_needed(portfolios, pre_days)
     need = holdings.join(portfolios, "portfolio").groupBy("symbol").agg(F.date_sub(F.min("inception"), pre_days).alias("since"))
-    return closes.join(need, "symbol").where("date >= since").drop("since")
+    own = lambda df: df.where(F.col("date") >= bound).join(need, "symbol").where("date >= since").drop("since")
+    pairs = quotes.where(F.col("date") >= bound)
+    used = currencies.select(F.col("ccy").alias("used")).distinct()
+    either = pairs.join(used, (F.col("used") == F.col("ccy")), "left_semi").unionByName(pairs.join(used, F.col("used") == F.col("base"), "left_semi"))
+    return own(closes), own(dividends), either.distinct()
 
 
-def align_calendar(holdings: DataFrame, closes: DataFrame, dividends: DataFrame) -> DataFrame:
+def align_calendar(holdings: DataFrame, closes: DataFrame, dividends: DataFrame, portfolios: DataFrame, pre_days: int = PRE_DAYS) -> DataFrame:
     """portfolio, symbol, date, close (null: no bar), amount (0: no dividend) on the dates of any of the portfolio's symbols.
 
-    Bars meet the spine on (symbol, date), so a symbol that most portfolios hold is spread over its dates.
+    A portfolio's calendar begins `pre_days` before its inception, for fills. Bars meet the spine on (symbol, date), so a symbol that
+    most portfolios hold is spread over its dates.
     """
     own = holdings.select("portfolio", "symbol").distinct()
-    dates = own.join(closes.select("symbol", "date"), "symbol").select("portfolio", "date").distinct()
+    since = portfolios.select("portfolio", F.date_sub("inception", pre_days).alias("since"))
+    dates = own.join(since, "portfolio").join(closes.select("symbol", "date"), "symbol").where("date >= since").select("portfolio", "date").distinct()
     spine = dates.join(own, "portfolio")
     bars = spine.join(closes.select("symbol", "date", "close"), ["symbol", "date"], "left")
     paid = bars.join(dividends.select("symbol", "date", "amount"), ["symbol", "date"], "left")
@@ -46,26 +68,36 @@ def fx_rates(quotes: DataFrame, base: str) -> DataFrame:
     direct = quotes.where((F.col("base") == base) & (F.col("ccy") != base)).select("ccy", "date", "rate")
     inverse = quotes.where((F.col("ccy") == base) & (F.col("base") != base)).select(F.col("base").alias("ccy"), "date", (1 / F.col("rate")).alias("rate"))
     pairs = direct.unionByName(inverse.join(direct.select("ccy").distinct(), "ccy", "left_anti"))
-    # Currencies are few: the grid is as many rows as currencies times days.
-    grid = pairs.select("ccy").distinct().withColumn("one", F.lit(1)).join(pairs.select("date").distinct().withColumn("one", F.lit(1)), "one").drop("one")
-    return ffill(grid.join(pairs, ["ccy", "date"], "left"), ["ccy"], "rate").where("rate is not null")
+    days = grid(pairs.select("date"), pairs.select("ccy"))
+    return ffill(days.join(pairs, ["ccy", "date"], "left"), ["ccy"], "rate").where("rate is not null")
 
 
 def align_fx(points: DataFrame, rates: DataFrame, base: str, keys: list[str]) -> DataFrame:
     """points (keys, ccy, date) with the rate of that very date, filled forwards, then backwards, within keys and ccy; 1 for the base."""
-    whole = Window.partitionBy(*keys, "ccy").orderBy("date")
-    found = points.select(*keys, "ccy", "date").distinct().join(rates.select("ccy", "date", "rate"), ["ccy", "date"], "left")
-    past = F.last("rate", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0))
-    future = F.first("rate", ignorenulls=True).over(whole.rowsBetween(0, Window.unboundedFollowing))
-    rate = F.when(F.col("ccy") == base, F.lit(1.0)).otherwise(F.coalesce(past, future))
-    return found.select(*keys, "ccy", "date", rate.alias("rate"))
+    return with_rate(points.select(*keys, "ccy", "date").distinct(), rates, base, [*keys, "ccy"]).select(*keys, "ccy", "date", "rate")
+
+
+def both_fills(column: str, keys: list[str]) -> Column:
+    """The last known value, or the first of all ahead of it; frames that run to the end would cost a pass for each row."""
+    whole = Window.partitionBy(*keys).orderBy("date")
+    past = F.last(column, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    return F.coalesce(past, F.first(column, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+
+def with_rate(df: DataFrame, rates: DataFrame, base: str, keys: list[str]) -> DataFrame:
+    """df (ccy, date) with the aligned rate; keys: of its runs over the calendar, each in one currency."""
+    found = df.join(rates.select("ccy", "date", F.col("rate").alias("quoted_rate")), ["ccy", "date"], "left")
+    return found.withColumn("rate", F.when(F.col("ccy") == base, F.lit(1.0)).otherwise(both_fills("quoted_rate", keys))).drop("quoted_rate")
 
 
 def asof_value(values: DataFrame, points: DataFrame, keys: list[str], value: str, at: str = "at") -> DataFrame:
-    """points (keys, at) with the last known value at or before that date; null if there is none."""
-    known = values.where(F.col(value).isNotNull()).select(*keys, "date", value)
-    last = points.join(known, keys).where(F.col("date") <= F.col(at)).groupBy(*keys, at).agg(F.max_by(value, "date").alias(value))
-    return points.join(last, [*keys, at], "left")
+    """keys, at and the last known value at or before that date, for each of points; null if there is none."""
+    known = values.where(F.col(value).isNotNull()).select(*keys, F.col("date").alias("when"), F.lit(0).alias("asks"), F.col(value).alias("known"))
+    asked = points.select(*keys, F.col(at).alias("when"), F.lit(1).alias("asks"), F.lit(None).cast(known.schema["known"].dataType).alias("known"))
+    # One pass over both in the order of time; on one date the value comes first.
+    order = Window.partitionBy(*keys).orderBy("when", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    last = known.unionByName(asked).withColumn(value, F.last("known", ignorenulls=True).over(order)).where("asks = 1")
+    return last.select(*keys, F.col("when").alias(at), value)
 
 
 def pence_to_pounds(df: DataFrame, ccy: str = "ccy", value: str = "close") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import EULER, TRADING_DAYS, Z, Z95_SUMMARY, column, norm_cdf, norm_ppf
 from .drawdown import drawdown_episodes, max_drawdown
-from .series import daily_returns, ordered, past, period_returns, rolling_compound, rolling_summary
+from .series import daily_returns, ordered, past, period_returns, rolling_compound, rolling_summary, stepped_returns
 
 TD = float(TRADING_DAYS)
 
@@ -23,9 +23,9 @@ def share(test: Column) -> Column:
 def sample_info(series: DataFrame, rf: float = 0.0) -> DataFrame:
     ends = series.groupBy("series_id").agg(F.min("date").alias("from_date"), F.max("date").alias("to_date"), F.min_by("value", "date").alias("v0"), F.max_by("value", "date").alias("v1"))
     out = ends.withColumn("years", F.greatest(F.datediff("to_date", "from_date") / 365.25, F.lit(1e-9)))
-    for name, freq in (("n_daily", None), ("n_weekly", "week"), ("n_monthly", "month"), ("n_quarterly", "quarter")):
-        r = daily_returns(series) if freq is None else period_returns(series, freq)
-        out = out.join(r.groupBy("series_id").agg(F.count("r").alias(name)), "series_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    counts = {"n_daily": "day", "n_weekly": "week", "n_monthly": "month", "n_quarterly": "quarter"}
+    n = stepped_returns(series).groupBy("series_id").agg(*(F.count(F.when(F.col("freq") == f, ret())).alias(name) for name, f in counts.items()))
+    out = out.join(n, "series_id", "left").withColumns({name: F.coalesce(name, F.lit(0).cast("long")) for name in counts})
     return out.withColumn("rf", F.lit(rf))
 
 
@@ -37,12 +37,12 @@ def growth(series: DataFrame) -> DataFrame:
 
 
 def return_stats(series: DataFrame) -> DataFrame:
-    out = growth(series).drop("years")
-    for name, freq in (("day", None), ("week", "week"), ("month", "month"), ("quarter", "quarter")):
-        r = daily_returns(series) if freq is None else period_returns(series, freq)
-        own = [F.max("r").alias(f"best_{name}"), F.min("r").alias(f"worst_{name}"), share(ret() > 0).alias(f"positive_{name}")]
-        out = out.join(r.groupBy("series_id").agg(*own, *([(F.avg("r") * TD).alias("mean_annual")] if freq is None else [])), "series_id", "left")
-    return out
+    columns = []
+    for f in ("day", "week", "month", "quarter"):
+        own = F.when(F.col("freq") == f, ret())
+        columns += [F.max(own).alias(f"best_{f}"), F.min(own).alias(f"worst_{f}"), share(own > 0).alias(f"positive_{f}")]
+    mean = (F.avg(F.when(F.col("freq") == "day", ret())) * TD).alias("mean_annual")
+    return growth(series).drop("years").join(stepped_returns(series).groupBy("series_id").agg(*columns, mean), "series_id", "left")
 
 
 def win_loss(series: DataFrame) -> DataFrame:
@@ -78,9 +78,8 @@ def volatility(series: DataFrame) -> DataFrame:
     r = numbered_returns(series)
     tail = lambda days: F.stddev_samp(F.when(F.col("n") - F.col("k") <= days, ret())) * TD**0.5
     out = r.groupBy("series_id").agg((F.stddev_samp("r") * TD**0.5).alias("vol_daily"), tail(30).alias("vol_30"), tail(90).alias("vol_90"), ewma_last().alias("vol_ewma"))
-    for name, freq, k in (("vol_weekly", "week", 52), ("vol_monthly", "month", 12)):
-        out = out.join(period_returns(series, freq).groupBy("series_id").agg((F.stddev_samp("r") * F.sqrt(F.lit(float(k)))).alias(name)), "series_id", "left")
-    return out
+    longer = lambda f, k: (F.stddev_samp(F.when(F.col("freq") == f, ret())) * F.sqrt(F.lit(k))).alias(f"vol_{f}ly")
+    return out.join(stepped_returns(series, ("week", "month")).groupBy("series_id").agg(longer("week", 52.0), longer("month", 12.0)), "series_id", "left")
 
 
 def downside(threshold: float = 0.0) -> Column:

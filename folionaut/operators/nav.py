@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .market import align_calendar, align_fx, asof_value, ffill, live_filter, pence_to_pounds
+from .market import align_calendar, align_fx, asof_value, both_fills, ffill, grid, live_filter, pence_to_pounds, with_rate
 
 
 def filled_spine(holdings: DataFrame, portfolios: DataFrame, closes: DataFrame, dividends: DataFrame) -> DataFrame:
     """Live rows of the calendar; closes are filled before the rows ahead of inception go."""
-    return live_filter(ffill(align_calendar(holdings, closes, dividends), ["portfolio", "symbol"], "close"), portfolios)
+    return live_filter(ffill(align_calendar(holdings, closes, dividends, portfolios), ["portfolio", "symbol"], "close"), portfolios)
 
 
 def component_values(spine: DataFrame, holdings: DataFrame, rates: DataFrame, base: str) -> DataFrame:
     """portfolio, symbol, date, ccy, shares, close, amount, rate, value = close x rate x shares."""
     own = spine.join(holdings.select("portfolio", "symbol", "ccy", "shares"), ["portfolio", "symbol"])
-    fx = align_fx(own.select("portfolio", "ccy", "date"), rates, base, ["portfolio"])
-    priced = own.join(fx, ["portfolio", "ccy", "date"])
+    # Every symbol of a portfolio is on its whole calendar, so rates are filled along the symbols' own rows.
+    priced = with_rate(own, rates, base, ["portfolio", "symbol"])
     return priced.withColumn("value", F.col("close") * F.col("rate") * F.col("shares"))
 
 
@@ -96,22 +96,23 @@ def positions(components: DataFrame, holdings: DataFrame, rates: DataFrame, base
     )
 
 
-def benchmark_nav(legs: DataFrame, closes: DataFrame, rates: DataFrame, base: str, navs: DataFrame) -> DataFrame:
-    """benchmark, portfolio, date, value: legs at their initial weights, from 100 on the first NAV date.
+def benchmark_nav(legs: DataFrame, members: DataFrame, closes: DataFrame, rates: DataFrame, base: str, navs: DataFrame) -> DataFrame:
+    """benchmark, portfolio, date, value of the benchmarks that each portfolio names (members: portfolio, benchmark).
 
-    Rates are aligned on the benchmarks' own calendar, legs on the portfolio's, filled forwards, then backwards.
+    Legs stand at their initial weights, from 100 on the first NAV date. Rates are aligned on the benchmarks' own calendar, legs on the
+    portfolio's, filled forwards, then backwards.
     """
     used = legs.select("symbol", "ccy").distinct()
-    dates = closes.join(used.select("symbol").distinct(), "symbol", "left_semi").select("date").distinct()
-    bars = used.withColumn("one", F.lit(1)).join(dates.withColumn("one", F.lit(1)), "one").drop("one").join(closes.select("symbol", "date", "close"), ["symbol", "date"], "left")
+    dates = closes.join(used.select("symbol").distinct(), "symbol", "left_semi").select("date")
+    bars = grid(dates, used).join(closes.select("symbol", "date", "close"), ["symbol", "date"], "left")
     bars = pence_to_pounds(ffill(bars, ["symbol", "ccy"], "close").withColumn("quoted", F.col("ccy")))
-    bars = bars.withColumn("calendar", F.lit("benchmarks"))
-    priced = bars.join(align_fx(bars.select("calendar", "ccy", "date"), rates, base, ["calendar"]), ["calendar", "ccy", "date"])
+    priced = with_rate(bars, rates, base, ["symbol", "quoted"])
     value = priced.select("symbol", "quoted", "date", (F.col("close") * F.col("rate")).alias("leg"))
-    spine = navs.select("portfolio", "date").withColumn("one", F.lit(1)).join(legs.select("benchmark", "symbol", "weight", F.col("ccy").alias("quoted")).withColumn("one", F.lit(1)), "one").drop("one")
+    own = members.join(legs.select("benchmark", "symbol", "weight", F.col("ccy").alias("quoted")), "benchmark")
+    spine = navs.select("portfolio", "date").join(own, "portfolio")
     keys = Window.partitionBy("portfolio", "benchmark", "symbol").orderBy("date")
-    past, future = keys.rowsBetween(Window.unboundedPreceding, 0), keys.rowsBetween(0, Window.unboundedFollowing)
-    legs_on = spine.join(value, ["symbol", "quoted", "date"], "left").withColumn("v", F.coalesce(F.last("leg", ignorenulls=True).over(past), F.first("leg", ignorenulls=True).over(future)))
+    past = keys.rowsBetween(Window.unboundedPreceding, 0)
+    legs_on = spine.join(value, ["symbol", "quoted", "date"], "left").withColumn("v", both_fills("leg", ["portfolio", "benchmark", "symbol"]))
     share = legs_on.withColumn("part", F.col("weight") * F.col("v") / F.first("v").over(past))
     total = share.groupBy("benchmark", "portfolio", "date").agg(F.sum("part").alias("mix"))
     whole = Window.partitionBy("benchmark", "portfolio").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

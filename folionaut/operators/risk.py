@@ -14,6 +14,7 @@ from .series import daily_returns, ordered
 
 TD = float(TRADING_DAYS)
 BLOCK = 21
+SEED = 4_091
 
 
 def benchmark_metrics(pairs: DataFrame, navs: DataFrame, benchmarks: DataFrame, rf: float = 0.0) -> DataFrame:
@@ -114,44 +115,67 @@ def effective_bets(components: DataFrame) -> DataFrame:
 
 
 # --- bootstrap -----------------------------------------------------------------------------------------------
-def block_summaries(series: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per start of a block: growth, highest and lowest prefix, deepest fall from a peak inside it."""
-    r = daily_returns(series).withColumns({"start": F.row_number().over(ordered()) - 1, "n": F.count("*").over(Window.partitionBy("series_id")), "g": F.collect_list(1 + F.col("r")).over(ordered().rowsBetween(0, block - 1))})
+def block_summaries(series: DataFrame, block: int = BLOCK, rests: tuple[int, ...] = ()) -> DataFrame:
+    """One row per series: n, and for each length in rests and the whole block an array over the starts of (growth, highest and lowest prefix, deepest fall)."""
+    g = F.collect_list(1 + F.col("r")).over(ordered().rowsBetween(0, block - 1))
+    r = daily_returns(series).withColumns({"start": F.row_number().over(ordered()) - 1, "n": F.count("*").over(Window.partitionBy("series_id")), "g": g})
     r = r.where((F.col("n") >= 120) & (F.col("start") < F.col("n") - block))
     first = F.struct(F.lit(1.0).alias("p"), F.lit(float("-inf")).alias("hi"), F.lit(float("inf")).alias("lo"), F.lit(0.0).alias("dd"))
 
-    def step(s, g):
-        p = s["p"] * g
+    def step(s, x):
+        p = s["p"] * x
         hi = F.greatest(s["hi"], p)
         return F.struct(p.alias("p"), hi.alias("hi"), F.least(s["lo"], p).alias("lo"), F.least(s["dd"], p / hi - 1).alias("dd"))
 
-    s = F.aggregate("g", first, step)
-    return r.select("series_id", "start", "n", s.alias("s")).select("series_id", "start", "n", F.col("s.p").alias("growth"), F.col("s.hi").alias("hi"), F.col("s.lo").alias("lo"), F.col("s.dd").alias("dd"))
+    lengths = {length: F.aggregate(F.slice("g", 1, length), first, step) for length in (*rests, block)}
+    r = r.select("series_id", "n", F.struct("start", *(s.alias(f"b{length}") for length, s in lengths.items())).alias("s"))
+    return r.groupBy("series_id", "n").agg(F.array_sort(F.collect_list("s")).alias("s")).select("series_id", "n", *(F.col(f"s.b{length}").alias(f"b{length}") for length in lengths))
 
 
-def block_bootstrap(series: DataFrame, years: tuple[int, ...] = (1, 3, 5), paths: int = 10_000, seed: int = 20260818, block: int = BLOCK) -> DataFrame:
+def _path(seed: int, name: int, length: int, block: int):
+    """A function from a path's number to its final value and deepest drawdown, by folding the blocks it draws."""
+    steps, rest = -(-length // block), length % block
+
+    def step(s, k):
+        start = F.pmod(F.conv(F.substring(s["text"], k * 8 + 1, F.lit(8)), 16, 10).cast("long"), F.col("n") - block).cast("int")
+        b = F.col(f"b{block}")[start]
+        if rest:
+            b = F.when(k == steps - 1, F.col(f"b{rest}")[start]).otherwise(b)
+        fall = F.least(s["before"] * b["lo"] / s["peak"] - 1, b["dd"])
+        return F.struct(s["text"].alias("text"), (s["before"] * b["p"]).alias("before"), F.greatest(s["peak"], s["before"] * b["hi"]).alias("peak"), F.least(s["dd"], fall).alias("dd"))
+
+    def path(p):
+        told = F.concat_ws(":", F.lit(str(seed)), F.col("series_id"), F.lit(str(name)), p.cast("string"))
+        digests = F.transform(F.sequence(F.lit(0), F.lit((steps - 1) // 4)), lambda q: F.md5(F.concat_ws(":", told, q.cast("string"))))
+        start = F.struct(F.array_join(digests, "").alias("text"), F.lit(1.0).alias("before"), F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("dd"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), start, step, lambda s: F.struct(s["before"].alias("final"), s["dd"].alias("dd")))
+
+    return path
+
+
+def block_bootstrap(series: DataFrame, years: tuple[int, ...] = (1, 3, 5), paths: int = 10_000, seed: int = SEED, block: int = BLOCK, days: tuple[int, ...] = (), chunk: int = 500) -> DataFrame:
     """series_id, years and the distribution of final value and deepest drawdown over paths of blocks drawn at random.
 
-    A path is a product of whole blocks, so it needs one row per block, not per day. Draws are hashes of seed, series, horizon, path and block.
+    A path is a product of blocks, so it needs one step per block, not per day; of a horizon that isn't whole blocks (days: other
+    horizons, by their number of days in the place of years) the last block is cut. Draws are hashes of seed, series, horizon, path and block, four from
+    each digest. A series' blocks are arrays, and a row folds the draws of `chunk` paths: no draw is a row of its own.
     """
-    assert all(y * TRADING_DAYS % block == 0 for y in years), "horizons are whole blocks"
-    blocks = block_summaries(series, block)
-    span = blocks.select("series_id", "n").distinct()
-    grid = span.select("*", F.explode(F.array(*map(F.lit, years))).alias("years")).select("*", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path"))
-    grid = grid.select("*", F.explode(F.expr(f"sequence(0, cast(years * {TRADING_DAYS} / {block} as int) - 1)")).alias("step"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "series_id", F.col("years").cast("string"), F.col("path").cast("string"), F.col("step").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = grid.select("series_id", "years", "path", "step", F.pmod(draw, F.col("n") - block).alias("start"))
-    p = drawn.join(blocks.drop("n"), ["series_id", "start"])
-    order = Window.partitionBy("series_id", "years", "path").orderBy("step")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    p = p.withColumn("before", F.coalesce(F.product("growth").over(earlier), F.lit(1.0)))
-    p = p.withColumn("peak", F.max(F.col("before") * F.col("hi")).over(earlier))
-    p = p.withColumn("fall", F.least(F.col("before") * F.col("lo") / F.col("peak") - 1, F.col("dd")))
-    ends = p.groupBy("series_id", "years", "path").agg(F.product("growth").alias("final"), F.min("fall").alias("dd"))
+    horizons = [(y, y * TRADING_DAYS) for y in years] + [(d, d) for d in days]
+    rests = tuple(sorted({d % block for _, d in horizons} - {0}))
+    blocks = block_summaries(series, block, rests)
+    ends = None
+    for name, length in horizons:
+        chunks = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(paths - 1), F.lit(chunk))).alias("low")).repartition("series_id", "low")
+        numbers = F.sequence("low", F.least(F.col("low") + chunk - 1, F.lit(paths - 1)))
+        own = chunks.select("series_id", F.lit(name).alias("years"), F.explode(F.transform(numbers, _path(seed, name, length, block))).alias("e")).select("series_id", "years", "e.*")
+        ends = own if ends is None else ends.unionByName(own)
     levels = F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95)))
-    q = ends.groupBy("series_id", "years").agg(F.percentile("final", levels).alias("q"), F.percentile("dd", F.array(F.lit(0.5), F.lit(0.05))).alias("d"))
     share = lambda t: F.avg(t.cast("double"))
     f = F.col("final")
-    out = ends.join(q, ["series_id", "years"]).groupBy("series_id", "years", "q", "d").agg(
-        share(f < 1).alias("p_loss"), share(f < 0.9).alias("p_below_90"), share(f > 1.2).alias("p_above_120"), F.avg(F.when(f <= F.col("q")[0], f)).alias("cvar_final"))
-    return out.select("series_id", "years", *(F.col("q")[i].alias(c) for i, c in enumerate(("p05", "p25", "p50", "p75", "p95"))), "p_loss", "p_below_90", "p_above_120", "cvar_final", F.col("d")[0].alias("dd_median"), F.col("d")[1].alias("dd_p05"))
+    # The mean below the 5 % quantile from the sorted finals of one pass.
+    out = ends.groupBy("series_id", "years").agg(
+        F.percentile("final", levels).alias("q"), F.percentile("dd", F.array(F.lit(0.5), F.lit(0.05))).alias("d"),
+        share(f < 1).alias("p_loss"), share(f < 0.9).alias("p_below_90"), share(f > 1.2).alias("p_above_120"), F.array_sort(F.collect_list("final")).alias("finals"))
+    low = F.filter("finals", lambda x: x <= F.col("q")[0])
+    cvar = F.aggregate(low, F.lit(0.0), lambda s, x: s + x) / F.size(low)
+    return out.select("series_id", "years", *(F.col("q")[i].alias(c) for i, c in enumerate(("p05", "p25", "p50", "p75", "p95"))), "p_loss", "p_below_90", "p_above_120", cvar.alias("cvar_final"), F.col("d")[0].alias("dd_median"), F.col("d")[1].alias("dd_p05"))

@@ -6,9 +6,6 @@ centred on their series' mean first, against cancellation.
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,25 +32,35 @@ def _variance(s1: str, s2: str, w: int) -> Column:
     return F.when(v > 1e-18, v).otherwise(F.lit(0.0))
 
 
-def rolling_moments(series: DataFrame, w: int) -> DataFrame:
-    """series_id, date, r, mean, sd over the last w returns."""
+def moments_of_windows(series: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """series_id, date, days, r, mean, sd over the last `days` returns, for every window in one pass over the running sums."""
     r = daily_returns(series).withColumn("mu", F.avg("r").over(_whole()))
     c = F.col("r") - F.col("mu")
-    out = trailing_sums(r, w, {"s1": c, "s2": c * c})
-    return out.select("series_id", "date", "r", (F.col("s1") / w + F.col("mu")).alias("mean"), F.sqrt(_variance("s1", "s2", w)).alias("sd"))
+    r = r.withColumns({"a1": F.sum(c).over(past()), "a2": F.sum(c * c).over(past()), "k": F.row_number().over(ordered())})
+    before = lambda x, w: F.coalesce(F.lag(x, w).over(ordered()), F.lit(0.0))
+    parts = [F.struct(F.lit(w).alias("days"), (F.col("a1") - before("a1", w)).alias("s1"), (F.col("a2") - before("a2", w)).alias("s2")) for w in windows]
+    rows = r.withColumn("w", F.array(*parts)).select("series_id", "date", "r", "mu", "k", F.explode("w").alias("w")).select("series_id", "date", "r", "mu", "k", "w.*").where("k >= days")
+    v = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("days")) / (F.col("days") - 1)
+    return rows.select("series_id", "date", "days", "r", (F.col("s1") / F.col("days") + F.col("mu")).alias("mean"), F.sqrt(F.when(v > 1e-18, v).otherwise(F.lit(0.0))).alias("sd"))
+
+
+def rolling_moments(series: DataFrame, w: int) -> DataFrame:
+    return moments_of_windows(series, (w,)).drop("days")
 
 
-def _weekly(df: DataFrame, name: str) -> DataFrame:
-    return period_last(df.withColumnRenamed(name, "value"), "week").withColumnRenamed("value", name)
+def _weekly(df: DataFrame, name: str, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    return period_last(df.withColumnRenamed(name, "value"), "week", keys).withColumnRenamed("value", name)
 
 
-def rolling_vol(series: DataFrame, w: int) -> DataFrame:
-    return _weekly(rolling_moments(series, w).select("series_id", "date", (F.col("sd") * TD**0.5).alias("vol")), "vol")
+def rolling_vol(series: DataFrame, *windows: int) -> DataFrame:
+    """series_id, days, period, vol: the last of each week, for each window."""
+    m = moments_of_windows(series, windows)
+    return _weekly(m.select("series_id", "days", "date", (F.col("sd") * TD**0.5).alias("vol")), "vol", ("series_id", "days"))
 
 
-def rolling_sharpe(series: DataFrame, w: int, rf: float = 0.0) -> DataFrame:
-    m = rolling_moments(series, w).where("sd > 0")
-    return _weekly(m.select("series_id", "date", ((F.col("mean") * TD - rf) / (F.col("sd") * TD**0.5)).alias("sharpe")), "sharpe")
+def rolling_sharpe(series: DataFrame, *windows: int, rf: float = 0.0) -> DataFrame:
+    m = moments_of_windows(series, windows).where("sd > 0")
+    return _weekly(m.select("series_id", "days", "date", ((F.col("mean") * TD - rf) / (F.col("sd") * TD**0.5)).alias("sharpe")), "sharpe", ("series_id", "days"))
 
 
 def rolling_sortino(series: DataFrame, w: int = 252, rf: float = 0.0) -> DataFrame:
@@ -80,33 +87,29 @@ def excess_cumulative(pairs: DataFrame) -> DataFrame:
     return pairs.select("portfolio", "benchmark", "date", (F.product(1 + F.col("p")).over(run) / F.product(1 + F.col("b")).over(run) - 1).alias("excess"))
 
 
-def _ewma(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The recursion itself: the one step of this kind that running sums can't take on long series."""
-    pdf = pdf.sort_values("date")
-    x = pdf.r.to_numpy()
-    out = np.empty(len(x))
-    v = x[0] ** 2 if len(x) else 0.0
-    for i in range(len(x)):
-        v = 0.94 * v + 0.06 * x[i] * x[i]
-        out[i] = v
-    return pd.DataFrame({"series_id": key[0], "date": pdf.date, "vol": np.sqrt(out * TD)})
-
+def ewma_vol(series: DataFrame, lam: float = 0.94, block: int = 256) -> DataFrame:
+    """series_id, date, vol: RiskMetrics' recursion v = lam v + (1 - lam) r^2, the present return included; v starts at the first return's square.
 
-def ewma_vol(series: DataFrame) -> DataFrame:
-    """series_id, date, vol: RiskMetrics' recursion with a factor of 0.94, the present return included."""
-    return daily_returns(series).groupBy("series_id").applyInPandas(_ewma, "series_id string, date date, vol double")
+    Within a block of rows the recursion is a running sum of r^2 / lam^i, scaled back: powers stay small. Each block then needs
+    the v that the one before ended with; these are folded over the few blocks of a series.
+    """
+    r = daily_returns(series).withColumn("k", F.row_number().over(ordered()) - 1)
+    r = r.withColumns({"block": F.floor(F.col("k") / block), "i": F.col("k") % block})
+    inside = Window.partitionBy("series_id", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("s", F.sum((1 - lam) * ret() * ret() * F.pow(F.lit(lam), -F.col("i"))).over(inside) * F.pow(F.lit(lam), F.col("i")))
+    ends = r.groupBy("series_id", "block").agg(F.max("i").alias("last"), F.max_by("s", "i").alias("s"), F.min_by("r", "i").alias("first"))
+    blocks = ends.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("block", "last", "s", "first"))).alias("b"))
+    blocks = blocks.withColumn("b", F.transform("b", lambda x, i: F.struct(x["block"].alias("block"), F.aggregate(
+        F.slice("b", 1, i), F.col("b")[0]["first"] * F.col("b")[0]["first"], lambda v, y: v * F.pow(F.lit(lam), y["last"] + 1) + y["s"]).alias("v"))))
+    before = blocks.select("series_id", F.explode("b").alias("b")).select("series_id", "b.*")
+    v = F.col("v") * F.pow(F.lit(lam), F.col("i") + 1) + F.col("s")
+    return r.join(before, ["series_id", "block"]).select("series_id", "date", F.sqrt(v * TD).alias("vol"))
 
 
 def vol_cone(series: DataFrame, windows: tuple[int, ...] = (21, 63, 126, 252)) -> DataFrame:
-    frames = []
-    for w in windows:
-        v = rolling_moments(series, w).withColumn("vol", F.col("sd") * TD**0.5)
-        own = v.groupBy("series_id").agg(F.count("*").alias("n"), F.percentile("vol", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"), F.max_by("vol", "date").alias("current"))
-        frames.append(own.where(F.col("n") >= 21).select("series_id", F.lit(w).alias("days"), *(F.col("q")[i].alias(c) for i, c in enumerate(("min", "p25", "median", "p75", "max"))), "current"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    v = moments_of_windows(series, windows).withColumn("vol", F.col("sd") * TD**0.5)
+    own = v.groupBy("series_id", "days").agg(F.count("*").alias("n"), F.percentile("vol", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"), F.max_by("vol", "date").alias("current"))
+    return own.where(F.col("n") >= 21).select("series_id", "days", *(F.col("q")[i].alias(c) for i, c in enumerate(("min", "p25", "median", "p75", "max"))), "current")
 
 
 def worst_windows(series: DataFrame, steps: tuple[int, ...] = (5, 21, 63, 126, 252)) -> DataFrame:

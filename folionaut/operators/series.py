@@ -61,6 +61,25 @@ def period_returns(series: DataFrame, freq: str, keys: tuple[str, ...] = ("serie
     return out.select(*keys, "period", (F.col("value") / F.col("before") - 1).alias("r"))
 
 
+def stepped_returns(series: DataFrame, freqs: tuple[str, ...] = ("week", "month", "quarter")) -> DataFrame:
+    """series_id, freq, r: the daily returns (freq day) and those of each period, from one pass over the series."""
+    ends = F.array(*(F.struct(F.lit(f).alias("freq"), period_end(f).alias("period")) for f in freqs))
+    rows = series.where("value is not null").select("series_id", "date", "value", F.explode(ends).alias("p")).select("series_id", "date", "value", "p.*")
+    last = rows.groupBy("series_id", "freq", "period").agg(F.max_by("value", "date").alias("value"))
+    order = Window.partitionBy("series_id", "freq").orderBy("period")
+    out = last.withColumns({"before": F.lag("value").over(order), "end": F.lag("period").over(order)})
+    due = None
+    for f in freqs:
+        test = (F.col("freq") == f) & (F.col("end") == _period_before(f, "period"))
+        due = test if due is None else due | test
+    return daily_returns(series).select("series_id", F.lit("day").alias("freq"), "r").unionByName(out.where(due).select("series_id", "freq", (F.col("value") / F.col("before") - 1).alias("r")))
+
+
+def weekly_index(benchmarks: DataFrame) -> DataFrame:
+    """portfolio, benchmark, period, value: the benchmark's last value of each week."""
+    return period_last(benchmarks, "week", ("portfolio", "benchmark"))
+
+
 def weekly_series(navs: DataFrame, capital: DataFrame) -> DataFrame:
     """portfolio, period, nav, index_pct (of the capital), drawdown: the last of each week that has rows."""
     dd = F.col("nav") / F.max("nav").over(past("portfolio")) - 1

@@ -1,28 +1,24 @@
 """Market data, portfolios and benchmarks derived from the given tables, for the queries.
 
-Prices, rates and dividends are sums of whole cents by day, so no order of summing can show. The specs are fixed.
+Every two suppliers are a symbol, every hundred customers a portfolio, every region a benchmark: the number of series and holdings
+grows with the tables. Prices, rates and dividends are sums of whole cents by day, so no order of summing can show.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import market, nav
-from ..operators.series import daily_returns
+from ..operators.series import analysis_windows, daily_returns, windowed
+from ..sources.files import stored
 
 BASE = "CHF"
-INCEPTION = "1995-02-01"
-#: Portfolio, symbol, currency, shares, currency of the quote.
-HOLDINGS = (
-    ("P1", "S0", "CHF", 100, "CHF"), ("P1", "S1", "USD", 200, "USD"), ("P1", "S2", "EUR", 150, "USD"),
-    ("P1", "S3", "USD", 80, "USD"), ("P1", "S4", "CHF", 60, "CHF"), ("P1", "S5", "USD", 40, "USD"),
-    ("P2", "S0", "CHF", 250, "CHF"), ("P2", "S1", "USD", 120, "USD"), ("P2", "S2", "EUR", 90, "USD"),
-    ("P2", "S3", "USD", 50, "USD"), ("P2", "S4", "CHF", 30, "CHF"),
-)
-#: Benchmark, symbol, weight, currency.
-LEGS = (("B1", "S6", 1.0, "USD"), ("B2", "S6", 0.6, "USD"), ("B2", "S7", 0.4, "CHF"), ("B3", "S7", 1.0, "GBp"))
+INCEPTION = "1995-02-01"  # of the first portfolio; others begin up to 89 days later
 COST_PX = 100.0
+#: The lines of orders that are purchases of a holding, and days on which it pays dividends.
+LOTS = "l_returnflag = 'R' and l_linenumber = 7 and l_discount >= 0.095e0"
+DISCLAIMER = "Derived from synthetic orders; no advice."
 
 
 def _cents(column: str):
@@ -33,10 +29,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _symbol(column: str = "l_suppkey"):
+    return F.concat(F.lit("S"), F.expr(f"{column} div 2").cast("string"))
+
+
+def _ccy(number):
+    return F.when(number % 3 == 0, "CHF").when(number % 3 == 1, "USD").otherwise("EUR")
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "lineitem")
-    symbol = F.concat(F.lit("S"), (F.col("l_suppkey") % 8).cast("string")).alias("symbol")
-    sums = lines.groupBy(symbol, F.to_date("l_shipdate").alias("date")).agg((_cents("l_extendedprice") / F.count("*")).alias("x"))
+    sums = _read(spark, sf_dir, "lineitem").groupBy(_symbol().alias("symbol"), F.to_date("l_shipdate").alias("date")).agg((_cents("l_extendedprice") / F.count("*")).alias("x"))
     return sums.select("symbol", "date", (50 + F.col("x") / 100000.0).alias("close"))
 
 
@@ -49,44 +51,58 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_linenumber = 7 and l_discount >= 0.095e0")
-    symbol = F.concat(F.lit("S"), (F.col("l_suppkey") % 8).cast("string")).alias("symbol")
-    return lines.groupBy(symbol, F.to_date("l_shipdate").alias("date")).agg((_cents("l_tax") / 100.0).alias("amount"))
+    lines = _read(spark, sf_dir, "lineitem").where(LOTS)
+    return lines.groupBy(_symbol().alias("symbol"), F.to_date("l_shipdate").alias("date")).agg((_cents("l_tax") / 100.0).alias("amount"))
 
 
-def _values(spark: SparkSession, rows, *columns: str) -> DataFrame:
-    """A few fixed rows; as SQL values, so that equal plans are seen as equal and cached once."""
-    text = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else f"{x}L" for x in r) + ")" for r in rows)
-    return spark.sql(f"select * from values {text} as t({', '.join(columns)})")
+def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """portfolio, symbol, ccy, shares, cost_px, cost_ccy, cost_amount, quote_ccy: what each hundred customers bought."""
+    lines = _read(spark, sf_dir, "lineitem").where(LOTS).select("l_orderkey", F.expr("l_suppkey div 2").alias("number"), "l_quantity")
+    bought = lines.join(_read(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_custkey div 100").alias("desk")), F.col("l_orderkey") == F.col("o_orderkey"))
+    lots = bought.groupBy("desk", "number").agg(F.sum(F.col("l_quantity").cast("long")).alias("shares"))
+    ccy = _ccy(F.col("number"))
+    return lots.select(
+        F.concat(F.lit("P"), F.col("desk").cast("string")).alias("portfolio"), F.concat(F.lit("S"), F.col("number").cast("string")).alias("symbol"),
+        ccy.alias("ccy"), "shares", F.lit(COST_PX).alias("cost_px"), ccy.alias("cost_ccy"), (F.col("shares") * COST_PX).alias("cost_amount"),
+        F.when(F.col("number") % 7 == 2, "USD").otherwise(ccy).alias("quote_ccy"),
+    )
 
 
-def holdings(spark: SparkSession) -> DataFrame:
-    rows = [(p, s, c, n, COST_PX, c, n * COST_PX, q) for p, s, c, n, q in HOLDINGS]
-    return _values(spark, rows, "portfolio", "symbol", "ccy", "shares", "cost_px", "cost_ccy", "cost_amount", "quote_ccy")
+def portfolios(held: DataFrame) -> DataFrame:
+    """portfolio, label, base_ccy, inception."""
+    desk = F.substring("portfolio", 2, 20).cast("int")
+    start = F.date_add(F.lit(INCEPTION).cast("date"), desk % 90)
+    return held.select("portfolio").distinct().select("portfolio", F.concat(F.lit("Desk "), desk.cast("string")).alias("label"), F.lit(BASE).alias("base_ccy"), start.alias("inception"))
 
 
-def portfolios(spark: SparkSession) -> DataFrame:
-    names = sorted({h[0] for h in HOLDINGS})
-    return _values(spark, [(p, BASE, INCEPTION) for p in names], "portfolio", "base_ccy", "inception").withColumn("inception", F.to_date("inception"))
+def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark, symbol, weight, ccy: of each region the two first symbols; one region is quoted in pence, one in dollars."""
+    of = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    of = of.select("n_regionkey", F.expr("s_suppkey div 2").alias("number")).distinct()
+    of = of.withColumn("k", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("number"))).where("k <= 2")
+    ccy = F.when(F.col("n_regionkey") == 3, "GBp").when(F.col("n_regionkey") == 1, "USD").otherwise(_ccy(F.col("number")))
+    return of.select(F.concat(F.lit("B"), F.col("n_regionkey").cast("string")).alias("benchmark"), F.concat(F.lit("S"), F.col("number").cast("string")).alias("symbol"), F.when(F.col("k") == 1, 0.6).otherwise(0.4).alias("weight"), ccy.alias("ccy"))
 
 
-def legs(spark: SparkSession) -> DataFrame:
-    return _values(spark, LEGS, "benchmark", "symbol", "weight", "ccy")
+def members(ports: DataFrame) -> DataFrame:
+    """portfolio, benchmark: each portfolio names two."""
+    desk = F.substring("portfolio", 2, 20).cast("int")
+    return ports.select("portfolio", F.explode(F.array(desk % 5, (desk + 2) % 5)).alias("region")).select("portfolio", F.concat(F.lit("B"), F.col("region").cast("string")).alias("benchmark"))
 
 
-class Book:
-    """The frames of one run, each built once and lazily.
+#: Frames that several branches of a plan read.
+STORED = ("prices", "holdings", "rates", "components", "nav", "series", "benchmarks", "pairs", "windows", "windowed", "capital")
 
-    What several branches of a plan read is cached (in memory, on disk beyond it; a lost part is computed again).
-    """
+
+class Book:
+    """The frames of one run, each built once, when it is first asked for; those in STORED are written tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
     def _get(self, name: str, make) -> DataFrame:
         if name not in self._made:
-            made = make()
-            self._made[name] = made.cache() if name in ("prices", "rates", "components", "nav", "series", "benchmarks", "pairs") else made
+            self._made[name] = stored(make()) if name in STORED else make()
         return self._made[name]
 
     @property
@@ -103,15 +119,15 @@ class Book:
 
     @property
     def holdings(self) -> DataFrame:
-        return self._get("holdings", lambda: holdings(self.spark))
+        return self._get("holdings", lambda: holdings(self.spark, self.sf_dir))
 
     @property
     def portfolios(self) -> DataFrame:
-        return self._get("portfolios", lambda: portfolios(self.spark))
+        return self._get("portfolios", lambda: portfolios(self.holdings))
 
     @property
     def legs(self) -> DataFrame:
-        return self._get("legs", lambda: legs(self.spark))
+        return self._get("legs", lambda: legs(self.spark, self.sf_dir))
 
     @property
     def rates(self) -> DataFrame:
@@ -142,7 +158,7 @@ class Book:
 
     @property
     def benchmarks(self) -> DataFrame:
-        return self._get("benchmarks", lambda: nav.benchmark_nav(self.legs, self.prices, self.rates, BASE, self.nav))
+        return self._get("benchmarks", lambda: nav.benchmark_nav(self.legs, members(self.portfolios), self.prices, self.rates, BASE, self.nav))
 
     @property
     def benchmark_returns(self) -> DataFrame:
@@ -151,3 +167,12 @@ class Book:
     @property
     def pairs(self) -> DataFrame:
         return self._get("pairs", lambda: nav.benchmark_pairs(daily_returns(self.nav_series), self.benchmark_returns))
+
+    @property
+    def windows(self) -> DataFrame:
+        return self._get("windows", lambda: analysis_windows(self.nav_series))
+
+    @property
+    def windowed(self) -> DataFrame:
+        """The NAVs of every window of every portfolio, each a series of its own."""
+        return self._get("windowed", lambda: windowed(self.nav_series, self.windows).select("series_id", "date", "value"))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 
-from .fixtures import BASE, COST_PX, HOLDINGS, INCEPTION, LEGS
+from .fixtures import BASE, COST_PX, INCEPTION, LOTS
 
-_values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}" for x in r) + ")" for r in rows)
 PAST = "rows between unbounded preceding and current row"
 FUTURE = "rows between current row and unbounded following"
 WEEK = "(date + cast((12 - isodow(date)) % 7 as int))::date"
@@ -15,33 +14,39 @@ BEFORE = {"week": "(period - 7)::date", "month": "last_day((period - interval 1
 
 #: Common tables by name; those that one mentions come before it.
 TABLES = {
-    "px": """select concat('S', cast(l_suppkey % 8 as varchar)) as symbol, cast(l_shipdate as date) as date,
+    "px": """select concat('S', cast(l_suppkey // 2 as varchar)) as symbol, cast(l_shipdate as date) as date,
         50 + (sum(cast(round(l_extendedprice*100) as bigint))*1.0e0 / count(*)) / 100000.0e0 as close from lineitem group by 1, 2""",
     "quotes": f"""select case o_orderstatus when 'F' then 'USD' when 'O' then 'EUR' else 'GBP' end as ccy, '{BASE}' as base, cast(o_orderdate as date) as date,
         0.8e0 + (sum(cast(round(o_totalprice*100) as bigint))*1.0e0 / count(*)) / 250000000.0e0 as rate from orders group by 1, 2, 3""",
-    "dividends": """select concat('S', cast(l_suppkey % 8 as varchar)) as symbol, cast(l_shipdate as date) as date,
+    "dividends": f"""select concat('S', cast(l_suppkey // 2 as varchar)) as symbol, cast(l_shipdate as date) as date,
         sum(cast(round(l_tax*100) as bigint))*1.0e0 / 100.0e0 as amount from lineitem
-        where l_returnflag = 'R' and l_linenumber = 7 and l_discount >= 0.095e0 group by 1, 2""",
-    "hold": f"""select portfolio, symbol, ccy, shares, {COST_PX}e0 as cost_px, ccy as cost_ccy, shares * {COST_PX}e0 as cost_amount, quote_ccy
-        from (values {_values(HOLDINGS)}) v(portfolio, symbol, ccy, shares, quote_ccy)""",
-    "ports": f"select distinct portfolio, '{BASE}' as base_ccy, date '{INCEPTION}' as inception from hold",
-    "legs": f"select benchmark, symbol, weight::double as weight, ccy from (values {_values(LEGS)}) v(benchmark, symbol, weight, ccy)",
-    "cal": "select distinct portfolio, date from hold join px using (symbol)",
+        where {LOTS} group by 1, 2""",
+    "lots": f"""select o_custkey // 100 as desk, l_suppkey // 2 as number, sum(l_quantity::bigint)::bigint as shares, case (l_suppkey // 2) % 3 when 0 then 'CHF' when 1 then 'USD' else 'EUR' end as own
+        from lineitem join orders on l_orderkey = o_orderkey where {LOTS} group by 1, 2, 4""",
+    "hold": f"""select 'P' || desk as portfolio, 'S' || number as symbol, own as ccy, shares, {COST_PX}e0 as cost_px, own as cost_ccy, shares * {COST_PX}e0 as cost_amount,
+        case when number % 7 = 2 then 'USD' else own end as quote_ccy from lots""",
+    "ports": f"select distinct 'P' || desk as portfolio, 'Desk ' || desk as label, '{BASE}' as base_ccy, (date '{INCEPTION}' + (desk % 90)::int)::date as inception from lots",
+    "legs": """select 'B' || region as benchmark, 'S' || number as symbol, case when k = 1 then 0.6e0 else 0.4e0 end as weight,
+        case when region = 3 then 'GBp' when region = 1 then 'USD' else case number % 3 when 0 then 'CHF' when 1 then 'USD' else 'EUR' end end as ccy
+        from (select *, row_number() over (partition by region order by number) as k from (select distinct n_regionkey as region, s_suppkey // 2 as number from supplier join nation on s_nationkey = n_nationkey)) where k <= 2""",
+    "members": "select distinct 'P' || desk as portfolio, 'B' || (desk % 5) as benchmark from lots union select distinct 'P' || desk, 'B' || ((desk + 2) % 5) from lots",
+    "cal": "select distinct portfolio, date from hold join px using (symbol) join ports using (portfolio) where date >= inception - 12",
     "aligned": """select c.portfolio, h.symbol, c.date, px.close, coalesce(d.amount, 0.0e0) as amount from cal c join hold h using (portfolio)
         left join px on px.symbol = h.symbol and px.date = c.date left join dividends d on d.symbol = h.symbol and d.date = c.date""",
     "filled": f"""select portfolio, symbol, date, last_value(close ignore nulls) over (partition by portfolio, symbol order by date {PAST}) as close, amount from aligned""",
-    "live": f"select * from filled where date >= date '{INCEPTION}'",
+    "live": "select filled.* from filled join ports using (portfolio) where date >= inception",
     "rates": f"""select ccy, date, rate from (select c.ccy, d.date, last_value(q.rate ignore nulls) over (partition by c.ccy order by d.date {PAST}) as rate
         from (select distinct ccy from quotes) c cross join (select distinct date from quotes) d left join quotes q on q.ccy = c.ccy and q.date = d.date) where rate is not null""",
     "fx": f"""select portfolio, ccy, date, case when ccy = '{BASE}' then 1.0e0 else coalesce(
           last_value(rate ignore nulls) over (partition by portfolio, ccy order by date {PAST}), first_value(rate ignore nulls) over (partition by portfolio, ccy order by date {FUTURE})) end as rate
         from (select l.portfolio, h.ccy, l.date, r.rate from (select distinct portfolio, date from live) l
           join (select portfolio, ccy from hold union select portfolio, quote_ccy from hold) h using (portfolio) left join rates r on r.ccy = h.ccy and r.date = l.date)""",
-    "comp": "select l.portfolio, l.symbol, l.date, h.ccy, h.shares, l.close, l.amount, f.rate, l.close * f.rate * h.shares as value from live l join hold h using (portfolio, symbol) join fx f on f.portfolio = l.portfolio and f.ccy = h.ccy and f.date = l.date",
-    "cash": f"select portfolio, date, coalesce(sum(paid) over (partition by portfolio order by date {PAST}), 0.0e0) as cash from (select portfolio, date, sum(amount * rate * shares) as paid from comp group by 1, 2)",
+    "comp0": "select l.portfolio, l.symbol, l.date, h.ccy, h.shares, l.close, l.amount, f.rate, l.close * f.rate * h.shares as value from live l join hold h using (portfolio, symbol) join fx f on f.portfolio = l.portfolio and f.ccy = h.ccy and f.date = l.date",
+    "cash": f"select portfolio, date, coalesce(sum(paid) over (partition by portfolio order by date {PAST}), 0.0e0) as cash from (select portfolio, date, sum(amount * rate * shares) as paid from comp0 group by 1, 2)",
+    "comp": "select * from comp0",
     "days": "select portfolio, min(date) as first_day, max(date) as last_day from live group by 1",
     "cap": "select h.portfolio, d.first_day, sum(h.cost_amount * f.rate) as capital from hold h join days d using (portfolio) join fx f on f.portfolio = h.portfolio and f.ccy = h.cost_ccy and f.date = d.first_day group by 1, 2",
-    "nav": """select portfolio, date, held + cash as nav, cash from (select portfolio, date, sum(coalesce(value, 0.0e0)) as held from comp group by 1, 2) join cash using (portfolio, date)
+    "nav": """select portfolio, date, held + cash as nav, cash from (select portfolio, date, sum(coalesce(value, 0.0e0)) as held from comp0 group by 1, 2) join cash using (portfolio, date)
         union all select portfolio, first_day - 1, capital, 0.0e0 from cap""",
     "ns": "select portfolio as series_id, date, nav as value from nav",
     "s": f"select series_id, date, value from ns union all select symbol, date, close from px where date >= date '{INCEPTION}'",
@@ -69,14 +74,15 @@ TABLES = {
     "bleg2": "select b.symbol, b.quoted, b.date, b.close * f.rate as leg from bleg1 b join bfx f using (ccy, date)",
     "bleg3": f"""select n.portfolio, l.benchmark, l.symbol, l.weight, n.date, coalesce(last_value(b.leg ignore nulls) over (partition by n.portfolio, l.benchmark, l.symbol order by n.date {PAST}),
           first_value(b.leg ignore nulls) over (partition by n.portfolio, l.benchmark, l.symbol order by n.date {FUTURE})) as v
-        from nav n cross join legs l left join bleg2 b on b.symbol = l.symbol and b.quoted = l.ccy and b.date = n.date""",
+        from nav n join members m on m.portfolio = n.portfolio join legs l on l.benchmark = m.benchmark left join bleg2 b on b.symbol = l.symbol and b.quoted = l.ccy and b.date = n.date""",
     "bmix": f"select portfolio, benchmark, date, sum(part) as mix from (select *, weight * v / first_value(v) over (partition by portfolio, benchmark, symbol order by date {PAST}) as part from bleg3) group by 1, 2, 3",
-    "bench": f"select portfolio, benchmark, date, mix / first_value(mix) over (partition by portfolio, benchmark order by date {PAST}) * 100 as value from bmix",
+    "bench0": f"select portfolio, benchmark, date, mix / first_value(mix) over (partition by portfolio, benchmark order by date {PAST}) * 100 as value from bmix",
+    "bench": "select * from bench0",
     "br": "select portfolio, benchmark, date, r as b from (select portfolio, benchmark, date, value / lag(value) over (partition by portfolio, benchmark order by date) - 1 as r from bench) where r is not null",
     "pairs": "select br.portfolio, br.benchmark, br.date, r.r as p, br.b from br join r on r.series_id = br.portfolio and r.date = br.date",
     "cr0": "select portfolio, symbol, date, value, value / lag(value) over (partition by portfolio, symbol order by date) - 1 as r from comp",
     "cr": """select portfolio, symbol, date, r, count(*) over (partition by portfolio, symbol) as rows from (select *, count(r) over (partition by portfolio, date) as have from cr0)
-        join (select portfolio, count(distinct symbol) as size from hold group by 1) using (portfolio) where have = size""",
+        join (select portfolio, count(distinct symbol) as size from comp group by 1) using (portfolio) where have = size""",
     "cov": "select a.portfolio, a.symbol as i, b.symbol as j, covar_samp(a.r, b.r) * 252 as cov from cr a join cr b using (portfolio, date) where a.rows >= 60 group by 1, 2, 3",
     "win0": "select series_id, date, row_number() over (partition by series_id order by date) - 1 as k from ns",
     "win1": """select series_id, min(date) as d0, max(date) as d1, max(k) as last from win0 group by 1""",

@@ -5,8 +5,6 @@ Results are rounded, in Spark and in SQL alike: sums of floats differ in the las
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +15,11 @@ from ..operators import drawdown, market, metrics, nav, risk, rolling, series
 from ..sources import files
 from . import fixtures
 from .fixtures import BASE, Book
-from .oracle import PAST, with_tables
+from .oracle import PAST, PERIOD, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+PARTS: dict[str, tuple[str, list[str], dict[str, str]]] = {}  # of each query with SQL: the SQL itself, rounded columns, own tables
 TD = 252
 ROOT = "sqrt(252.0e0)"
 
@@ -35,16 +34,12 @@ def query(name: str, make: Callable[[Book], DataFrame], sql: str | None, doubles
     run.__name__ = name
     QUERIES[name] = run
     if sql is not None:
+        PARTS[name] = (sql, own, tables)
         rounded = ", ".join(f"round({c}, {digits}) + 0.0e0 as {c}" for c in own)
         ORACLE_SQL[name] = with_tables(f"select * {f'replace ({rounded})' if own else ''} from ({sql}) result", **tables)
 
 
 # --- sources, cleaning, calendars ----------------------------------------------------------------------------
-def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/folionaut-{uuid.uuid4().hex}"
-
-
 def _specs(b: Book) -> DataFrame:
     """Specs made of suppliers by nation, written as JSON and read back."""
     supplier, nation = (b.spark.read.parquet(f"{b.sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
@@ -55,41 +50,86 @@ def _specs(b: Book) -> DataFrame:
         (s("s_suppkey") % 100 + 1).cast("long").alias("shares"), cost.alias("cost_px"), F.lit("CHF").alias("cost_ccy"),
     )
     specs = supplier.join(nation, s("s_nationkey") == s("n_nationkey")).groupBy(s("n_name").alias("portfolio")).agg(F.collect_list(holding).alias("holdings"))
-    path = _scratch(b.spark)
+    path = files.scratch(b.spark)
     specs.withColumns({"inception": F.lit("1995-02-01"), "base_currency": F.lit("CHF")}).write.json(path)
     return files.read_specs(b.spark, path)[1].select("portfolio", "inception", "symbol", "name", "kind", "ccy", "shares", "cost_px", "cost_ccy")
 
 
 query("read_specs", _specs, """select n_name as portfolio, date '1995-02-01' as inception, 'S' || s_suppkey as symbol, s_name as name, 'equity' as kind, 'CHF' as ccy,
     (s_suppkey % 100 + 1)::bigint as shares, s_acctbal as cost_px, 'CHF' as cost_ccy from supplier join nation on s_nationkey = n_nationkey""", "cost_px", 2)
-query("read_market", lambda b: market.read_market(b.prices, b.holdings, b.portfolios),
-      "select symbol, date, close from px where symbol in (select symbol from hold) and date >= (select min(inception) from ports) - 12")
 
 
-def _published(b: Book) -> DataFrame:
-    path = _scratch(b.spark)
-    files.write_outputs(b.spark, path, _registry(b), files.series_documents(b.nav, b.components))
-    back = b.spark.read.json(f"{path}/series")
-    return back.select("portfolio", F.size("date").alias("n"), F.element_at("date", 1).cast("date").alias("first_date"), F.element_at("nav", -1).alias("last_nav"), F.size(F.expr("components.S0")).alias("s0_points"))
+def _market(b: Book) -> DataFrame:
+    """Closes, dividends and rates in use, one under the other."""
+    used = market.currency_universe(b.holdings, b.legs, BASE)
+    closes, paid, quotes = market.read_market(fixtures.prices(b.spark, b.sf_dir), b.dividends, b.quotes, b.holdings, b.portfolios, used)
+    kind = lambda df, name, key, value: df.select(F.lit(name).alias("kind"), F.col(key).alias("key"), "date", F.col(value).alias("value"))
+    return kind(closes, "close", "symbol", "close").unionByName(kind(paid, "dividend", "symbol", "amount")).unionByName(kind(quotes, "rate", "ccy", "rate"))
+
+
+query("read_market", _market, """select 'close' as kind, symbol as key, date, close as value from px join need using (symbol) where date >= since
+    union all select 'dividend', symbol, date, amount from dividends join need using (symbol) where date >= since
+    union all select 'rate', ccy, date, rate from quotes where date >= (select min(inception) from ports) - 12 and ccy in (
+      select ccy from hold union select cost_ccy from hold union select case when ccy in ('GBp', 'GBX') then 'GBP' else ccy end from legs)""",
+      need="select symbol, min(inception) - 12 as since from hold join ports using (portfolio) group by 1")
+
+
+def _payload(b: Book) -> DataFrame:
+    """Everything that is published of a portfolio, nested."""
+    of = lambda df: df.withColumnRenamed("series_id", "portfolio")
+    summary = metrics.summary_stats(b.nav_series)
+    low = of(drawdown.max_drawdown(b.nav_series)).select("portfolio", "max_dd_date")
+    heads = files.registry(b.nav, b.capital, summary, b.portfolios).join(low, "portfolio")
+    weekly = series.weekly_series(b.nav, b.capital)
+    returns = risk.component_returns(b.components)
+    wide = of(series.monthly_matrix(b.nav_series))
+    children = {
+        "weekly": weekly, "bench_index_weekly": series.weekly_index(b.benchmarks), "monthly_pct": of(series.period_returns(b.nav_series, "month")),
+        "monthly_matrix": wide, "annual": of(series.annual_returns(b.nav_series)), "rolling12": of(series.rolling_compound(b.nav_series, 12)),
+        "rolling_vol": of(rolling.rolling_vol(b.nav_series, 30, 60, 90, 252)), "rolling_sharpe": of(rolling.rolling_sharpe(b.nav_series, 126, 252)),
+        "episodes": of(drawdown.drawdown_episodes(b.nav_series)), "correlations": risk.corr_matrix(returns), "correlations_bench": risk.corr_benchmark(returns, b.benchmark_returns),
+        "holdings": nav.positions(b.components, b.holdings, b.rates, BASE, b.nav), "benchmarks": risk.benchmark_metrics(b.pairs, b.nav_series, b.benchmarks),
+    }
+    return files.payload_documents(heads, children)
 
 
-query("write_outputs", _published, """select portfolio, count(*)::int as n, min(date) as first_date, arg_max(nav, date) as last_nav,
-    (select count(*) from comp c where c.portfolio = nav.portfolio and symbol = 'S0')::int as s0_points from nav group by portfolio""", "last_nav", 4)
+def _published(b: Book) -> DataFrame:
+    """Series, payload and registry are written, read back and summed up."""
+    path = files.scratch(b.spark)
+    files.write_outputs(b.spark, path, _registry(b), files.series_documents(b.nav, b.components), _payload(b), fixtures.DISCLAIMER)
+    read = lambda name: b.spark.read.json(f"{path}/{name}")
+    lines = read("series").select("portfolio", F.size("date").alias("n"), F.element_at("date", 1).cast("date").alias("first_date"), F.element_at("nav", -1).alias("last_nav"))
+    sizes = {"weeks": "weekly", "bench_weeks": "bench_index_weekly", "months": "monthly_pct", "years": "annual", "rolled": "rolling12", "falls": "episodes", "pairs": "correlations", "bench_pairs": "correlations_bench", "held": "holdings"}
+    own = read("payload").select("portfolio", F.col("asof").cast("date").alias("asof"), F.col("metrics.total").alias("total"), F.expr("weekly[size(weekly) - 1].index_pct").alias("last_index"), *(F.size(c).alias(n) for n, c in sizes.items()))
+    listed = read("registry").where("generated is not null and disclaimer is not null").select("portfolio", "label", F.col("metrics.sharpe").alias("sharpe"))
+    return lines.join(own, "portfolio").join(listed, "portfolio")
+
+
+query("write_outputs", _published, f"""select n.portfolio, n.days as n, n.first_date, n.last_nav, n.d1 as asof, g.total, n.last_nav / c.capital * 100 as last_index, weeks, bench_weeks, months, y.years, rolled, least(falls, 8)::int as falls, pairs, bench_pairs, held, p.label,
+      case when v.sd > 0 then v.mu / v.sd * {ROOT} else 0 end as sharpe
+    from (select portfolio, count(*)::int as days, min(date) as first_date, max(date) as d1, arg_max(nav, date) as last_nav from nav group by 1) n join g on g.series_id = n.portfolio join cap c using (portfolio) join ports p using (portfolio)
+    join (select series_id as portfolio, count(*)::int as weeks from last_week group by 1) using (portfolio)
+    join (select portfolio, count(*)::int as bench_weeks from (select distinct portfolio, benchmark, {PERIOD['week']} as period from bench) group by 1) using (portfolio)
+    join (select series_id as portfolio, count(*)::int as months, greatest(count(*) - 11, 0)::int as rolled from r_month group by 1) using (portfolio)
+    join (select series_id as portfolio, count(*)::int as years from last_year group by 1) y using (portfolio) join (select series_id as portfolio, count(*) as falls from episodes group by 1) using (portfolio)
+    join (select portfolio, count(*)::int as held, (count(*) * (count(*) + 1) / 2)::int as pairs, (count(*) * (select count(*) from members m join (select distinct benchmark from legs) using (benchmark) where m.portfolio = h.portfolio))::int as bench_pairs from hold h group by 1) using (portfolio)
+    join (select series_id as portfolio, avg(r) as mu, stddev_samp(r) as sd from r group by 1) v using (portfolio)""", "last_nav total last_index sharpe", 4)
 
 
 def _registry(b: Book) -> DataFrame:
     return files.registry(b.nav, b.capital, metrics.summary_stats(b.nav_series), b.portfolios)
 
 
-query("registry", _registry, f"""select p.portfolio, p.base_ccy, p.inception, g.d1 as asof, g.v1 as nav_last, c.capital, g.total, g.cagr, v.sd * {ROOT} as vol,
+query("registry", lambda b: _registry(b).select("portfolio", "label", "base_ccy", "inception", "asof", "capital", *(f"metrics.{c}" for c in ("nav_last", "total", "cagr", "vol", "sharpe", "calmar", "max_dd", "months_n", "rolling12_n"))),
+      f"""select p.portfolio, p.label, p.base_ccy, p.inception, g.d1 as asof, g.v1 as nav_last, c.capital, g.total, g.cagr, v.sd * {ROOT} as vol,
     case when v.sd > 0 then v.mu / v.sd * {ROOT} else 0 end as sharpe, case when m.max_dd < 0 then g.cagr / abs(m.max_dd) else 0 end as calmar, m.max_dd,
     (select count(*) from r_month x where x.series_id = p.portfolio) as months_n, (select greatest(count(*) - 11, 0) from r_month x where x.series_id = p.portfolio) as rolling12_n
     from ports p join g on g.series_id = p.portfolio join cap c using (portfolio) join mdd m on m.series_id = p.portfolio
     join (select series_id, avg(r) as mu, stddev_samp(r) as sd from r group by 1) v on v.series_id = p.portfolio""", "nav_last capital total cagr vol sharpe calmar max_dd", 4)
 query("normalize_bars", lambda b: market.normalize_bars(b.spark.read.parquet(f"{b.sf_dir}/events.parquet"), "user_id", "ts", "value", "event_id"),
       "select user_id as symbol, ts::date as date, arg_max(value, (ts, event_id)) as close from events group by 1, 2")
-query("align_calendar", lambda b: market.align_calendar(b.holdings, b.prices, b.dividends), "select portfolio, symbol, date, close, amount from aligned")
-query("ffill_prices", lambda b: market.ffill(market.align_calendar(b.holdings, b.prices, b.dividends), ["portfolio", "symbol"], "close").select("portfolio", "symbol", "date", "close"),
+query("align_calendar", lambda b: market.align_calendar(b.holdings, b.prices, b.dividends, b.portfolios), "select portfolio, symbol, date, close, amount from aligned")
+query("ffill_prices", lambda b: market.ffill(market.align_calendar(b.holdings, b.prices, b.dividends, b.portfolios), ["portfolio", "symbol"], "close").select("portfolio", "symbol", "date", "close"),
       "select portfolio, symbol, date, close from filled")
 _INVERTED = "select * from quotes where ccy <> 'GBP' union all select base as ccy, 'GBP' as base, date, 1 / rate as rate from quotes where ccy = 'GBP'"
 
@@ -122,7 +162,7 @@ query("currency_universe", lambda b: market.currency_universe(b.holdings, b.legs
       f"""select u.ccy, days from (select ccy from hold union select cost_ccy from hold union select case when ccy in ('GBp', 'GBX') then 'GBP' else ccy end from legs) u
       left join (select ccy, count(*) as days from quotes group by 1) q using (ccy) where u.ccy <> '{BASE}'""")
 query("live_filter", lambda b: nav.filled_spine(b.holdings, b.portfolios, b.prices, b.dividends), "select portfolio, symbol, date, close, amount from live")
-query("analysis_window", lambda b: series.analysis_windows(b.nav_series), 'select series_id, "window", lo, hi from windows')
+query("analysis_window", lambda b: b.windows, 'select series_id, "window", lo, hi from windows')
 query("rebase_100", lambda b: series.rebase_100(b.series), f"select series_id, date, value / first_value(value) over (partition by series_id order by date {PAST}) * 100 as value from s", "value")
 query("thin_series", lambda b: series.thin_series(b.prices.select(F.col("symbol").alias("series_id"), "date", F.col("close").alias("value"))),
       """select series_id, date, value from (select symbol as series_id, date, close as value, row_number() over (partition by symbol order by date) - 1 as k, count(*) over (partition by symbol) as n from px)
@@ -144,8 +184,8 @@ query("positions", lambda b: nav.positions(b.components, b.holdings, b.rates, BA
     join (select h.portfolio, h.symbol, case when h.ccy = h.quote_ccy then 1.0e0 else a.rate / b.rate end as q, h.cost_amount * e.rate as cb from hold h join days d using (portfolio)
       join fx a on a.portfolio = h.portfolio and a.ccy = h.ccy and a.date = d.last_day join fx b on b.portfolio = h.portfolio and b.ccy = h.quote_ccy and b.date = d.last_day
       join fx e on e.portfolio = h.portfolio and e.ccy = h.cost_ccy and e.date = d.first_day) y using (portfolio, symbol)""",
-      "last_px pl_pct pl_base_pct value cost_base contrib_pp weight_now_pct weight_cost_pct vol_pct max_dd_pct", 4)
-query("attribution_window", lambda b: series.attribution_window(b.components.select("portfolio", "symbol", "date", "value"), b.nav, series.analysis_windows(b.nav_series)), f"""select c.portfolio, c."window", c.symbol, c0 / n0 as weight_start, c1 / n1 as weight_end, c1 / n1 - c0 / n0 as drift, c1 / c0 - 1 as r,
+      "last_px pl_pct pl_base_pct value cost_base contrib_pp weight_now_pct weight_cost_pct vol_pct max_dd_pct", 2)
+query("attribution_window", lambda b: series.attribution_window(b.components.select("portfolio", "symbol", "date", "value"), b.nav, b.windows), f"""select c.portfolio, c."window", c.symbol, c0 / n0 as weight_start, c1 / n1 as weight_end, c1 / n1 - c0 / n0 as drift, c1 / c0 - 1 as r,
       (c1 - c0) / n0 * 100 as contribution_pp, sd * {ROOT} as vol, max_dd from (
       select portfolio, "window", symbol, arg_min(value, date) as c0, arg_max(value, date) as c1, stddev_samp(r) as sd, min(dd) as max_dd from (
         select c.portfolio, w."window", c.symbol, c.date, c.value, c.value / lag(c.value) over v - 1 as r, c.value / max(c.value) over (partition by c.portfolio, w."window", c.symbol order by c.date {PAST}) - 1 as dd
@@ -167,6 +207,7 @@ def _periods(b: Book) -> DataFrame:
 query("period_returns", _periods, " union all ".join(f"select series_id, period, r, '{f}' as freq from r_{f}" for f in ("week", "month", "quarter", "year")), "r", 8)
 query("weekly_series", lambda b: series.weekly_series(b.nav, b.capital), """select w.portfolio, w.period, w.nav, w.nav / c.capital * 100 as index_pct, d.drawdown from (select series_id as portfolio, period, value as nav from last_week where series_id in (select portfolio from ports)) w join cap c using (portfolio)
     join (select series_id as portfolio, (date + cast((12 - isodow(date)) % 7 as int))::date as period, arg_max(dd, date) as drawdown from dd group by 1, 2) d using (portfolio, period)""", "nav index_pct drawdown", 4)
+query("weekly_benchmark_index", lambda b: series.weekly_index(b.benchmarks), f"select portfolio, benchmark, {PERIOD['week']} as period, arg_max(value, date) as value from bench group by 1, 2, 3", "value", 5)
 _MONTHS = ", ".join(f"max(case when month(period) = {m} then r * 100 end) as m{m:02d}" for m in range(1, 13))
 query("monthly_matrix", lambda b: series.monthly_matrix(b.series), f"select series_id, year(period)::int as year, {_MONTHS}, (product(1 + r * 100 / 100) - 1) * 100 as total from r_month group by 1, 2", " ".join(f"m{m:02d}" for m in range(1, 13)) + " total", 5)
 query("annual_returns", lambda b: series.annual_returns(b.series), """select y.series_id, year(period)::int as year, y.value / case when y.prev is null then g.v0 else y.before end - 1 as r,
@@ -246,18 +287,9 @@ _frame = lambda w, by="series_id": f"(partition by {by} order by date rows betwe
 _WEEKLY = "(date + cast((12 - isodow(date)) % 7 as int))::date"
 _sd = lambda w: f"select series_id, date, r, n, k, avg(r) over {_frame(w)} as m, stddev_samp(r) over {_frame(w)} as sd from rn qualify k >= {w - 1}"
 
-
-def _stacked(parts: list[tuple[int, DataFrame]]) -> DataFrame:
-    out = None
-    for w, df in parts:
-        df = df.withColumn("days", F.lit(w))
-        out = df if out is None else out.unionByName(df)
-    return out
-
-
-query("rolling_vol", lambda b: _stacked([(w, rolling.rolling_vol(b.series, w)) for w in (30, 60, 90, 252)]),
+query("rolling_vol", lambda b: rolling.rolling_vol(b.series, 30, 60, 90, 252),
       " union all ".join(f"select series_id, {_WEEKLY} as period, arg_max(sd * {ROOT}, date) as vol, {w} as days from ({_sd(w)}) group by 1, 2" for w in (30, 60, 90, 252)), "vol", 5)
-query("rolling_sharpe", lambda b: _stacked([(w, rolling.rolling_sharpe(b.series, w)) for w in (126, 252)]),
+query("rolling_sharpe", lambda b: rolling.rolling_sharpe(b.series, 126, 252),
       " union all ".join(f"select series_id, {_WEEKLY} as period, arg_max(m * 252 / (sd * {ROOT}), date) as sharpe, {w} as days from ({_sd(w)}) where sd > 0 group by 1, 2" for w in (126, 252)), "sharpe", 5)
 query("rolling_sortino", lambda b: rolling.rolling_sortino(b.series), f"""select series_id, {_WEEKLY} as period, arg_max(m * 252 / (sqrt(d) * {ROOT}), date) as sortino from (select series_id, date, k, avg(r) over {_frame(252)} as m, avg(case when r < 0 then r * r end) over {_frame(252)} as d from rn qualify k >= 251) where d > 0 group by 1, 2""", "sortino", 5)
 query("rolling_beta_corr", lambda b: rolling.rolling_beta_corr(b.pairs), f"""select portfolio, benchmark, {_WEEKLY} as period, arg_max(beta, date) as beta, arg_max(corr, date) as corr from (select portfolio, benchmark, date, row_number() over (partition by portfolio, benchmark order by date) as k, count(*) over (partition by portfolio, benchmark) as n,
@@ -309,7 +341,7 @@ query("risk_totals", lambda b: risk.risk_decomposition(b.components, b.nav)[1],
 query("effective_bets", lambda b: risk.effective_bets(b.components), None, "effective_bets")
 
 # --- resampling and windows ----------------------------------------------------------------------------------
-_DRAW = "('0x' || substr(md5('20260818:' || series_id || ':' || years || ':' || path || ':' || step), 1, 8))::bigint"
+_DRAW = f"('0x' || substr(md5('{risk.SEED}:' || series_id || ':' || years || ':' || path || ':' || (step // 4)), 1 + 8 * (step % 4), 8))::bigint"
 query("block_bootstrap", lambda b: risk.block_bootstrap(b.nav_series), f"""select series_id, years::int as years, quantile_cont(final, 0.05) as p05, quantile_cont(final, 0.25) as p25, quantile_cont(final, 0.5) as p50, quantile_cont(final, 0.75) as p75, quantile_cont(final, 0.95) as p95,
       avg((final < 1)::int) as p_loss, avg((final < 0.9)::int) as p_below_90, avg((final > 1.2)::int) as p_above_120, avg(final) filter (final <= q05) as cvar_final,
       quantile_cont(dd, 0.5) as dd_median, quantile_cont(dd, 0.05) as dd_p05 from ends join (select series_id, years, quantile_cont(final, 0.05) as q05 from ends group by 1, 2) q using (series_id, years) group by 1, 2""", "p05 p25 p50 p75 p95 p_loss p_below_90 p_above_120 cvar_final dd_median dd_p05", 5,
@@ -323,18 +355,45 @@ query("block_bootstrap", lambda b: risk.block_bootstrap(b.nav_series), f"""selec
       ends="select series_id, years, path, product(growth) as final, min(least(coalesce(before * lo / peak - 1, dd), dd)) as dd from p2 group by 1, 2, 3")
 
 
-def _windowed(b: Book) -> DataFrame:
-    w = series.windowed(b.nav_series, series.analysis_windows(b.nav_series)).select("series_id", "date", "value")
-    out = metrics.growth(w).join(metrics.sharpe_block(w).select("series_id", "sharpe", "sortino"), "series_id").join(drawdown.max_drawdown(w), "series_id")
-    return out.join(metrics.scaled_var(w).select("series_id", "var95_month"), "series_id")
+_WS = 'select n.series_id || \'|\' || w."window" as series_id, n.date, n.value from ns n join windows w on w.series_id = n.series_id and n.date between w.lo and w.hi'
 
 
-_WS = 'select n.series_id || \'|\' || w."window" as series_id, n.date, n.value from ns n join windows w on w.series_id = n.series_id and n.date between w.lo and w.hi'
-_WR = "select series_id, date, r from (select series_id, date, value / lag(value) over (partition by series_id order by date) - 1 as r from ws) where r is not null"
-query("windowed_metrics", _windowed, f"""select * from (select series_id, arg_max(value, date) / arg_min(value, date) - 1 as total, pow(arg_max(value, date) / arg_min(value, date), 1 / greatest((max(date) - min(date)) / 365.25e0, 1e-9)) - 1 as cagr, (max(date) - min(date)) / 365.25e0 as years from ws group by 1)
-    join (select series_id, avg(r) * 252 / (stddev_samp(r) * {ROOT}) as sharpe, avg(r) * 252 / (sqrt(avg(r * r) filter (r < 0)) * {ROOT}) as sortino, {Z[95]}e0 * stddev_samp(r) * {ROOT} * sqrt(21 / 252.0e0) as var95_month from wr group by 1) using (series_id)
-    join (select series_id, min(dd) as max_dd, arg_min(date, (dd, date)) as max_dd_date, sqrt(avg(dd * dd)) as ulcer, -avg(dd) as pain from (select *, value / max(value) over (partition by series_id order by date {PAST}) - 1 as dd from ws) group by 1) using (series_id)""",
-      "total cagr years sharpe sortino max_dd ulcer pain var95_month", 5, ws=_WS, wr=_WR)
+def _joined(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.join(f, "series_id")
+    return out
+
+
+def windowed_query(name: str, blocks: dict[str, Callable[[DataFrame], DataFrame]], digits: int = 5) -> None:
+    """The named metric blocks of every window of every portfolio, side by side; their SQL runs on the windows' rows in the place of the series."""
+    parts = [PARTS[n] for n in blocks]
+    sql = "select * from " + " join ".join(f"({p[0]}) x{i}" + (" using (series_id)" if i else "") for i, p in enumerate(parts))
+    tables = {t: text for p in parts for t, text in p[2].items()}
+    query(name, lambda b: _joined([f(b.windowed) for f in blocks.values()]), sql, " ".join(c for p in parts for c in p[1]), digits, s=_WS, **tables)
+
+
+query("windowed_metrics", lambda b: _joined([metrics.growth(b.windowed), metrics.sharpe_block(b.windowed), drawdown.max_drawdown(b.windowed), metrics.scaled_var(b.windowed)]),
+      f"select * from (select series_id, total, cagr, years from g) join ({PARTS['sharpe_block'][0]}) using (series_id) join ({PARTS['max_drawdown'][0]}) using (series_id) join ({PARTS['scaled_var'][0]}) using (series_id)",
+      " ".join(["total cagr years", *(c for n in ("sharpe_block", "max_drawdown", "scaled_var") for c in PARTS[n][1])]), 5, s=_WS, **PARTS["sharpe_block"][2])
+windowed_query("windowed_performance", {"return_stats": metrics.return_stats, "win_loss": metrics.win_loss, "streaks": metrics.streaks, "omega_kappa": metrics.omega_kappa})
+windowed_query("windowed_risk", {"volatility": metrics.volatility, "downside_risk": metrics.downside_risk, "var_cvar": metrics.var_cvar, "tail_ratios": metrics.tail_ratios, "psr_dsr": metrics.psr_dsr, "moments": rolling.moments})
+windowed_query("windowed_drawdowns", {"drawdown_ratios": metrics.drawdown_ratios, "underwater_time": drawdown.underwater_time})
+windowed_query("windowed_episodes", {"drawdown_episodes": drawdown.drawdown_episodes})
+
+
+def _inside(b: Book, df: DataFrame, after: bool = False) -> DataFrame:
+    """df's rows of each window, whose portfolio is named after the window too; after: without the window's first date, as returns have none there."""
+    w = b.windows.select(F.col("series_id").alias("portfolio"), "window", "lo", "hi")
+    rows = df.join(w, "portfolio").where((F.col("date") > F.col("lo") if after else F.col("date") >= F.col("lo")) & (F.col("date") <= F.col("hi")))
+    return rows.withColumn("portfolio", F.concat_ws("|", "portfolio", "window")).drop("window", "lo", "hi")
+
+
+_IN = lambda table, columns: f'select x.portfolio || \'|\' || w."window" as portfolio, {columns} from {table} x join windows w on w.series_id = x.portfolio and x.date between w.lo and w.hi'
+query("windowed_benchmarks", lambda b: risk.benchmark_metrics(_inside(b, b.pairs, after=True), b.windowed, _inside(b, b.benchmarks)), PARTS["benchmark_metrics"][0], " ".join(PARTS["benchmark_metrics"][1]), 4,
+      s=_WS, bench=_IN("bench0", "x.benchmark, x.date, x.value"))
+query("windowed_risk_totals", lambda b: risk.risk_decomposition(_inside(b, b.components), _inside(b, b.nav))[1], PARTS["risk_totals"][0], " ".join(PARTS["risk_totals"][1]), 5,
+      comp=_IN("comp0", "x.symbol, x.date, x.value"), navw=_IN("nav", "x.date, x.nav"), w0=_W0.replace("from nav ", "from navw "), per=_PER, tot=_TOT)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SPEC
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder where driver and executors both write, deleted when the application ends; a local one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{root or 'file://' + tempfile.mkdtemp(prefix='spark-')}/folionaut-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a written table: what several branches read is computed once, plans stay short, and a lost executor loses nothing."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_specs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(portfolios, holdings) of the spec files under path: one JSON object each, or one per line."""
     specs = spark.read.schema(SPEC).json(path)
@@ -24,14 +45,30 @@ def series_documents(navs: DataFrame, components: DataFrame) -> DataFrame:
     return arrays.join(maps, "portfolio")
 
 
-def write_outputs(spark: SparkSession, path: str, registry: DataFrame, documents: DataFrame) -> None:
-    """Under path: one folder of nested JSON per portfolio, and the registry of all."""
-    documents.write.mode("overwrite").partitionBy("portfolio").json(f"{path}/series")
-    registry.write.mode("overwrite").json(f"{path}/registry")
+def nested(df: DataFrame, name: str, *columns: str, key: str = "portfolio") -> DataFrame:
+    """key and an array of structs, in the order of their first fields."""
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def payload_documents(heads: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
+    """One nested row per portfolio: heads (portfolio and whatever stands once), and an array for each of children, whose rows hold portfolio and the fields."""
+    out = heads
+    for name, df in children.items():
+        out = out.join(nested(df, name, *(c for c in df.columns if c != "portfolio")), "portfolio", "left")
+    return out
 
 
 def registry(navs: DataFrame, capital: DataFrame, summary: DataFrame, portfolios: DataFrame) -> DataFrame:
-    """One summary row per portfolio."""
+    """One summary row per portfolio: portfolio, label, base_ccy, inception, asof, capital and the struct of its metrics."""
     ends = navs.groupBy("portfolio").agg(F.max("date").alias("asof"), F.max_by("nav", "date").alias("nav_last"))
-    own = summary.withColumnRenamed("series_id", "portfolio").select("portfolio", "total", "cagr", "vol", "sharpe", "calmar", "max_dd", "months_n", "rolling12_n")
-    return portfolios.select("portfolio", "base_ccy", "inception").join(ends, "portfolio").join(capital.select("portfolio", "capital"), "portfolio").join(own, "portfolio")
+    own = summary.withColumnRenamed("series_id", "portfolio").join(ends, "portfolio")
+    metrics = F.struct("nav_last", *(c for c in summary.columns if c != "series_id")).alias("metrics")
+    own = own.select("portfolio", "asof", metrics)
+    return portfolios.select("portfolio", "label", "base_ccy", "inception").join(own, "portfolio").join(capital.select("portfolio", "capital"), "portfolio").select("portfolio", "label", "base_ccy", "inception", "asof", "capital", "metrics")
+
+
+def write_outputs(spark: SparkSession, path: str, registry: DataFrame, series: DataFrame, payload: DataFrame, disclaimer: str) -> None:
+    """Under path: a folder of nested JSON per portfolio for the daily series and one for the payload, and the registry of all with the time of writing."""
+    series.write.mode("overwrite").partitionBy("portfolio").json(f"{path}/series")
+    payload.withColumn("disclaimer", F.lit(disclaimer)).write.mode("overwrite").partitionBy("portfolio").json(f"{path}/payload")
+    registry.withColumns({"generated": F.current_timestamp(), "disclaimer": F.lit(disclaimer)}).write.mode("overwrite").json(f"{path}/registry")
