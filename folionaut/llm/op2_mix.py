@@ -257,7 +257,8 @@ def mix(
     known = with_plan(named, planned)
     place = F.struct("mix_draw", F.struct(F.col("mix_id").isNotNull(), F.col("mix_id")).alias("i"), "mix_size", F.struct(F.col("mix_text").isNotNull(), F.col("mix_text")).alias("t"))
     end = F.struct(F.col("mix_end.mix_draw"), F.col("mix_end.i"), F.col("mix_end.mix_size"), F.col("mix_end.t"))
-    more = F.when((F.col("mix_rest") == 0) | F.col("mix_end").isNull(), F.lit(0).cast("long")).when(place < end, F.col("mix_size")).when(place == end, F.col("mix_end.mix_part")).otherwise(F.lit(0).cast("long"))
+    below = bottom < F.shiftright("mix_low", _SHIFTS[-1])
+    more = F.when(F.col("mix_rest") == 0, F.lit(0).cast("long")).when(below, F.col("mix_size")).when(F.col("mix_end").isNull(), F.lit(0).cast("long")).when(place < end, F.col("mix_size")).when(place == end, F.col("mix_end.mix_part")).otherwise(F.lit(0).cast("long"))
     kept = [c for c in docs.columns if not c.startswith("mix_")]
     return known.select(*kept, "mix_size", "mix_source_size", "mix_target", (F.col("mix_passes") * F.col("mix_size") + more).cast("long").alias("mix_taken"))
 
