@@ -184,7 +184,7 @@ query("positions", lambda b: nav.positions(b.components, b.holdings, b.rates, BA
     join (select h.portfolio, h.symbol, case when h.ccy = h.quote_ccy then 1.0e0 else a.rate / b.rate end as q, h.cost_amount * e.rate as cb from hold h join days d using (portfolio)
       join fx a on a.portfolio = h.portfolio and a.ccy = h.ccy and a.date = d.last_day join fx b on b.portfolio = h.portfolio and b.ccy = h.quote_ccy and b.date = d.last_day
       join fx e on e.portfolio = h.portfolio and e.ccy = h.cost_ccy and e.date = d.first_day) y using (portfolio, symbol)""",
-      "last_px pl_pct pl_base_pct value cost_base contrib_pp weight_now_pct weight_cost_pct vol_pct max_dd_pct", 2)
+      "last_px pl_pct pl_base_pct value cost_base contrib_pp weight_now_pct weight_cost_pct vol_pct max_dd_pct", 6)
 query("attribution_window", lambda b: series.attribution_window(b.components.select("portfolio", "symbol", "date", "value"), b.nav, b.windows), f"""select c.portfolio, c."window", c.symbol, c0 / n0 as weight_start, c1 / n1 as weight_end, c1 / n1 - c0 / n0 as drift, c1 / c0 - 1 as r,
       (c1 - c0) / n0 * 100 as contribution_pp, sd * {ROOT} as vol, max_dd from (
       select portfolio, "window", symbol, arg_min(value, date) as c0, arg_max(value, date) as c1, stddev_samp(r) as sd, min(dd) as max_dd from (

@@ -1,12 +1,15 @@
 """Hand-made series, identities, and queries against SQL on the smallest tables."""
 
 import datetime as dt
+import hashlib
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folionaut.functions.expr import chi2_tail, column, norm_cdf, norm_pdf, norm_ppf
 from folionaut.operators import drawdown, market, metrics, nav, risk, rolling, series
 from folionaut.plans.fixtures import BASE, Book
 from folionaut.plans.portfolio_queries import ORACLE_SQL, QUERIES
@@ -111,6 +114,72 @@ def test_hurst_and_bootstrap_need_120(spark):
     assert risk.block_bootstrap(make(spark, [100 + (i * 37) % 11 for i in range(121)]), (1,), 5).count() == 1
 
 
+def test_ewma_over_several_blocks(spark):
+    values = [100 + (i * 37) % 11 + i / 50 for i in range(900)]
+    want, v = [], None
+    for r in (b / a - 1 for a, b in zip(values, values[1:])):
+        v = 0.94 * (r * r if v is None else v) + 0.06 * r * r
+        want.append(math.sqrt(v * 252))
+    got = [r.vol for r in rolling.ewma_vol(make(spark, values), block=64).orderBy("date").collect()]
+    assert np.allclose(got, want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("days", [63, 50, 10])
+def test_bootstrap_day_by_day(spark, days):
+    """Paths again from the same draws, one day after the other; horizons that aren't whole blocks cut the last one."""
+    values = [100 + (i * 37) % 11 + i / 9 for i in range(200)]
+    r = np.diff(values) / values[:-1]
+    finals, falls = [], []
+    for p in range(40):
+        digest = "".join(hashlib.md5(f"{risk.SEED}:X:{days}:{p}:{q}".encode()).hexdigest() for q in range(-(-days // 21 + 3) // 4 + 2))
+        starts = [int(digest[k * 8 : k * 8 + 8], 16) % (len(r) - 21) for k in range(-(-days // 21))]
+        path = np.cumprod(np.concatenate([1 + r[s : s + 21] for s in starts])[:days])
+        finals.append(path[-1])
+        falls.append((path / np.maximum.accumulate(path) - 1).min())
+    got = one(risk.block_bootstrap(make(spark, values), (), 40, days=(days,), chunk=7))
+    assert got["years"] == days and np.allclose([got["p05"], got["p50"], got["p95"]], np.quantile(finals, [0.05, 0.5, 0.95]), rtol=1e-12)
+    assert np.allclose([got["dd_median"], got["dd_p05"]], np.quantile(falls, [0.5, 0.05]), atol=1e-12)
+    assert math.isclose(got["cvar_final"], np.mean([f for f in finals if f <= np.quantile(finals, 0.05)]), rel_tol=1e-12)
+
+
+def test_normal_functions(spark):
+    """Against the error function, tabulated quantiles and a table of the chi-square tail, not against their own SQL."""
+    xs = [-6.0, -2.5, -1.0, -0.3, 0.0, 0.1, 1.0, 1.96, 3.3, 6.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r in df.select("x", column(norm_cdf("x")).alias("c"), column(norm_pdf("x")).alias("d")).collect():
+        assert abs(r.c - 0.5 * (1 + math.erf(r.x / math.sqrt(2)))) < 2e-7 and math.isclose(r.d, math.exp(-r.x**2 / 2) / math.sqrt(2 * math.pi), rel_tol=1e-12)
+    #: Quantiles of the normal distribution.
+    table = {0.5: 0.0, 0.75: 0.6744897502, 0.9: 1.2815515655, 0.95: 1.6448536270, 0.975: 1.9599639845, 0.99: 2.3263478740, 0.999: 3.0902323062, 0.01: -2.3263478740, 0.0001: -3.7190164855}
+    for r in spark.createDataFrame([(p,) for p in table], "p double").select("p", column(norm_ppf("p")).alias("q")).collect():
+        assert abs(r.q - table[r.p]) < 1e-8
+    #: Where the chi-square distribution with 10 degrees of freedom has these tails.
+    tails = {18.307038: 0.05, 23.209251: 0.01, 9.341818: 0.5, 3.940299: 0.95}
+    for r in spark.createDataFrame([(q,) for q in tails], "q double").select("q", column(chi2_tail("q")).alias("p")).collect():
+        assert abs(r.p - tails[r.q]) < 1e-6
+
+
+def test_effective_bets_by_singular_values(spark):
+    """The eigenvalues again as squared singular values of the centred returns of every portfolio."""
+    b = Book(spark, SF)
+    got = {r.portfolio: r.effective_bets for r in risk.effective_bets(b.components).collect()}
+    returns = risk.component_returns(b.components).toPandas()
+    assert got and set(got) == set(returns.portfolio)
+    for p, own in returns.groupby("portfolio"):
+        x = own.pivot(index="date", columns="symbol", values="r").to_numpy()
+        e = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+        share = e / e.sum()
+        assert math.isclose(got[p], math.exp(-(share * np.log(share)).sum()), rel_tol=1e-9)
+
+
+def test_plans_have_no_nested_loops_and_push_the_bound(spark):
+    b = Book(spark, SF)
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (market.fx_rates(b.quotes, BASE), b.benchmarks, QUERIES["asof_value"](spark, SF)):
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString() and "Join Cross" not in text(df)
+    plan = QUERIES["read_market"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan
+
+
 def test_effective_bets(spark):
     base = [100 + (i * 37) % 11 for i in range(80)]
     rows = [("P", n, DAY + dt.timedelta(days=i), float(v) * k) for n, k in (("A", 1), ("B", 3)) for i, v in enumerate(base)]
@@ -130,7 +199,7 @@ def test_identities(spark):
         assert math.isclose(r.c, (r.v / capital[r.portfolio] - 1) * 100, rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("name", ["nav", "max_drawdown", "drawdown_episodes", "benchmark_pairs", "period_returns", "normalize_bars", "seasonality"])
+@pytest.mark.parametrize("name", ["nav", "max_drawdown", "drawdown_episodes", "benchmark_pairs", "period_returns", "normalize_bars", "seasonality", "positions", "benchmark_nav", "risk_totals", "windowed_risk_totals", "windowed_benchmarks", "write_outputs", "ewma_vol", "read_market"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "orders", "events", "supplier", "nation"):
