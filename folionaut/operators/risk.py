@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,43 +135,47 @@ def block_summaries(series: DataFrame, block: int = BLOCK, rests: tuple[int, ...
     return r.groupBy("series_id", "n").agg(F.array_sort(F.collect_list("s")).alias("s")).select("series_id", "n", *(F.col(f"s.b{length}").alias(f"b{length}") for length in lengths))
 
 
-def _path(seed: int, name: int, length: int, block: int):
-    """A function from a path's number to its final value and deepest drawdown, by folding the blocks it draws."""
-    steps, rest = -(-length // block), length % block
-
-    def step(s, k):
-        start = F.pmod(F.conv(F.substring(s["text"], k * 8 + 1, F.lit(8)), 16, 10).cast("long"), F.col("n") - block).cast("int")
-        b = F.col(f"b{block}")[start]
-        if rest:
-            b = F.when(k == steps - 1, F.col(f"b{rest}")[start]).otherwise(b)
-        fall = F.least(s["before"] * b["lo"] / s["peak"] - 1, b["dd"])
-        return F.struct(s["text"].alias("text"), (s["before"] * b["p"]).alias("before"), F.greatest(s["peak"], s["before"] * b["hi"]).alias("peak"), F.least(s["dd"], fall).alias("dd"))
+def _paths(block: int):
+    """A function from one row (a series' blocks, a horizon, the first path and the number of paths) to the paths' final values and deepest drawdowns."""
 
-    def path(p):
-        told = F.concat_ws(":", F.lit(str(seed)), F.col("series_id"), F.lit(str(name)), p.cast("string"))
-        digests = F.transform(F.sequence(F.lit(0), F.lit((steps - 1) // 4)), lambda q: F.md5(F.concat_ws(":", told, q.cast("string"))))
-        start = F.struct(F.array_join(digests, "").alias("text"), F.lit(1.0).alias("before"), F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("dd"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), start, step, lambda s: F.struct(s["before"].alias("final"), s["dd"].alias("dd")))
+    def paths(chunk: pa.Table) -> pa.Table:
+        at = lambda name: chunk.column(name)[0]
+        length, first, count, told = at("length").as_py(), at("low").as_py(), at("paths").as_py(), at("told").as_py()
+        steps, rest = -(-length // block), length % block
+        digests = (hashlib.md5(f"{told}:{p}:{q}".encode()).digest() for p in range(first, first + count) for q in range((steps - 1) // 4 + 1))
+        starts = np.frombuffer(b"".join(digests), dtype=">u4").reshape(count, -1)[:, :steps].astype(np.int64) % (at("n").as_py() - block)
+        whole, cut = ([x.to_numpy(zero_copy_only=False) for x in at(f"b{size}").values.flatten()] for size in (block, rest or block))
+        value, peak, deepest = np.ones(count), None, np.zeros(count)
+        for k in range(steps):
+            p, hi, lo, dd = (x[starts[:, k]] for x in (cut if k == steps - 1 else whole))
+            # Inside a block, and from the peak before it.
+            fall = dd if peak is None else np.minimum(value * lo / peak - 1, dd)
+            peak = value * hi if peak is None else np.maximum(peak, value * hi)
+            value, deepest = value * p, np.minimum(deepest, fall)
+        same = lambda name: pa.array([at(name).as_py()] * count, chunk.schema.field(name).type)
+        return pa.table({"series_id": same("series_id"), "years": same("years"), "final": value, "dd": deepest})
 
-    return path
+    return paths
 
 
-def block_bootstrap(series: DataFrame, years: tuple[int, ...] = (1, 3, 5), paths: int = 10_000, seed: int = SEED, block: int = BLOCK, days: tuple[int, ...] = (), chunk: int = 500) -> DataFrame:
+def block_bootstrap(series: DataFrame, years: tuple[int, ...] = (1, 3, 5), paths: int = 10_000, seed: int = SEED, block: int = BLOCK, days: tuple[int, ...] = (), chunk: int = 2_500) -> DataFrame:
     """series_id, years and the distribution of final value and deepest drawdown over paths of blocks drawn at random.
 
     A path is a product of blocks, so it needs one step per block, not per day; of a horizon that isn't whole blocks (days: other
     horizons, by their number of days in the place of years) the last block is cut. Draws are hashes of seed, series, horizon, path and block, four from
-    each digest. A series' blocks are arrays, and a row folds the draws of `chunk` paths: no draw is a row of its own.
+    each digest. A series' blocks are arrays; a task folds `chunk` paths of one series and horizon side by side, so no draw is a row, and one series' paths
+    are spread over tasks.
     """
     horizons = [(y, y * TRADING_DAYS) for y in years] + [(d, d) for d in days]
     rests = tuple(sorted({d % block for _, d in horizons} - {0}))
-    blocks = block_summaries(series, block, rests)
-    ends = None
-    for name, length in horizons:
-        chunks = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(paths - 1), F.lit(chunk))).alias("low")).repartition("series_id", "low")
-        numbers = F.sequence("low", F.least(F.col("low") + chunk - 1, F.lit(paths - 1)))
-        own = chunks.select("series_id", F.lit(name).alias("years"), F.explode(F.transform(numbers, _path(seed, name, length, block))).alias("e")).select("series_id", "years", "e.*")
-        ends = own if ends is None else ends.unionByName(own)
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("years"), F.lit(length).alias("length")) for name, length in horizons)))
+    rows = block_summaries(series, block, rests).withColumn("h", each).withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(paths - 1), F.lit(chunk))))
+    told = F.concat_ws(":", F.lit(str(seed)), F.col("series_id").cast("string"), F.col("h.years").cast("string"))
+    rows = rows.select("series_id", "n", "h.*", "low", F.least(F.lit(chunk), paths - F.col("low")).alias("paths"), told.alias("told"), *(f"b{size}" for size in (*rests, block)))
+    kind = series.schema["series_id"].dataType.simpleString()
+    # A number of partitions of its own: by bytes alone these rows would be put together, but their work is in the draws.
+    rows = rows.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "years", "low")
+    ends = rows.groupBy("series_id", "years", "low").applyInArrow(_paths(block), f"series_id {kind}, years int, final double, dd double")
     levels = F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95)))
     share = lambda t: F.avg(t.cast("double"))
     f = F.col("final")
