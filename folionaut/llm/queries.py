@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_license, op2_mix, op3_tokens, op4_sentencepiece, op5_chat, op6_exact, op7_urls, op8_ann, op9_neardup, op10_toxicity
+from . import op1_license, op2_mix, op3_tokens, op4_sentencepiece, op5_chat, op6_exact, op7_urls, op8_ann, op9_neardup, op10_toxicity, op11_codes, op13_merkle
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,8 @@ QUERIES = {
         op8_ann.op8_ann_search,
         op9_neardup.op9_near_duplicates,
         op10_toxicity.op10_toxicity,
+        op11_codes.op11_vector_codes,
+        op13_merkle.op13_merkle_manifest,
     )
 }
 ORACLE_SQL = {
@@ -26,4 +28,6 @@ ORACLE_SQL = {
     "op6_exact_dedup": op6_exact.ORACLE,
     "op8_ann_search": op8_ann.ORACLE,
     "op9_near_duplicates": op9_neardup.ORACLE,
+    "op11_vector_codes": op11_codes.ORACLE,
+    "op13_merkle_manifest": op13_merkle.ORACLE,
 }
