@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_license, op2_mix, op3_tokens, op4_sentencepiece, op5_chat, op6_exact, op7_urls, op8_ann, op9_neardup, op10_toxicity, op11_codes, op13_merkle
+from . import op1_license, op2_mix, op3_tokens, op4_sentencepiece, op5_chat, op6_exact, op7_urls, op8_ann, op9_neardup, op10_toxicity, op11_codes, op12_ngram_join, op13_merkle
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         op9_neardup.op9_near_duplicates,
         op10_toxicity.op10_toxicity,
         op11_codes.op11_vector_codes,
+        op12_ngram_join.op12_ngram_join,
         op13_merkle.op13_merkle_manifest,
     )
 }
@@ -29,5 +30,6 @@ ORACLE_SQL = {
     "op8_ann_search": op8_ann.ORACLE,
     "op9_near_duplicates": op9_neardup.ORACLE,
     "op11_vector_codes": op11_codes.ORACLE,
+    "op12_ngram_join": op12_ngram_join.ORACLE,
     "op13_merkle_manifest": op13_merkle.ORACLE,
 }
