@@ -66,3 +66,8 @@ def chi2_tail(q: str, df: int = 10) -> str:
 
 def column(sql: str) -> Column:
     return F.expr(sql)
+
+
+def ratio(over: Column | str, under: Column | str) -> Column:
+    """over / under; null where under is 0, as a value of 0 has no change from it and no ratio to it."""
+    return F.try_divide(over, under)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import ratio
 from .series import ordered, past
 
 
 def drawdown_series(series: DataFrame) -> DataFrame:
-    return series.withColumn("dd", F.col("value") / F.max("value").over(past()) - 1)
+    """dd: the fall from the highest value so far; null while that is 0."""
+    return series.withColumn("dd", ratio("value", F.max("value").over(past())) - 1)
 
 
 def max_drawdown(series: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import ratio
+
 PRE_DAYS = 12  # margin before inception, for fills
 PENCE = ("GBp", "GBX")
 
@@ -57,6 +59,49 @@ def align_calendar(holdings: DataFrame, closes: DataFrame, dividends: DataFrame,
     return paid.select("portfolio", "symbol", "date", "close", F.coalesce("amount", F.lit(0.0)).alias("amount"))
 
 
+def calendars(holdings: DataFrame, closes: DataFrame, portfolios: DataFrame, pre_days: int = PRE_DAYS) -> DataFrame:
+    """portfolio, date: the dates of any of the portfolio's symbols, from `pre_days` before its inception on.
+
+    Dates travel as one mask of days for each symbol and month: a portfolio's month is the OR of its symbols' masks, so no row per symbol and date is made.
+    """
+    masks = closes.groupBy("symbol", F.trunc("date", "month").alias("month")).agg(F.bit_or(F.expr("shiftleft(1, dayofmonth(date) - 1)")).alias("days"))
+    own = holdings.select("portfolio", "symbol").distinct().join(masks, "symbol").groupBy("portfolio", "month").agg(F.bit_or("days").alias("days"))
+    days = own.select("portfolio", F.explode(F.expr("transform(filter(sequence(0, 30), d -> shiftright(days, d) & 1 = 1), d -> date_add(month, d))")).alias("date"))
+    since = portfolios.select("portfolio", F.date_sub("inception", pre_days).alias("since"))
+    return days.join(since, "portfolio").where("date >= since").drop("since")
+
+
+def validity(closes: DataFrame, dividends: DataFrame) -> DataFrame:
+    """symbol, lo, hi, close, seen, paid: each bar or dividend of a symbol as the interval [lo, hi) up to the next one.
+
+    close is the last known one and seen its date; paid is what is paid on lo. The last interval ends after the last bar of all symbols.
+    """
+    upto = closes.agg(F.max("date")).first()[0]
+    rows = closes.select("symbol", "date", "close").join(dividends.select("symbol", "date", F.col("amount").alias("paid")), ["symbol", "date"], "full")
+    rows = ffill(rows.withColumn("seen", F.when(F.col("close").isNotNull(), F.col("date"))), ["symbol"], "close", "seen")
+    after = F.lead("date").over(Window.partitionBy("symbol").orderBy("date"))
+    return rows.select("symbol", F.col("date").alias("lo"), F.coalesce(after, F.date_add(F.lit(upto).cast("date"), 1)).alias("hi"), "close", "seen", "paid").where("lo < hi")
+
+
+def valid_on(rows: DataFrame, intervals: DataFrame, bucket: int = 8) -> DataFrame:
+    """rows (symbol, date, since) with close (null: none since then) and amount (0: no dividend) of the interval that holds the date.
+
+    Intervals stand in each bucket of `bucket` days that they touch, so rows meet only those of their symbol and bucket.
+    """
+    at = lambda c: F.expr(f"unix_date({c}) div {bucket}")
+    spread = intervals.withColumn("bucket", F.explode(F.sequence(at("lo"), at("date_sub(hi, 1)"))))
+    met = rows.withColumn("bucket", at("date")).alias("a").join(spread.alias("b"), F.expr("a.symbol = b.symbol and a.bucket = b.bucket and a.date >= b.lo and a.date < b.hi"), "left")
+    own = [F.col(f"a.{c}") for c in rows.columns if c != "since"]
+    return met.select(*own, F.when(F.col("seen") >= F.col("since"), F.col("b.close")).alias("close"), F.coalesce(F.when(F.col("lo") == F.col("a.date"), F.col("paid")), F.lit(0.0)).alias("amount"))
+
+
+def filled_calendar(holdings: DataFrame, closes: DataFrame, dividends: DataFrame, portfolios: DataFrame, pre_days: int = PRE_DAYS) -> DataFrame:
+    """portfolio, symbol, date, close (filled from bars since `pre_days` before inception), amount: what align_calendar and ffill give, without a fill per portfolio."""
+    own = holdings.select("portfolio", "symbol").distinct().join(portfolios.select("portfolio", F.date_sub("inception", pre_days).alias("since")), "portfolio")
+    rows = calendars(holdings, closes, portfolios, pre_days).join(own, "portfolio")
+    return valid_on(rows, validity(closes, dividends)).select("portfolio", "symbol", "date", "close", "amount")
+
+
 def ffill(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
     """The last known value of each column; leading nulls stay."""
     past = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -66,7 +111,7 @@ def ffill(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
 def fx_rates(quotes: DataFrame, base: str) -> DataFrame:
     """ccy, date, rate into base: direct pairs, or one over the inverse where there is no direct one; filled on the dates of any pair."""
     direct = quotes.where((F.col("base") == base) & (F.col("ccy") != base)).select("ccy", "date", "rate")
-    inverse = quotes.where((F.col("ccy") == base) & (F.col("base") != base)).select(F.col("base").alias("ccy"), "date", (1 / F.col("rate")).alias("rate"))
+    inverse = quotes.where((F.col("ccy") == base) & (F.col("base") != base)).select(F.col("base").alias("ccy"), "date", ratio(F.lit(1.0), "rate").alias("rate"))
     pairs = direct.unionByName(inverse.join(direct.select("ccy").distinct(), "ccy", "left_anti"))
     days = grid(pairs.select("date"), pairs.select("ccy"))
     return ffill(days.join(pairs, ["ccy", "date"], "left"), ["ccy"], "rate").where("rate is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import EULER, TRADING_DAYS, Z, Z95_SUMMARY, column, norm_cdf, norm_ppf
+from ..functions.expr import EULER, TRADING_DAYS, Z, Z95_SUMMARY, column, norm_cdf, norm_ppf, ratio
 from .drawdown import drawdown_episodes, max_drawdown
 from .series import daily_returns, ordered, past, period_returns, rolling_compound, rolling_summary, stepped_returns
 
@@ -33,7 +33,7 @@ def growth(series: DataFrame) -> DataFrame:
     """series_id, total, cagr, years."""
     e = series.groupBy("series_id").agg(F.min_by("value", "date").alias("v0"), F.max_by("value", "date").alias("v1"), F.datediff(F.max("date"), F.min("date")).alias("days"))
     years = F.greatest(F.col("days") / 365.25, F.lit(1e-9))
-    return e.select("series_id", (F.col("v1") / F.col("v0") - 1).alias("total"), (F.pow(F.col("v1") / F.col("v0"), 1 / years) - 1).alias("cagr"), years.alias("years"))
+    return e.select("series_id", (ratio("v1", "v0") - 1).alias("total"), (F.pow(ratio("v1", "v0"), 1 / years) - 1).alias("cagr"), years.alias("years"))
 
 
 def return_stats(series: DataFrame) -> DataFrame:
@@ -50,9 +50,9 @@ def win_loss(series: DataFrame) -> DataFrame:
         F.avg(F.when(ret() > 0, ret())).alias("mean_gain"), F.avg(F.when(ret() < 0, ret())).alias("mean_loss"),
         F.coalesce(F.sum(F.when(ret() > 0, ret())), F.lit(0.0)).alias("gains"), F.sum(F.when(ret() < 0, ret())).alias("losses"), F.avg("r").alias("expectancy"),
     )
-    m = period_returns(series, "month").groupBy("series_id").agg((F.sum("r") / F.abs(F.sum(F.when(ret() < 0, ret())))).alias("gain_to_pain"))
+    m = period_returns(series, "month").groupBy("series_id").agg(ratio(F.sum("r"), F.abs(F.sum(F.when(ret() < 0, ret())))).alias("gain_to_pain"))
     out = d.join(m, "series_id", "left")
-    return out.select("series_id", "mean_gain", "mean_loss", (F.col("mean_gain") / F.abs("mean_loss")).alias("win_loss"), (F.col("gains") / F.abs("losses")).alias("profit_factor"), "gain_to_pain", "expectancy")
+    return out.select("series_id", "mean_gain", "mean_loss", ratio("mean_gain", F.abs("mean_loss")).alias("win_loss"), ratio("gains", F.abs("losses")).alias("profit_factor"), "gain_to_pain", "expectancy")
 
 
 def streaks(series: DataFrame) -> DataFrame:
@@ -132,8 +132,8 @@ def scaled_var(series: DataFrame) -> DataFrame:
 
 def tail_ratios(series: DataFrame) -> DataFrame:
     r = daily_returns(series)
-    pf = r.groupBy("series_id").agg((F.coalesce(F.sum(F.when(ret() > 0, ret())), F.lit(0.0)) / F.abs(F.sum(F.when(ret() < 0, ret())))).alias("pf"))
-    out = quantiles(r, 0.95, 0.05).join(pf, "series_id").withColumn("tail_ratio", F.col("q0") / F.abs("q1"))
+    pf = r.groupBy("series_id").agg(ratio(F.coalesce(F.sum(F.when(ret() > 0, ret())), F.lit(0.0)), F.abs(F.sum(F.when(ret() < 0, ret())))).alias("pf"))
+    out = quantiles(r, 0.95, 0.05).join(pf, "series_id").withColumn("tail_ratio", ratio("q0", F.abs("q1")))
     return out.select("series_id", "tail_ratio", (F.col("tail_ratio") * F.col("pf")).alias("common_sense_ratio"))
 
 
@@ -172,7 +172,7 @@ def drawdown_ratios(series: DataFrame, rounded: bool = False) -> DataFrame:
     d = growth(series).join(max_drawdown(series), "series_id").join(e, "series_id", "left")
     fell = F.col("max_dd") < 0
     return d.select(
-        "series_id", F.when(fell, F.col("cagr") / F.abs("max_dd")).alias("calmar"), (F.col("cagr") / F.abs("five")).alias("sterling"), (F.col("cagr") / F.col("root")).alias("burke"),
+        "series_id", F.when(fell, F.col("cagr") / F.abs("max_dd")).alias("calmar"), ratio("cagr", F.abs("five")).alias("sterling"), ratio("cagr", "root").alias("burke"),
         F.when(F.col("ulcer") > 0, F.col("cagr") / F.col("ulcer")).alias("martin"), F.when(F.col("pain") > 0, F.col("cagr") / F.col("pain")).alias("pain_ratio"), F.when(fell, F.col("total") / F.abs("max_dd")).alias("recovery_factor"),
     )
 

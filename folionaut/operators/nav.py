@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .market import align_calendar, align_fx, asof_value, both_fills, ffill, grid, live_filter, pence_to_pounds, with_rate
+from ..functions.expr import ratio
+from .market import PRE_DAYS, align_fx, asof_value, both_fills, calendars, ffill, filled_calendar, grid, live_filter, pence_to_pounds, valid_on, validity, with_rate
 
 
 def filled_spine(holdings: DataFrame, portfolios: DataFrame, closes: DataFrame, dividends: DataFrame) -> DataFrame:
-    """Live rows of the calendar; closes are filled before the rows ahead of inception go."""
-    return live_filter(ffill(align_calendar(holdings, closes, dividends, portfolios), ["portfolio", "symbol"], "close"), portfolios)
+    """Live rows of the calendar; closes from bars ahead of inception count."""
+    return live_filter(filled_calendar(holdings, closes, dividends, portfolios), portfolios)
 
 
 def component_values(spine: DataFrame, holdings: DataFrame, rates: DataFrame, base: str) -> DataFrame:
@@ -21,39 +22,60 @@ def component_values(spine: DataFrame, holdings: DataFrame, rates: DataFrame, ba
     return priced.withColumn("value", F.col("close") * F.col("rate") * F.col("shares"))
 
 
+def live_calendar(holdings: DataFrame, closes: DataFrame, portfolios: DataFrame) -> DataFrame:
+    return live_filter(calendars(holdings, closes, portfolios), portfolios)
+
+
+def components(holdings: DataFrame, portfolios: DataFrame, closes: DataFrame, dividends: DataFrame, rates: DataFrame, base: str, calendar: DataFrame | None = None) -> DataFrame:
+    """What component_values makes of filled_spine, in one pass: rates are filled once per portfolio and currency, closes once per symbol.
+
+    calendar: the portfolios' live dates (portfolio, date), if they are at hand.
+    """
+    days = live_calendar(holdings, closes, portfolios) if calendar is None else calendar
+    fx = align_fx(days.join(holdings.select("portfolio", "ccy").distinct(), "portfolio"), rates, base, ["portfolio"])
+    since = portfolios.select("portfolio", F.date_sub("inception", PRE_DAYS).alias("since"))
+    rows = fx.join(holdings.select("portfolio", "symbol", "ccy", "shares").join(since, "portfolio"), ["portfolio", "ccy"])
+    out = valid_on(rows, validity(closes, dividends))
+    return out.select("portfolio", "symbol", "date", "ccy", "shares", "close", "amount", "rate", (F.col("close") * F.col("rate") * F.col("shares")).alias("value"))
+
+
 def dividend_cash(components: DataFrame) -> DataFrame:
     """portfolio, date, cash: dividends paid so far, at the rate of their day."""
-    paid = components.groupBy("portfolio", "date").agg(F.sum(F.col("amount") * F.col("rate") * F.col("shares")).alias("paid"))
+    return _daily(components).select("portfolio", "date", "cash")
+
+
+def _daily(components: DataFrame) -> DataFrame:
+    """portfolio, date, held (a component without a price counts 0), cash."""
+    sums = components.groupBy("portfolio", "date").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("held"), F.sum(F.col("amount") * F.col("rate") * F.col("shares")).alias("paid"))
     past = Window.partitionBy("portfolio").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return paid.select("portfolio", "date", F.coalesce(F.sum("paid").over(past), F.lit(0.0)).alias("cash"))
+    return sums.select("portfolio", "date", "held", F.coalesce(F.sum("paid").over(past), F.lit(0.0)).alias("cash"))
 
 
 def first_days(spine: DataFrame) -> DataFrame:
     return spine.groupBy("portfolio").agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
 
 
-def rates_at(components: DataFrame, rates: DataFrame, base: str, days: DataFrame, currencies: DataFrame, at: str) -> DataFrame:
-    """portfolio, ccy, rate as of a day of the portfolio (column `at` of days), for any currencies (portfolio, ccy)."""
-    dates = components.select("portfolio", "date").distinct()
+def rates_at(calendar: DataFrame, rates: DataFrame, base: str, days: DataFrame, currencies: DataFrame, at: str) -> DataFrame:
+    """portfolio, ccy, rate as of a day of the portfolio (column `at` of days), for any currencies (portfolio, ccy); calendar: portfolio, date, repeats allowed."""
+    dates = calendar.select("portfolio", "date").distinct()
     fx = align_fx(dates.join(currencies.distinct(), "portfolio"), rates, base, ["portfolio"])
     points = currencies.distinct().join(days.select("portfolio", at), "portfolio")
     return asof_value(fx, points, ["portfolio", "ccy"], "rate", at).drop(at)
 
 
-def invested_capital(components: DataFrame, holdings: DataFrame, rates: DataFrame, base: str) -> DataFrame:
-    """portfolio, first_day, capital: costs at the rate of the first day."""
-    days = first_days(components)
+def invested_capital(calendar: DataFrame, holdings: DataFrame, rates: DataFrame, base: str) -> DataFrame:
+    """portfolio, first_day, capital: costs at the rate of the first day. calendar: the portfolios' live dates, or their components."""
+    days = first_days(calendar)
     cost = holdings.select("portfolio", F.col("cost_ccy").alias("ccy"), "cost_amount")
-    at = rates_at(components, rates, base, days, cost.select("portfolio", "ccy"), "first_day")
+    at = rates_at(calendar, rates, base, days, cost.select("portfolio", "ccy"), "first_day")
     total = cost.join(at, ["portfolio", "ccy"]).groupBy("portfolio").agg(F.sum(F.col("cost_amount") * F.col("rate")).alias("capital"))
     return days.select("portfolio", "first_day").join(total, "portfolio")
 
 
-def nav(components: DataFrame, holdings: DataFrame, rates: DataFrame, base: str) -> DataFrame:
+def nav(components: DataFrame, holdings: DataFrame, rates: DataFrame, base: str, capital: DataFrame | None = None) -> DataFrame:
     """portfolio, date, nav, cash; a component without a price counts 0, and the capital stands one day before the first."""
-    total = components.groupBy("portfolio", "date").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("held"))
-    daily = total.join(dividend_cash(components), ["portfolio", "date"])
-    capital = invested_capital(components, holdings, rates, base)
+    daily = _daily(components)
+    capital = invested_capital(components, holdings, rates, base) if capital is None else capital
     start = capital.select("portfolio", F.date_sub("first_day", 1).alias("date"), F.col("capital").alias("nav"), F.lit(0.0).alias("cash"))
     return daily.select("portfolio", "date", (F.col("held") + F.col("cash")).alias("nav"), "cash").unionByName(start)
 
@@ -67,12 +89,12 @@ def positions(components: DataFrame, holdings: DataFrame, rates: DataFrame, base
         "px": F.col("close") * F.col("rate"),
         "peak": F.max("value").over(order.rowsBetween(Window.unboundedPreceding, 0)),
     })
-    stepped = stepped.withColumn("r", F.col("px") / F.lag("px").over(order) - 1)
+    stepped = stepped.withColumn("r", ratio("px", F.lag("px").over(order)) - 1)
     last = stepped.groupBy(*own).agg(
         F.max_by("close", F.when(F.col("close").isNotNull(), F.col("date"))).alias("last_close"),
         F.max_by("value", F.when(F.col("value").isNotNull(), F.col("date"))).alias("value"),
         (F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("vol"),
-        F.min(F.col("value") / F.col("peak") - 1).alias("max_dd"),
+        F.min(ratio("value", "peak") - 1).alias("max_dd"),
     )
     ccys = lambda c: holdings.select("portfolio", F.col(c).alias("ccy"))
     now = rates_at(components, rates, base, days, ccys("ccy").union(ccys("quote_ccy")), "last_day")
@@ -82,16 +104,16 @@ def positions(components: DataFrame, holdings: DataFrame, rates: DataFrame, base
     capital = invested_capital(components, holdings, rates, base).select("portfolio", "capital")
     out = holdings.join(last, own).join(rate(now, "ccy", "r_own"), ["portfolio", "ccy"]).join(rate(now, "quote_ccy", "r_quote"), ["portfolio", "quote_ccy"])
     out = out.join(rate(then, "cost_ccy", "r_cost"), ["portfolio", "cost_ccy"]).join(end, "portfolio").join(capital, "portfolio")
-    quoted = F.col("last_close") * F.when(F.col("quote_ccy") == F.col("ccy"), F.lit(1.0)).otherwise(F.col("r_own") / F.col("r_quote"))
+    quoted = F.col("last_close") * F.when(F.col("quote_ccy") == F.col("ccy"), F.lit(1.0)).otherwise(ratio("r_own", "r_quote"))
     out = out.withColumns({"last_px": quoted, "cost_base": F.col("cost_amount") * F.col("r_cost")})
     return out.select(
         *own, "shares", "last_px",
-        ((F.col("last_px") / F.col("cost_px") - 1) * 100).alias("pl_pct"),
-        ((F.col("value") / F.col("cost_base") - 1) * 100).alias("pl_base_pct"),
+        ((ratio("last_px", "cost_px") - 1) * 100).alias("pl_pct"),
+        ((ratio("value", "cost_base") - 1) * 100).alias("pl_base_pct"),
         "value", "cost_base",
-        ((F.col("value") - F.col("cost_base")) / F.col("capital") * 100).alias("contrib_pp"),
-        (F.col("value") / F.col("nav_last") * 100).alias("weight_now_pct"),
-        (F.col("cost_base") / F.col("capital") * 100).alias("weight_cost_pct"),
+        (ratio(F.col("value") - F.col("cost_base"), "capital") * 100).alias("contrib_pp"),
+        (ratio("value", "nav_last") * 100).alias("weight_now_pct"),
+        (ratio("cost_base", "capital") * 100).alias("weight_cost_pct"),
         (F.col("vol") * 100).alias("vol_pct"), (F.col("max_dd") * 100).alias("max_dd_pct"),
     )
 
@@ -113,10 +135,10 @@ def benchmark_nav(legs: DataFrame, members: DataFrame, closes: DataFrame, rates:
     keys = Window.partitionBy("portfolio", "benchmark", "symbol").orderBy("date")
     past = keys.rowsBetween(Window.unboundedPreceding, 0)
     legs_on = spine.join(value, ["symbol", "quoted", "date"], "left").withColumn("v", both_fills("leg", ["portfolio", "benchmark", "symbol"]))
-    share = legs_on.withColumn("part", F.col("weight") * F.col("v") / F.first("v").over(past))
+    share = legs_on.withColumn("part", ratio(F.col("weight") * F.col("v"), F.first("v").over(past)))
     total = share.groupBy("benchmark", "portfolio", "date").agg(F.sum("part").alias("mix"))
     whole = Window.partitionBy("benchmark", "portfolio").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return total.select("benchmark", "portfolio", "date", (F.col("mix") / F.first("mix").over(whole) * 100).alias("value"))
+    return total.select("benchmark", "portfolio", "date", (ratio("mix", F.first("mix").over(whole)) * 100).alias("value"))
 
 
 def benchmark_pairs(portfolio_returns: DataFrame, benchmark_returns: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import TRADING_DAYS, Z
+from ..functions.expr import TRADING_DAYS, Z, ratio
 from .drawdown import max_drawdown
 from .metrics import growth
 from .series import daily_returns, ordered
@@ -42,7 +42,7 @@ def benchmark_metrics(pairs: DataFrame, navs: DataFrame, benchmarks: DataFrame,
     return d.select(
         "portfolio", "benchmark", "beta", (F.col("alpha") * TD).alias("alpha"), "corr", (F.col("corr") * F.col("corr")).alias("r2"), te.alias("tracking_error"),
         F.when(F.col("te") > 0, (F.col("mp") - F.col("mb")) * TD / te).alias("information_ratio"),
-        F.when(F.col("n_up") > 5, annual("pu", "n_up") / annual("bu", "n_up")).alias("up_capture"), F.when(F.col("n_down") > 5, annual("pd", "n_down") / annual("bd", "n_down")).alias("down_capture"),
+        F.when(F.col("n_up") > 5, ratio(annual("pu", "n_up"), annual("bu", "n_up"))).alias("up_capture"), F.when(F.col("n_down") > 5, ratio(annual("pd", "n_down"), annual("bd", "n_down"))).alias("down_capture"),
         F.when(F.col("n_up") > 20, F.col("beta_up")).alias("beta_up"), F.when(F.col("n_down") > 20, F.col("beta_down")).alias("beta_down"), "batting", (rf + sharpe * vol_b).alias("m2"),
         F.col("b_total").alias("bench_total"), F.col("b_cagr").alias("bench_cagr"), vol_b.alias("bench_vol"), F.col("b_max_dd").alias("bench_max_dd"), (F.col("p_total") - F.col("b_total")).alias("excess_return"), "n",
     )
@@ -51,7 +51,7 @@ def benchmark_metrics(pairs: DataFrame, navs: DataFrame, benchmarks: DataFrame,
 def component_returns(components: DataFrame) -> DataFrame:
     """portfolio, symbol, date, r on the dates on which all of the portfolio's components have one; rows and size of the portfolio."""
     order = Window.partitionBy("portfolio", "symbol").orderBy("date")
-    r = components.withColumn("r", F.col("value") / F.lag("value").over(order) - 1)
+    r = components.withColumn("r", ratio("value", F.lag("value").over(order)) - 1)
     day, whole = Window.partitionBy("portfolio", "date"), Window.partitionBy("portfolio")
     size = components.groupBy("portfolio").agg(F.countDistinct("symbol").alias("size"))
     r = r.withColumn("have", F.count("r").over(day)).join(size, "portfolio").where("have = size")
@@ -86,17 +86,17 @@ def risk_decomposition(components: DataFrame, navs: DataFrame) -> tuple[DataFram
     cov = cov_matrix(component_returns(components))
     both = cov.unionByName(cov.where("i <> j").select("portfolio", F.col("j").alias("i"), F.col("i").alias("j"), "cov"))
     last = components.groupBy("portfolio", "symbol").agg(F.max_by("value", "date").alias("v"))
-    w = last.join(navs.groupBy("portfolio").agg(F.max_by("nav", "date").alias("nav")), "portfolio").select("portfolio", "symbol", (F.col("v") / F.col("nav")).alias("w"))
+    w = last.join(navs.groupBy("portfolio").agg(F.max_by("nav", "date").alias("nav")), "portfolio").select("portfolio", "symbol", ratio("v", "nav").alias("w"))
     wi, wj = w.select("portfolio", F.col("symbol").alias("i"), F.col("w").alias("wi")), w.select("portfolio", F.col("symbol").alias("j"), F.col("w").alias("wj"))
     rows = both.join(wi, ["portfolio", "i"]).join(wj, ["portfolio", "j"])
     per = rows.groupBy("portfolio", "i", "wi").agg(F.sum(F.col("cov") * F.col("wj")).alias("cw"), F.sqrt(F.sum(F.when(F.col("i") == F.col("j"), F.col("cov")))).alias("vol"))
     total = per.groupBy("portfolio").agg(F.sqrt(F.sum(F.col("wi") * F.col("cw"))).alias("vp"), F.sum(F.col("wi") * F.col("vol")).alias("sum_vol"), F.sum(F.col("wi") * F.col("wi")).alias("hhi"), F.count("*").alias("positions"))
-    one = per.join(total, "portfolio").withColumn("mrc", F.col("cw") / F.col("vp"))
+    one = per.join(total, "portfolio").withColumn("mrc", ratio("cw", "vp"))
     parts = one.select(
-        "portfolio", F.col("i").alias("symbol"), F.col("wi").alias("weight"), "vol", "mrc", (F.col("wi") * F.col("mrc")).alias("contribution"), (F.col("wi") * F.col("mrc") / F.col("vp")).alias("risk_share"),
-        (F.col("wi") * F.col("mrc") / F.col("vp") * Z[95] * F.col("vp") / TD**0.5).alias("component_var95"), (F.col("mrc") / F.col("vp")).alias("beta"),
+        "portfolio", F.col("i").alias("symbol"), F.col("wi").alias("weight"), "vol", "mrc", (F.col("wi") * F.col("mrc")).alias("contribution"), ratio(F.col("wi") * F.col("mrc"), "vp").alias("risk_share"),
+        (F.col("wi") * F.col("mrc") * Z[95] / TD**0.5).alias("component_var95"), ratio("mrc", "vp").alias("beta"),
     )
-    whole = total.select("portfolio", F.col("vp").alias("vol"), "sum_vol", (F.col("sum_vol") - F.col("vp")).alias("benefit"), (F.col("sum_vol") / F.col("vp")).alias("ratio"), "hhi", (1 / F.col("hhi")).alias("effective_positions"), "positions")
+    whole = total.select("portfolio", F.col("vp").alias("vol"), "sum_vol", (F.col("sum_vol") - F.col("vp")).alias("benefit"), ratio("sum_vol", "vp").alias("ratio"), "hhi", ratio(F.lit(1.0), "hhi").alias("effective_positions"), "positions")
     return parts, whole
 
 

@@ -1,15 +1,16 @@
 """Rolling statistics, cones, regimes, and the distribution of returns.
 
-Trailing sums come from running sums less their value `w` rows ago, so a row costs the same for any window; returns are
-centred on their series' mean first, against cancellation.
+Trailing windows of w rows are two-sided block scans: rows are cut into blocks of w, with a scan from each block's start and one from its end. A window
+is a part of one block's end and a part of the next one's start, so its moments are those of the two merged. Nothing is subtracted: a row costs the same for any
+window, and what lies outside a window, an outlier say, has no influence on it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import TRADING_DAYS, chi2_tail, column, norm_pdf, norm_ppf
+from ..functions.expr import TRADING_DAYS, chi2_tail, column, norm_pdf, norm_ppf, ratio
 from .metrics import numbered_returns, quantiles, ret, share
 from .series import daily_returns, ordered, past, period_last
 
@@ -20,28 +21,41 @@ def _whole(*keys: str) -> Window:
     return Window.partitionBy(*(keys or ("series_id",)))
 
 
-def trailing_sums(df: DataFrame, w: int, sums: dict[str, Column], keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """df's rows that have w rows behind them (themselves included), with the sum of each column over those."""
-    df = df.withColumns({f"_{c}": F.sum(x).over(past(*keys)) for c, x in sums.items()} | {"_k": F.row_number().over(ordered(*keys))})
-    df = df.withColumns({c: F.col(f"_{c}") - F.coalesce(F.lag(f"_{c}", w).over(ordered(*keys)), F.lit(0.0)) for c in sums})
-    return df.where(F.col("_k") >= w).drop("_k", *(f"_{c}" for c in sums))
-
-
-def _variance(s1: str, s2: str, w: int) -> Column:
-    v = (F.col(s2) - F.col(s1) * F.col(s1) / w) / (w - 1)
-    return F.when(v > 1e-18, v).otherwise(F.lit(0.0))
+def window_scans(df: DataFrame, windows: tuple[int, ...], columns: tuple[str, ...] = (), products: tuple[tuple[str, str], ...] = (), sums: tuple[str, ...] = (), keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """df's rows that have `days` rows behind them (themselves included), for each of windows: its columns, days, and over those rows
+    {c}_mean and {c}_ss (sum of squared deviations) of columns, {a}_{b}_sp (of products of deviations) of products, {c}_sum of sums.
+    """
+    named = sorted({*columns, *(c for pair in products for c in pair)})
+    rows = df.withColumn("k", F.row_number().over(ordered(*keys)) - 1).withColumn("days", F.explode(F.array(*map(F.lit, windows))))
+    rows = rows.withColumns({"block": F.floor(F.col("k") / F.col("days")), "i": F.col("k") % F.col("days")})
+    block = Window.partitionBy(*keys, "days", "block")
+    upto = lambda order: block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    start, end = upto(F.asc("k")), upto(F.desc("k"))
+    scans = {f"{c}_mean": F.avg(c) for c in named} | {f"{c}_var": F.var_pop(c) for c in columns} | {f"{a}_{b}_cov": F.covar_pop(a, b) for a, b in products} | {f"{c}_sum": F.sum(c) for c in sums}
+    side = lambda frame: F.struct(*(scan.over(frame).alias(name) for name, scan in scans.items()))
+    rows = rows.withColumns({"a": side(start), "b": side(end)})
+    # The end of the block before: w - 1 rows back.
+    back = None
+    for w in windows:
+        own = F.lag("b", w - 1).over(Window.partitionBy(*keys, "days").orderBy("k"))
+        back = F.when(F.col("days") == w, own) if back is None else back.when(F.col("days") == w, own)
+    rows = rows.withColumn("b", back).where(F.col("k") >= F.col("days") - 1)
+    n = F.col("i") + 1
+    m = F.col("days") - n
+    whole, of = m == 0, lambda side, name: F.col(f"{side}.{name}")
+    gap = lambda c: of("b", f"{c}_mean") - of("a", f"{c}_mean")
+    shift = n * m / F.col("days")
+    out = {f"{c}_mean": F.when(whole, of("a", f"{c}_mean")).otherwise(of("a", f"{c}_mean") + gap(c) * m / F.col("days")) for c in named}
+    merged = lambda name, x, y: F.when(whole, of("a", name) * n).otherwise(of("a", name) * n + of("b", name) * m + gap(x) * gap(y) * shift)
+    out |= {f"{c}_ss": merged(f"{c}_var", c, c) for c in columns} | {f"{x}_{y}_sp": merged(f"{x}_{y}_cov", x, y) for x, y in products}
+    out |= {f"{c}_sum": F.when(whole, of("a", f"{c}_sum")).otherwise(of("a", f"{c}_sum") + of("b", f"{c}_sum")) for c in sums}
+    return rows.select(*df.columns, "days", *(value.alias(name) for name, value in out.items()))
 
 
 def moments_of_windows(series: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """series_id, date, days, r, mean, sd over the last `days` returns, for every window in one pass over the running sums."""
-    r = daily_returns(series).withColumn("mu", F.avg("r").over(_whole()))
-    c = F.col("r") - F.col("mu")
-    r = r.withColumns({"a1": F.sum(c).over(past()), "a2": F.sum(c * c).over(past()), "k": F.row_number().over(ordered())})
-    before = lambda x, w: F.coalesce(F.lag(x, w).over(ordered()), F.lit(0.0))
-    parts = [F.struct(F.lit(w).alias("days"), (F.col("a1") - before("a1", w)).alias("s1"), (F.col("a2") - before("a2", w)).alias("s2")) for w in windows]
-    rows = r.withColumn("w", F.array(*parts)).select("series_id", "date", "r", "mu", "k", F.explode("w").alias("w")).select("series_id", "date", "r", "mu", "k", "w.*").where("k >= days")
-    v = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("days")) / (F.col("days") - 1)
-    return rows.select("series_id", "date", "days", "r", (F.col("s1") / F.col("days") + F.col("mu")).alias("mean"), F.sqrt(F.when(v > 1e-18, v).otherwise(F.lit(0.0))).alias("sd"))
+    """series_id, date, days, r, mean, sd over the last `days` returns, for every window in one pass."""
+    out = window_scans(daily_returns(series), windows, ("r",))
+    return out.select("series_id", "date", "days", "r", F.col("r_mean").alias("mean"), F.sqrt(F.col("r_ss") / (F.col("days") - 1)).alias("sd"))
 
 
 def rolling_moments(series: DataFrame, w: int) -> DataFrame:
@@ -65,26 +79,25 @@ def rolling_sharpe(series: DataFrame, *windows: int, rf: float = 0.0) -> DataFra
 
 def rolling_sortino(series: DataFrame, w: int = 252, rf: float = 0.0) -> DataFrame:
     low = ret() < 0
-    sums = {"s": ret(), "d": F.when(low, ret() * ret()).otherwise(F.lit(0.0)), "m": low.cast("double")}
-    out = trailing_sums(daily_returns(series), w, sums).where("m > 0 and d > 0")
-    value = (F.col("s") / w * TD - rf) / (F.sqrt(F.col("d") / F.col("m")) * TD**0.5)
+    r = daily_returns(series).withColumns({"d": F.when(low, ret() * ret()).otherwise(F.lit(0.0)), "m": low.cast("double")})
+    out = window_scans(r, (w,), sums=("r", "d", "m")).where("m_sum > 0 and d_sum > 0")
+    value = (F.col("r_sum") / w * TD - rf) / (F.sqrt(F.col("d_sum") / F.col("m_sum")) * TD**0.5)
     return _weekly(out.select("series_id", "date", value.alias("sortino")), "sortino")
 
 
 def rolling_beta_corr(pairs: DataFrame, w: int = 126, least: int = 150) -> DataFrame:
     """portfolio, benchmark, period, beta, corr over the last w common returns, sampled weekly; needs `least` of them."""
     keys = ("portfolio", "benchmark")
-    p = pairs.withColumns({"n": F.count("*").over(_whole(*keys)), "pc": F.col("p") - F.avg("p").over(_whole(*keys)), "bc": F.col("b") - F.avg("b").over(_whole(*keys))}).where(F.col("n") >= least)
-    out = trailing_sums(p, w, {"sp": F.col("pc"), "sb": F.col("bc"), "pp": F.col("pc") * F.col("pc"), "bb": F.col("bc") * F.col("bc"), "pb": F.col("pc") * F.col("bc")}, keys)
-    cov = (F.col("pb") - F.col("sp") * F.col("sb") / w) / (w - 1)
-    vp, vb = _variance("sp", "pp", w), _variance("sb", "bb", w)
-    out = out.withColumns({"beta": F.when(vb > 0, cov / vb), "corr": F.when((vb > 0) & (vp > 0), cov / F.sqrt(vp * vb))})
+    p = pairs.withColumn("n", F.count("*").over(_whole(*keys))).where(F.col("n") >= least)
+    out = window_scans(p, (w,), ("p", "b"), (("p", "b"),), keys=keys)
+    vp, vb, cov = F.col("p_ss"), F.col("b_ss"), F.col("p_b_sp")
+    out = out.withColumns({"beta": F.when(vb > 0, cov / vb), "corr": F.when((vb > 0) & (vp > 0), cov / (F.sqrt(vp) * F.sqrt(vb)))})
     return out.groupBy(*keys, F.next_day(F.date_sub("date", 1), "FRI").alias("period")).agg(F.max_by("beta", "date").alias("beta"), F.max_by("corr", "date").alias("corr"))
 
 
 def excess_cumulative(pairs: DataFrame) -> DataFrame:
     run = past("portfolio", "benchmark")
-    return pairs.select("portfolio", "benchmark", "date", (F.product(1 + F.col("p")).over(run) / F.product(1 + F.col("b")).over(run) - 1).alias("excess"))
+    return pairs.select("portfolio", "benchmark", "date", (ratio(F.product(1 + F.col("p")).over(run), F.product(1 + F.col("b")).over(run)) - 1).alias("excess"))
 
 
 def ewma_vol(series: DataFrame, lam: float = 0.94, block: int = 256) -> DataFrame:
@@ -114,7 +127,7 @@ def vol_cone(series: DataFrame, windows: tuple[int, ...] = (21, 63, 126, 252)) -
 
 def worst_windows(series: DataFrame, steps: tuple[int, ...] = (5, 21, 63, 126, 252)) -> DataFrame:
     """Per number of steps: worst, best, median change, share of negative ones, and the first end of the worst."""
-    changes = series.withColumn("w", F.array(*(F.struct(F.lit(g).alias("steps"), (F.col("value") / F.lag("value", g).over(ordered()) - 1).alias("r")) for g in steps)))
+    changes = series.withColumn("w", F.array(*(F.struct(F.lit(g).alias("steps"), (ratio("value", F.lag("value", g).over(ordered())) - 1).alias("r")) for g in steps)))
     rows = changes.select("series_id", "date", F.explode("w").alias("w")).select("series_id", "date", "w.*").where("r is not null")
     return rows.groupBy("series_id", "steps").agg(F.min("r").alias("worst"), F.max("r").alias("best"), F.percentile("r", 0.5).alias("median"), share(ret() < 0).alias("negative"), F.min(F.struct("r", "date")).getField("date").alias("worst_end"))
 
@@ -131,7 +144,7 @@ def vol_regimes(series: DataFrame, w: int = 21) -> DataFrame:
 def market_phases(pairs: DataFrame) -> DataFrame:
     b = F.col("b")
     rows = pairs.where("b <> 0").withColumn("phase", F.when(b > 0, "up").otherwise("down"))
-    return rows.groupBy("portfolio", "benchmark", "phase").agg(F.count("*").alias("days"), (F.avg("p") * TD).alias("portfolio_annual"), (F.avg("b") * TD).alias("benchmark_annual"), (F.avg("p") / F.avg("b")).alias("capture"))
+    return rows.groupBy("portfolio", "benchmark", "phase").agg(F.count("*").alias("days"), (F.avg("p") * TD).alias("portfolio_annual"), (F.avg("b") * TD).alias("benchmark_annual"), ratio(F.avg("p"), F.avg("b")).alias("capture"))
 
 
 # --- distribution --------------------------------------------------------------------------------------------
@@ -153,7 +166,7 @@ def ljung_box(series: DataFrame, lags: int = 10) -> DataFrame:
     r = daily_returns(series).withColumn("x", ret() - F.avg("r").over(_whole()))
     r = r.withColumns({f"l{k}": F.lag("x", k).over(ordered()) for k in range(1, lags + 1)})
     d = r.groupBy("series_id").agg(F.count("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("xx"), *(F.sum(F.col("x") * F.col(f"l{k}")).alias(f"c{k}") for k in range(1, lags + 1)))
-    acf = {k: F.col(f"c{k}") / F.col("xx") for k in range(1, lags + 1)}
+    acf = {k: ratio(f"c{k}", "xx") for k in range(1, lags + 1)}
     total = sum((a * a / (F.col("n") - k) for k, a in acf.items()), F.lit(0.0))
     d = d.withColumn("q", F.col("n") * (F.col("n") + 2) * total)
     return d.select("series_id", "q", column(chi2_tail("q", lags)).alias("p"), *(acf[k].alias(f"acf{k}") for k in acf))

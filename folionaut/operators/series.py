@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import ratio
+
 #: Presets of analysis windows and how many months they reach back (null: all; 0: since new year).
 PRESETS = (("max", None), ("3y", 36), ("2y", 24), ("1y", 12), ("ytd", 0), ("6m", 6), ("3m", 3))
 MIN_STEPS = 25
@@ -23,8 +25,8 @@ def trailing(n: int, *keys: str) -> Window:
 
 
 def daily_returns(series: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """keys, date, r: change from the row before; rows without one, or with nulls, go."""
-    r = F.col("value") / F.lag("value").over(ordered(*keys)) - 1
+    """keys, date, r: change from the row before; rows without one, or with nulls, go. There is no change from a value of 0."""
+    r = ratio("value", F.lag("value").over(ordered(*keys))) - 1
     return series.withColumn("r", r).where("r is not null").select(*keys, "date", "r")
 
 
@@ -58,7 +60,7 @@ def period_returns(series: DataFrame, freq: str, keys: tuple[str, ...] = ("serie
     order = Window.partitionBy(*keys).orderBy("period")
     out = last.withColumns({"before": F.lag("value").over(order), "end": F.lag("period").over(order)})
     out = out.where(F.col("end") == _period_before(freq, "period"))
-    return out.select(*keys, "period", (F.col("value") / F.col("before") - 1).alias("r"))
+    return out.select(*keys, "period", (ratio("value", "before") - 1).alias("r")).where("r is not null")
 
 
 def stepped_returns(series: DataFrame, freqs: tuple[str, ...] = ("week", "month", "quarter")) -> DataFrame:
@@ -72,7 +74,7 @@ def stepped_returns(series: DataFrame, freqs: tuple[str, ...] = ("week", "month"
     for f in freqs:
         test = (F.col("freq") == f) & (F.col("end") == _period_before(f, "period"))
         due = test if due is None else due | test
-    return daily_returns(series).select("series_id", F.lit("day").alias("freq"), "r").unionByName(out.where(due).select("series_id", "freq", (F.col("value") / F.col("before") - 1).alias("r")))
+    return daily_returns(series).select("series_id", F.lit("day").alias("freq"), "r").unionByName(out.where(due).select("series_id", "freq", (ratio("value", "before") - 1).alias("r")).where("r is not null"))
 
 
 def weekly_index(benchmarks: DataFrame) -> DataFrame:
@@ -82,9 +84,9 @@ def weekly_index(benchmarks: DataFrame) -> DataFrame:
 
 def weekly_series(navs: DataFrame, capital: DataFrame) -> DataFrame:
     """portfolio, period, nav, index_pct (of the capital), drawdown: the last of each week that has rows."""
-    dd = F.col("nav") / F.max("nav").over(past("portfolio")) - 1
+    dd = ratio("nav", F.max("nav").over(past("portfolio"))) - 1
     last = navs.withColumn("dd", dd).groupBy("portfolio", period_end("week").alias("period")).agg(F.max_by("nav", "date").alias("nav"), F.max_by("dd", "date").alias("drawdown"))
-    return last.join(capital.select("portfolio", "capital"), "portfolio").select("portfolio", "period", "nav", (F.col("nav") / F.col("capital") * 100).alias("index_pct"), "drawdown")
+    return last.join(capital.select("portfolio", "capital"), "portfolio").select("portfolio", "period", "nav", (ratio("nav", "capital") * 100).alias("index_pct"), "drawdown")
 
 
 def monthly_matrix(series: DataFrame, rounded: bool = False) -> DataFrame:
@@ -106,7 +108,7 @@ def annual_returns(series: DataFrame) -> DataFrame:
     year = F.year("period")
     return usable.select(
         "series_id", year.alias("year"),
-        (F.col("value") / F.when(first, F.col("v0")).otherwise(F.col("before")) - 1).alias("r"),
+        (ratio("value", F.when(first, F.col("v0")).otherwise(F.col("before"))) - 1).alias("r"),
         ((first & (F.month("d0") > 1)) | final).alias("partial"),
         F.when(first, F.col("d0")).otherwise(F.make_date(year, F.lit(1), F.lit(1))).alias("from_date"),
         F.when(final, F.col("d1")).otherwise(F.col("period")).alias("to_date"),
@@ -170,7 +172,7 @@ def windowed(series: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def rebase_100(series: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    return series.withColumn("value", F.col("value") / F.first("value").over(past(*keys)) * 100)
+    return series.withColumn("value", ratio("value", F.first("value").over(past(*keys))) * 100)
 
 
 def thin_series(series: DataFrame, most: int = 170) -> DataFrame:
@@ -192,11 +194,11 @@ def attribution_window(components: DataFrame, navs: DataFrame, windows: DataFram
     ends = lambda df, v, *keys: df.groupBy("portfolio", "window", *keys)
     total = ends(inside(navs), "nav").agg(F.min_by("nav", "date").alias("n0"), F.max_by("nav", "date").alias("n1"))
     order = Window.partitionBy("portfolio", "window", "symbol").orderBy("date")
-    parts = inside(components.where("value is not null")).withColumns({"r": F.col("value") / F.lag("value").over(order) - 1, "dd": F.col("value") / F.max("value").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1})
+    parts = inside(components.where("value is not null")).withColumns({"r": ratio("value", F.lag("value").over(order)) - 1, "dd": ratio("value", F.max("value").over(order.rowsBetween(Window.unboundedPreceding, 0))) - 1})
     own = ends(parts, "value", "symbol").agg(F.min_by("value", "date").alias("c0"), F.max_by("value", "date").alias("c1"), F.stddev_samp("r").alias("sd"), F.min("dd").alias("max_dd"))
     out = own.join(total, ["portfolio", "window"])
     return out.select(
-        "portfolio", "window", "symbol", (F.col("c0") / F.col("n0")).alias("weight_start"), (F.col("c1") / F.col("n1")).alias("weight_end"),
-        (F.col("c1") / F.col("n1") - F.col("c0") / F.col("n0")).alias("drift"), (F.col("c1") / F.col("c0") - 1).alias("r"),
-        ((F.col("c1") - F.col("c0")) / F.col("n0") * 100).alias("contribution_pp"), (F.col("sd") * F.sqrt(F.lit(252.0))).alias("vol"), "max_dd",
+        "portfolio", "window", "symbol", ratio("c0", "n0").alias("weight_start"), ratio("c1", "n1").alias("weight_end"),
+        (ratio("c1", "n1") - ratio("c0", "n0")).alias("drift"), (ratio("c1", "c0") - 1).alias("r"),
+        (ratio(F.col("c1") - F.col("c0"), "n0") * 100).alias("contribution_pp"), (F.col("sd") * F.sqrt(F.lit(252.0))).alias("vol"), "max_dd",
     )

@@ -91,7 +91,7 @@ def members(ports: DataFrame) -> DataFrame:
 
 
 #: Frames that several branches of a plan read.
-STORED = ("prices", "holdings", "rates", "components", "nav", "series", "benchmarks", "pairs", "windows", "windowed", "capital")
+STORED = ("prices", "holdings", "rates", "calendar", "components", "nav", "series", "benchmarks", "pairs", "windows", "windowed", "capital")
 
 
 class Book:
@@ -135,16 +135,19 @@ class Book:
 
     @property
     def components(self) -> DataFrame:
-        spine = lambda: nav.filled_spine(self.holdings, self.portfolios, self.prices, self.dividends)
-        return self._get("components", lambda: nav.component_values(spine(), self.holdings, self.rates, BASE))
+        return self._get("components", lambda: nav.components(self.holdings, self.portfolios, self.prices, self.dividends, self.rates, BASE, self.calendar))
+
+    @property
+    def calendar(self) -> DataFrame:
+        return self._get("calendar", lambda: nav.live_calendar(self.holdings, self.prices, self.portfolios))
 
     @property
     def nav(self) -> DataFrame:
-        return self._get("nav", lambda: nav.nav(self.components, self.holdings, self.rates, BASE))
+        return self._get("nav", lambda: nav.nav(self.components, self.holdings, self.rates, BASE, self.capital))
 
     @property
     def capital(self) -> DataFrame:
-        return self._get("capital", lambda: nav.invested_capital(self.components, self.holdings, self.rates, BASE))
+        return self._get("capital", lambda: nav.invested_capital(self.calendar, self.holdings, self.rates, BASE))
 
     @property
     def nav_series(self) -> DataFrame:

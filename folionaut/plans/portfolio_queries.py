@@ -129,7 +129,7 @@ query("registry", lambda b: _registry(b).select("portfolio", "label", "base_ccy"
 query("normalize_bars", lambda b: market.normalize_bars(b.spark.read.parquet(f"{b.sf_dir}/events.parquet"), "user_id", "ts", "value", "event_id"),
       "select user_id as symbol, ts::date as date, arg_max(value, (ts, event_id)) as close from events group by 1, 2")
 query("align_calendar", lambda b: market.align_calendar(b.holdings, b.prices, b.dividends, b.portfolios), "select portfolio, symbol, date, close, amount from aligned")
-query("ffill_prices", lambda b: market.ffill(market.align_calendar(b.holdings, b.prices, b.dividends, b.portfolios), ["portfolio", "symbol"], "close").select("portfolio", "symbol", "date", "close"),
+query("ffill_prices", lambda b: market.filled_calendar(b.holdings, b.prices, b.dividends, b.portfolios).select("portfolio", "symbol", "date", "close"),
       "select portfolio, symbol, date, close from filled")
 _INVERTED = "select * from quotes where ccy <> 'GBP' union all select base as ccy, 'GBP' as base, date, 1 / rate as rate from quotes where ccy = 'GBP'"
 
@@ -141,7 +141,7 @@ def _half_inverted(b: Book) -> DataFrame:
 
 
 query("fx_rates", lambda b: market.fx_rates(_half_inverted(b), BASE), "select ccy, date, rate from rates", "rate", 9)
-query("align_fx", lambda b: market.align_fx(b.components.select("portfolio", "ccy", "date"), b.rates, BASE, ["portfolio"]),
+query("align_fx", lambda b: market.align_fx(b.calendar.join(b.holdings.select("portfolio", "ccy").distinct(), "portfolio"), b.rates, BASE, ["portfolio"]),
       "select distinct portfolio, ccy, date, f.rate from fx f where (portfolio, ccy) in (select portfolio, ccy from hold)", "rate", 9)
 
 
@@ -182,9 +182,10 @@ query("positions", lambda b: nav.positions(b.components, b.holdings, b.rates, BA
         select *, close * rate / lag(close * rate) over (partition by portfolio, symbol order by date) - 1 as r, value / max(value) over (partition by portfolio, symbol order by date {PAST}) - 1 as dd from comp) group by 1, 2) x using (portfolio, symbol)
     join days d using (portfolio) join cap c using (portfolio) join (select portfolio, arg_max(nav, date) as nav from nav group by 1) n using (portfolio)
     join (select h.portfolio, h.symbol, case when h.ccy = h.quote_ccy then 1.0e0 else a.rate / b.rate end as q, h.cost_amount * e.rate as cb from hold h join days d using (portfolio)
-      join fx a on a.portfolio = h.portfolio and a.ccy = h.ccy and a.date = d.last_day join fx b on b.portfolio = h.portfolio and b.ccy = h.quote_ccy and b.date = d.last_day
-      join fx e on e.portfolio = h.portfolio and e.ccy = h.cost_ccy and e.date = d.first_day) y using (portfolio, symbol)""",
-      "last_px pl_pct pl_base_pct value cost_base contrib_pp weight_now_pct weight_cost_pct vol_pct max_dd_pct", 6)
+      join fxl a on a.portfolio = h.portfolio and a.ccy = h.ccy join fxl b on b.portfolio = h.portfolio and b.ccy = h.quote_ccy
+      join fxf e on e.portfolio = h.portfolio and e.ccy = h.cost_ccy) y using (portfolio, symbol)""",
+      "last_px pl_pct pl_base_pct value cost_base contrib_pp weight_now_pct weight_cost_pct vol_pct max_dd_pct", 6,
+      fxl="select f.portfolio, f.ccy, f.rate from fx f join days d on d.portfolio = f.portfolio and d.last_day = f.date", fxf="select f.portfolio, f.ccy, f.rate from fx f join days d on d.portfolio = f.portfolio and d.first_day = f.date")
 query("attribution_window", lambda b: series.attribution_window(b.components.select("portfolio", "symbol", "date", "value"), b.nav, b.windows), f"""select c.portfolio, c."window", c.symbol, c0 / n0 as weight_start, c1 / n1 as weight_end, c1 / n1 - c0 / n0 as drift, c1 / c0 - 1 as r,
       (c1 - c0) / n0 * 100 as contribution_pp, sd * {ROOT} as vol, max_dd from (
       select portfolio, "window", symbol, arg_min(value, date) as c0, arg_max(value, date) as c1, stddev_samp(r) as sd, min(dd) as max_dd from (
