@@ -51,29 +51,90 @@ def benchmark_metrics(pairs: DataFrame, navs: DataFrame, benchmarks: DataFrame,
 def component_returns(components: DataFrame) -> DataFrame:
     """portfolio, symbol, date, r on the dates on which all of the portfolio's components have one; rows and size of the portfolio."""
     order = Window.partitionBy("portfolio", "symbol").orderBy("date")
-    r = components.withColumn("r", ratio("value", F.lag("value").over(order)) - 1)
-    day, whole = Window.partitionBy("portfolio", "date"), Window.partitionBy("portfolio")
+    r = components.select("portfolio", "symbol", "date", (ratio("value", F.lag("value").over(order)) - 1).alias("r"))
     size = components.groupBy("portfolio").agg(F.countDistinct("symbol").alias("size"))
-    r = r.withColumn("have", F.count("r").over(day)).join(size, "portfolio").where("have = size")
-    n = r.groupBy("portfolio").agg(F.countDistinct("date").alias("rows"))
-    return r.join(n, "portfolio").select("portfolio", "symbol", "date", "r", "rows", "size")
+    days = r.groupBy("portfolio", "date").agg(F.count("r").alias("have")).join(size, "portfolio").where("have = size")
+    days = days.select("portfolio", "date", F.count("*").over(Window.partitionBy("portfolio")).alias("rows"), "size")
+    return r.join(days, ["portfolio", "date"]).select("portfolio", "symbol", "date", "r", "rows", "size")
+
+
+TILE = 128  # symbols on a side of a tile
+SPAN = 512  # calendar days of a partial product
+_SUMS = "portfolio string, ti int, tj int, n long, names_i array<string>, names_j array<string>, mean_i array<double>, mean_j array<double>, ss_i array<double>, ss_j array<double>, c array<double>"
+
+
+def _products(key: tuple, rows: pa.Table) -> pa.Table:
+    """Of one span and pair of tiles: the number of dates, means and squares of both tiles' symbols, and the matrix of products of deviations."""
+    at, side, r = (rows.column(c).to_numpy() for c in ("at", "side", "r"))
+    _, day = np.unique(rows.column("day").to_numpy(), return_inverse=True)
+    names = np.array(rows.column("symbol").to_pylist(), dtype=object)
+
+    def tile(s: int) -> tuple[list[str], np.ndarray]:
+        own = side == s
+        out = np.zeros((day.max() + 1, at[own].max() + 1))
+        out[day[own], at[own]] = r[own]
+        named = np.empty(out.shape[1], dtype=object)
+        named[at[own]] = names[own]
+        return list(named), out
+
+    (names_i, x), (names_j, y) = tile(0), tile(1 if (side == 1).any() else 0)
+    mx, my = x.mean(axis=0), y.mean(axis=0)
+    dx, dy = x - mx, y - my
+    arrays = [names_i, names_j, mx, my, (dx * dx).sum(axis=0), (dy * dy).sum(axis=0), (dx.T @ dy).ravel()]
+    names_ = ("names_i", "names_j", "mean_i", "mean_j", "ss_i", "ss_j", "c")
+    one = {"portfolio": [key[0].as_py()], "ti": pa.array([key[2].as_py()], pa.int32()), "tj": pa.array([key[3].as_py()], pa.int32()), "n": [len(x)]}
+    return pa.table(one | {name: [list(x)] for name, x in zip(names_, arrays)})
+
+
+def _merged(key: tuple, rows: pa.Table) -> pa.Table:
+    """The spans of a pair of tiles merged: a row for each two symbols i <= j."""
+    done = None
+    for row in rows.to_pylist():
+        own = [row["n"], *(np.array(row[c]) for c in ("mean_i", "mean_j", "ss_i", "ss_j")), np.array(row["c"]).reshape(len(row["mean_i"]), -1)]
+        if done is None:
+            done = own
+            continue
+        n, m = done[0], own[0]
+        gi, gj = own[1] - done[1], own[2] - done[2]
+        w = n * m / (n + m)
+        done = [n + m, done[1] + gi * m / (n + m), done[2] + gj * m / (n + m), done[3] + own[3] + gi * gi * w, done[4] + own[4] + gj * gj * w, done[5] + own[5] + np.outer(gi, gj) * w]
+    n, _, _, ss_i, ss_j, c = done
+    names_i, names_j = (rows.column(x)[0].as_py() for x in ("names_i", "names_j"))
+    i, j = np.nonzero(np.triu(np.ones(c.shape, dtype=bool)) if key[1] == key[2] else np.ones(c.shape, dtype=bool))
+    norm = np.sqrt(ss_i[i]) * np.sqrt(ss_j[j])
+    with np.errstate(all="ignore"):
+        corr, cov = np.where(norm > 0, c[i, j] / norm, np.nan), c[i, j] / (n - 1)
+    named = lambda names, k: pa.array(np.array(names, dtype=object)[k], pa.string())
+    same = pa.array([key[0].as_py()] * len(i), pa.string())
+    return pa.table({"portfolio": same, "i": named(names_i, i), "j": named(names_j, j), "n": pa.array(np.full(len(i), n)), "cov": pa.array(cov, from_pandas=True), "corr": pa.array(corr, from_pandas=True)})
+
+
+def gram(returns: DataFrame, tile: int = TILE, span: int = SPAN) -> DataFrame:
+    """portfolio, i, j (i <= j by name), n, cov, corr of the components' returns (complete dates only).
+
+    A blocked Gram matrix: symbols are numbered and cut into tiles, dates into spans. Two tiles of one span meet as dense matrices of at most span x tile; their product and
+    means are one row, and spans are merged. A return is sent once for each tile of its portfolio, never once for each other symbol.
+    """
+    rank = F.row_number().over(Window.partitionBy("portfolio").orderBy("symbol")) - 1
+    placed = returns.select("portfolio", "symbol").distinct().withColumn("rank", rank).withColumn("tiles", F.max("rank").over(Window.partitionBy("portfolio")))
+    placed = placed.select("portfolio", "symbol", F.expr(f"rank div {tile}").cast("int").alias("tile"), F.expr(f"rank % {tile}").cast("int").alias("at"), F.expr(f"tiles div {tile}").cast("int").alias("last"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("last")), lambda u: F.struct(F.least("tile", u).alias("ti"), F.greatest("tile", u).alias("tj"), (F.col("tile") > u).cast("int").alias("side")))
+    rows = returns.join(placed.withColumn("p", F.explode(pairs)), ["portfolio", "symbol"])
+    rows = rows.select("portfolio", F.expr(f"unix_date(date) div {span}").alias("span"), "p.ti", "p.tj", "p.side", "at", F.unix_date("date").alias("day"), "symbol", "r")
+    partial = rows.groupBy("portfolio", "span", "ti", "tj").applyInArrow(_products, _SUMS)
+    return partial.groupBy("portfolio", "ti", "tj").applyInArrow(_merged, "portfolio string, i string, j string, n long, cov double, corr double")
 
 
-def component_pairs(returns: DataFrame) -> DataFrame:
-    """Returns of two components (i <= j) on one date: an equi-join on portfolio and date."""
-    a = returns.select("portfolio", "date", F.col("symbol").alias("i"), F.col("r").alias("ri"), "rows", "size")
-    b = returns.select("portfolio", "date", F.col("symbol").alias("j"), F.col("r").alias("rj"))
-    return a.join(b, ["portfolio", "date"]).where("i <= j")
+def _enough(returns: DataFrame, least: int) -> DataFrame:
+    return returns.where((F.col("rows") >= least) & (F.col("size") >= 2))
 
 
 def corr_matrix(returns: DataFrame, least: int = 40) -> DataFrame:
-    ok = returns.where((F.col("rows") >= least) & (F.col("size") >= 2))
-    return component_pairs(ok).groupBy("portfolio", "i", "j").agg(F.corr("ri", "rj").alias("corr"))
+    return gram(_enough(returns, least)).select("portfolio", "i", "j", "corr")
 
 
 def cov_matrix(returns: DataFrame, least: int = 60) -> DataFrame:
-    ok = returns.where((F.col("rows") >= least) & (F.col("size") >= 2))
-    return component_pairs(ok).groupBy("portfolio", "i", "j").agg((F.covar_samp("ri", "rj") * TD).alias("cov"))
+    return gram(_enough(returns, least)).select("portfolio", "i", "j", (F.col("cov") * TD).alias("cov"))
 
 
 def corr_benchmark(returns: DataFrame, benchmark_returns: DataFrame) -> DataFrame:

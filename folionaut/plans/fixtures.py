@@ -59,6 +59,10 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """portfolio, symbol, ccy, shares, cost_px, cost_ccy, cost_amount, quote_ccy: what each hundred customers bought."""
     lines = _read(spark, sf_dir, "lineitem").where(LOTS).select("l_orderkey", F.expr("l_suppkey div 2").alias("number"), "l_quantity")
     bought = lines.join(_read(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_custkey div 100").alias("desk")), F.col("l_orderkey") == F.col("o_orderkey"))
+    return _lots(bought)
+
+
+def _lots(bought: DataFrame) -> DataFrame:
     lots = bought.groupBy("desk", "number").agg(F.sum(F.col("l_quantity").cast("long")).alias("shares"))
     ccy = _ccy(F.col("number"))
     return lots.select(
@@ -68,6 +72,15 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdings of portfolios that hold nearly every symbol: all that the customers of a region bought."""
+    orders, customer, nation = (_read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    region = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").cast("bigint").alias("desk"))
+    of = orders.join(region, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "desk")
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.expr("l_suppkey div 2").alias("number"), "l_quantity")
+    return _lots(lines.join(of, F.col("l_orderkey") == F.col("o_orderkey")))
+
+
 def portfolios(held: DataFrame) -> DataFrame:
     """portfolio, label, base_ccy, inception."""
     desk = F.substring("portfolio", 2, 20).cast("int")
@@ -97,8 +110,9 @@ STORED = ("prices", "holdings", "rates", "calendar", "components", "nav", "serie
 class Book:
     """The frames of one run, each built once, when it is first asked for; those in STORED are written tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, wide: bool = False):
+        """wide: the regions' portfolios of nearly all symbols, in the place of those of each hundred customers."""
+        self.spark, self.sf_dir, self.wide, self._made = spark, sf_dir, wide, {}
 
     def _get(self, name: str, make) -> DataFrame:
         if name not in self._made:
@@ -119,7 +133,7 @@ class Book:
 
     @property
     def holdings(self) -> DataFrame:
-        return self._get("holdings", lambda: holdings(self.spark, self.sf_dir))
+        return self._get("holdings", lambda: (wide_holdings if self.wide else holdings)(self.spark, self.sf_dir))
 
     @property
     def portfolios(self) -> DataFrame:

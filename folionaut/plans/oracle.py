@@ -92,6 +92,9 @@ TABLES = {
     "win4": "select *, case when j - i < 25 then greatest(0, j - 25) else i end as i2 from win3",
     "windows": "select w.series_id, w.win as \"window\", a.date as lo, b.date as hi from win4 w join win0 a on a.series_id = w.series_id and a.k = w.i2 join win0 b on b.series_id = w.series_id and b.k = w.j",
 }
+#: In the place of lots: what the customers of each region bought.
+WIDE = """select n_regionkey::bigint as desk, l_suppkey // 2 as number, sum(l_quantity::bigint)::bigint as shares, case (l_suppkey // 2) % 3 when 0 then 'CHF' when 1 then 'USD' else 'EUR' end as own
+    from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2, 4"""
 for _freq in ("week", "month", "quarter", "year"):
     TABLES |= {
         f"last_{_freq}": f"select series_id, {PERIOD[_freq]} as period, arg_max(value, date) as value from s where value is not null group by 1, 2",

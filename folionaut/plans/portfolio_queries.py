@@ -15,7 +15,7 @@ from ..operators import drawdown, market, metrics, nav, risk, rolling, series
 from ..sources import files
 from . import fixtures
 from .fixtures import BASE, Book
-from .oracle import PAST, PERIOD, with_tables
+from .oracle import PAST, PERIOD, WIDE, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,12 +24,13 @@ TD = 252
 ROOT = "sqrt(252.0e0)"
 
 
-def query(name: str, make: Callable[[Book], DataFrame], sql: str | None, doubles: str = "", digits: int = 6, **tables: str) -> None:
-    """Registers a query and its SQL; both round the columns in doubles."""
+def query(name: str, make: Callable[[Book], DataFrame], sql: str | None, doubles: str = "", digits: int = 6, wide: bool = False, **tables: str) -> None:
+    """Registers a query and its SQL; both round the columns in doubles. wide: on the portfolios of nearly all symbols."""
     own = doubles.split()
+    tables = tables | ({"lots": WIDE} if wide else {})
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return make(Book(spark, sf_dir)).withColumns({c: F.round(c, digits) + F.lit(0.0) for c in own})
+        return make(Book(spark, sf_dir, wide)).withColumns({c: F.round(c, digits) + F.lit(0.0) for c in own})
 
     run.__name__ = name
     QUERIES[name] = run
@@ -339,6 +340,8 @@ query("risk_decomposition", lambda b: risk.risk_decomposition(b.components, b.na
       "weight vol mrc contribution risk_share component_var95 beta", w0=_W0, per=_PER, tot=_TOT)
 query("risk_totals", lambda b: risk.risk_decomposition(b.components, b.nav)[1], "select portfolio, vp as vol, sum_vol, sum_vol - vp as benefit, sum_vol / vp as ratio, hhi, 1 / hhi as effective_positions, positions from tot",
       "vol sum_vol benefit ratio hhi effective_positions", w0=_W0, per=_PER, tot=_TOT)
+query("wide_corr_matrix", lambda b: risk.corr_matrix(risk.component_returns(b.components)), PARTS["corr_matrix"][0], "corr", wide=True)
+query("wide_risk_decomposition", lambda b: risk.risk_decomposition(b.components, b.nav)[0], PARTS["risk_decomposition"][0], " ".join(PARTS["risk_decomposition"][1]), wide=True, **PARTS["risk_decomposition"][2])
 query("effective_bets", lambda b: risk.effective_bets(b.components), None, "effective_bets")
 
 # --- resampling and windows ----------------------------------------------------------------------------------
