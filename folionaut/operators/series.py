@@ -140,13 +140,12 @@ def rolling_summary(rolled: DataFrame) -> DataFrame:
 
 
 # --- windows of analysis -------------------------------------------------------------------------------------
-def analysis_windows(series: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
-    """series_id, window, lo, hi: every preset of every series, or explicit bounds (series_id, window, a, b).
+def window_places(series: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """series_id, window, i, j: the places (0: first) of the first and last row of each window of analysis_windows.
 
-    Each bound moves to the first date at or after it; a window of fewer than 25 steps is lengthened forwards, then backwards.
+    A bound's place is the number of the series' rows before it, counted in one pass over rows and bounds: no row meets a window.
     """
-    numbered = series.select("series_id", "date", (F.row_number().over(ordered()) - 1).alias("k"))
-    ends = numbered.groupBy("series_id").agg(F.min("date").alias("d0"), F.max("date").alias("d1"), F.max("k").alias("last"))
+    ends = series.groupBy("series_id").agg(F.min("date").alias("d0"), F.max("date").alias("d1"), (F.count("*") - 1).alias("last"))
     if explicit is None:
         names = F.array(*(F.struct(F.lit(name).alias("window"), F.lit(m).cast("int").alias("months")) for name, m in PRESETS))
         bounds = ends.select("*", F.explode(names).alias("w")).select("*", "w.window", "w.months")
@@ -155,14 +154,26 @@ def analysis_windows(series: DataFrame, explicit: DataFrame | None = None) -> Da
     else:
         bounds = ends.join(explicit, "series_id")
     bounds = bounds.select("series_id", "window", "last", F.coalesce("a", "d0").alias("a"), F.coalesce("b", "d1").alias("b"))
-    at = numbered.join(bounds, "series_id").groupBy("series_id", "window", "last").agg(
-        F.min(F.when(F.col("date") >= F.col("a"), F.col("k"))).alias("i"), F.min(F.when(F.col("date") >= F.col("b"), F.col("k"))).alias("j"))
+    asked = bounds.select("series_id", "window", "last", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("a").alias("date")), F.struct(F.lit(1).alias("end"), F.col("b").alias("date")))).alias("e")).select("series_id", "window", "last", "e.*")
+    rows = series.select("series_id", "date", F.lit(1).alias("row")).unionByName(asked.withColumn("row", F.lit(0)), allowMissingColumns=True)
+    upto = Window.partitionBy("series_id").orderBy("date", "row").rowsBetween(Window.unboundedPreceding, 0)  # on one date the bound comes first
+    at = rows.withColumn("k", F.sum("row").over(upto)).where("row = 0").withColumn("k", F.when(F.col("k") <= F.col("last"), F.col("k")))
+    at = at.groupBy("series_id", "window", "last").agg(F.max(F.when(F.col("end") == 0, F.col("k"))).alias("i"), F.max(F.when(F.col("end") == 1, F.col("k"))).alias("j"))
     at = at.withColumn("i", F.coalesce("i", F.lit(0))).withColumn("j", F.least(F.col("last"), F.greatest(F.col("i") + 1, F.coalesce("j", "last"))))
     short = F.col("j") - F.col("i") < MIN_STEPS
     at = at.withColumn("j2", F.when(short, F.least(F.col("last"), F.col("i") + MIN_STEPS)).otherwise(F.col("j")))
     at = at.withColumn("i2", F.when(F.col("j2") - F.col("i") < MIN_STEPS, F.greatest(F.lit(0), F.col("j2") - MIN_STEPS)).otherwise(F.col("i")))
+    return at.select("series_id", "window", F.col("i2").cast("long").alias("i"), F.col("j2").cast("long").alias("j"))
+
+
+def analysis_windows(series: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """series_id, window, lo, hi: every preset of every series, or explicit bounds (series_id, window, a, b).
+
+    Each bound moves to the first date at or after it; a window of fewer than 25 steps is lengthened forwards, then backwards.
+    """
+    numbered = series.select("series_id", "date", (F.row_number().over(ordered()) - 1).cast("long").alias("k"))
     date_at = lambda k, name: numbered.select("series_id", F.col("k").alias(k), F.col("date").alias(name))
-    return at.join(date_at("i2", "lo"), ["series_id", "i2"]).join(date_at("j2", "hi"), ["series_id", "j2"]).select("series_id", "window", "lo", "hi")
+    return window_places(series, explicit).join(date_at("i", "lo"), ["series_id", "i"]).join(date_at("j", "hi"), ["series_id", "j"]).select("series_id", "window", "lo", "hi")
 
 
 def windowed(series: DataFrame, windows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import market, nav
+from ..operators import market, nav, summaries
 from ..operators.series import analysis_windows, daily_returns, windowed
 from ..sources.files import stored
 
@@ -104,7 +104,7 @@ def members(ports: DataFrame) -> DataFrame:
 
 
 #: Frames that several branches of a plan read.
-STORED = ("prices", "holdings", "rates", "calendar", "components", "nav", "series", "benchmarks", "pairs", "windows", "windowed", "capital")
+STORED = ("prices", "holdings", "rates", "calendar", "components", "nav", "series", "benchmarks", "pairs", "windows", "windowed", "capital", "summary_tree")
 
 
 class Book:
@@ -189,6 +189,10 @@ class Book:
     def windows(self) -> DataFrame:
         return self._get("windows", lambda: analysis_windows(self.nav_series))
 
+    @property
+    def summary_tree(self) -> DataFrame:
+        return self._get("summary_tree", lambda: summaries.summary_tree(self.nav_series))
+
     @property
     def windowed(self) -> DataFrame:
         """The NAVs of every window of every portfolio, each a series of its own."""

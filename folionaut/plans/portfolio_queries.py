@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import EULER, Z, Z95_SUMMARY, chi2_tail, norm_cdf, norm_pdf, norm_ppf
-from ..operators import drawdown, market, metrics, nav, risk, rolling, series
+from ..operators import drawdown, market, metrics, nav, risk, rolling, series, summaries
 from ..sources import files
 from . import fixtures
 from .fixtures import BASE, Book
@@ -386,6 +386,40 @@ windowed_query("windowed_drawdowns", {"drawdown_ratios": metrics.drawdown_ratios
 windowed_query("windowed_episodes", {"drawdown_episodes": drawdown.drawdown_episodes})
 
 
+windowed_query("windowed_rolling_vol", {"rolling_vol": lambda s: rolling.rolling_vol(s, 30, 60, 90, 252)})
+windowed_query("windowed_rolling_sharpe", {"rolling_sharpe": lambda s: rolling.rolling_sharpe(s, 126, 252)})
+windowed_query("windowed_cone", {"vol_cone": rolling.vol_cone})
+windowed_query("windowed_regimes", {"vol_regimes": rolling.vol_regimes})
+windowed_query("windowed_worst", {"worst_windows": rolling.worst_windows})
+windowed_query("windowed_distribution", {"ljung_box": rolling.ljung_box, "hurst": rolling.hurst}, 4)
+windowed_query("windowed_jarque_bera", {"jarque_bera": rolling.jarque_bera}, 3)
+windowed_query("windowed_histogram", {"histogram": rolling.histogram})
+windowed_query("windowed_qq", {"qq_points": rolling.qq_points})
+windowed_query("windowed_monthly", {"monthly_matrix": series.monthly_matrix})
+windowed_query("windowed_annual", {"annual_returns": series.annual_returns})
+windowed_query("windowed_quarterly", {"quarterly_returns": series.quarterly_returns})
+windowed_query("windowed_seasonality", {"seasonality": series.seasonality})
+
+
+def _explicit(b: Book) -> DataFrame:
+    """From the first of every month of a portfolio's history on, 3, 6, 12, 24 and 36 months."""
+    starts = b.nav_series.select("series_id", F.trunc("date", "month").alias("a")).distinct().withColumn("m", F.explode(F.array(*map(F.lit, (3, 6, 12, 24, 36)))))
+    return starts.select("series_id", F.concat(F.col("a").cast("string"), F.lit("+"), F.col("m").cast("string")).alias("window"), "a", F.expr("add_months(a, m)").alias("b"))
+
+
+_EWS = "select n.series_id || '|' || w.win as series_id, n.date, n.value from ew2 w join win0 a on a.series_id = w.series_id and a.k = w.i2 join win0 b on b.series_id = w.series_id and b.k = w.j2 join ns n on n.series_id = w.series_id and n.date between a.date and b.date"
+_EXPLICIT = {
+    "ew0": "select e.series_id, a::varchar || '+' || m as win, a, (a + to_months(m))::date as b, last from (select distinct series_id, date_trunc('month', date)::date as a from ns) e cross join (values (3), (6), (12), (24), (36)) l(m) join win1 using (series_id)",
+    "ew1": "select *, least(last, greatest(i + 1, coalesce(j0, last))) as j from (select w.series_id, win, last, coalesce(min(k) filter (date >= a), 0) as i, min(k) filter (date >= b) as j0 from ew0 w join win0 n using (series_id) group by 1, 2, 3)",
+    "ew2": "select *, case when j2 - i < 25 then greatest(0, j2 - 25) else i end as i2 from (select *, case when j - i < 25 then least(last, i + 25) else j end as j2 from ew1)",
+}
+query("explicit_windows", lambda b: summaries.window_statistics(b.nav_series, _explicit(b), tree=b.summary_tree).withColumn("series_id", F.concat_ws("|", "series_id", "window")).drop("window"),
+      f"""select series_id, g.d0 as from_date, g.d1 as to_date, n, total, cagr, mu * 252 as mean_annual, sd * {ROOT} as vol, sr as sharpe, case when dsd > 0 then mu * 252 / (dsd * {ROOT}) end as sortino, dsd * {ROOT} as downside_deviation, s as skew, k as kurtosis,
+      best_day, worst_day, positive_day, omega, profit_factor, {", ".join(f"{z}e0 * sd - mu as gauss_{lv}, {_cf(z)} * sd - mu as cornish_fisher_{lv}" for lv, z in Z.items())}, max_dd, max_dd_date, case when max_dd < 0 then cagr / abs(max_dd) end as calmar
+    from g join srs using (series_id) join mdd using (series_id) join (select series_id, max(r) as best_day, min(r) as worst_day, avg((r > 0)::int) as positive_day, coalesce(sum(r) filter (r > 0), 0) / -sum(r) filter (r <= 0) as omega, coalesce(sum(r) filter (r > 0), 0) / -sum(r) filter (r < 0) as profit_factor from r group by 1) using (series_id)""",
+      "total cagr mean_annual vol sharpe sortino downside_deviation skew kurtosis best_day worst_day positive_day omega profit_factor gauss_95 cornish_fisher_95 gauss_99 cornish_fisher_99 max_dd calmar", 5, **_EXPLICIT, s=_EWS, mom=_MOM, srs=_SR)
+
+
 def _inside(b: Book, df: DataFrame, after: bool = False) -> DataFrame:
     """df's rows of each window, whose portfolio is named after the window too; after: without the window's first date, as returns have none there."""
     w = b.windows.select(F.col("series_id").alias("portfolio"), "window", "lo", "hi")
@@ -396,6 +430,7 @@ def _inside(b: Book, df: DataFrame, after: bool = False) -> DataFrame:
 _IN = lambda table, columns: f'select x.portfolio || \'|\' || w."window" as portfolio, {columns} from {table} x join windows w on w.series_id = x.portfolio and x.date between w.lo and w.hi'
 query("windowed_benchmarks", lambda b: risk.benchmark_metrics(_inside(b, b.pairs, after=True), b.windowed, _inside(b, b.benchmarks)), PARTS["benchmark_metrics"][0], " ".join(PARTS["benchmark_metrics"][1]), 4,
       s=_WS, bench=_IN("bench0", "x.benchmark, x.date, x.value"))
+query("windowed_correlation", lambda b: risk.corr_matrix(risk.component_returns(_inside(b, b.components))), PARTS["corr_matrix"][0], "corr", 5, comp=_IN("comp0", "x.symbol, x.date, x.value"))
 query("windowed_risk_totals", lambda b: risk.risk_decomposition(_inside(b, b.components), _inside(b, b.nav))[1], PARTS["risk_totals"][0], " ".join(PARTS["risk_totals"][1]), 5,
       comp=_IN("comp0", "x.symbol, x.date, x.value"), navw=_IN("nav", "x.date, x.nav"), w0=_W0.replace("from nav ", "from navw "), per=_PER, tot=_TOT)
 
