@@ -7,9 +7,9 @@ Nodes with identical prefixes and sizes are one group. Groups are posted under e
 which bound what two sets can share from there on. Group pairs that are left are expanded to their members; a parity bitmap of each set (its Hamming distance never exceeds the
 sets' symmetric difference) filters the pairs of members, and the rest are verified on full sets.
 
-Components need no list of all pairs. First each group of a posting list is paired with the list's first one (of its size), long lists being walked in parts, and each member of a group with the group's first. Then the lists
+Components need no list of all pairs. First each group of a posting list is paired with one of about its size that leads the list, long lists being walked in parts, and each member of a group with the group's first. Then the lists
 whose members still lie in different components are compared in blocks: every two members that aren't in one component, within reach of each other's size, pass the same filters, and the blocks name candidates, at
-first a few for each two components, closest bitmaps first, later more, until all of them have been verified or joined. So no link that joins components is lost, and no group is expanded to all its pairs.
+first a forest of the components, closest bitmaps first, later more forests, until all of them have been verified or joined. So no link that joins components is lost, and no group is expanded to all its pairs.
 
 All filters are exact, so the result is that of comparing all pairs (up to collisions of 64-bit hashes inside a pair). The list of frequent shingles (at most FREQUENT) only orders them.
 
@@ -23,7 +23,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ LONG = 2048  # members of a part of a long posting list
 BLOCK = 1024  # members on either side of a comparison
 CELLS = 1 << 20  # hash cells of documents whose texts are needed
 NEAR = 1000  # pairs of one set that meet one copy of it
-FEW = 8  # candidates that a block names for two components at first
+FEW = 1  # forests of candidates that a block names at first
 _SIZES = 0.8  # ratio of the size classes
 
 
@@ -145,14 +144,11 @@ def _nodes(k: int, percent: int, frequent):
 
 
 def _walk(percent: int):
-    """Posting lists with more than one member, or parts of long ones, sorted by h, part and n: each member with the first one of its size.
-
-    A member whose size is out of the first one's reach becomes the next first one.
-    """
+    """Posting lists with more than one member, or parts of long ones, sorted by h, part, sized and rank: each member with the first one of its size class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, pending = None, False  # the last list's present first member, and whether it hasn't been given yet
-        names = ("h", "part", "n", "node", "pos")
+        names = ("h", "part", "sized", "n", "node", "pos")
 
         def rows(h, part, lead, member, n, m, i, j):
             ok = (lead != member) & ~out_of_reach(m, j, n, i, percent)
@@ -161,35 +157,24 @@ def _walk(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, part, n, node, pos = (batch.column(c).to_numpy().astype(np.int64) for c in names)
+            h, part, sized, n, node, pos = (batch.column(c).to_numpy().astype(np.int64) for c in names)
             if state is not None:
-                h, part, n, node, pos = (np.concatenate([[x], y]) for x, y in zip(state, (h, part, n, node, pos)))
+                h, part, sized, n, node, pos = (np.concatenate([[x], y]) for x, y in zip(state, (h, part, sized, n, node, pos)))
             given = np.zeros(len(h), dtype=bool)
             given[0] = state is not None and not pending
             fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])])
-            at = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
+            leads = fresh | np.concatenate([[True], sized[1:] != sized[:-1]])
+            at = np.maximum.accumulate(np.where(leads, np.arange(len(h)), 0))
             list_of = np.cumsum(fresh) - 1
-            while True:  # sizes rise inside a list: the first member out of reach leads from there on
-                out = np.nonzero(percent * n > 100 * n[at])[0]
-                if not len(out):
-                    break
-                first = out[np.concatenate([[True], list_of[out[1:]] != list_of[out[:-1]]])]
-                lead = np.zeros(len(h), dtype=np.int64)
-                lead[first] = first
-                lead = np.maximum.accumulate(lead)
-                at = np.where((list_of[lead] == list_of) & (lead > 0), np.maximum(at, lead), at)
             size = np.bincount(list_of)
-            last = list_of == list_of[-1]
             shown = ~given & ((part >= 0) | (size[list_of] > 1))
-            if given[0]:
-                shown |= ~given & (list_of == 0)
             # A list of one row at the end of the batch may go on.
-            wait = last & (size[list_of] == 1) & ~given
+            wait = (list_of == list_of[-1]) & (size[list_of] == 1) & ~given
             shown &= ~wait
-            state, pending = tuple(int(x[at[-1]]) for x in (h, part, n, node, pos)), bool(wait[-1])
+            state, pending = tuple(int(x[at[-1]]) for x in (h, part, sized, n, node, pos)), bool(wait[-1])
             yield rows(*(x[shown] for x in (h, part, node[at], node, n, n[at], pos, pos[at])))
         if pending and state[1] >= 0:
-            h, part, n, node, pos = (np.array([x]) for x in state)
+            h, part, _, n, node, pos = (np.array([x]) for x in state)
             yield rows(h, part, node, node, n, n, pos, pos)
 
     return run
@@ -236,43 +221,73 @@ def _linked(percent: int):
     return run
 
 
+def _forests(p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
+    """Which of the edges p - q, in their order, go into `most` forests; an edge goes into the first one where it joins two trees."""
+    roots: list[dict[int, int]] = [{} for _ in range(most)]
+    taken = np.zeros(len(p), dtype=bool)
+    for e, (x, y) in enumerate(zip(p.tolist(), q.tolist())):
+        for root in roots:
+            a, b = x, y
+            while root.get(a, a) != a:
+                root[a] = a = root.get(root[a], root[a])
+            while root.get(b, b) != b:
+                root[b] = b = root.get(root[b], root[b])
+            if a != b:
+                root[a] = b
+                taken[e] = True
+                break
+    return taken
+
+
 def _candidates(percent: int, few: int):
-    """Pairs of a block's members (side 0 with side 1) in different components that no filter rules out: for two components the `few` closest; a pair -1, -1 says that there are more."""
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = (pdf[pdf.side == side] for side in (0, 1))
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
-        words = min(map(len, pdf.bits)) // 8
-        bits_of = lambda side: np.stack([folded(np.frombuffer(b, dtype=np.uint64), words) for b in side.bits])
-        bits = bits_of(right)
-        of = lambda side, *names: tuple(side[c].to_numpy() for c in names)
-        n, pos, comp, node, cls, minor = of(right, "n", "pos", "component", "node", "cls", "minor")
-        found = []
-        for x, (m, i, own, me, mine), c in zip(bits_of(left), zip(*of(left, "n", "pos", "component", "node", "cls")), left["c"]):
-            some = np.nonzero((comp != own) & (np.minimum(cls, mine) == c) & ~(minor & (node < me)) & ~out_of_reach(n, pos, m, i, percent))[0]
+    """Pairs of a block's members in different components that no filter rules out: `few` forests of the components, closest bitmaps first; a pair -1, -1 says that there are more.
+
+    Rows come sorted by block (h, c, i, j). side 0 asks, side 1 answers, side 2 does both; of a list in size classes (c not -1) only pairs whose smaller class is c count.
+    """
+    numbers = ("h", "c", "i", "j", "side", "node", "pos", "component", "cls", "n")
+
+    def compare(h, c, i, j, side, node, pos, comp, cls, n, minor, bits) -> tuple[np.ndarray, np.ndarray, bool]:
+        right, found = np.nonzero(side != 0)[0], []
+        words = min(map(len, bits)) // 8
+        matrix = np.stack([folded(np.frombuffer(x, dtype=np.uint64), words) for x in bits])
+        for x in np.nonzero(side != 1)[0]:
+            some = right[(comp[right] != comp[x]) & ~(minor[right] & (node[right] < node[x]))]
+            if c[0] >= 0:
+                some = some[np.minimum(cls[some], cls[x]) == c[0]]
+            some = some[~out_of_reach(n[some], pos[some], n[x], pos[x], percent)]
             if len(some):
-                far = np.bitwise_count(bits[some] ^ x).sum(axis=1, dtype=np.int64)
-                good = ~too_far(far, n[some], m, percent)
-                found += [(min(own, comp[y]), max(own, comp[y]), d, min(me, node[y]), max(me, node[y])) for y, d in zip(some[good], far[good])]
+                far = np.bitwise_count(matrix[some] ^ matrix[x]).sum(axis=1, dtype=np.int64)
+                good = ~too_far(far, n[some], n[x], percent)
+                found.append((np.full(good.sum(), x), some[good], far[good]))
         if not found:
-            return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
-        pairs = pd.DataFrame(sorted(found), columns=["p", "q", "d", "a", "b"])
-        place = pairs.groupby(["p", "q"]).cumcount()
-        out = pairs.loc[place < few, ["a", "b"]]
-        return pd.concat([out, pd.DataFrame({"a": [-1], "b": [-1]})]) if len(out) < len(pairs) else out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, last = [], None
-        for pdf in batches:
-            for key, own in pdf.groupby(["h", "c", "i", "j"], sort=False):
-                if last is not None and key != last:
-                    yield compare(pd.concat(held))
-                    held = []
-                last = key
-                held.append(own)
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False
+        x, y, far = (np.concatenate(part) for part in zip(*found))
+        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        order = np.lexsort((b, a, far))
+        taken = order[_forests(comp[x][order], comp[y][order], few)]
+        return a[taken], b[taken], len(taken) < len(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+
+        def answer(blocks: list[list]) -> pa.RecordBatch:
+            parts = [compare(*block) for block in blocks]
+            more = [np.array([-1])] if any(p[2] for p in parts) else []
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *(p[side] for p in parts), *more])) for side in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(x).to_numpy().astype(np.int64) for x in numbers] + [batch.column("minor").to_numpy(zero_copy_only=False), np.array(batch.column("bits").to_pylist(), dtype=object)]
+            if held:
+                own = [np.concatenate([x, y]) for x, y in zip(held[0], own)]
+            keys = own[:4]
+            edges = np.nonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0))[0] + 1
+            blocks = [[x[s:e] for x in own] for s, e in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(own[0])]]))]
+            held = blocks[-1:]  # it may go on
+            yield answer(blocks[:-1])
         if held:
-            yield compare(pd.concat(held))
+            yield answer(held)
 
     return run
 
@@ -342,8 +357,13 @@ def _posted(join: Join) -> tuple[DataFrame, DataFrame]:
     posted = firsts.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
     long_ = join.often.where(f"count > {LONG}").select(F.col("token").alias("h"), F.ceil(F.col("count") / LONG).alias("parts"))
     part = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts")))
-    posted = posted.join(F.broadcast(long_), "h", "left").select("h", part.cast("int").alias("part"), F.col("n").cast("int").alias("n"), "node", "pos")
-    posted = posted.repartition(n, "h", "part").sortWithinPartitions("h", "part", "n", "node")
+    # The first member leads its size class, whose bounds differ from list to list. Members that could be similar to others of their size come first, in one of four orders.
+    shift = F.pmod(F.xxhash64("h"), F.lit(8)) / 8
+    sized = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / _SIZES)) + shift).cast("int")
+    late = F.expr(f"{100 + join.percent} * (n - pos) < {2 * join.percent} * n")
+    rank = F.when(late, F.lit(0)).otherwise(F.lit(1))
+    posted = posted.join(F.broadcast(long_), "h", "left").select("h", part.cast("int").alias("part"), sized.alias("sized"), F.col("n").cast("int").alias("n"), "node", "pos", rank.alias("early"), F.xxhash64("node", F.pmod("h", F.lit(4))).alias("rank"))
+    posted = posted.repartition(n, "h", "part").sortWithinPartitions("h", "part", "sized", F.desc("early"), "rank", "node")
     return written(spark, posted.mapInArrow(_walk(join.percent), "h long, part int, a long, b long, n long, pos int, ok boolean"), "walked"), others
 
 
@@ -358,18 +378,18 @@ def _blocks(join: Join, walked: DataFrame, others: DataFrame, found: DataFrame,
     label = found.select("node", "component")
     labelled = lambda df: df.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # A group's members stand where its first one does; a group is also a list of its own.
-    rows = walked.select("h", F.col("b").alias("node"), "pos", (F.col("part") >= 0).alias("parted"))
-    grown = rows.join(others.withColumnRenamed("node", "other"), F.col("node") == F.col("grp")).select("h", F.col("other").alias("node"), "pos", "parted")
-    own = others.select("grp", "node").unionByName(others.select("grp", F.col("grp").alias("node")).distinct()).select(F.xxhash64("grp").alias("h"), "node", F.lit(0).alias("pos"), F.lit(False).alias("parted"))
+    rows = walked.select("h", F.col("b").alias("node"), "pos", (F.col("part") >= 0).alias("parted"), (F.col("a") == F.col("b")).cast("int").alias("leads"))
+    grown = rows.join(others.withColumnRenamed("node", "other"), F.col("node") == F.col("grp")).select("h", F.col("other").alias("node"), "pos", "parted", F.lit(0).alias("leads"))
+    own = others.select("grp", "node").unionByName(others.select("grp", F.col("grp").alias("node")).distinct()).select(F.xxhash64("grp").alias("h"), "node", F.lit(0).alias("pos"), F.lit(False).alias("parted"), F.lit(0).alias("leads"))
     rows = written(spark, labelled(union_all([rows, grown, own])), "members")
-    lists = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.max("parted").alias("parted"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.sum("pos").alias("places"))
+    lists = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.max("parted").alias("parted"), F.sum("leads").alias("leads"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.sum("pos").alias("places"))
     # Of lists with the same members only that of the first shingle counts: what it doesn't bring up, the others don't either.
-    lists = lists.where("low <> high and (members > 2 or parted)").groupBy("content", "members").agg(F.min_by("h", F.struct("places", "h")).alias("h")).select("h", "members")
+    lists = lists.where("low <> high and (members > 2 or parted or leads > 1)").groupBy("content", "members").agg(F.min_by("h", F.struct("places", "h")).alias("h")).select("h", "members")
     total = rows.count()
-    rows = join_counted(rows, written(spark, lists, "open-lists"), "h", "members", total).where("members is not null").drop("members")
-    # Sizes of two classes that follow each other meet in the list's part for the lower one.
-    rows = rows.join(info.select("node", "cls"), "node").withColumn("c", F.explode(F.array(F.col("cls"), F.col("cls") - 1)))
-    rows = written(spark, rows, "open")
+    rows = join_counted(rows.select("h", "node", "pos", "component"), written(spark, lists, "open-lists"), "h", "members", total).where("members is not null")
+    # Long lists are cut by size: two classes that follow each other meet in the list's part for the lower one.
+    rows = rows.join(info.select("node", "cls"), "node").withColumn("c", F.explode(F.when(F.col("members") > BLOCK, F.array(F.col("cls"), F.col("cls") - 1)).otherwise(F.array(F.lit(-1)))))
+    rows = written(spark, rows.drop("members"), "open")
     held = rows.groupBy("h", "c", "component").agg(F.count("*").alias("size"))
     held = held.groupBy("h", "c").agg(F.sum("size").alias("total"), F.max("size").alias("most"), F.count("*").alias("comps"), F.max_by("component", F.struct("size", "component")).alias("largest"))
     held = held.where("comps > 1").select(F.struct("h", "c").alias("list"), "total", "largest", F.ceil(F.col("total") / BLOCK).cast("int").alias("across"), F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("down"))
@@ -378,13 +398,15 @@ def _blocks(join: Join, walked: DataFrame, others: DataFrame, found: DataFrame,
     rows = rows.withColumn("minor", F.col("component") != F.col("largest"))
     draw = F.xxhash64("node")
     row, column = F.pmod(draw, F.col("down")).cast("int"), F.pmod(draw, F.col("across")).cast("int")
+    place = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    places = F.transform(upto("down"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), column.alias("j")))
-    asking = F.transform(upto("across"), lambda j: F.struct(F.lit(0).alias("side"), row.alias("i"), j.alias("j")))
-    rows = rows.withColumn("places", F.when(F.col("minor"), F.concat(places, asking)).otherwise(places))
+    answering = F.transform(upto("down"), lambda i: place(1, i, column))
+    both = F.concat(answering, F.transform(upto("across"), lambda j: place(0, row, j)))
+    one = F.array(place(2, F.lit(0), F.lit(0)))
+    rows = rows.withColumn("places", F.when(~F.col("minor"), answering).when((F.col("across") == 1) & (F.col("down") == 1), one).otherwise(both))
     rows = rows.select("h", "c", "node", "pos", "component", "cls", "minor", F.explode("places").alias("p")).select("h", "c", "p.*", "node", "pos", "component", "cls", "minor")
     rows = rows.join(info.select("node", "bits", "n"), "node").repartition(n, "h", "c", "i", "j").sortWithinPartitions("h", "c", "i", "j")
-    return written(spark, rows.mapInPandas(_candidates(join.percent, few), "a long, b long").distinct(), "candidates")
+    return written(spark, rows.mapInArrow(_candidates(join.percent, few), "a long, b long").distinct(), "candidates")
 
 
 def ngram_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -421,7 +443,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Dat
                 break
         elif not more:
             break
-        few *= 16
+        few *= 32
 
     # A component is named by its smallest doc_id.
     full = join.rows.where("n > 0 and doc_id is not null")
