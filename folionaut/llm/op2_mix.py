@@ -36,7 +36,8 @@ from .components import components
 #: Fixed value: the seed of the production mix.
 SEED = 20240501
 _SHIFTS = (22, 12)  # the draw's 32 bits: ranges of 2^22 draws, then of 2^12
-NONE = "\U0010ffff"  # the null source in patterns: sorts last
+#: In patterns the null source is NULL, and any other has NAMED ahead of its name: the null source sorts last and no name can be it.
+NAMED, NULL = "0", "1"
 
 
 def targets(sizes: dict, total: float, weights: dict, cap: float) -> dict:
@@ -198,15 +199,15 @@ def mix(
     point, null last. Targets share `share` of all words; no document is taken more than `repeats` times.
     """
     spark = docs.sparkSession
-    own = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(s, F.lit(NONE)))))
-    own = F.when(F.coalesce(F.size(sources), F.lit(0)) <= 0, F.array(F.lit(NONE))).otherwise(own)
+    own = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.when(s.isNull(), F.lit(NULL)).otherwise(F.concat(F.lit(NAMED), s)))))
+    own = F.when(F.coalesce(F.size(sources), F.lit(0)) <= 0, F.array(F.lit(NULL))).otherwise(own)
     sized = docs.withColumns({"mix_size": (word_count(F.col("text")) if size is None else size).cast("long"), "mix_pattern": own})
     grouped = sized.groupBy("mix_pattern").agg(F.sum("mix_size").cast("long").alias("mix_words"), F.count("*").alias("mix_rows"))
     patterns = written(spark, grouped, "mix-patterns")
     sizes = {r[0]: int(r[1]) for r in patterns.select(F.explode("mix_pattern").alias("s"), "mix_words").groupBy("s").agg(F.sum("mix_words")).collect()}  # one row per source
     total, rows = patterns.agg(F.coalesce(F.sum("mix_words"), F.lit(0)), F.coalesce(F.sum("mix_rows"), F.lit(0))).first()
     names = sorted(sizes)
-    goal = targets(sizes, share * total, {s: float(weights(i, s)) for i, s in enumerate(names)}, cap)
+    goal = targets(sizes, share * total, {s: float(weights(i, s[1:] if s != NULL else None)) for i, s in enumerate(names)}, cap)
     quotas = {s: int(math.floor(goal[s] + 0.5)) for s in names}
     parted = _components(patterns, names).repartition("component").sortWithinPartitions("component", "mix_pattern")
     flows = parted.select("component", "mix_pattern", "mix_words").mapInPandas(_solved(quotas, repeats), "mix_pattern array<string>, mix_flow long")

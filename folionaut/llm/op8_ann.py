@@ -39,7 +39,7 @@ _BEST = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", p
 _RANKED = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 NONE = np.iinfo(np.int64).min  # in `own`: the row stands for several vec_ids
 _KEPT = 2_000_000  # pairs that a task holds before it cuts them at its floors
-_PAIRS = 1 << 20  # pairs of a query block that one group recomputes
+_FLOATS = 1 << 25  # doubles of candidates that a group of the recomputation may hold, all its pairs counted
 _SAFE = 900  # exponents within which products neither overflow nor lose their bounds
 
 
@@ -260,7 +260,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int
     kept = found.withColumn("floor", floor).where(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("query", "row")
     kept = written(spark, kept, "kept")
     groups = max(1, -(-ask // query_block))
-    parts = max(1, kept.count() // (groups * _PAIRS))
+    longest = classes.agg(F.max(F.size("vector"))).first()[0] or 1
+    parts = max(1, -(-kept.count() * longest // (groups * _FLOATS)))
     kept = kept.withColumns({"g": F.pmod(F.xxhash64("query"), F.lit(groups)), "p": F.pmod(F.xxhash64("row"), F.lit(parts))})
     wanted = kept.select(F.col("g").alias("of_g"), F.col("p").alias("of_p"), "row").distinct().join(classes.select("row", "ids", "vector"), "row")
     lists = kept.groupBy("g", "p", "query").agg(F.collect_list("row").alias("rows"))
