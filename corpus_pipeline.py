@@ -31,13 +31,14 @@ def _without(spark: SparkSession, docs: DataFrame, judge: Callable[[DataFrame],
         dropped = judge(docs).where("not kept").select("doc_id").distinct()
         return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     # Keys of their own stand for the doc_ids, in the order of doc_id; written, as they depend on the partitions.
-    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    once = docs.groupBy("doc_id", F.sha2(F.col("text"), 256).alias("row_digest")).agg(F.first("text").alias("text"), F.min(F.struct(F.lit(0), *others)).alias("row_others"))
-    sorted_ = once.orderBy(F.asc_nulls_last("doc_id"), "row_digest").withColumn("row_key", F.monotonically_increasing_id())
+    # Of rows that differ in other columns only, one stays: the first by their JSON, as columns of any kind have one.
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.col("row.text")
+    once = rows.groupBy(F.col("row.doc_id").alias("row_id"), F.sha2(text, 256).alias("row_digest")).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    sorted_ = once.orderBy(F.asc_nulls_last("row_id"), "row_digest").withColumn("row_key", F.monotonically_increasing_id())
     keyed = written(spark, sorted_, "row-keys")
-    dropped = judge(keyed.select(F.col("row_key").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("row_key"))
-    left = keyed.join(dropped.distinct(), "row_key", "left_anti")
-    return left.select("doc_id", "text", *(F.col("row_others")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text"))).select(*docs.columns)
+    dropped = judge(keyed.select(F.col("row_key").alias("doc_id"), text.alias("text"))).where("not kept").select(F.col("doc_id").alias("row_key"))
+    return keyed.join(dropped.distinct(), "row_key", "left_anti").select("row.*")
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
