@@ -80,9 +80,10 @@ def nav(components: DataFrame, holdings: DataFrame, rates: DataFrame, base: str,
     return daily.select("portfolio", "date", (F.col("held") + F.col("cash")).alias("nav"), "cash").unionByName(start)
 
 
-def positions(components: DataFrame, holdings: DataFrame, rates: DataFrame, base: str, navs: DataFrame) -> DataFrame:
-    """One row per holding: last price in its quote currency, profit, value, cost, contribution and weights, volatility, drawdown."""
-    days = first_days(components)
+def positions(components: DataFrame, holdings: DataFrame, rates: DataFrame, base: str, navs: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
+    """One row per holding: last price in its quote currency, profit, value, cost, contribution and weights, volatility, drawdown. calendar: the portfolios' live dates, if at hand."""
+    calendar = components if calendar is None else calendar
+    days = first_days(calendar)
     own = ["portfolio", "symbol"]
     order = Window.partitionBy(*own).orderBy("date")
     stepped = components.withColumns({
@@ -97,11 +98,11 @@ def positions(components: DataFrame, holdings: DataFrame, rates: DataFrame, base
         F.min(ratio("value", "peak") - 1).alias("max_dd"),
     )
     ccys = lambda c: holdings.select("portfolio", F.col(c).alias("ccy"))
-    now = rates_at(components, rates, base, days, ccys("ccy").union(ccys("quote_ccy")), "last_day")
-    then = rates_at(components, rates, base, days, ccys("cost_ccy"), "first_day")
+    now = rates_at(calendar, rates, base, days, ccys("ccy").union(ccys("quote_ccy")), "last_day")
+    then = rates_at(calendar, rates, base, days, ccys("cost_ccy"), "first_day")
     rate = lambda df, c, name: df.select("portfolio", F.col("ccy").alias(c), F.col("rate").alias(name))
     end = navs.groupBy("portfolio").agg(F.max_by("nav", "date").alias("nav_last"))
-    capital = invested_capital(components, holdings, rates, base).select("portfolio", "capital")
+    capital = invested_capital(calendar, holdings, rates, base).select("portfolio", "capital")
     out = holdings.join(last, own).join(rate(now, "ccy", "r_own"), ["portfolio", "ccy"]).join(rate(now, "quote_ccy", "r_quote"), ["portfolio", "quote_ccy"])
     out = out.join(rate(then, "cost_ccy", "r_cost"), ["portfolio", "cost_ccy"]).join(end, "portfolio").join(capital, "portfolio")
     quoted = F.col("last_close") * F.when(F.col("quote_ccy") == F.col("ccy"), F.lit(1.0)).otherwise(ratio("r_own", "r_quote"))

@@ -76,33 +76,44 @@ query("read_market", _market, """select 'close' as kind, symbol as key, date, cl
 
 
 def _payload(b: Book) -> DataFrame:
-    """Everything that is published of a portfolio, nested."""
+    """Everything that is published of a portfolio: its numbers, and all blocks of the analysis."""
     of = lambda df: df.withColumnRenamed("series_id", "portfolio")
-    summary = metrics.summary_stats(b.nav_series)
-    low = of(drawdown.max_drawdown(b.nav_series)).select("portfolio", "max_dd_date")
-    heads = files.registry(b.nav, b.capital, summary, b.portfolios).join(low, "portfolio")
-    weekly = series.weekly_series(b.nav, b.capital)
-    returns = risk.component_returns(b.components)
-    wide = of(series.monthly_matrix(b.nav_series))
+    s, returns = b.nav_series, risk.component_returns(b.components)
+    parts, totals = risk.risk_decomposition(b.components, b.nav)
+    low = of(drawdown.max_drawdown(s)).select("portfolio", "max_dd_date")
+    heads = {
+        "": files.registry(b.nav, b.capital, metrics.summary_stats(s), b.portfolios).join(low, "portfolio"), "sample": of(metrics.sample_info(s)), "returns": of(metrics.return_stats(s)), "win_loss": of(metrics.win_loss(s)),
+        "streaks": of(metrics.streaks(s)), "volatility": of(metrics.volatility(s)), "downside": of(metrics.downside_risk(s)), "var": of(metrics.var_cvar(s)), "scaled_var": of(metrics.scaled_var(s)),
+        "tails": of(metrics.tail_ratios(s)), "sharpe": of(metrics.sharpe_block(s)), "probabilistic_sharpe": of(metrics.psr_dsr(s)), "drawdown_ratios": of(metrics.drawdown_ratios(s)), "omega_kappa": of(metrics.omega_kappa(s)),
+        "moments": of(rolling.moments(s)), "jarque_bera": of(rolling.jarque_bera(s)), "ljung_box": of(rolling.ljung_box(s)), "hurst": of(rolling.hurst(s)), "drawdown": of(drawdown.max_drawdown(s)), "underwater": of(drawdown.underwater_time(s)),
+        "risk": totals, "effective_bets": risk.effective_bets(b.components),
+    }
     children = {
-        "weekly": weekly, "bench_index_weekly": series.weekly_index(b.benchmarks), "monthly_pct": of(series.period_returns(b.nav_series, "month")),
-        "monthly_matrix": wide, "annual": of(series.annual_returns(b.nav_series)), "rolling12": of(series.rolling_compound(b.nav_series, 12)),
-        "rolling_vol": of(rolling.rolling_vol(b.nav_series, 30, 60, 90, 252)), "rolling_sharpe": of(rolling.rolling_sharpe(b.nav_series, 126, 252)),
-        "episodes": of(drawdown.drawdown_episodes(b.nav_series)), "correlations": risk.corr_matrix(returns), "correlations_bench": risk.corr_benchmark(returns, b.benchmark_returns),
-        "holdings": nav.positions(b.components, b.holdings, b.rates, BASE, b.nav), "benchmarks": risk.benchmark_metrics(b.pairs, b.nav_series, b.benchmarks),
+        "weekly": series.weekly_series(b.nav, b.capital), "bench_index_weekly": series.weekly_index(b.benchmarks), "monthly_pct": of(series.period_returns(s, "month")), "monthly_matrix": of(series.monthly_matrix(s)),
+        "annual": of(series.annual_returns(s)), "quarterly": of(series.quarterly_returns(s)), "seasonality": of(series.seasonality(s)), "rolling12": of(series.rolling_compound(s, 12)),
+        "rolling_vol": of(rolling.rolling_vol(s, 30, 60, 90, 252)), "rolling_sharpe": of(rolling.rolling_sharpe(s, 126, 252)), "rolling_sortino": of(rolling.rolling_sortino(s)), "rolling_beta": rolling.rolling_beta_corr(b.pairs),
+        "excess": series.period_last(rolling.excess_cumulative(b.pairs).withColumnRenamed("excess", "value"), "week", ("portfolio", "benchmark")), "episodes": of(drawdown.drawdown_episodes(s)),
+        "cone": of(rolling.vol_cone(s)), "worst_windows": of(rolling.worst_windows(s)), "regimes": of(rolling.vol_regimes(s)), "phases": rolling.market_phases(b.pairs), "histogram": of(rolling.histogram(s)), "qq": of(rolling.qq_points(s)),
+        "bootstrap": of(risk.block_bootstrap(s)), "risk_parts": parts, "correlations": risk.corr_matrix(returns), "correlations_bench": risk.corr_benchmark(returns, b.benchmark_returns),
+        "holdings": nav.positions(b.components, b.holdings, b.rates, BASE, b.nav, b.calendar), "benchmarks": risk.benchmark_metrics(b.pairs, s, b.benchmarks),
     }
     return files.payload_documents(heads, children)
 
 
 def _published(b: Book) -> DataFrame:
-    """Series, payload and registry are written, read back and summed up."""
+    """Series, payload and registry are published, read back and summed up."""
     path = files.scratch(b.spark)
     files.write_outputs(b.spark, path, _registry(b), files.series_documents(b.nav, b.components), _payload(b), fixtures.DISCLAIMER)
-    read = lambda name: b.spark.read.json(f"{path}/{name}")
-    lines = read("series").select("portfolio", F.size("date").alias("n"), F.element_at("date", 1).cast("date").alias("first_date"), F.element_at("nav", -1).alias("last_nav"))
+    found = files.published(b.spark, path)
+    lines = found["series"].select("portfolio", F.from_json("document", "date array<date>, nav array<double>").alias("d"))
+    lines = lines.select("portfolio", F.size("d.date").alias("n"), F.element_at("d.date", 1).alias("first_date"), F.element_at("d.nav", -1).alias("last_nav"))
     sizes = {"weeks": "weekly", "bench_weeks": "bench_index_weekly", "months": "monthly_pct", "years": "annual", "rolled": "rolling12", "falls": "episodes", "pairs": "correlations", "bench_pairs": "correlations_bench", "held": "holdings"}
-    own = read("payload").select("portfolio", F.col("asof").cast("date").alias("asof"), F.col("metrics.total").alias("total"), F.expr("weekly[size(weekly) - 1].index_pct").alias("last_index"), *(F.size(c).alias(n) for n, c in sizes.items()))
-    listed = read("registry").where("generated is not null and disclaimer is not null").select("portfolio", "label", F.col("metrics.sharpe").alias("sharpe"))
+    texts = {c: F.get_json_object("document", f"$.{c}") for c in sizes.values()}
+    number = lambda c: F.get_json_object("document", f"$.{c}").cast("double")
+    own = found["payload"].select("portfolio", F.get_json_object("document", "$.asof").cast("date").alias("asof"), number("metrics.total").alias("total"),
+                                  F.expr("element_at(from_json(get_json_object(document, '$.weekly'), 'array<struct<index_pct:double>>'), -1).index_pct").alias("last_index"),
+                                  *(F.json_array_length(texts[c]).alias(n) for n, c in sizes.items()))
+    listed = found["registry"].where("generated is not null and disclaimer is not null").select("portfolio", "label", F.col("metrics.sharpe").alias("sharpe"))
     return lines.join(own, "portfolio").join(listed, "portfolio")
 
 
@@ -177,7 +188,7 @@ query("component_values", lambda b: b.components.select("portfolio", "symbol", "
 query("dividend_cash", lambda b: nav.dividend_cash(b.components), "select portfolio, date, cash from cash", "cash", 4)
 query("nav", lambda b: b.nav, "select portfolio, date, nav, cash from nav", "nav cash", 4)
 query("invested_capital", lambda b: b.capital, "select portfolio, first_day, capital from cap", "capital", 4)
-query("positions", lambda b: nav.positions(b.components, b.holdings, b.rates, BASE, b.nav), f"""select h.portfolio, h.symbol, h.shares, x.px * q as last_px, (x.px * q / h.cost_px - 1) * 100 as pl_pct, (x.value / cb - 1) * 100 as pl_base_pct,
+query("positions", lambda b: nav.positions(b.components, b.holdings, b.rates, BASE, b.nav, b.calendar), f"""select h.portfolio, h.symbol, h.shares, x.px * q as last_px, (x.px * q / h.cost_px - 1) * 100 as pl_pct, (x.value / cb - 1) * 100 as pl_base_pct,
       x.value, cb as cost_base, (x.value - cb) / c.capital * 100 as contrib_pp, x.value / n.nav * 100 as weight_now_pct, cb / c.capital * 100 as weight_cost_pct, x.vol * 100 as vol_pct, x.max_dd * 100 as max_dd_pct
     from hold h join (select portfolio, symbol, arg_max(close, date) as px, arg_max(value, date) as value, stddev_samp(r) * {ROOT} as vol, min(dd) as max_dd from (
         select *, close * rate / lag(close * rate) over (partition by portfolio, symbol order by date) - 1 as r, value / max(value) over (partition by portfolio, symbol order by date {PAST}) - 1 as dd from comp) group by 1, 2) x using (portfolio, symbol)
@@ -435,6 +446,31 @@ query("windowed_risk_totals", lambda b: risk.risk_decomposition(_inside(b, b.com
       comp=_IN("comp0", "x.symbol, x.date, x.value"), navw=_IN("nav", "x.date, x.nav"), w0=_W0.replace("from nav ", "from navw "), per=_PER, tot=_TOT)
 
 
+_READ = {
+    "sharpe": "sharpe sharpe_low", "probabilistic_sharpe": "psr dsr", "var": "hist_95 cornish_fisher_99 month_cvar_95", "hurst": "hurst", "underwater": "share_under mean_days", "drawdown_ratios": "sterling burke", "omega_kappa": "omega kappa3",
+    "volatility": "vol_ewma", "risk": "hhi",
+}
+_BLOCK = {"sharpe": "sharpe_block", "underwater": "underwater_time", "probabilistic_sharpe": "psr_dsr", "var": "var_cvar", "risk": "risk_totals"}
+_COUNTED = ("cone", "worst_windows", "regimes", "phases", "histogram", "qq", "quarterly", "seasonality", "rolling_beta", "rolling_sortino", "excess", "risk_parts", "bootstrap")
+
+
+def _analytics(b: Book) -> DataFrame:
+    """The blocks of the analysis as published: some numbers of those that stand once, the sizes of the others."""
+    path = files.scratch(b.spark)
+    files.write_outputs(b.spark, path, _registry(b), files.series_documents(b.nav, b.components), _payload(b), fixtures.DISCLAIMER)
+    read = lambda block, c: F.get_json_object("document", f"$.{block}.{c}").cast("double").alias(c)
+    sizes = (F.coalesce(F.json_array_length(F.get_json_object("document", f"$.{c}")), F.lit(0)).alias(f"n_{c}") for c in _COUNTED)
+    return files.published(b.spark, path)["payload"].select("portfolio", *(read(block, c) for block, cs in _READ.items() for c in cs.split()), *sizes)
+
+
+_SIZES = {c: f"select series_id as portfolio, count(*) as n from ({PARTS[q][0]}) group by 1" for c, q in {"cone": "vol_cone", "worst_windows": "worst_windows", "regimes": "vol_regimes", "histogram": "histogram", "qq": "qq_points", "quarterly": "quarterly_returns", "seasonality": "seasonality", "rolling_sortino": "rolling_sortino"}.items()}
+_SIZES |= {c: f"select portfolio, count(*) as n from ({PARTS[q][0]}) group by 1" for c, q in {"phases": "market_phases", "rolling_beta": "rolling_beta_corr", "risk_parts": "risk_decomposition"}.items()}
+_SIZES |= {"excess": f"select portfolio, count(*) as n from (select distinct portfolio, benchmark, {PERIOD['week']} from pairs) group by 1", "bootstrap": "select series_id as portfolio, 3 as n from rn where n >= 120 group by 1"}
+query("payload_analytics", _analytics, "select p.portfolio, " + ", ".join(c for cs in _READ.values() for c in cs.split()) + ", " + ", ".join(f"coalesce(z{i}.n, 0)::int as n_{c}" for i, c in enumerate(_COUNTED)) + " from (select distinct portfolio from nav) p "
+      + " ".join(f"left join ({PARTS[_BLOCK.get(block, block)][0]}) x{i} on x{i}.{'portfolio' if block == 'risk' else 'series_id'} = p.portfolio" for i, block in enumerate(_READ)) + " " + " ".join(f"left join ({_SIZES[c]}) z{i} on z{i}.portfolio = p.portfolio" for i, c in enumerate(_COUNTED)),
+      " ".join(_READ.values()), 4, **{n: text for q in (*(_BLOCK.get(x, x) for x in _READ), "vol_cone", "vol_regimes", "rolling_beta_corr", "rolling_sortino", "risk_decomposition") for n, text in PARTS[q][2].items()})
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns, volatility and drawdown of every portfolio, from raw bars."""
     b = Book(spark, sf_dir)
