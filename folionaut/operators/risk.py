@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,21 +160,63 @@ def risk_decomposition(components: DataFrame, navs: DataFrame) -> tuple[DataFram
     return parts, whole
 
 
-def _bets(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    names = sorted(set(pdf.i) | set(pdf.j))
-    at = {s: k for k, s in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    for i, j, c in zip(pdf.i, pdf.j, pdf["cov"]):
-        m[at[i], at[j]] = m[at[j], at[i]] = c
-    e = np.linalg.eigvalsh(m)
-    e = e[e > 1e-14]
-    p = e / e.sum()
-    return pd.DataFrame({"portfolio": [key[0]], "effective_bets": [float(np.exp(-(p * np.log(p)).sum()))]})
+SWEEPS = 30
+CELLS = 1 << 22  # matrix cells of a batch of portfolios
+
+
+def jacobi(m: np.ndarray) -> np.ndarray:
+    """Eigenvalues (batch, n) of symmetric matrices (batch, n, n) by Jacobi rotations, all matrices at once.
+
+    A sweep is n - 1 rounds as of a tournament (n even, else one index sits out): the pairs of a round share no index, so their rotations are one step.
+    """
+    a = m.astype(np.float64).copy()
+    n = a.shape[1]
+    players = list(range(n + n % 2))
+    scale = np.abs(a).max(axis=(1, 2), initial=0)
+    for _ in range(SWEEPS if n > 1 else 0):
+        off = np.abs(a - np.einsum("bii,ij->bij", a, np.eye(n))).max(axis=(1, 2))
+        if (off <= 1e-17 * scale).all():
+            break
+        for _ in range(len(players) - 1):
+            pairs = [sorted(x) for x in zip(players[: len(players) // 2], players[::-1]) if max(x) < n]
+            p, q = (np.array([x[side] for x in pairs]) for side in (0, 1))
+            apq = a[:, p, q]
+            with np.errstate(all="ignore"):
+                tau = (a[:, q, q] - a[:, p, p]) / (2 * apq)
+                t = np.where(tau < 0, -1.0, 1.0) / (np.abs(tau) + np.sqrt(1 + tau * tau))
+            t = np.where((apq == 0) | ~np.isfinite(t), 0.0, t)
+            c = 1 / np.sqrt(1 + t * t)
+            s = t * c
+            x, y = a[:, :, p], a[:, :, q]
+            a[:, :, p], a[:, :, q] = c[:, None, :] * x - s[:, None, :] * y, s[:, None, :] * x + c[:, None, :] * y
+            x, y = a[:, p, :], a[:, q, :]
+            a[:, p, :], a[:, q, :] = c[:, :, None] * x - s[:, :, None] * y, s[:, :, None] * x + c[:, :, None] * y
+            players = [players[0], players[-1], *players[1:-1]]
+    return np.einsum("bii->bi", a)
+
+
+def _bets(key: tuple, rows: pa.Table) -> pa.Table:
+    n = key[0].as_py()
+    upper = rows.column("upper").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    m = np.zeros((rows.num_rows, n, n))
+    i, j = np.triu_indices(n)
+    m[:, i, j] = m[:, j, i] = upper
+    e = jacobi(m)
+    e = np.where(e > 1e-14, e, 0.0)
+    with np.errstate(all="ignore"):
+        p = e / e.sum(axis=1, keepdims=True)
+        bets = np.exp(-np.where(p > 0, p * np.log(p), 0).sum(axis=1))
+    return pa.table({"portfolio": rows.column("portfolio"), "effective_bets": pa.array(np.where(e.sum(axis=1) > 0, bets, np.nan), from_pandas=True)})
 
 
 def effective_bets(components: DataFrame) -> DataFrame:
-    """exp of the entropy of the covariance's eigenvalues: one small matrix per portfolio."""
-    return cov_matrix(component_returns(components)).groupBy("portfolio").applyInPandas(_bets, "portfolio string, effective_bets double")
+    """exp of the entropy of the covariance's eigenvalues; null if there is no variance. Portfolios of one size are solved in batches."""
+    cov = cov_matrix(component_returns(components))
+    upper = cov.groupBy("portfolio").agg(F.array_sort(F.collect_list(F.struct("i", "j", "cov"))).alias("m"))
+    upper = upper.select("portfolio", F.sqrt(F.size("m") * 2).cast("int").alias("size"), F.transform("m", lambda x: x["cov"]).alias("upper"))  # n (n + 1) / 2 cells
+    batches = upper.groupBy("size").agg(F.ceil(F.count("*") * F.col("size") * F.col("size") / CELLS).cast("int").alias("batches"))
+    rows = upper.join(batches, "size").withColumn("batch", F.pmod(F.xxhash64("portfolio"), F.col("batches")))
+    return rows.groupBy("size", "batch").applyInArrow(_bets, "portfolio string, effective_bets double")
 
 
 # --- bootstrap -----------------------------------------------------------------------------------------------

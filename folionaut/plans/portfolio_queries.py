@@ -353,7 +353,18 @@ query("risk_totals", lambda b: risk.risk_decomposition(b.components, b.nav)[1],
       "vol sum_vol benefit ratio hhi effective_positions", w0=_W0, per=_PER, tot=_TOT)
 query("wide_corr_matrix", lambda b: risk.corr_matrix(risk.component_returns(b.components)), PARTS["corr_matrix"][0], "corr", wide=True)
 query("wide_risk_decomposition", lambda b: risk.risk_decomposition(b.components, b.nav)[0], PARTS["risk_decomposition"][0], " ".join(PARTS["risk_decomposition"][1]), wide=True, **PARTS["risk_decomposition"][2])
-query("effective_bets", lambda b: risk.effective_bets(b.components), None, "effective_bets")
+#: Jacobi rotations one after the other, eight sweeps over all pairs of components.
+_TURNED = """select portfolio, m, step + 1 as step, list_transform(range(m * m), lambda k: case k // m when p then c * b[k + 1] - s * b[q * m + k % m + 1] when q then s * b[p * m + k % m + 1] + c * b[k + 1] else b[k + 1] end) as a
+    from (select *, list_transform(range(m * m), lambda k: case k % m when p then c * a[k + 1] - s * a[k - p + q + 1] when q then s * a[k - q + p + 1] + c * a[k + 1] else a[k + 1] end) as b
+    from (select *, 1 / sqrt(1 + t * t) as c, t / sqrt(1 + t * t) as s from (select *, case when apq = 0 then 0 else (case when tau < 0 then -1 else 1 end) / (abs(tau) + sqrt(1 + tau * tau)) end as t
+    from (select *, (a[q * m + q + 1] - a[p * m + p + 1]) / (2 * apq) as tau from (select *, a[p * m + q + 1] as apq from (
+      select r.*, pairs[step % len(pairs) + 1].p as p, pairs[step % len(pairs) + 1].q as q from turned r join pairs using (m) where step < 8 * len(pairs)))))))"""
+_BETS = f"""with recursive mat as (select portfolio, sqrt(count(*))::bigint as m, list(cov order by i, j) as a from cov group by 1 having count(*) > 1),
+    pairs as materialized (select m, list({{'p': p, 'q': q}} order by p, q) as pairs from (select distinct m from mat) cross join range(400) x(p) cross join range(400) y(q) where p < q and q < m group by 1),
+    turned as (select portfolio, m, 0 as step, a from mat union all {_TURNED})
+    select portfolio, exp(-sum(e / total * ln(e / total))) as effective_bets from (select *, sum(e) over (partition by portfolio) as total from (
+      select portfolio, a[k * m + k + 1] as e from (select portfolio, m, a, unnest(range(m)) as k from (select portfolio, m, arg_max(a, step) as a from turned group by 1, 2))) where e > 1e-14) group by 1"""
+query("effective_bets", lambda b: risk.effective_bets(b.components), _BETS, "effective_bets", 5)
 
 # --- resampling and windows ----------------------------------------------------------------------------------
 _DRAW = f"('0x' || substr(md5('{risk.SEED}:' || series_id || ':' || years || ':' || path || ':' || (step // 4)), 1 + 8 * (step % 4), 8))::bigint"

@@ -217,4 +217,4 @@ def test_query_equals_sql(spark, name):
 def test_all_queries_have_names_and_sql():
     import __spark_entry__ as entry
 
-    assert set(QUERIES) <= set(entry.queries()) and set(QUERIES) - set(ORACLE_SQL) == {"effective_bets"}
+    assert set(QUERIES) <= set(entry.queries()) and set(QUERIES) == set(ORACLE_SQL)
