@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from folionaut.functions.expr import chi2_tail, column, norm_cdf, norm_pdf, norm_ppf
-from folionaut.operators import drawdown, market, metrics, nav, risk, rolling, series
+from folionaut.operators import drawdown, market, metrics, nav, risk, rolling, series, summaries
 from folionaut.plans.fixtures import BASE, Book
 from folionaut.plans.portfolio_queries import ORACLE_SQL, QUERIES
+from folionaut.sources import files
 
 SF = "/root/testdata/sf0.001"
 DAY = dt.date(2020, 1, 1)
@@ -218,3 +219,182 @@ def test_all_queries_have_names_and_sql():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(QUERIES) == set(ORACLE_SQL)
+
+
+# --- outliers, zeros, windows --------------------------------------------------------------------------------
+def returns_of(values):
+    return [b / a - 1 for a, b in zip(values, values[1:])]
+
+
+@pytest.mark.parametrize("kind", ["outlier", "tiny", "flat"])
+def test_rolling_windows_against_plain_sums(spark, kind):
+    """A return of 1e6, a volatility of 1e-10, and none: every window's deviation from its own rows alone."""
+    rng = np.random.default_rng(2)
+    r = {"outlier": np.where(np.arange(400) == 90, 1e6, rng.normal(size=400) * 0.01), "tiny": rng.normal(size=400) * 1e-10, "flat": np.zeros(400)}[kind]
+    values = [100.0]
+    for x in r:
+        values.append(values[-1] * (1 + x))
+    r = returns_of(values)
+    got = {(m.days, m.date): (m.mean, m.sd) for m in rolling.moments_of_windows(make(spark, values), (21, 60)).collect()}
+    assert len(got) == 400 - 20 + 400 - 59
+    for w in (21, 60):
+        for i in range(w - 1, 400):
+            own = r[i - w + 1 : i + 1]
+            mean = math.fsum(own) / w
+            sd = math.sqrt(math.fsum((x - mean) ** 2 for x in own) / (w - 1))
+            g = got[w, DAY + dt.timedelta(days=i + 1)]
+            assert math.isclose(g[1], sd, rel_tol=1e-9) and math.isclose(g[0], mean, rel_tol=1e-9, abs_tol=1e-18)
+    s = make(spark, values)
+    assert (rolling.rolling_sharpe(s, 30).count() == 0) == (kind == "flat")
+
+
+def test_rolling_beta_and_sortino_after_an_outlier(spark):
+    rng = np.random.default_rng(5)
+    p, b = rng.normal(size=300) * 0.01, rng.normal(size=300) * 0.01
+    p[40] = b[40] = 1e5
+    rows = [("P", "B", DAY + dt.timedelta(days=i), float(x), float(y)) for i, (x, y) in enumerate(zip(p, b))]
+    got = rolling.rolling_beta_corr(spark.createDataFrame(rows, "portfolio string, benchmark string, date date, p double, b double"), 60).orderBy("period").collect()
+    last = np.cov(p[-60:], b[-60:])
+    assert math.isclose(got[-1].beta, last[0, 1] / last[1, 1], rel_tol=1e-9) and math.isclose(got[-1].corr, np.corrcoef(p[-60:], b[-60:])[0, 1], rel_tol=1e-9)
+    values = [100.0]
+    for x in np.where(np.arange(300) == 40, 1e5, p):
+        values.append(values[-1] * (1 + x))
+    own = np.array(returns_of(values))[-60:]
+    want = own.mean() * 252 / (math.sqrt((own[own < 0] ** 2).mean()) * math.sqrt(252))
+    assert math.isclose(rolling.rolling_sortino(make(spark, values), 60).orderBy(F.desc("period")).first().sortino, want, rel_tol=1e-9)
+
+
+def test_zero_values_end_no_job(spark):
+    """There is no change from 0 and no depth below a highest value of 0; a fall to 0 is -1."""
+    s = make(spark, [0, 0, 100, 110, 0, 50, 60])
+    assert [round(r.r, 9) for r in series.daily_returns(s).orderBy("date").collect()] == [0.1, -1.0, 0.2]
+    assert [r.dd for r in drawdown.drawdown_series(s).orderBy("date").collect()][:3] == [None, None, 0.0]
+    for f in (series.annual_returns, series.rebase_100, metrics.summary_stats, metrics.return_stats, metrics.win_loss, metrics.tail_ratios, metrics.var_cvar, metrics.drawdown_ratios, drawdown.drawdown_episodes, drawdown.underwater_time, rolling.worst_windows, summaries.window_statistics):
+        assert f(s).count() >= 0 and f(s).collect() is not None
+    zero = make(spark, [0] * 130)
+    assert rolling.rolling_sharpe(zero, 30).count() == 0 and one(metrics.growth(zero))["total"] is None
+
+
+def test_iso_weeks_and_rounded_months(spark):
+    s = make(spark, [100 + (i * 37) % 11 for i in range(120)])
+    assert {p.period.isoweekday() for p in series.period_last(s, "week", week="iso").collect()} == {7} and {p.period.isoweekday() for p in series.period_last(s, "week").collect()} == {5}
+    plain, rounded = (one(series.monthly_matrix(s, rounded=x)) for x in (False, True))
+    assert all(rounded[f"m{m:02d}"] == (None if plain[f"m{m:02d}"] is None else round(plain[f"m{m:02d}"], 2)) for m in range(1, 13))
+
+
+# --- summaries -----------------------------------------------------------------------------------------------
+def test_thousand_explicit_windows(spark):
+    """Windows over the tree equal the metrics of their rows; the nodes of a window are at most 2 log2(n)."""
+    rng = np.random.default_rng(8)
+    values = list(100 * np.cumprod(1 + rng.normal(size=2100) * 0.01))
+    s = make(spark, values)
+    bounds = [sorted(rng.integers(0, 2100, 2).tolist()) for _ in range(1000)]
+    explicit = spark.createDataFrame([("X", f"w{i}", DAY + dt.timedelta(days=a), DAY + dt.timedelta(days=b)) for i, (a, b) in enumerate(bounds)], "series_id string, window string, a date, b date")
+    got = {r.window: r for r in summaries.window_statistics(s, explicit).collect()}
+    assert len(got) == 1000
+    v = np.array(values)
+    for r in got.values():
+        i, j = (r.from_date - DAY).days, (r.to_date - DAY).days
+        own, x = v[i : j + 1], v[i + 1 : j + 1] / v[i:j] - 1
+        dd = own / np.maximum.accumulate(own) - 1
+        want = (len(x), own[-1] / own[0] - 1, x.std(ddof=1) * 252**0.5, x.max(), x.min(), (x > 0).mean(), dd.min(), ((x - x.mean()) ** 3).mean() / x.std() ** 3, ((x - x.mean()) ** 4).mean() / x.std() ** 4 - 3)
+        have = (r.n, r.total, r.vol, r.best_day, r.worst_day, r.positive_day, r.max_dd, r.skew, r.kurtosis)
+        assert np.allclose(have, want, rtol=1e-9, atol=1e-12) and (r.max_dd_date - DAY).days == i + int(dd.argmin()) and j - i >= 25
+    for i, j in bounds:
+        nodes = summaries.pieces(i, j)
+        assert len(nodes) <= 2 * math.log2(2100) and [k for level, at in nodes for k in range(at << level, (at + 1) << level)] == list(range(i, j + 1))
+
+
+def test_presets_over_the_tree_equal_windowed_series(spark):
+    s = make(spark, [100 + (i * 37) % 11 + i / 50 for i in range(900)])
+    direct = {r.series_id: r.sharpe for r in metrics.sharpe_block(series.windowed(s, series.analysis_windows(s)).select("series_id", "date", "value")).collect()}
+    got = {f"{r.series_id}|{r.window}": r.sharpe for r in summaries.window_statistics(s).collect()}
+    assert set(got) == set(direct) and all(math.isclose(got[k], direct[k], rel_tol=1e-9) for k in got)
+
+
+# --- calendars, matrices -------------------------------------------------------------------------------------
+def test_intervals_equal_fills(spark):
+    """Random bars with gaps, bars ahead of inception only, dividends on days without a bar: as aligned and filled row by row."""
+    rng = np.random.default_rng(4)
+    day = lambda i: DAY + dt.timedelta(days=int(i))
+    closes = [(f"S{k}", day(i), None if rng.random() < 0.1 else float(rng.integers(1, 99))) for k in range(6) for i in np.unique(rng.integers(0, 400, (3, 40, 90, 5, 300, 20)[k]))]
+    paid = [(f"S{k}", day(i), float(k + 1)) for k in range(6) for i in np.unique(rng.integers(0, 400, 15))]
+    ports = spark.createDataFrame([(f"P{k}", day(i)) for k, i in enumerate((0, 30, 200, 390))], "portfolio string, inception date")
+    hold = spark.createDataFrame([(f"P{k}", f"S{m}") for k in range(4) for m in range(6) if (k + m) % 3], "portfolio string, symbol string")
+    closes, paid = spark.createDataFrame(closes, "symbol string, date date, close double"), spark.createDataFrame(paid, "symbol string, date date, amount double")
+    want = market.ffill(market.align_calendar(hold, closes, paid, ports), ["portfolio", "symbol"], "close")
+    got = market.filled_calendar(hold, closes, paid, ports)
+    plain = lambda df: sorted(map(tuple, df.select("portfolio", "symbol", "date", "close", "amount").collect()), key=str)
+    assert plain(got) == plain(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(portfolio" not in plan and "NestedLoop" not in plan
+
+
+def test_gram_of_tiles_and_spans(spark):
+    rng = np.random.default_rng(6)
+    r = rng.normal(size=(90, 11)) * 0.01 + rng.normal(size=(90, 1)) * 0.01
+    rows = [("P", f"S{k:02d}", DAY + dt.timedelta(days=i), float(r[i, k])) for i in range(90) for k in range(11)] + [("Q", "A", DAY + dt.timedelta(days=i), 0.01) for i in range(9)]
+    df = spark.createDataFrame(rows, "portfolio string, symbol string, date date, r double").repartition(5)
+    for tile, span in ((4, 20), (128, 512), (1, 7)):
+        got = {(x.portfolio, x.i, x.j): x for x in risk.gram(df, tile, span).collect()}
+        assert len(got) == 67 and got["Q", "A", "A"].corr is None and got["P", "S00", "S01"].n == 90
+        cov, corr = np.cov(r.T), np.corrcoef(r.T)
+        assert all(math.isclose(got["P", f"S{a:02d}", f"S{b:02d}"].cov, cov[a, b], rel_tol=1e-10) and math.isclose(got["P", f"S{a:02d}", f"S{b:02d}"].corr, corr[a, b], rel_tol=1e-10) for a in range(11) for b in range(a, 11))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 40])
+def test_jacobi_eigenvalues(n):
+    x = np.random.default_rng(n).normal(size=(7, n, n))
+    m = x @ x.transpose(0, 2, 1) * np.array([1, 1e-12, 1e9, 1, 1, 1, 0])[:, None, None]
+    assert np.allclose(np.sort(risk.jacobi(m), axis=1), np.linalg.eigvalsh(m), rtol=1e-9, atol=1e-12 * np.abs(m).max())
+
+
+# --- files ---------------------------------------------------------------------------------------------------
+SPEC_TEXT = """{
+ "portfolio": "p1", "label": "One",
+ "google_portfolio_id": "g-1",
+ "base_currency": "CHF", "inception": "2024-05-01", "sync_date": "2026-08-18", "methodology": "held",
+ "holdings": [
+  {"symbol": "A", "ccy": "EUR", "quote_ccy_google": "USD", "shares": 3, "cost_px": 2.5, "cost_ccy": "USD", "cost_amount": 7.5},
+  {"symbol": "B", "ccy": "CHF", "quote_ccy": "CHF", "shares": 4, "cost_px": 1, "cost_ccy": "CHF", "cost_amount": 4}
+ ]
+}
+"""
+
+
+def test_specs_of_any_layout(spark, tmp_path):
+    (tmp_path / "pretty.json").write_text(SPEC_TEXT)
+    (tmp_path / "array.json").write_text("[" + SPEC_TEXT.replace("p1", "p2") + "," + SPEC_TEXT.replace("p1", "p3") + "]")
+    lines = "\n".join(" ".join(SPEC_TEXT.replace("p1", p).split()) for p in ("p4", "p5"))
+    (tmp_path / "lines.json").write_text(lines + "\n")
+    (tmp_path / "empty.json").write_text("\n")
+    ports, hold = files.read_specs(spark, str(tmp_path))
+    assert sorted((r.portfolio, r.google_portfolio_id, str(r.inception)) for r in ports.collect()) == [(f"p{k}", "g-1", "2024-05-01") for k in range(1, 6)]
+    assert sorted((r.portfolio, r.symbol, r.quote_ccy, r.shares) for r in hold.collect()) == sorted((f"p{k}", s, q, n) for k in range(1, 6) for s, q, n in (("A", "USD", 3), ("B", "CHF", 4)))
+
+
+@pytest.mark.parametrize("text", [SPEC_TEXT[:-20], '{"label": "no portfolio"}', SPEC_TEXT.replace('"2024-05-01"', '"soon"'), "[1, 2]", "not json"])
+def test_broken_specs_fail(spark, tmp_path, text):
+    (tmp_path / "good.json").write_text(SPEC_TEXT)
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception, match="bad.json"):
+        files.read_specs(spark, str(tmp_path))[1].collect()
+
+
+def test_publication_is_atomic_and_incremental(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    docs = lambda **of: spark.createDataFrame(list(of.items()), "portfolio string, document string")
+    registry = spark.createDataFrame([("p", 1.0)], "portfolio string, nav double")
+    seen = lambda: {k: sorted(map(tuple, files.published(spark, path)[k].collect())) for k in ("series", "payload")}
+    first = files.write_outputs(spark, path, registry, docs(p="[1]", q="[2]"), docs(p='{"a":1}', q="{}"), "none")
+    assert seen() == {"series": [("p", "[1]"), ("q", "[2]")], "payload": [("p", '{"a":1}'), ("q", "{}")]}
+    second = files.write_outputs(spark, path, registry, docs(p="[1]", q="[3]", r="[4]"), docs(p='{"a":1}', q="{}", r="{}"), "none")
+    assert {(m.portfolio, m.version) for m in files.published(spark, path)["manifest"].collect()} == {("p", first), ("q", second), ("r", second)}
+    assert seen()["series"] == [("p", "[1]"), ("q", "[3]"), ("r", "[4]")]
+    # A run that ends between its writes, here at the registry, leaves what readers see as it was.
+    broken = registry.withColumn("nav", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        files.write_outputs(spark, path, broken, docs(p="[9]"), docs(p="{}"), "none")
+    assert files.versions(spark, path) == [first, second] and seen()["series"] == [("p", "[1]"), ("q", "[3]"), ("r", "[4]")]
+    third = files.write_outputs(spark, path, registry, docs(r="[4]"), docs(r="{}"), "none")
+    assert seen() == {"series": [("r", "[4]")], "payload": [("r", "{}")]} and files.versions(spark, path)[-1] == third
