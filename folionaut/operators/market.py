@@ -135,14 +135,32 @@ def with_rate(df: DataFrame, rates: DataFrame, base: str, keys: list[str]) -> Da
     return found.withColumn("rate", F.when(F.col("ccy") == base, F.lit(1.0)).otherwise(both_fills("quoted_rate", keys))).drop("quoted_rate")
 
 
+def carried(df: DataFrame, keys: list[str], order: list[str], scans: dict[str, tuple[str, str]], bucket: str = "bucket") -> DataFrame:
+    """df with running values along order within keys, as segmented scans: {name: (column, kind)}, kind last (known), max or sum.
+
+    A scan runs inside each bucket (a column that doesn't fall along order), so the history of one key is as many tasks as it has buckets; what buckets end
+    with is scanned once more, a row for each, and carried into the next one.
+    """
+    whole = {"last": lambda c, w: F.last(c, ignorenulls=True).over(w), "max": lambda c, w: F.max(c).over(w), "sum": lambda c, w: F.sum(c).over(w)}
+    join = {"last": lambda inside, before: F.coalesce(inside, before), "max": lambda inside, before: F.greatest(inside, before), "sum": lambda inside, before: F.coalesce(inside + before, inside, before)}
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({name: whole[kind](c, inside) for name, (c, kind) in scans.items()})
+    at = F.struct(*order)
+    end = {"last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)), "max": F.max, "sum": F.sum}
+    ends = df.groupBy(*keys, bucket).agg(*(end[kind](c).alias(name) for name, (c, kind) in scans.items()))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, bucket, *(whole[kind](name, before).alias(f"carry_{name}") for name, (_, kind) in scans.items()))
+    out = rows.join(ends, [*keys, bucket])
+    return out.withColumns({name: join[kind](F.col(name), F.col(f"carry_{name}")) for name, (_, kind) in scans.items()}).drop(*(f"carry_{name}" for name in scans))
+
+
 def asof_value(values: DataFrame, points: DataFrame, keys: list[str], value: str, at: str = "at") -> DataFrame:
-    """keys, at and the last known value at or before that date, for each of points; null if there is none."""
+    """keys, at and the last known value at or before that date, for each of points; null if there is none. A key's history is cut into years."""
     known = values.where(F.col(value).isNotNull()).select(*keys, F.col("date").alias("when"), F.lit(0).alias("asks"), F.col(value).alias("known"))
     asked = points.select(*keys, F.col(at).alias("when"), F.lit(1).alias("asks"), F.lit(None).cast(known.schema["known"].dataType).alias("known"))
     # One pass over both in the order of time; on one date the value comes first.
-    order = Window.partitionBy(*keys).orderBy("when", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    last = known.unionByName(asked).withColumn(value, F.last("known", ignorenulls=True).over(order)).where("asks = 1")
-    return last.select(*keys, F.col("when").alias(at), value)
+    both = known.unionByName(asked).withColumn("bucket", F.year("when"))
+    return carried(both, keys, ["when", "asks"], {value: ("known", "last")}).where("asks = 1").select(*keys, F.col("when").alias(at), value)
 
 
 def pence_to_pounds(df: DataFrame, ccy: str = "ccy", value: str = "close") -> DataFrame:

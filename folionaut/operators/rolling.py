@@ -7,6 +7,10 @@ window, and what lies outside a window, an outlier say, has no influence on it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,17 +176,38 @@ def ljung_box(series: DataFrame, lags: int = 10) -> DataFrame:
     return d.select("series_id", "q", column(chi2_tail("q", lags)).alias("p"), *(acf[k].alias(f"acf{k}") for k in acf))
 
 
+def _ranges(sizes: tuple[int, ...]):
+    """Of arrays of returns: for each block size the sum and number of rescaled ranges of the array's full blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("series_id", "w", "total", "blocks")}
+            for s, n, r in zip(batch.column("series_id").to_pylist(), batch.column("n").to_pylist(), batch.column("r")):
+                r = r.values.to_numpy(zero_copy_only=False)
+                for w in sizes:
+                    x = r[: len(r) // w * w].reshape(-1, w)
+                    if 2 * w > n or not len(x):
+                        continue
+                    run_ = np.cumsum(x - x.mean(axis=1, keepdims=True), axis=1)
+                    sd = x.std(axis=1, ddof=1)
+                    some = sd > 0
+                    for c, v in zip(out, (s, w, float(((run_.max(axis=1) - run_.min(axis=1))[some] / sd[some]).sum()), int(some.sum()))):
+                        out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["series_id"], batch.schema.field("series_id").type), pa.array(out["w"], pa.int32()), pa.array(out["total"], pa.float64()), pa.array(out["blocks"], pa.int64())], list(out))
+
+    return run
+
+
 def hurst(series: DataFrame, sizes: tuple[int, ...] = (10, 20, 40, 80, 160, 320)) -> DataFrame:
-    """R/S exponent: slope of log mean R/S on log block size, over full blocks; null below 120 returns or 3 sizes."""
-    r = numbered_returns(series).where("n >= 120")
-    r = r.select("series_id", "date", "r", "k", "n", F.explode(F.array(*map(F.lit, sizes))).alias("w"))
-    r = r.withColumn("block", F.floor(F.col("k") / F.col("w"))).where((F.col("w") * 2 <= F.col("n")) & ((F.col("block") + 1) * F.col("w") <= F.col("n")))
-    keys = ("series_id", "w", "block")
-    r = r.withColumn("c", ret() - F.avg("r").over(_whole(*keys)))
-    r = r.withColumn("run", F.sum("c").over(past(*keys)))
-    rs = r.groupBy(*keys).agg((F.max("run") - F.min("run")).alias("range"), F.stddev_samp("r").alias("sd")).where("sd > 0")
-    mean = rs.groupBy("series_id", "w").agg(F.avg(F.col("range") / F.col("sd")).alias("rs"))
-    slope = mean.groupBy("series_id").agg(F.count("*").alias("m"), F.regr_slope(F.log("rs"), F.log("w")).alias("hurst")).where("m >= 3").drop("m")
+    """R/S exponent: slope of log mean R/S on log block size, over full blocks; null below 120 returns or 3 sizes.
+
+    Block sizes divide the largest one: each return is read once, in an array of at most that many, which gives the ranges of all sizes.
+    """
+    r = numbered_returns(series).where("n >= 120").withColumn("block", F.expr(f"k div {max(sizes)}"))
+    arrays = r.groupBy("series_id", "n", "block").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("r")).select("series_id", "n", F.transform("r", lambda x: x["r"]).alias("r"))
+    kind = series.schema["series_id"].dataType.simpleString()
+    rs = arrays.mapInArrow(_ranges(sizes), f"series_id {kind}, w int, total double, blocks long").groupBy("series_id", "w").agg(F.sum("total").alias("total"), F.sum("blocks").alias("blocks")).where("blocks > 0")
+    slope = rs.groupBy("series_id").agg(F.count("*").alias("m"), F.regr_slope(F.log(F.col("total") / F.col("blocks")), F.log("w")).alias("hurst")).where("m >= 3").drop("m")
     return series.select("series_id").distinct().join(slope, "series_id", "left")
 
 

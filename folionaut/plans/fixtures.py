@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import market, nav, summaries
 from ..operators.series import analysis_windows, daily_returns, windowed
-from ..sources.files import stored
+from ..sources.files import bucketed, stored
 
 BASE = "CHF"
 INCEPTION = "1995-02-01"  # of the first portfolio; others begin up to 89 days later
@@ -103,8 +103,11 @@ def members(ports: DataFrame) -> DataFrame:
     return ports.select("portfolio", F.explode(F.array(desk % 5, (desk + 2) % 5)).alias("region")).select("portfolio", F.concat(F.lit("B"), F.col("region").cast("string")).alias("benchmark"))
 
 
-#: Frames that several branches of a plan read.
-STORED = ("prices", "holdings", "rates", "calendar", "components", "nav", "series", "benchmarks", "pairs", "windows", "windowed", "capital", "summary_tree")
+#: Frames that several branches of a plan read, and the keys by which they are bucketed; none: plain files, as they are small or read by several keys.
+STORED = {
+    "prices": ("symbol",), "holdings": (), "rates": (), "calendar": ("portfolio",), "components": ("portfolio", "symbol"), "nav": ("portfolio",), "series": ("series_id",), "benchmarks": ("portfolio", "benchmark"),
+    "pairs": ("portfolio", "benchmark"), "windows": (), "windowed": ("series_id",), "capital": (), "summary_tree": ("series_id",),
+}
 
 
 class Book:
@@ -116,7 +119,8 @@ class Book:
 
     def _get(self, name: str, make) -> DataFrame:
         if name not in self._made:
-            self._made[name] = stored(make()) if name in STORED else make()
+            keys = STORED.get(name)
+            self._made[name] = make() if keys is None else bucketed(make(), *keys) if keys else stored(make())
         return self._made[name]
 
     @property
