@@ -38,7 +38,8 @@ LONG = 2048  # members of a part of a long posting list
 BLOCK = 1024  # members on either side of a comparison
 CELLS = 1 << 20  # hash cells of documents whose texts are needed
 NEAR = 1000  # pairs of one set that meet one copy of it
-FEW = 1  # forests of candidates that a block names at first
+FEW = 2  # forests of candidates that a block names at first, and by which factor there are more of them in each further pass
+MORE = 256
 _SIZES = 0.8  # ratio of the size classes
 
 
@@ -223,6 +224,8 @@ def _linked(percent: int):
 
 def _forests(p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
     """Which of the edges p - q, in their order, go into `most` forests; an edge goes into the first one where it joins two trees."""
+    if len(p) <= most:
+        return np.ones(len(p), dtype=bool)
     roots: list[dict[int, int]] = [{} for _ in range(most)]
     taken = np.zeros(len(p), dtype=bool)
     for e, (x, y) in enumerate(zip(p.tolist(), q.tolist())):
@@ -361,9 +364,9 @@ def _posted(join: Join) -> tuple[DataFrame, DataFrame]:
     shift = F.pmod(F.xxhash64("h"), F.lit(8)) / 8
     sized = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / _SIZES)) + shift).cast("int")
     late = F.expr(f"{100 + join.percent} * (n - pos) < {2 * join.percent} * n")
-    rank = F.when(late, F.lit(0)).otherwise(F.lit(1))
-    posted = posted.join(F.broadcast(long_), "h", "left").select("h", part.cast("int").alias("part"), sized.alias("sized"), F.col("n").cast("int").alias("n"), "node", "pos", rank.alias("early"), F.xxhash64("node", F.pmod("h", F.lit(4))).alias("rank"))
-    posted = posted.repartition(n, "h", "part").sortWithinPartitions("h", "part", "sized", F.desc("early"), "rank", "node")
+    rank = F.pmod(F.xxhash64("node", F.pmod("h", F.lit(4))), F.lit(1 << 16)) + F.when(late, F.lit(1 << 16)).otherwise(F.lit(0))
+    posted = posted.join(F.broadcast(long_), "h", "left").select("h", part.cast("int").alias("part"), sized.alias("sized"), F.col("n").cast("int").alias("n"), "node", "pos", rank.cast("int").alias("rank"))
+    posted = posted.repartition(n, "h", "part").sortWithinPartitions("h", "part", "sized", "rank", "node")
     return written(spark, posted.mapInArrow(_walk(join.percent), "h long, part int, a long, b long, n long, pos int, ok boolean"), "walked"), others
 
 
@@ -443,7 +446,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Dat
                 break
         elif not more:
             break
-        few *= 32
+        few *= MORE
 
     # A component is named by its smallest doc_id.
     full = join.rows.where("n > 0 and doc_id is not null")
