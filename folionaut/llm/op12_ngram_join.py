@@ -20,6 +20,7 @@ a doc_id count as one document when components are formed. Texts are taken whole
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,6 @@ CELLS = 1 << 20  # hash cells of documents whose texts are needed
 NEAR = 1000  # pairs of one set that meet one copy of it
 FEW = 2  # forests of candidates that a block names at first, and by which factor there are more of them in each further pass
 MORE = 256
-_SIZES = 0.8  # ratio of the size classes
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -362,7 +362,7 @@ def _posted(join: Join) -> tuple[DataFrame, DataFrame]:
     part = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts")))
     # The first member leads its size class, whose bounds differ from list to list. Members that could be similar to others of their size come first, in one of four orders.
     shift = F.pmod(F.xxhash64("h"), F.lit(8)) / 8
-    sized = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / _SIZES)) + shift).cast("int")
+    sized = _size_class("n", join.percent, shift)
     late = F.expr(f"{100 + join.percent} * (n - pos) < {2 * join.percent} * n")
     rank = F.pmod(F.xxhash64("node", F.pmod("h", F.lit(4))), F.lit(1 << 16)) + F.when(late, F.lit(1 << 16)).otherwise(F.lit(0))
     posted = posted.join(F.broadcast(long_), "h", "left").select("h", part.cast("int").alias("part"), sized.alias("sized"), F.col("n").cast("int").alias("n"), "node", "pos", rank.cast("int").alias("rank"))
@@ -370,14 +370,16 @@ def _posted(join: Join) -> tuple[DataFrame, DataFrame]:
     return written(spark, posted.mapInArrow(_walk(join.percent), "h long, part int, a long, b long, n long, pos int, ok boolean"), "walked"), others
 
 
-def _size_class(n: str) -> Column:
-    return F.floor(F.log(F.col(n)) / F.log(F.lit(1 / _SIZES)))
+def _size_class(n: str, percent: int, shift: Column | float = 0.0) -> Column:
+    """Classes of sizes: sets within reach of each other's size lie in one class or in two that follow each other, whatever the rounding."""
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-3
+    return F.floor(F.log(F.col(n)) / width + shift).cast("int")
 
 
 def _blocks(join: Join, walked: DataFrame, others: DataFrame, found: DataFrame, few: int) -> DataFrame:
     """Candidates a, b of the posting lists whose members lie in different components."""
     spark, n = join.spark, partitions(join.spark)
-    info = join.nodes.select("node", "bits", "n", _size_class("n").cast("int").alias("cls"))
+    info = join.nodes.select("node", "bits", "n", _size_class("n", join.percent).alias("cls"))
     label = found.select("node", "component")
     labelled = lambda df: df.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # A group's members stand where its first one does; a group is also a list of its own.
@@ -419,7 +421,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Dat
     walked, others = _posted(join)
     pairs = walked.where("ok").select("a", "b")
     # First members of a long list's parts are paired with the list's first one of their size class.
-    leads = walked.where("part >= 0 and a = b").withColumn("cls", _size_class("n"))
+    leads = walked.where("part >= 0 and a = b").withColumn("cls", _size_class("n", join.percent))
     tops = leads.join(leads.groupBy("h", "cls").agg(F.min("a").alias("top")), ["h", "cls"]).where("a <> top").select(F.col("top").alias("a"), "b")
     stars = others.select(F.col("grp").alias("a"), F.col("node").alias("b"))
     checked = written(spark, union_all([pairs, tops, stars]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
 from test_operators import docs as table_of
 from test_operators import exact_brute, near_brute, words
 
@@ -100,3 +101,16 @@ def test_repeated_ids(spark):
         got = corpus_pipeline.near_stage(spark, given, SF).collect()
         # Texts of no words are copies of nothing; a longer copy with a later id goes.
         assert sorted([(r.doc_id, r.text) for r in got], key=key) == sorted([w for w in want if w[0] != 6], key=key)
+
+
+def test_columns_of_any_kind_where_ids_repeat(spark):
+    """A map can't be compared, and the other names are those that stages use inside: all are passed on."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = {"col1": F.lit("z"), "tags": F.create_map(F.lit("a"), F.col("doc_id").cast("string")), "row_key": F.lit(1), "row": F.lit(2), "row_digest": F.lit(3), "kept": F.lit(True)}
+    d = d.withColumns(extra)
+    d = d.unionByName(d.where("doc_id % 3 = 0")).unionByName(d.where("doc_id % 5 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        out = stage(spark, d, SF)
+        rows = out.collect()
+        assert out.columns == d.columns and all(r.tags is not None and r.col1 == "z" and r.row == 2 for r in rows)
+        assert {r.doc_id for r in rows if r.doc_id is not None} <= {r.doc_id for r in d.collect()} and len(rows) < d.count()
