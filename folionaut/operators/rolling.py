@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import TRADING_DAYS, chi2_tail, column, norm_pdf, norm_ppf, ratio
-from .metrics import numbered_returns, quantiles, ret, share
+from .metrics import numbered_returns, ret, share
 from .series import daily_returns, ordered, past, period_last
 
 TD = float(TRADING_DAYS)
