@@ -52,8 +52,8 @@ def prefix_length(n: np.ndarray | int, percent: int):
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """A bitmap of 2 to 4 bits for each shingle (a power of two, 64 at least), each bit the parity of the shingles that fall to it."""
-    size = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    """A bitmap of 1 to 2 bits for each shingle (a power of two, 64 at least), each bit the parity of the shingles that fall to it."""
+    size = max(64, 1 << (len(shingles) - 1).bit_length())
     at = (shingles >> np.uint64(17)) & np.uint64(size - 1)
     odd = np.bincount(at.astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
