@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 HOT = 10_000  # a key with more than one row in so many is met by broadcast: there are at most HOT of them
 
 _own_root: list[str] = []
@@ -71,6 +72,17 @@ def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
         spark.conf.set(BATCH, before)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, a job's shuffle files go as soon as it ends: steps that hand on written tables don't read them again. Then the caller's setting is back."""
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = 2_000_000, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most `rows` rows and about `size` bytes in the column; a longer text is a part of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, partitions, slices, table, written
+from .common import discard, join_counted, partitions, shuffles_freed, slices, table, written
 from .components import components, union_all
 from .op9_neardup import shingle_sets
 
@@ -332,7 +332,9 @@ class Join:
         near = self.docs.withColumn("cell", cell).join(F.broadcast(wanted.select(cell).distinct()), "cell", "left_semi").drop("cell")
         once = near.withColumn("text_hash", F.xxhash64("text")).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
         texts = once.join(wanted, ["doc_id", "text_hash"]).select("node", "key", "text")
-        return written(self.spark, texts.mapInArrow(_sets(self.k), "node long, shingles binary"), "shingles")
+        sets = written(self.spark, texts.mapInArrow(_sets(self.k), "node long, shingles binary"), "shingles")
+        discard(wanted)
+        return sets
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The links among distinct pairs a, b."""
@@ -340,6 +342,7 @@ class Join:
         info = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
         both = self.on_a(pairs, often, info("a")).join(info("b"), "b")
         maybe = written(self.spark, both.mapInArrow(_alike(self.percent), "a long, b long"), "alike")
+        discard(often[0])
         sets = self.sets_of(maybe.select(F.explode(F.array("a", "b")).alias("node")))
         # A set that stands in very many pairs meets them in copies, each with its share of the others.
         often = self.counts_of(maybe)
@@ -348,7 +351,10 @@ class Join:
         spread = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("a", "copy")
         left = spread.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
         met = met.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b").join(left, ["a", "copy"])
-        return written(self.spark, met.select("a", "b", "set_a", "set_b").mapInArrow(_linked(self.percent), "a long, b long"), "links")
+        links = written(self.spark, met.select("a", "b", "set_a", "set_b").mapInArrow(_linked(self.percent), "a long, b long"), "links")
+        for done in (maybe, often[0], sets):
+            discard(done)
+        return links
 
 
 def _posted(join: Join) -> tuple[DataFrame, DataFrame]:
@@ -386,19 +392,22 @@ def _blocks(join: Join, walked: DataFrame, others: DataFrame, found: DataFrame,
     rows = walked.select("h", F.col("b").alias("node"), "pos", (F.col("part") >= 0).alias("parted"), (F.col("a") == F.col("b")).cast("int").alias("leads"))
     grown = rows.join(others.withColumnRenamed("node", "other"), F.col("node") == F.col("grp")).select("h", F.col("other").alias("node"), "pos", "parted", F.lit(0).alias("leads"))
     own = others.select("grp", "node").unionByName(others.select("grp", F.col("grp").alias("node")).distinct()).select(F.xxhash64("grp").alias("h"), "node", F.lit(0).alias("pos"), F.lit(False).alias("parted"), F.lit(0).alias("leads"))
-    rows = written(spark, labelled(union_all([rows, grown, own])), "members")
+    rows = members = written(spark, labelled(union_all([rows, grown, own])), "members")
     lists = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.max("parted").alias("parted"), F.sum("leads").alias("leads"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.sum("pos").alias("places"))
     # Of lists with the same members only that of the first shingle counts: what it doesn't bring up, the others don't either.
     lists = lists.where("low <> high and (members > 2 or parted or leads > 1)").groupBy("content", "members").agg(F.min_by("h", F.struct("places", "h")).alias("h")).select("h", "members")
     total = rows.count()
-    rows = join_counted(rows.select("h", "node", "pos", "component"), written(spark, lists, "open-lists"), "h", "members", total).where("members is not null")
+    lists = written(spark, lists, "open-lists")
+    rows = join_counted(rows.select("h", "node", "pos", "component"), lists, "h", "members", total).where("members is not null")
     # Long lists are cut by size: two classes that follow each other meet in the list's part for the lower one.
     rows = rows.join(info.select("node", "cls"), "node").withColumn("c", F.explode(F.when(F.col("members") > BLOCK, F.array(F.col("cls"), F.col("cls") - 1)).otherwise(F.array(F.lit(-1)))))
-    rows = written(spark, rows.drop("members"), "open")
+    rows = open_ = written(spark, rows.drop("members"), "open")
+    discard(members)
     held = rows.groupBy("h", "c", "component").agg(F.count("*").alias("size"))
     held = held.groupBy("h", "c").agg(F.sum("size").alias("total"), F.max("size").alias("most"), F.count("*").alias("comps"), F.max_by("component", F.struct("size", "component")).alias("largest"))
     held = held.where("comps > 1").select(F.struct("h", "c").alias("list"), "total", "largest", F.ceil(F.col("total") / BLOCK).cast("int").alias("across"), F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("down"))
-    rows = join_counted(rows.withColumn("list", F.struct("h", "c")), written(spark, held, "open-classes"), "list", "total", 2 * total).where("total is not null")
+    held = written(spark, held, "open-classes")
+    rows = join_counted(rows.withColumn("list", F.struct("h", "c")), held, "list", "total", 2 * total).where("total is not null")
     # Of two members in different components, one at least lies outside the largest: only those are compared with all.
     rows = rows.withColumn("minor", F.col("component") != F.col("largest"))
     draw = F.xxhash64("node")
@@ -411,11 +420,19 @@ def _blocks(join: Join, walked: DataFrame, others: DataFrame, found: DataFrame,
     rows = rows.withColumn("places", F.when(~F.col("minor"), answering).when((F.col("across") == 1) & (F.col("down") == 1), one).otherwise(both))
     rows = rows.select("h", "c", "node", "pos", "component", "cls", "minor", F.explode("places").alias("p")).select("h", "c", "p.*", "node", "pos", "component", "cls", "minor")
     rows = rows.join(info.select("node", "bits", "n"), "node").repartition(n, "h", "c", "i", "j").sortWithinPartitions("h", "c", "i", "j")
-    return written(spark, rows.mapInArrow(_candidates(join.percent, few), "a long, b long").distinct(), "candidates")
+    named = written(spark, rows.mapInArrow(_candidates(join.percent, few), "a long, b long").distinct(), "candidates")
+    for done in (lists, open_, held):
+        discard(done)
+    return named
 
 
 def ngram_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+    with shuffles_freed(docs.sparkSession):
+        return _components(docs, k, threshold)
+
+
+def _components(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     join = Join(docs, k, round(100 * threshold))
     spark, nodes = join.spark, join.nodes
     walked, others = _posted(join)
@@ -436,6 +453,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Dat
         named = _blocks(join, walked, others, found, few)
         more = bool(named.where("a < 0").limit(1).count())
         fresh = written(spark, named.where("a >= 0").join(checked, ["a", "b"], "left_anti"), "fresh")
+        discard(named)
         if fresh.limit(1).count():
             new = join.links(fresh)
             checked = checked.unionByName(fresh)
@@ -449,6 +467,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Dat
         elif not more:
             break
         few *= MORE
+    discard(walked)
 
     # A component is named by its smallest doc_id.
     full = join.rows.where("n > 0 and doc_id is not null")
