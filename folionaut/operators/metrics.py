@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import EULER, TRADING_DAYS, Z, Z95_SUMMARY, column, norm_cdf, norm_ppf, ratio
 from .drawdown import drawdown_episodes, max_drawdown
+from .quantiles import narrowed_quantiles
 from .series import daily_returns, ordered, past, period_returns, rolling_compound, rolling_summary, stepped_returns
 
 TD = float(TRADING_DAYS)
@@ -93,16 +94,18 @@ def downside_risk(series: DataFrame) -> DataFrame:
     return d.select("series_id", (F.col("dsd") * TD**0.5).alias("downside_deviation"), (F.col("dsd") * F.col("dsd") * TD).alias("semivariance"))
 
 
-def quantiles(returns: DataFrame, *levels: float) -> DataFrame:
-    """series_id and one exact, interpolated quantile per level, in one pass."""
+def quantiles(returns: DataFrame, *levels: float, long: bool = False) -> DataFrame:
+    """series_id and one exact, interpolated quantile per level: in one pass, or (long) in several with a bounded buffer."""
+    if long:
+        return narrowed_quantiles(returns, ("series_id",), "r", levels).drop("n")
     q = returns.groupBy("series_id").agg(F.percentile("r", F.array(*(F.lit(x) for x in levels))).alias("q"))
     return q.select("series_id", *(F.col("q")[i].alias(f"q{i}") for i in range(len(levels))))
 
 
-def var_cvar(series: DataFrame) -> DataFrame:
+def var_cvar(series: DataFrame, long: bool = False) -> DataFrame:
     """Historical, Gaussian, Cornish-Fisher VaR and CVaR at 95 and 99 percent, daily; historical on months if there are 12."""
     r = daily_returns(series)
-    q = quantiles(r, 0.05, 0.01)
+    q = quantiles(r, 0.05, 0.01, long=long)
     tails = r.join(q, "series_id").groupBy("series_id").agg(
         F.avg("r").alias("mu"), F.stddev_samp("r").alias("sd"), F.skewness("r").alias("s"), F.kurtosis("r").alias("k"),
         F.max("q0").alias("q95"), F.max("q1").alias("q99"), F.avg(F.when(ret() <= F.col("q0"), ret())).alias("t95"), F.avg(F.when(ret() <= F.col("q1"), ret())).alias("t99"),
@@ -130,10 +133,10 @@ def scaled_var(series: DataFrame) -> DataFrame:
     )
 
 
-def tail_ratios(series: DataFrame) -> DataFrame:
+def tail_ratios(series: DataFrame, long: bool = False) -> DataFrame:
     r = daily_returns(series)
     pf = r.groupBy("series_id").agg(ratio(F.coalesce(F.sum(F.when(ret() > 0, ret())), F.lit(0.0)), F.abs(F.sum(F.when(ret() < 0, ret())))).alias("pf"))
-    out = quantiles(r, 0.95, 0.05).join(pf, "series_id").withColumn("tail_ratio", ratio("q0", F.abs("q1")))
+    out = quantiles(r, 0.95, 0.05, long=long).join(pf, "series_id").withColumn("tail_ratio", ratio("q0", F.abs("q1")))
     return out.select("series_id", "tail_ratio", (F.col("tail_ratio") * F.col("pf")).alias("common_sense_ratio"))
 
 

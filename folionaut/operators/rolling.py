@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import TRADING_DAYS, chi2_tail, column, norm_pdf, norm_ppf, ratio
 from .metrics import numbered_returns, ret, share
+from .quantiles import narrowed_quantiles
 from .series import daily_returns, ordered, past, period_last
 
 TD = float(TRADING_DAYS)
@@ -123,9 +124,15 @@ def ewma_vol(series: DataFrame, lam: float = 0.94, block: int = 256) -> DataFram
     return r.join(before, ["series_id", "block"]).select("series_id", "date", F.sqrt(v * TD).alias("vol"))
 
 
-def vol_cone(series: DataFrame, windows: tuple[int, ...] = (21, 63, 126, 252)) -> DataFrame:
+def vol_cone(series: DataFrame, windows: tuple[int, ...] = (21, 63, 126, 252), long: bool = False) -> DataFrame:
+    """Quartiles of the volatility over windows of each length; long: by narrowed ranges, for series beyond one buffer."""
     v = moments_of_windows(series, windows).withColumn("vol", F.col("sd") * TD**0.5)
-    own = v.groupBy("series_id", "days").agg(F.count("*").alias("n"), F.percentile("vol", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"), F.max_by("vol", "date").alias("current"))
+    keys, levels = ("series_id", "days"), (0.0, 0.25, 0.5, 0.75, 1.0)
+    if long:
+        q = narrowed_quantiles(v, keys, "vol", levels).select(*keys, F.array(*(f"q{i}" for i in range(len(levels)))).alias("q"))
+        own = v.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by("vol", "date").alias("current")).join(q, [*keys])
+    else:
+        own = v.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("vol", F.array(*map(F.lit, levels))).alias("q"), F.max_by("vol", "date").alias("current"))
     return own.where(F.col("n") >= 21).select("series_id", "days", *(F.col("q")[i].alias(c) for i, c in enumerate(("min", "p25", "median", "p75", "max"))), "current")
 
 
@@ -136,10 +143,14 @@ def worst_windows(series: DataFrame, steps: tuple[int, ...] = (5, 21, 63, 126, 2
     return rows.groupBy("series_id", "steps").agg(F.min("r").alias("worst"), F.max("r").alias("best"), F.percentile("r", 0.5).alias("median"), share(ret() < 0).alias("negative"), F.min(F.struct("r", "date")).getField("date").alias("worst_end"))
 
 
-def vol_regimes(series: DataFrame, w: int = 21) -> DataFrame:
+def vol_regimes(series: DataFrame, w: int = 21, long: bool = False) -> DataFrame:
     """Quarters of the realised volatility, cut by value: days, mean volatility, annual return, positive days, worst day."""
     v = rolling_moments(series, w).withColumn("vol", F.col("sd") * TD**0.5)
-    q = v.groupBy("series_id").agg(F.percentile("vol", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    levels = (0.25, 0.5, 0.75)
+    if long:
+        q = narrowed_quantiles(v, ("series_id",), "vol", levels).select("series_id", F.array("q0", "q1", "q2").alias("q"))
+    else:
+        q = v.groupBy("series_id").agg(F.percentile("vol", F.array(*map(F.lit, levels))).alias("q"))
     vol = F.col("vol")
     band = F.when(vol <= F.col("q")[0], 1).when(vol <= F.col("q")[1], 2).when(vol <= F.col("q")[2], 3).otherwise(4)
     return v.join(q, "series_id").groupBy("series_id", band.alias("regime")).agg(F.count("*").alias("days"), F.avg("vol").alias("mean_vol"), (F.avg("r") * TD).alias("annual_return"), share(ret() > 0).alias("positive"), F.min("r").alias("worst_day"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import EULER, Z, Z95_SUMMARY, chi2_tail, norm_cdf, norm_pdf, norm_ppf
-from ..operators import drawdown, market, metrics, nav, risk, rolling, series, summaries
+from ..operators import drawdown, market, metrics, nav, quantiles, risk, rolling, series, summaries
 from ..sources import files
 from . import fixtures
 from .fixtures import BASE, Book
@@ -330,6 +330,20 @@ query("histogram", lambda b: rolling.histogram(b.series), f"""select e.series_id
     from (select series_id, min(r) as lo, max(r) as hi, avg(r) as mu, stddev_samp(r) as sd, count(*) as n, (max(r) - min(r)) / 41 as width from r group by 1) e cross join generate_series(0, 40) i(bin) where hi > lo""", "centre normal", 5)
 query("qq_points", lambda b: rolling.qq_points(b.series), f"""select series_id, i::int as i, mu + sd * {norm_ppf('((i + 0.5e0) / n)')} as normal, r as observed from (select series_id, r, row_number() over (partition by series_id order by r, date) - 1 as i, count(*) over (partition by series_id) as n, avg(r) over (partition by series_id) as mu, stddev_samp(r) over (partition by series_id) as sd from r)
     where i % greatest(1, n // 200) = 0""", "normal observed")
+# For series beyond one buffer: the same results by narrowed ranges; and the returns of all portfolios of a year as one group.
+for _name, _long in (("var_cvar", metrics.var_cvar), ("tail_ratios", metrics.tail_ratios), ("vol_cone", rolling.vol_cone), ("vol_regimes", rolling.vol_regimes)):
+    _sql, _own, _tables = PARTS[_name]
+    query(f"long_{_name}", lambda b, f=_long: f(b.series, long=True), _sql, " ".join(_own), 6 if _name in ("var_cvar", "tail_ratios") else 5, **_tables)
+POOLED = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
+
+
+def pooled_quantiles(b: Book) -> DataFrame:
+    returns = series.daily_returns(b.series).withColumn("year", F.year("date"))
+    q = quantiles.narrowed_quantiles(returns, ("year",), "r", tuple(POOLED.values()))
+    return q.select("year", "n", *(F.col(f"q{i}").alias(c) for i, c in enumerate(POOLED)))
+
+
+query("pooled_quantiles", pooled_quantiles, f"select year(date)::int as year, count(*) as n, {', '.join(f'quantile_cont(r, {p}) as {c}' for c, p in POOLED.items())} from r group by 1", " ".join(POOLED))
 
 # --- risk ----------------------------------------------------------------------------------------------------
 _ann = lambda x, n: f"(pow({x}, 252.0e0 / greatest({n}, 1)) - 1)"
