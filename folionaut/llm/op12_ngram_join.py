@@ -9,7 +9,7 @@ sets' symmetric difference) filters the pairs of members, and the rest are verif
 
 Components need no list of all pairs. First each group of a posting list is paired with one of about its size that leads the list, long lists being walked in parts, and each member of a group with the group's first. Then the lists
 whose members still lie in different components are compared in blocks: every two members that aren't in one component, within reach of each other's size, pass the same filters, and the blocks name candidates, at
-first a forest of the components, closest bitmaps first, later more forests, until all of them have been verified or joined. So no link that joins components is lost, and no group is expanded to all its pairs.
+first a few forests of the components, closest bitmaps first, later more of them, until all of them have been verified or joined. So no link that joins components is lost, and no group is expanded to all its pairs.
 
 All filters are exact, so the result is that of comparing all pairs (up to collisions of 64-bit hashes inside a pair). The list of frequent shingles (at most FREQUENT) only orders them.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, partitions, shuffles_freed, slices, table, written
+from .common import HOT, discard, join_counted, partitions, shuffles_freed, slices, table, written
 from .components import components, union_all
 from .op9_neardup import shingle_sets
 
@@ -39,7 +39,7 @@ LONG = 2048  # members of a part of a long posting list
 BLOCK = 1024  # members on either side of a comparison
 CELLS = 1 << 20  # hash cells of documents whose texts are needed
 NEAR = 1000  # pairs of one set that meet one copy of it
-FEW = 2  # forests of candidates that a block names at first, and by which factor there are more of them in each further pass
+FEW = 16  # forests of candidates that a block names at first, and by which factor there are more of them in each further pass
 MORE = 256
 
 
@@ -251,15 +251,27 @@ def _candidates(percent: int, few: int):
 
     def compare(h, c, i, j, side, node, pos, comp, cls, n, minor, bits) -> tuple[np.ndarray, np.ndarray, bool]:
         right, found = np.nonzero(side != 0)[0], []
-        words = min(map(len, bits)) // 8
-        matrix = np.stack([folded(np.frombuffer(x, dtype=np.uint64), words) for x in bits])
+        words = np.array([len(x) // 8 for x in bits])
+        matrices: dict[int, np.ndarray] = {}
+
+        def of_words(w: int) -> np.ndarray:
+            """The bitmaps of at least w words, folded to w."""
+            if w not in matrices:
+                matrices[w] = np.zeros((len(bits), w), dtype=np.uint64)
+                for r in np.nonzero(words >= w)[0]:
+                    matrices[w][r] = folded(np.frombuffer(bits[r], dtype=np.uint64), w)
+            return matrices[w]
+
         for x in np.nonzero(side != 1)[0]:
             some = right[(comp[right] != comp[x]) & ~(minor[right] & (node[right] < node[x]))]
             if c[0] >= 0:
                 some = some[np.minimum(cls[some], cls[x]) == c[0]]
             some = some[~out_of_reach(n[some], pos[some], n[x], pos[x], percent)]
             if len(some):
-                far = np.bitwise_count(matrix[some] ^ matrix[x]).sum(axis=1, dtype=np.int64)
+                shorter, far = np.minimum(words[some], words[x]), np.zeros(len(some), dtype=np.int64)
+                for w in np.unique(shorter).tolist():
+                    at, matrix = shorter == w, of_words(w)
+                    far[at] = np.bitwise_count(matrix[some[at]] ^ matrix[x]).sum(axis=1, dtype=np.int64)
                 good = ~too_far(far, n[some], n[x], percent)
                 found.append((np.full(good.sum(), x), some[good], far[good]))
         if not found:
@@ -316,14 +328,15 @@ class Join:
         self.nodes = written(spark, sets.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written: the numbers stay
         self.n_nodes = self.nodes.count()
 
-    def counts_of(self, pairs: DataFrame) -> tuple[DataFrame, int]:
-        """(a, pairs: in how many pairs it stands; the number of pairs)."""
-        often = written(self.spark, pairs.groupBy("a").agg(F.count("*").alias("pairs")), "leads")
-        return often, pairs.count()
-
-    def on_a(self, pairs: DataFrame, often: tuple[DataFrame, int], info: DataFrame) -> DataFrame:
-        """pairs with info's row of their a, which may stand in very many."""
-        return join_counted(pairs, often[0].join(info, "a"), "a", "pairs", often[1]).drop("pairs")
+    def met(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        """pairs with left's row of their a and right's row of their b. An a that stands in very many pairs meets them in copies, each with its share of the others."""
+        least = max(NEAR, pairs.count() // HOT)  # at most HOT are beyond
+        many = pairs.groupBy("a").agg(F.count("*").alias("pairs")).where(F.col("pairs") > least)
+        many = F.broadcast(many.select("a", F.ceil(F.col("pairs") / NEAR).cast("int").alias("copies")))
+        copies = F.coalesce("copies", F.lit(1))
+        shared = pairs.join(many, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("copies")
+        spread = left.join(many, "a", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+        return shared.join(right, "b").join(spread, ["a", "copy"])
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
         """node, shingles. Most other texts go before the shuffle, by the hash cells of the nodes' documents: at most 2^20, so they can be broadcast."""
@@ -336,32 +349,26 @@ class Join:
         discard(wanted)
         return sets
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The links among distinct pairs a, b."""
-        often = self.counts_of(pairs)
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose bitmaps don't rule them out."""
         info = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-        both = self.on_a(pairs, often, info("a")).join(info("b"), "b")
-        maybe = written(self.spark, both.mapInArrow(_alike(self.percent), "a long, b long"), "alike")
-        discard(often[0])
-        sets = self.sets_of(maybe.select(F.explode(F.array("a", "b")).alias("node")))
-        # A set that stands in very many pairs meets them in copies, each with its share of the others.
-        often = self.counts_of(maybe)
-        copies = often[0].select("a", F.ceil(F.col("pairs") / NEAR).cast("int").alias("copies"))
-        met = self.on_a(maybe, often, copies).withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
-        spread = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("a", "copy")
-        left = spread.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-        met = met.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b").join(left, ["a", "copy"])
-        links = written(self.spark, met.select("a", "b", "set_a", "set_b").mapInArrow(_linked(self.percent), "a long, b long"), "links")
-        for done in (maybe, often[0], sets):
-            discard(done)
+        return written(self.spark, self.met(pairs, info("a"), info("b")).mapInArrow(_alike(self.percent), "a long, b long"), "alike")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The links among distinct pairs a, b that have passed the bitmaps."""
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
+        both = self.met(pairs, of("a"), of("b")).select("a", "b", "set_a", "set_b")
+        links = written(self.spark, both.mapInArrow(_linked(self.percent), "a long, b long"), "links")
+        discard(sets)
         return links
 
 
 def _posted(join: Join) -> tuple[DataFrame, DataFrame]:
-    """(posting lists as walked: h, part, a, b, n, pos, ok; members of groups other than the first: grp, node)."""
+    """(posting lists as walked: h, part, a, b, n, pos, ok; members of groups other than the first: grp, node, n)."""
     spark, nodes, n = join.spark, join.nodes, partitions(join.spark)
     groups = nodes.groupBy("alike").agg(F.min("node").alias("grp"), F.count("*").alias("size")).where("size > 1")
-    others = written(spark, nodes.select("alike", "node").join(groups, "alike").where("node <> grp").select("grp", "node"), "group-members")
+    others = written(spark, nodes.select("alike", "node", "n").join(groups, "alike").where("node <> grp").select("grp", "node", F.col("n").cast("int").alias("n")), "group-members")
     firsts = nodes.join(others.select("node"), "node", "left_anti")
     posted = firsts.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
     long_ = join.often.where(f"count > {LONG}").select(F.col("token").alias("h"), F.ceil(F.col("count") / LONG).alias("parts"))
@@ -383,24 +390,23 @@ def _size_class(n: str, percent: int, shift: Column | float = 0.0) -> Column:
 
 
 def _blocks(join: Join, walked: DataFrame, others: DataFrame, found: DataFrame, few: int) -> DataFrame:
-    """Candidates a, b of the posting lists whose members lie in different components."""
+    """Candidates a, b, repeats included, of the posting lists whose members lie in different components."""
     spark, n = join.spark, partitions(join.spark)
-    info = join.nodes.select("node", "bits", "n", _size_class("n", join.percent).alias("cls"))
     label = found.select("node", "component")
     labelled = lambda df: df.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # A group's members stand where its first one does; a group is also a list of its own.
-    rows = walked.select("h", F.col("b").alias("node"), "pos", (F.col("part") >= 0).alias("parted"), (F.col("a") == F.col("b")).cast("int").alias("leads"))
-    grown = rows.join(others.withColumnRenamed("node", "other"), F.col("node") == F.col("grp")).select("h", F.col("other").alias("node"), "pos", "parted", F.lit(0).alias("leads"))
-    own = others.select("grp", "node").unionByName(others.select("grp", F.col("grp").alias("node")).distinct()).select(F.xxhash64("grp").alias("h"), "node", F.lit(0).alias("pos"), F.lit(False).alias("parted"), F.lit(0).alias("leads"))
+    rows = walked.select("h", F.col("b").alias("node"), F.col("n").cast("int").alias("n"), "pos", (F.col("part") >= 0).alias("parted"), (F.col("a") == F.col("b")).cast("int").alias("leads"))
+    grown = rows.join(others.select("grp", F.col("node").alias("other")), F.col("node") == F.col("grp")).select("h", F.col("other").alias("node"), "n", "pos", "parted", F.lit(0).alias("leads"))
+    own = others.unionByName(others.select("grp", F.col("grp").alias("node"), "n").distinct()).select(F.xxhash64("grp").alias("h"), "node", "n", F.lit(0).alias("pos"), F.lit(False).alias("parted"), F.lit(0).alias("leads"))
     rows = members = written(spark, labelled(union_all([rows, grown, own])), "members")
     lists = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.max("parted").alias("parted"), F.sum("leads").alias("leads"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.sum("pos").alias("places"))
     # Of lists with the same members only that of the first shingle counts: what it doesn't bring up, the others don't either.
     lists = lists.where("low <> high and (members > 2 or parted or leads > 1)").groupBy("content", "members").agg(F.min_by("h", F.struct("places", "h")).alias("h")).select("h", "members")
     total = rows.count()
     lists = written(spark, lists, "open-lists")
-    rows = join_counted(rows.select("h", "node", "pos", "component"), lists, "h", "members", total).where("members is not null")
+    rows = join_counted(rows.select("h", "node", "n", "pos", "component"), lists, "h", "members", total).where("members is not null")
     # Long lists are cut by size: two classes that follow each other meet in the list's part for the lower one.
-    rows = rows.join(info.select("node", "cls"), "node").withColumn("c", F.explode(F.when(F.col("members") > BLOCK, F.array(F.col("cls"), F.col("cls") - 1)).otherwise(F.array(F.lit(-1)))))
+    rows = rows.withColumn("cls", _size_class("n", join.percent)).withColumn("c", F.explode(F.when(F.col("members") > BLOCK, F.array(F.col("cls"), F.col("cls") - 1)).otherwise(F.array(F.lit(-1)))))
     rows = open_ = written(spark, rows.drop("members"), "open")
     discard(members)
     held = rows.groupBy("h", "c", "component").agg(F.count("*").alias("size"))
@@ -418,9 +424,9 @@ def _blocks(join: Join, walked: DataFrame, others: DataFrame, found: DataFrame,
     both = F.concat(answering, F.transform(upto("across"), lambda j: place(0, row, j)))
     one = F.array(place(2, F.lit(0), F.lit(0)))
     rows = rows.withColumn("places", F.when(~F.col("minor"), answering).when((F.col("across") == 1) & (F.col("down") == 1), one).otherwise(both))
-    rows = rows.select("h", "c", "node", "pos", "component", "cls", "minor", F.explode("places").alias("p")).select("h", "c", "p.*", "node", "pos", "component", "cls", "minor")
-    rows = rows.join(info.select("node", "bits", "n"), "node").repartition(n, "h", "c", "i", "j").sortWithinPartitions("h", "c", "i", "j")
-    named = written(spark, rows.mapInArrow(_candidates(join.percent, few), "a long, b long").distinct(), "candidates")
+    rows = rows.select("h", "c", "node", "n", "pos", "component", "cls", "minor", F.explode("places").alias("p")).select("h", "c", "p.*", "node", "n", "pos", "component", "cls", "minor")
+    rows = rows.join(join.nodes.select("node", "bits"), "node").repartition(n, "h", "c", "i", "j").sortWithinPartitions("h", "c", "i", "j")
+    named = written(spark, rows.mapInArrow(_candidates(join.percent, few), "a long, b long"), "candidates")
     for done in (lists, open_, held):
         discard(done)
     return named
@@ -442,24 +448,25 @@ def _components(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     tops = leads.join(leads.groupBy("h", "cls").agg(F.min("a").alias("top")), ["h", "cls"]).where("a <> top").select(F.col("top").alias("a"), "b")
     stars = others.select(F.col("grp").alias("a"), F.col("node").alias("b"))
     checked = written(spark, union_all([pairs, tops, stars]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = join.links(checked)
+    maybe = join.alike(checked)
+    links = join.links(maybe)
+    discard(maybe)
     # Several texts of one doc_id are linked by it.
     several = join.rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("one"), F.max("key").alias("other")).where("one <> other").select("doc_id")
     if several.limit(1).count():
         of = join.rows.join(several, "doc_id").select("doc_id", "key").distinct().join(nodes.select("key", "node"), "key")
         links = links.unionByName(of.join(of.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
-    found, few = components(links), FEW
+    found, few = components(links, tidy=True), FEW
     while True:
         named = _blocks(join, walked, others, found, few)
         more = bool(named.where("a < 0").limit(1).count())
-        fresh = written(spark, named.where("a >= 0").join(checked, ["a", "b"], "left_anti"), "fresh")
+        fresh = written(spark, named.where("a >= 0").distinct().join(checked, ["a", "b"], "left_anti"), "fresh")
         discard(named)
         if fresh.limit(1).count():
             new = join.links(fresh)
             checked = checked.unionByName(fresh)
             if new.limit(1).count():
-                links = links.unionByName(new)
-                found = components(links)
+                found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(new), tidy=True)
                 if not more:
                     break  # every candidate has been verified
             elif not more:
