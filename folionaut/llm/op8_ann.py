@@ -5,8 +5,8 @@ scaled by a power of two and to int8, and packed into tiles, one row per tile: i
 took away; no float vector is in a tile. Query tiles meet groups of candidate tiles by
 an equi-join on the group's number, so neither side is broadcast or gathered whole. For each pair of tiles one product
 of the int8 parts (exact in float32 up to 1,024 dimensions; larger ones use float64) gives approximate inner products, and the norms
-bound their error by Cauchy-Schwarz. A task keeps, over all of its tiles, each query's k-th best lower bound; a pair whose
-upper bound doesn't reach it goes. What survives in all tasks is cut once more at each query's k-th best lower bound of all,
+bound their error by Cauchy-Schwarz. A task keeps, over the tiles that it meets, each query's k-th best lower bound (of the 64 query tiles met last, so what it
+holds doesn't grow with the queries); a pair whose upper bound doesn't reach it goes. What survives in all tasks is cut once more at each query's k-th best lower bound of all,
 and only then are float vectors fetched: each block of queries gets every vector that it needs once. Scores are recomputed in float64 on the original vectors, component after
 component, and heaps keep the k best of every query, merged by query.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table, written
+from .common import partitions, small_batches, table, written
 
 TILE = "dim int, tile long, n int, rows binary, own binary, q binary, measures binary"
 FOUND = "query long, row long, low double, high double"
@@ -39,7 +39,10 @@ _BEST = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", p
 _RANKED = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 NONE = np.iinfo(np.int64).min  # in `own`: the row stands for several vec_ids
 _KEPT = 2_000_000  # pairs that a task holds before it cuts them at its floors
-_FLOATS = 1 << 25  # doubles of candidates that a group of the recomputation may hold, all its pairs counted
+_FLOATS = 1 << 22  # doubles of candidates that a group of the recomputation may hold, all its pairs counted
+_ASKED = 64  # query tiles that a task holds
+_COLUMNS = 1024  # candidates that are compared with a query tile at once
+_ROWS = 4  # pairs of tiles sent to Python at once
 _SAFE = 900  # exponents within which products neither overflow nor lose their bounds
 
 
@@ -90,6 +93,13 @@ class Tile:
         self.q = np.frombuffer(q, dtype=np.int8).reshape(n, dim).astype(np.float32 if dim <= 1024 else np.float64)
         self.exponent, self.scale, self.kept, self.lost, self.norm = np.frombuffer(measures).reshape(5, n)
 
+    def part(self, start: int, stop: int) -> Tile:
+        """Rows start to stop, as views."""
+        out = Tile.__new__(Tile)
+        for name, values in vars(self).items():
+            setattr(out, name, values[start:stop])
+        return out
+
 
 def bounds(x: Tile, y: Tile) -> tuple[np.ndarray, np.ndarray]:
     """Lowest and highest inner product of each pair, in units of the query's own power of two; infinite where it can't be bounded."""
@@ -110,6 +120,10 @@ class Survivors:
         self.tile, self.k, self.lows, self.parts, self.held = tile, k, np.full((len(tile.rows), k), -np.inf), [], 0
 
     def add(self, other: Tile) -> None:
+        for at in range(0, len(other.rows), _COLUMNS):
+            self._add(other.part(at, at + _COLUMNS))
+
+    def _add(self, other: Tile) -> None:
         low, high = bounds(self.tile, other)
         own = self.tile.own[:, None] == other.own[None, :]
         low[own] = -np.inf
@@ -136,10 +150,17 @@ def _search(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, Survivors] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                if (mine := asked.get(r["q_tile"])) is None:
-                    mine = asked[r["q_tile"]] = Survivors(Tile(r["dim"], r["q_n"], r["q_rows"], r["q_own"], r["q_q"], r["q_measures"]), k)
-                mine.add(Tile(r["dim"], r["n"], r["rows"], r["own"], r["q"], r["measures"]))
+            for i in range(batch.num_rows):
+                at = lambda *names: [batch.column(c)[i].as_py() for c in names]  # noqa: B023, E731
+                (number,) = at("q_tile")
+                if (mine := asked.pop(number, None)) is None:
+                    if len(asked) >= _ASKED:  # the one that was met longest ago goes; its floors start anew, should it come again
+                        gone = asked.pop(next(iter(asked)))
+                        if gone.parts:
+                            yield gone.batch()
+                    mine = Survivors(Tile(*at("dim", "q_n", "q_rows", "q_own", "q_q", "q_measures")), k)
+                asked[number] = mine
+                mine.add(Tile(*at("dim", "n", "rows", "own", "q", "measures")))
                 if sum(s.held for s in asked.values()) > _KEPT:
                     for s in asked.values():
                         if s.parts:
@@ -253,7 +274,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int
     left = left.withColumn("q_part", each(across))
     met = left.join(right, (F.col("q_part") == F.col("part")) & (F.col("q_side") == F.col("side")) & (F.col("q_dim") == F.col("dim")))
     found = met.drop("q_dim", "q_part", "q_side", "part", "side", "tile").mapInArrow(_search(k), FOUND)
-    found = written(spark, found, "survivors")
+    with small_batches(spark, _ROWS):  # a row holds two tiles
+        found = written(spark, found, "survivors")
 
     # Each query's floor over all tasks; then its surviving rows are one list, in groups of queries.
     floor = F.nth_value("low", k).over(Window.partitionBy("query").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -261,8 +283,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int
     kept = written(spark, kept, "kept")
     groups = max(1, -(-ask // query_block))
     longest = classes.agg(F.max(F.size("vector"))).first()[0] or 1
-    parts = max(1, -(-kept.count() * longest // (groups * _FLOATS)))
-    kept = kept.withColumns({"g": F.pmod(F.xxhash64("query"), F.lit(groups)), "p": F.pmod(F.xxhash64("row"), F.lit(parts))})
+    kept = kept.withColumn("g", F.pmod(F.xxhash64("query"), F.lit(groups)))
+    # A group with more pairs than its floats allow is cut by candidates.
+    sizes = kept.groupBy("g").agg(F.ceil(F.count("*") * longest / _FLOATS).alias("parts"))
+    kept = kept.join(sizes, "g").withColumn("p", F.pmod(F.xxhash64("row"), F.col("parts"))).drop("parts")
     wanted = kept.select(F.col("g").alias("of_g"), F.col("p").alias("of_p"), "row").distinct().join(classes.select("row", "ids", "vector"), "row")
     lists = kept.groupBy("g", "p", "query").agg(F.collect_list("row").alias("rows"))
     lists = lists.join(asking.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector")), "query")

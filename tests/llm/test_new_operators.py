@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folionaut.llm import op11_codes, op12_ngram_join, op13_merkle
+from folionaut.llm import op8_ann, op11_codes, op12_ngram_join, op13_merkle
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, part int"
 VECTORS = "vec_id long, embedding array<float>, label int, code string, error long, numbers int"
@@ -258,3 +258,30 @@ def test_no_name_is_the_null_source(spark):
 
     got = {r.doc_id: (r.mix_source_size, r.mix_target) for r in op2_mix.mix(docs(spark, [(1, "a b", None), (2, "a b c", "\U0010ffff"), (3, "x", "s"), (4, "y", "1"), (5, "z z", "0")]), F.array("source")).collect()}
     assert {i: s for i, (s, _) in got.items()} == {1: 2, 2: 3, 3: 1, 4: 1, 5: 2}
+
+
+def test_a_search_task_holds_a_bounded_number_of_query_tiles():
+    """Query tiles that a task met long ago are passed on while it still reads, whatever their number; nothing that belongs to the nearest is lost."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    pack = lambda x, first: dict(zip(("n", "rows", "own", "q", "measures"), (len(x), np.arange(first, first + len(x)).tobytes(), np.arange(first, first + len(x)).tobytes(), *(a.tobytes() for a in op8_ann.quantise(x)))))
+    x, y = rng.normal(size=(150, 3, 8)), rng.normal(size=(3000, 8))
+    read = []
+
+    def batches():
+        for _ in range(2):  # each query tile comes twice, the second time after all others
+            for i, tile in enumerate(x):
+                read.append(i)
+                row = {"dim": 8, "q_tile": i} | {f"q_{c}": v for c, v in pack(tile, 10**6 + 3 * i).items()} | pack(y, 0)
+                yield pa.RecordBatch.from_pylist([row])
+
+    search = op8_ann._search(5)(batches())
+    first = next(search)
+    assert len(read) <= op8_ann._ASKED + 1
+    found = {}
+    for batch in (first, *search):
+        for q, row in zip(batch.column("query").to_pylist(), batch.column("row").to_pylist()):
+            found.setdefault(q - 10**6, set()).add(row)
+    best = np.argsort(-(x.reshape(-1, 8) @ y.T), axis=1)[:, :5]
+    assert all(set(best[q].tolist()) <= found[q] for q in range(450))
